@@ -73,30 +73,33 @@ def coverage_matrix(df: DataFrame, entity: str, date: str, windows: Mapping[str,
 
 
 def monthly_rollup(df: DataFrame, entity: str, date: str, flag: Column,
-                   means: Mapping[str, Column], firsts: Sequence[str] = ()) -> DataFrame:
+                   means: Mapping[str, Column], firsts: Mapping[str, str] | None = None,
+                   first_order: Column | None = None) -> DataFrame:
     """Entity x month count table with exposure (AG19).
 
     ``n_high_days`` = sum of the 0/1 flag, ``n_days`` = rows, means of the
-    covariates, the first value of static columns (by day), and
-    ``log_n_days`` as the offset.
+    covariates, the first value of static columns (``firsts``: output name ->
+    column, first along ``first_order``, default the day; a ``min_by``
+    partial aggregate) and ``log_n_days`` as the offset.
     """
+    order = first_order if first_order is not None else F.col(date)
     ym = F.date_format(F.col(date), "yyyy-MM")
     aggs = [F.sum(flag).cast("int").alias("n_high_days"), F.count(F.lit(1)).alias("n_days")]
     aggs += [F.avg(c).alias(n) for n, c in means.items()]
-    aggs += [F.min_by(F.col(c), F.col(date)).alias(c) for c in firsts]
+    aggs += [F.min_by(F.col(c), order).alias(n) for n, c in (firsts or {}).items()]
     out = df.groupBy(F.col(entity), ym.alias("year_month")).agg(*aggs)
     return out.withColumn("log_n_days", F.ln(F.col("n_days").cast("double")))
 
 
 def annualise(df: DataFrame, entity: str, date: str, measure: str, min_months: int = 10) -> DataFrame:
     """Month totals -> per entity-year: months present, total, scaled to 12
-    months; years with fewer than ``min_months`` months are dropped (AG1+AG2)."""
+    months; years with fewer than ``min_months`` months or a zero total are dropped (AG1+AG2)."""
     monthly = (df.groupBy(entity, F.year(date).alias("year"), F.month(date).alias("month"))
                .agg(F.sum(measure).alias("_m")))
     yearly = monthly.groupBy(entity, "year").agg(
         F.count(F.lit(1)).alias("months_available"),
         F.coalesce(F.sum("_m"), F.lit(0.0)).alias("total"))
-    return (yearly.where(F.col("months_available") >= min_months)
+    return (yearly.where((F.col("months_available") >= min_months) & (F.col("total") > 0))
             .withColumn("annual_total", F.col("total") * 12 / F.col("months_available")))
 
 
