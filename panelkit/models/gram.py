@@ -1,11 +1,16 @@
-"""Distributed cross-products: one pass for the means, one pass for all
-centred cross-products.  Both are plain JVM aggregates (sums of
-products inside whole-stage codegen); the driver receives p*(p+1)/2 + p
-numbers and does p x p linear algebra only.
-
-Centring before the product sums avoids the cancellation of raw sums;
-scaling to unit variance (exact, on the driver) keeps the p x p solve well
-conditioned (raw columns of very different scales give ~1e12).
+"""Distributed cross-products in one pass.
+
+Each partition turns its Arrow batches into numpy blocks and keeps a weight
+total, a mean vector and the cross-product matrix centred on that mean
+(updated batch by batch with the parallel-variance formula).  The driver
+merges the per-partition partials the same way and then does p x p linear
+algebra only.  Row work is one scan; design expressions
+(dummies, spline bases) are evaluated once per row in the projection that
+feeds the batches.
+
+Centring avoids the cancellation of raw sums; scaling to unit variance
+(exact, on the driver) keeps the p x p solve well conditioned (raw columns
+of very different scales give condition numbers ~1e12).
 """
 
 from __future__ import annotations
@@ -34,34 +39,70 @@ class Gram:
         return len(self.names)
 
 
+def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = None
+                      ) -> tuple[float, np.ndarray, np.ndarray]:
+    """One pass: per-partition weight total, mean and centred cross-product
+    matrix (numpy over Arrow batches), combined on the driver with the
+    parallel-variance formula (traffic and driver memory: partitions x p^2
+    numbers, independent of the row count)."""
+    import pandas as pd
+
+    cols = list(cols)
+    k = len(cols)
+
+    def part(it):
+        n = 0.0
+        mean = np.zeros(k)
+        m2 = np.zeros((k, k))
+        for pdf in it:
+            x = pdf[cols].to_numpy(dtype=float)
+            if x.shape[0] == 0:
+                continue
+            w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(x.shape[0])
+            nb = float(w.sum())
+            if nb == 0:
+                continue
+            mb = (w @ x) / nb
+            xc = x - mb
+            m2b = (xc * w[:, None]).T @ xc
+            delta = mb - mean
+            tot = n + nb
+            m2 += m2b + np.outer(delta, delta) * (n * nb / tot)
+            mean = mean + delta * (nb / tot)
+            n = tot
+        if n > 0:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
+    schema = "n double, mean array<double>, m2 array<double>"
+    sel = d.select(*cols, *([weight] if weight else []))
+    n = 0.0
+    mean = np.zeros(k)
+    m2 = np.zeros((k, k))
+    # one small row per partition (n, mean, p x p partial), merged on the driver
+    for r in sel.mapInPandas(part, schema).collect():
+        nb, mb, m2b = float(r["n"]), np.array(r["mean"]), np.array(r["m2"]).reshape(k, k)
+        delta = mb - mean
+        tot = n + nb
+        m2 += m2b + np.outer(delta, delta) * (n * nb / tot)
+        mean = mean + delta * (nb / tot)
+        n = tot
+    return n, mean, m2
+
+
 def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = None) -> Gram:
     """Rows with a NULL in any used column are dropped (complete cases)."""
     x = list(x)
     used = x + [y] + ([weight] if weight else [])
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used]).dropna()
-    w = F.col(weight) if weight else F.lit(1.0)
-    first = d.agg(F.sum(w).alias("n"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(f"m_{i}")
-                                         for i, c in enumerate(x + [y])]).collect()[0]
-    n = float(first["n"] or 0.0)
+    n, means, c = partition_moments(d, x + [y], weight)
     if n == 0:
         raise ValueError("no complete rows")
-    means = [float(first[f"m_{i}"]) for i in range(len(x) + 1)]
-    # second pass: all centred cross-products (x and y); scaling is exact on the driver
-    cols = x + [y]
-    k = len(cols)
-    cen = [F.col(c) - F.lit(means[i]) for i, c in enumerate(cols)]
-    aggs = [F.sum(w * cen[i] * cen[j]).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = d.agg(*aggs).collect()[0]
-    c = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            c[i, j] = c[j, i] = float(row[f"c_{i}_{j}"])
     p = len(x)
     scale = np.sqrt(np.diag(c)[:p] / n)
     scale[scale == 0] = 1.0
     zz = c[:p, :p] / np.outer(scale, scale)
     zy = c[:p, p] / scale
-    return Gram(x, n, np.array(means[:p]), scale, means[p], zz, zy, float(c[p, p]))
+    return Gram(x, n, np.array(means[:p]), scale, float(means[p]), zz, zy, float(c[p, p]))
 
 
 def select_full_rank(zz: np.ndarray, tol: float = 1e-9) -> list[int]:
