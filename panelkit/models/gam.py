@@ -124,7 +124,9 @@ def add_basis(df: DataFrame, smooths: dict) -> DataFrame:
 
 
 def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Sequence[str] = (),
-            k: int = 10, lambda_grid: Sequence[float] | None = None, rounds: int = 3) -> GamFit:
+            k: int = 10, lambda_grid: Sequence[float] | None = None, rounds: int = 3,
+            lambdas: dict | None = None) -> GamFit:
+    """Fit; smoothing parameters by GCV unless fixed via ``lambdas``."""
     smooth_cols = list(smooth_cols)
     parametric = list(parametric)
     d = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(smooth_cols + parametric + [y])]).dropna()
@@ -160,6 +162,9 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
         gcv = g.n * rss / (g.n - edf) ** 2
         return gcv, beta, inv, fmat, rss, edf
 
+    if lambdas is not None:
+        lam = {c: float(lambdas[c]) for c in smooths}
+        rounds = 0
     best = solve(lam)[0]
     for _ in range(rounds):
         for c in smooths:

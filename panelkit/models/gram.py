@@ -118,7 +118,7 @@ def select_full_rank(zz: np.ndarray, tol: float = 1e-9) -> list[int]:
         if keep:
             a = zz[np.ix_(keep, keep)]
             b = zz[np.ix_(keep, [j])]
-            resid = diag - float(b.T @ np.linalg.solve(a, b))
+            resid = diag - float((b.T @ np.linalg.solve(a, b))[0, 0])
         else:
             resid = diag
         if resid / diag > tol:
