@@ -75,7 +75,8 @@ def fit_glm(df: DataFrame, y: str, x: Sequence[str], family: str = "poisson", li
     x = list(x)
     used = x + [y] + ([offset] if offset else [])
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used]).dropna()
-    d = VectorAssembler(inputCols=x, outputCol="_features").transform(d)
+    # every IRLS iteration re-reads the design: keep it materialised for the fit
+    d = VectorAssembler(inputCols=x, outputCol="_features").transform(d).persist()
     glr = GeneralizedLinearRegression(family=family, link=link or ("log" if family == "poisson" else "logit"),
                                       featuresCol="_features", labelCol=y, maxIter=max_iter, tol=1e-10)
     if offset:
@@ -92,6 +93,7 @@ def fit_glm(df: DataFrame, y: str, x: Sequence[str], family: str = "poisson", li
     if pearson:
         r = s.residuals("pearson")
         fit.pearson_chi2 = float(r.agg(F.sum(F.col("pearsonResiduals") ** 2)).collect()[0][0])
+    d.unpersist()
     return fit
 
 

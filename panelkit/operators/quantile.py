@@ -14,8 +14,9 @@ its distinct values.  This operator instead:
    holding the rank becomes the new search range, and the loop repeats
    until the range is small enough for step 3.
 
-Only target-sized tables are checkpointed; nothing group-sized reaches the
-driver.  ``method='approx'`` switches to ``percentile_approx`` (bounded
+Only target-sized tables (groups x probabilities) are materialised, as
+written tables in the shared checkpoint folder; nothing group-sized reaches
+the driver.  ``method='approx'`` switches to ``percentile_approx`` (bounded
 sketch, no interpolation).
 """
 
@@ -55,25 +56,26 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         stats = vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         pr = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_pi int, prob double")
-        tgt = (stats.crossJoin(F.broadcast(pr))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-               .withColumn("_rlo", F.floor("_h").cast("long"))
-               .withColumn("_rhi", F.ceil("_h").cast("long"))
-               .withColumn("_frac", F.col("_h") - F.col("_rlo")))
-        ranks = (tgt.select(*by, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"),
+        # target table: groups x probs rows, written once (cuts lineage, one compute)
+        tgt = _written(stats.crossJoin(F.broadcast(pr))
+                       .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
+                       .withColumn("_rlo", F.floor("_h").cast("long"))
+                       .withColumn("_rhi", F.ceil("_h").cast("long"))
+                       .withColumn("_frac", F.col("_h") - F.col("_rlo")), "q_targets")
+        state = (tgt.select(*by, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"),
                             "_lo", "_hi", "_nd")
                  .distinct().withColumn("_base", F.lit(0).cast("long")))
-        answers = None
-        state = ranks.checkpoint(eager=True)
+        parts = []
         for _level in range(64):
-            small = state.where(F.col("_nd") <= finish_rows)
-            ans = _finish(vc, small, by)
-            answers = ans if answers is None else answers.unionByName(ans)
+            parts.append(_finish(vc, state.where(F.col("_nd") <= finish_rows), by))
             rest = state.where(F.col("_nd") > finish_rows)
             if rest.limit(1).count() == 0:
                 break
-            state = _refine(vc, rest, by, n_buckets).checkpoint(eager=True)
-        answers = answers.checkpoint(eager=True)
+            state = _written(_refine(vc, rest, by, n_buckets), "q_state")
+        answers = parts[0]
+        for a in parts[1:]:
+            answers = answers.unionByName(a)
+        answers = _written(answers, "q_answers")
     finally:
         vc.unpersist()
     lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
@@ -85,36 +87,52 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
                       .alias("quantile"))
 
 
-def _join_candidates(vc: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Materialise a target-sized table in the shared checkpoint folder."""
+    from panelkit.sources.io import checkpoint_table
+    return checkpoint_table(df, name)
+
+
+def _join_candidates(vc: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     if by:
-        return vc.join(state, by, "inner").where(cond)
-    return vc.crossJoin(F.broadcast(state)).where(cond)
+        return vc.join(ranges, by, "inner").where(cond)
+    return vc.crossJoin(F.broadcast(ranges)).where(cond)
+
+
+_RANGE = ["_lo", "_hi", "_base"]
 
 
 def _finish(vc: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    cand = _join_candidates(vc, state, by)
-    w = Window.partitionBy(*by, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    """Exact ranks inside small ranges: one cumulative count per distinct
+    search range (shared by all target ranks in it), then a rank lookup."""
+    ranges = state.select(*by, *_RANGE).distinct()
+    cand = _join_candidates(vc, ranges, by)
+    w = Window.partitionBy(*by, *_RANGE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = cand.withColumn("_cum", F.col("_base") + F.sum("_c").over(w))
     hit = (F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return cum.where(hit).select(*by, "_r", F.col("_v").alias("_ans"))
+    return (cum.join(state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+            .select(*by, "_r", F.col("_v").alias("_ans")))
 
 
 def _refine(vc: DataFrame, state: DataFrame, by: list[str], n_buckets: int) -> DataFrame:
-    cand = _join_candidates(vc, state, by)
+    """Narrow every large range to the value bucket holding each target rank
+    (bucket counts are partial aggregates, <= n_buckets rows per range)."""
+    ranges = state.select(*by, *_RANGE).distinct()
+    cand = _join_candidates(vc, ranges, by)
     width = F.col("_hi") - F.col("_lo")
     bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * n_buckets),
                                        F.lit(n_buckets - 1))).otherwise(F.lit(0)).cast("int")
     bk = (cand.withColumn("_b", bucket)
-          .groupBy(*by, "_r", "_base", "_b")
+          .groupBy(*by, *_RANGE, "_b")
           .agg(F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_bnd"),
                F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")))
-    w = Window.partitionBy(*by, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, *_RANGE).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bk = bk.withColumn("_cum", F.col("_base") + F.sum("_bc").over(w))
     hit = (F.col("_cum") - F.col("_bc") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return bk.where(hit).select(*by, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
-                                F.col("_bnd").alias("_nd"),
-                                (F.col("_cum") - F.col("_bc")).alias("_base"))
+    return (bk.join(state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+            .select(*by, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
+                    F.col("_bnd").alias("_nd"), (F.col("_cum") - F.col("_bc")).alias("_base")))
 
 
 def quantiles_wide(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),

@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The reference reads complete files in every script and has no watermark,
+window, stateful or late-data logic, so nothing is built here.  Incremental
+ingestion of newly landed per-entity files can reuse
+``panelkit.sources.io.read_delimited_dir`` on the new files.
+"""
