@@ -22,14 +22,15 @@ def window_filter(df: DataFrame, date: str, start: str | None, end: str | None)
 
 
 def days_per_entity(df: DataFrame, entity: str, date: str) -> DataFrame:
-    """Distinct observed days per entity (pre-aggregated on (entity, day))."""
-    return (df.select(entity, date).distinct()
-            .groupBy(entity).agg(F.count(F.lit(1)).alias("n_days")))
+    """Distinct observed days and rows per entity, one scan: pre-aggregated
+    on (entity, day) first, so a hot entity is spread over its days."""
+    per_day = df.groupBy(entity, date).agg(F.count(F.lit(1)).alias("_r"))
+    return per_day.groupBy(entity).agg(F.count(F.lit(1)).alias("n_days"), F.sum("_r").alias("n_rows"))
 
 
 def coverage(df: DataFrame, entity: str, date: str, start: str | None = None,
              end: str | None = None) -> DataFrame:
-    """``(entity, n_days, days_in_window, coverage_pct)``.
+    """``(entity, n_days, n_rows, days_in_window, coverage_pct)``.
 
     Without ``start``/``end`` the window is the data's own first..last day,
     computed as a one-row aggregate joined to every entity row.

@@ -68,14 +68,19 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed=42) -> DataFrame:
 
 
 def budget_admit(entities: DataFrame, key: str, size: str, cap: int, seed=42,
-                 order: str = "random", n_blocks: int = 64) -> DataFrame:
+                 order: str = "random", n_blocks: int = 64, materialize: bool = True) -> DataFrame:
     """Row-budget admission over an entity table (one row per entity).
 
     Entities are taken in hash order (``order='random'``) or by descending
     size (``'largest'``, ties by key); an entity is admitted while the
     running total of ``size`` stays <= ``cap``.  Returns the entity rows with
-    ``cumulative_rows`` for the admitted ones.
+    ``cumulative_rows`` for the admitted ones.  The entity table is read twice
+    (block totals and the in-block running sum), so by default it is first
+    written once to the shared checkpoint folder (one row per entity).
     """
+    if materialize:
+        from panelkit.sources.io import checkpoint_table
+        entities = checkpoint_table(entities, "budget_entities")
     if order == "random":
         tmp = entities.withColumn("_h", hash_key([key], seed))
         out = running_sum(tmp, [F.col("_h"), F.col(key)], F.col(size).cast("long"), hex_block("_h"),

@@ -207,7 +207,7 @@ FROM days, w
 """)
 def coverage(spark, d):
     c = P.coverage(T.events_panel(spark, d), "user_id", "date")
-    return c.withColumn("coverage_pct", F.round("coverage_pct", 6))
+    return c.select("user_id", "n_days", "days_in_window", F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
 @register("coverage_matrix", """
@@ -242,7 +242,7 @@ GROUP BY 1 HAVING count(DISTINCT CAST(ts AS DATE)) * 100.0 / 30 >= 90
 """)
 def eligible(spark, d):
     el = P.eligible(T.events_panel(spark, d), "user_id", "date", "2024-01-01", "2024-01-30", 90.0)
-    return el.withColumn("coverage_pct", F.round("coverage_pct", 6))
+    return el.select("user_id", "n_days", "days_in_window", F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
 @register("monthly_counts", """

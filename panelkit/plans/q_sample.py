@@ -46,8 +46,7 @@ def model_subset(spark, d):
     """Window -> coverage -> eligible -> row-budget sample -> labelled rows."""
     e = T.events_panel(spark, d).select("event_id", "user_id", "date", "value")
     win = P.window_filter(e, "date", *MODEL_WINDOW)
-    per = win.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    el = P.eligible(win, "user_id", "date", *MODEL_WINDOW, MODEL_MIN_COVERAGE).join(per, "user_id")
+    el = P.eligible(win, "user_id", "date", *MODEL_WINDOW, MODEL_MIN_COVERAGE)
     admitted = SP.budget_admit(el, "user_id", "n_rows", MODEL_ROW_BUDGET, seed=42)
     sub = joins.member_of(win, admitted, "user_id")
     out = FE.responses(sub, "value", "high_consumption", "log_value")
