@@ -113,3 +113,38 @@ def recode(c, mapping: dict, default=None) -> Column:
         out = F.when(x == k, F.lit(v)) if out is None else out.when(x == k, F.lit(v))
     fallback = x if default is None else F.lit(default)
     return out.otherwise(fallback) if out is not None else fallback
+
+
+# --- fixed values: rational approximation of the normal quantile (Acklam) ---
+_PROBIT_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+             1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_PROBIT_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+             6.680131188771972e+01, -1.328068155288572e+01)
+_PROBIT_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+             -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_PROBIT_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+             3.754408661907416e+00)
+_PROBIT_LOW = 0.02425
+# --- end fixed values ---
+
+
+def _horner(coefs, x: Column) -> Column:
+    out = F.lit(coefs[0])
+    for c in coefs[1:]:
+        out = out * x + F.lit(c)
+    return out
+
+
+def probit(p) -> Column:
+    """Standard normal quantile as a column expression (relative error
+    ~1e-9), so QQ plots need no Python UDF."""
+    p = col(p)
+    q = p - 0.5
+    r = q * q
+    central = _horner(_PROBIT_A, r) * q / (_horner(_PROBIT_B, r) * r + 1)
+    ql = F.sqrt(-2 * F.ln(p))
+    low = _horner(_PROBIT_C, ql) / (_horner(_PROBIT_D, ql) * ql + 1)
+    qu = F.sqrt(-2 * F.ln(1 - p))
+    high = -_horner(_PROBIT_C, qu) / (_horner(_PROBIT_D, qu) * qu + 1)
+    return (F.when((p <= 0) | (p >= 1), F.lit(None).cast("double"))
+            .when(p < _PROBIT_LOW, low).when(p > 1 - _PROBIT_LOW, high).otherwise(central))

@@ -138,7 +138,7 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
         smooths[c] = (c, float(rng[f"lo_{i}"]), float(rng[f"hi_{i}"]), k, names)
     design = add_basis(d, smooths)
     names = parametric + [nm for s in smooths.values() for nm in s[4]]
-    g = compute_gram(design, names, y)
+    g = compute_gram(design, names, y, assume_complete=True)
     p = len(names)
     blocks = {}
     s_full = difference_penalty(k)[1:, 1:]

@@ -89,11 +89,19 @@ def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = No
     return n, mean, m2
 
 
-def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = None) -> Gram:
-    """Rows with a NULL in any used column are dropped (complete cases)."""
+def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = None,
+                 assume_complete: bool = False) -> Gram:
+    """Rows with a NULL in any used column are dropped (complete cases).
+
+    ``assume_complete``: the caller already dropped incomplete rows of the
+    inputs the columns derive from (e.g. spline bases of a non-NULL x), so
+    the derived expressions are not evaluated a second time in a filter.
+    """
     x = list(x)
     used = x + [y] + ([weight] if weight else [])
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in used]).dropna()
+    d = df.select(*[F.col(c).cast("double").alias(c) for c in used])
+    if not assume_complete:
+        d = d.dropna()
     n, means, c = partition_moments(d, x + [y], weight)
     if n == 0:
         raise ValueError("no complete rows")

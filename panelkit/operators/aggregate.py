@@ -149,3 +149,26 @@ def contingency(df: DataFrame, a: str, b: str, levels_a: Sequence | None = None,
     grid = la.crossJoin(lb)
     return (grid.join(counts, [a, b], "left")
             .select(a, b, F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def column_profile(df: DataFrame, max_levels: int = 50) -> DataFrame:
+    """Column, Spark type, role and number of distinct values, one pass.
+
+    Role: 'id' for string columns named like keys, 'categorical' for other
+    string columns, 'numeric' / 'date' / 'other' by type.
+    """
+    dtypes = dict(df.dtypes)
+    agg = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    long = agg.unpivot([], df.columns, "variable", "n_distinct")
+
+    def role(c, t):
+        if t == "string":
+            return "id" if c.lower().endswith(("id", "key")) else "categorical"
+        if t in ("int", "bigint", "double", "float", "smallint", "tinyint") or t.startswith("decimal"):
+            return "numeric"
+        if t in ("date", "timestamp", "timestamp_ntz"):
+            return "date"
+        return "other"
+    spark = df.sparkSession
+    meta = spark.createDataFrame([(c, t, role(c, t)) for c, t in dtypes.items()], "variable string, type string, role string")
+    return meta.join(long, "variable")

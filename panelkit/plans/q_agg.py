@@ -328,3 +328,15 @@ def step_audit(spark, d):
     out = P.step_audit([("full panel", e, None), ("time window", win, None),
                         ("eligible (>=80% coverage)", None, el), ("final subset", fin, None)], "user_id")
     return out
+
+
+@register("column_profile", " UNION ALL ".join(f"""
+SELECT '{c}' AS variable, '{t}' AS type, '{r}' AS role, count(DISTINCT {c}) AS n_distinct FROM orders"""
+                                               for c, t, r in (("o_orderkey", "bigint", "numeric"),
+                                                               ("o_custkey", "bigint", "numeric"),
+                                                               ("o_orderstatus", "string", "categorical"),
+                                                               ("o_totalprice", "double", "numeric"),
+                                                               ("o_orderdate", "timestamp_ntz", "date"),
+                                                               ("o_orderpriority", "string", "categorical"))))
+def column_profile(spark, d):
+    return A.column_profile(T.table(spark, d, "orders"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit import constants as K
-from panelkit.functions import dists
+from panelkit.functions import dists, scalar as SC
 from panelkit.models import evaluate as EV, glm, loess, ols
 from panelkit.models.gram import compute_gram
 from panelkit.operators import features as FE, panel as P
@@ -329,3 +329,53 @@ def trend_line(spark, d):
                                 "slope double, intercept double, se_slope double, n long, r2 double")
     return out.select(F.round("slope", 10).alias("slope"), F.round("intercept", 8).alias("intercept"),
                       F.round("se_slope", 10).alias("se_slope"), "n", F.round("r2", 8).alias("r2"))
+
+
+def _sql_horner(coefs, x):
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"({out}) * {x} + {c!r}"
+    return out
+
+
+def _sql_probit(p):
+    a, b, c, dd, lo = SC._PROBIT_A, SC._PROBIT_B, SC._PROBIT_C, SC._PROBIT_D, SC._PROBIT_LOW
+    r = f"(({p}) - 0.5) * (({p}) - 0.5)"
+    central = f"({_sql_horner(a, r)}) * (({p}) - 0.5) / (({_sql_horner(b, r)}) * {r} + 1)"
+    ql = f"sqrt(-2 * ln({p}))"
+    qu = f"sqrt(-2 * ln(1 - ({p})))"
+    low = f"({_sql_horner(c, ql)}) / (({_sql_horner(dd, ql)}) * {ql} + 1)"
+    high = f"-({_sql_horner(c, qu)}) / (({_sql_horner(dd, qu)}) * {qu} + 1)"
+    return f"CASE WHEN ({p}) < {lo!r} THEN {low} WHEN ({p}) > {1 - lo!r} THEN {high} ELSE {central} END"
+
+
+@register("qq_points", f"""
+WITH d AS {_D},
+s AS (SELECT regr_slope(y, l_quantity) AS b, regr_intercept(y, l_quantity) AS a, avg(l_quantity) AS mx,
+             regr_sxx(y, l_quantity) AS sxx, count(*) AS n FROM d),
+f AS (SELECT l_orderkey, l_linenumber, y - (a + b * l_quantity) AS res,
+             1.0 / n + (l_quantity - mx) * (l_quantity - mx) / sxx AS h, n FROM d, s),
+sig AS (SELECT sqrt(sum(res * res) / (count(*) - 2)) AS sigma FROM f),
+z AS (SELECT l_orderkey, l_linenumber, res / (sigma * sqrt(1 - h)) AS std_resid, n FROM f, sig),
+r AS (SELECT *, row_number() OVER (ORDER BY std_resid, l_orderkey, l_linenumber) AS i FROM z)
+SELECT l_orderkey, l_linenumber, round(std_resid, 6) AS std_resid,
+       round({_sql_probit("(i - 0.5) / n")}, 6) AS theoretical
+FROM r
+""")
+def qq_points(spark, d):
+    df = lm_frame(spark, d)
+    fit = ols.fit_ols(df, "y", ["l_quantity"])
+    r = ols.diagnostics(df, fit, "y").select("l_orderkey", "l_linenumber", "std_resid")
+    q = ols.qq_points(r, "std_resid", ["l_orderkey", "l_linenumber"])
+    return q.select("l_orderkey", "l_linenumber", F.round("std_resid", 6).alias("std_resid"),
+                    F.round("theoretical", 6).alias("theoretical"))
+
+
+@register("ols_coef_ci")
+def ols_coef_ci(spark, d):
+    """Multiple OLS with t-based 95 % intervals and p-values (ML2, ML6)."""
+    df = lm_frame(spark, d)
+    df, dn = FE.dummy_columns(df, "l_returnflag", FE.factor_levels(df, "l_returnflag"))
+    fit = ols.fit_ols(df, "y", ["l_quantity", "l_discount", "l_tax", *dn])
+    summ = fit.summary_row()
+    return fit.coef_table(spark).withColumns({k: F.lit(float(v)) for k, v in summ.items()})

@@ -120,3 +120,32 @@ def test_rff_svm_learns_ring(spark):
     s = C.score_svm(m, df, ["a", "b"], gamma=2.0, n_features=128)
     acc = s.select(F.avg((F.col("pred") == F.col("label")).cast("double"))).collect()[0][0]
     assert acc > 0.9
+
+
+def test_probit_matches_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from panelkit.functions.scalar import probit
+    ps = [1e-6, 0.001, 0.02425, 0.03, 0.1, 0.3, 0.5, 0.77, 0.975, 0.999, 1 - 1e-7]
+    got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", probit("p").alias("z")).collect()
+    for r in got:
+        assert r["z"] == pytest.approx(NormalDist().inv_cdf(r["p"]), rel=2e-8, abs=1e-9)
+
+
+def test_coefficients_and_mllib_model_roundtrip(spark, tmp_path):
+    from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+
+    from panelkit.sources import io
+    io.save_coefficients(spark, str(tmp_path / "coef"), ["(Intercept)", "x"], [1.0, 2.0], [[1, 0], [0, 1]])
+    back = io.load_coefficients(spark, str(tmp_path / "coef"))
+    assert back["terms"] == ["(Intercept)", "x"] and back["coef"] == [1.0, 2.0]
+    df = spark.createDataFrame(pd.DataFrame({"a": [0.0, 1.0, 0.0, 1.0] * 10, "label": [0, 1, 0, 1] * 10}))
+    path = str(tmp_path / "mlp")
+    calls = []
+
+    def fit():
+        calls.append(1)
+        return C.fit_mlp(df, ["a"], "label", hidden=2, max_iter=20)
+    m1 = io.fit_or_load(path, fit, MultilayerPerceptronClassificationModel.load)
+    m2 = io.fit_or_load(path, fit, MultilayerPerceptronClassificationModel.load)
+    assert len(calls) == 1 and m2.layers == m1.layers
