@@ -63,7 +63,7 @@ def _logit(spark, d):
 
 
 @register("ols_univariate", " UNION ALL ".join(f"""
-SELECT '{p}' AS predictor, regr_count(y, {p}) AS n, round(regr_slope(y, {p}), 8) AS slope,
+SELECT '{p}' AS predictor, CAST(regr_count(y, {p}) AS BIGINT) AS n, round(regr_slope(y, {p}), 8) AS slope,
        round(regr_intercept(y, {p}), 8) AS intercept, round(regr_r2(y, {p}), 8) AS r2,
        round(1 - (1 - regr_r2(y, {p})) * (regr_count(y, {p}) - 1) / (regr_count(y, {p}) - 2), 8) AS adj_r2,
        round(regr_r2(y, {p}) / (1 - regr_r2(y, {p})) * (regr_count(y, {p}) - 2), 3) AS f_stat

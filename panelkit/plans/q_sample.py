@@ -58,8 +58,8 @@ def model_subset(spark, d):
 
 @register("budget_sample", f"""
 WITH u AS (SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1),
-c AS (SELECT user_id, n_rows, sum(n_rows) OVER (ORDER BY {_md5('user_id')}, user_id
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_rows FROM u)
+c AS (SELECT user_id, n_rows, CAST(sum(n_rows) OVER (ORDER BY {_md5('user_id')}, user_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cumulative_rows FROM u)
 SELECT * FROM c WHERE cumulative_rows <= 4000
 """)
 def budget_sample(spark, d):
@@ -71,7 +71,7 @@ def budget_sample(spark, d):
 WITH u AS (SELECT user_id, count(*) AS n_rows FROM events GROUP BY 1),
 c AS (SELECT user_id, n_rows, sum(n_rows) OVER (ORDER BY n_rows DESC, user_id
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM u)
-SELECT count(*) AS n_entities, sum(n_rows) AS n_rows, round(avg(n_rows), 6) AS mean_size
+SELECT count(*) AS n_entities, CAST(sum(n_rows) AS BIGINT) AS n_rows, round(avg(n_rows), 6) AS mean_size
 FROM c WHERE cum <= 4000
 """)
 def budget_top(spark, d):
