@@ -1,6 +1,8 @@
-"""Distributed cross-products in one pass.
+"""Distributed cross-products.
 
-Each partition turns its Arrow batches into numpy blocks and keeps a weight
+Narrow unweighted designs (<= 8 columns): one JVM aggregate of means and
+pairwise ``covar_pop``.  Wide designs (spline bases, many dummies): one pass in
+which each partition turns its Arrow batches into numpy blocks and keeps a weight
 total, a mean vector and the cross-product matrix centred on that mean
 (updated batch by batch with the parallel-variance formula).  The driver
 merges the per-partition partials the same way and then does p x p linear
@@ -39,6 +41,29 @@ class Gram:
         return len(self.names)
 
 
+JVM_MAX_COLUMNS = 8
+
+
+def jvm_moments(d: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """One JVM aggregate for narrow unweighted designs: count, means and
+    ``covar_pop`` for every pair (numerically stable streaming updates merged
+    with the parallel formula); no Python workers involved."""
+    cols = list(cols)
+    k = len(cols)
+    row = d.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+                ).collect()[0]
+    n = float(row["n"])
+    if n == 0:
+        return 0.0, np.zeros(k), np.zeros((k, k))
+    mean = np.array([float(row[f"m{i}"]) for i in range(k)])
+    m2 = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            m2[i, j] = m2[j, i] = float(row[f"c{i}_{j}"]) * n
+    return n, mean, m2
+
+
 def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = None
                       ) -> tuple[float, np.ndarray, np.ndarray]:
     """One pass: per-partition weight total, mean and centred cross-product
@@ -102,7 +127,10 @@ def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = N
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used])
     if not assume_complete:
         d = d.dropna()
-    n, means, c = partition_moments(d, x + [y], weight)
+    if weight is None and len(x) + 1 <= JVM_MAX_COLUMNS:
+        n, means, c = jvm_moments(d, x + [y])
+    else:
+        n, means, c = partition_moments(d, x + [y], weight)
     if n == 0:
         raise ValueError("no complete rows")
     p = len(x)

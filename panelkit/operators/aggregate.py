@@ -119,16 +119,24 @@ def zero_share(df: DataFrame, col: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Long Pearson matrix, pairwise-complete (``F.corr`` skips NULL pairs)."""
+    """Long Pearson matrix, pairwise-complete (``F.corr`` skips NULL pairs).
+
+    Only the upper triangle is aggregated (one pass, p(p+1)/2 pairs, which
+    keeps the aggregate inside whole-stage codegen); the result is mirrored.
+    """
     cols = list(cols)
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    aggs += [F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}")
-             for i, (a, b) in enumerate(pairs)]
+    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    aggs = [F.corr(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in upper]
+    aggs += [F.count(F.when(F.col(cols[i]).isNotNull() & F.col(cols[j]).isNotNull(), 1)).alias(f"n{i}_{j}")
+             for i, j in upper]
     agg = df.agg(*aggs)
-    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                     F.round(F.col(f"r{i}"), digits).alias("r"), F.col(f"n{i}").alias("n_pairs"))
-            for i, (a, b) in enumerate(pairs)]
+    rows = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            lo, hi = min(i, j), max(i, j)
+            rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                                 F.round(F.col(f"r{lo}_{hi}"), digits).alias("r"),
+                                 F.col(f"n{lo}_{hi}").alias("n_pairs")))
     return agg.select(F.inline(F.array(*rows)))
 
 

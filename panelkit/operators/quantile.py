@@ -14,9 +14,9 @@ its distinct values.  This operator instead:
    holding the rank becomes the new search range, and the loop repeats
    until the range is small enough for step 3.
 
-Only target-sized tables (groups x probabilities) are materialised, as
-written tables in the shared checkpoint folder; nothing group-sized reaches
-the driver.  ``method='approx'`` switches to ``percentile_approx`` (bounded
+Only target-sized tables (groups x probabilities: refinement state and the
+result) are materialised, as written tables in the shared checkpoint
+folder; nothing group-sized reaches the driver.  ``method='approx'`` switches to ``percentile_approx`` (bounded
 sketch, no interpolation).
 """
 
@@ -56,12 +56,11 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         stats = vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
                                     F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         pr = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_pi int, prob double")
-        # target table: groups x probs rows, written once (cuts lineage, one compute)
-        tgt = _written(stats.crossJoin(F.broadcast(pr))
-                       .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-                       .withColumn("_rlo", F.floor("_h").cast("long"))
-                       .withColumn("_rhi", F.ceil("_h").cast("long"))
-                       .withColumn("_frac", F.col("_h") - F.col("_rlo")), "q_targets")
+        tgt = (stats.crossJoin(F.broadcast(pr))
+               .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
+               .withColumn("_rlo", F.floor("_h").cast("long"))
+               .withColumn("_rhi", F.ceil("_h").cast("long"))
+               .withColumn("_frac", F.col("_h") - F.col("_rlo")))
         state = (tgt.select(*by, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"),
                             "_lo", "_hi", "_nd")
                  .distinct().withColumn("_base", F.lit(0).cast("long")))
@@ -75,16 +74,18 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         answers = parts[0]
         for a in parts[1:]:
             answers = answers.unionByName(a)
-        answers = _written(answers, "q_answers")
+        lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
+        hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
+        out = (tgt.select(*by, "prob", "_rlo", "_rhi", "_frac")
+               .join(lo, [*by, "_rlo"] if by else ["_rlo"], "left")
+               .join(hi, [*by, "_rhi"] if by else ["_rhi"], "left")
+               .select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+                       .alias("quantile")))
+        # groups x probs rows: written once, so the result no longer needs vc
+        out = _written(out, "quantiles")
     finally:
         vc.unpersist()
-    lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
-    hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
-    out = (tgt.select(*by, "prob", "_rlo", "_rhi", "_frac")
-           .join(lo, [*by, "_rlo"] if by else ["_rlo"], "left")
-           .join(hi, [*by, "_rhi"] if by else ["_rhi"], "left"))
-    return out.select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-                      .alias("quantile"))
+    return out
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
