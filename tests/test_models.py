@@ -149,3 +149,23 @@ def test_coefficients_and_mllib_model_roundtrip(spark, tmp_path):
     m1 = io.fit_or_load(path, fit, MultilayerPerceptronClassificationModel.load)
     m2 = io.fit_or_load(path, fit, MultilayerPerceptronClassificationModel.load)
     assert len(calls) == 1 and m2.layers == m1.layers
+
+
+def test_logistic_net_gradient_and_fit(spark):
+    from panelkit.models import logistic_net as LN
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 2))
+    y = ((x[:, 0] * x[:, 1]) > 0).astype(float)  # XOR-like: needs the hidden layer
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}))
+    ev = LN._objective_job(df, ["a", "b"], "y", 3)
+    th = rng.normal(size=LN.n_weights(2, 3))
+    loss, g = ev(th)
+    eps = 1e-6
+    for i in (0, 4, 7, 12):
+        e = np.zeros_like(th)
+        e[i] = eps
+        num = (ev(th + e)[0] - ev(th - e)[0]) / (2 * eps)
+        assert num == pytest.approx(g[i], rel=1e-4, abs=1e-4)
+    net = LN.fit_logistic_net(df, ["a", "b"], "y", hidden=4, decay=0.001, max_iter=150, seed=1)
+    acc = LN.score(net, df).select(F.avg((F.col("pred") == F.col("y")).cast("double"))).collect()[0][0]
+    assert acc > 0.85
