@@ -74,8 +74,8 @@ def _objective_job(data: DataFrame, features: list[str], label: str, hidden: int
                     continue
                 x = pdf[features].to_numpy(dtype=float)
                 y = pdf[label].to_numpy(dtype=float)
-                a = 1 / (1 + np.exp(-(x @ w1 + b1)))
-                o = 1 / (1 + np.exp(-(a @ w2 + b2)))
+                a = 1 / (1 + np.exp(-np.clip(x @ w1 + b1, -500, 500)))
+                o = 1 / (1 + np.exp(-np.clip(a @ w2 + b2, -500, 500)))
                 eps = 1e-12
                 loss += float(-(y * np.log(o + eps) + (1 - y) * np.log(1 - o + eps)).sum())
                 d_out = o - y                               # dL/d(logit)
