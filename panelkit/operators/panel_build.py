@@ -112,3 +112,54 @@ def build_daily_panel(meter_raw: DataFrame, meta: DataFrame, households: DataFra
                       weather_raw: DataFrame) -> DataFrame:
     return assemble_panel(typed_readings(meter_raw), entity_attributes(meta, households),
                           typed_covariates(weather_raw))
+
+
+# ---------------------------------------------------------------- annual dataset
+
+def annual_consumption(monthly: DataFrame, entity: str, year: str, measures: Sequence[str],
+                       total: str, min_months: int = 10) -> DataFrame:
+    """Entity-month rows -> one row per entity with the median over complete
+    years of each annual measure.
+
+    Per entity-year: months present and NULL-as-0 sums; a year is complete
+    with >= ``min_months`` months and a positive ``total``; sums are scaled
+    to 12 months; the per-entity median across complete years uses the
+    exact (skew-safe) quantile operator on the long form (entity, measure).
+    """
+    from panelkit.operators.quantile import quantiles_long
+    from panelkit.operators.reshape import pivot, unpivot
+    measures = list(measures)
+    yearly = monthly.groupBy(entity, year).agg(
+        F.count(F.lit(1)).alias("months_available"),
+        *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures])
+    full = (yearly.where((F.col("months_available") >= min_months) & (F.col(total) > 0))
+            .withColumns({m: F.col(m) * 12 / F.col("months_available") for m in measures}))
+    long = unpivot(full, [entity], measures, "measure", "value")
+    med = quantiles_long(long, "value", [0.5], [entity, "measure"])
+    wide = pivot(med, [entity], "measure", "quantile", levels=measures, agg="first")
+    years = full.groupBy(entity).agg(F.count(F.lit(1)).alias("n_complete_years"))
+    return wide.join(years, entity, "inner")
+
+
+def annual_covariates(daily: DataFrame, region: str, date: str, means: dict, sums: dict) -> DataFrame:
+    """Region x day covariates -> per region: the average over years of each
+    year's mean (``means``: name -> column) or NULL-as-0 total (``sums``)."""
+    per_year = daily.groupBy(region, F.year(date).alias("_year")).agg(
+        *[F.avg(c).alias(n) for n, c in means.items()],
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    names = list(means) + list(sums)
+    return per_year.groupBy(region).agg(*[F.avg(n).alias(n) for n in names])
+
+
+def assemble_annual(attributes: DataFrame, consumption: DataFrame, covariates: DataFrame,
+                    entity: str, region: str, total: str, area: str, core_vars: Sequence[str],
+                    flag: str = "high_consumption", ratio_name: str = "kWh_per_m2") -> DataFrame:
+    """attributes x consumption (inner) x covariates (left); the above-median
+    flag uses the median of the joined rows *before* incomplete rows are
+    dropped; then complete cases on ``core_vars``."""
+    from panelkit.operators.quantile import quantiles_wide
+    j = (attributes.join(consumption, entity, "inner").join(covariates, region, "left")
+         .withColumn(ratio_name, S.guarded_ratio(total, area)))
+    med = quantiles_wide(j.select(total), total, [0.5], [], ["_median"])
+    j = j.crossJoin(F.broadcast(med)).withColumn(flag, (F.col(total) > F.col("_median")).cast("int"))
+    return j.drop("_median").dropna(subset=list(core_vars))
