@@ -1,23 +1,25 @@
 """Exact, skew-safe quantiles (type 7, linear interpolation) per group.
 
-Plain ``percentile`` keeps a value->count map per group and merges it in one
-task, so a group holding a third of all rows would land in one task with all
-its distinct values.  This operator instead:
+Plain ``percentile`` on rows keeps a value->count map per group and merges
+it in one task, so a group holding a third of all rows would land in one
+task with all its distinct values.  This operator instead:
 
 1. pre-aggregates to distinct ``(group, value) -> count`` (map-side combine,
    shuffled on group *and* value, so hot groups spread over many tasks);
-2. per group derives n and the target ranks floor(h), ceil(h), h=(n-1)p;
-3. for groups with at most ``finish_rows`` distinct values, reads the ranks
-   off a cumulative count inside the group (bounded window);
+2. per group derives n and the number of distinct values;
+3. groups with at most ``finish_rows`` distinct values take the exact
+   percentile with frequency weights over those counts: the per-group
+   buffer is bounded by ``finish_rows`` entries, whatever the row count;
 4. larger groups are narrowed by equal-width value buckets: bucket counts
-   are partial aggregates (<= ``n_buckets`` rows per target), the bucket
-   holding the rank becomes the new search range, and the loop repeats
-   until the range is small enough for step 3.
+   are partial aggregates (<= ``n_buckets`` rows per target rank), the
+   bucket holding the rank becomes the new search range, and the loop
+   repeats until the range is small enough to read the rank off a bounded
+   cumulative count.
 
-Only target-sized tables (groups x probabilities: refinement state and the
+Only groups-sized tables (per-group statistics, refinement state, the
 result) are materialised, as written tables in the shared checkpoint
-folder; nothing group-sized reaches the driver.  ``method='approx'`` switches to ``percentile_approx`` (bounded
-sketch, no interpolation).
+folder; nothing groups-sized reaches the driver.  ``method='approx'``
+switches to ``percentile_approx`` (bounded sketch, no interpolation).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FINISH_ROWS = 2_000_000
+FINISH_ROWS = 1_000_000
 N_BUCKETS = 1024
 
 
@@ -51,36 +53,27 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
             *by, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"),
             "quantile")
     spark = df.sparkSession
+    parr = F.array(*[F.lit(p) for p in probs])
     vc = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
     try:
-        stats = vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
-                                    F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        pr = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_pi int, prob double")
-        tgt = (stats.crossJoin(F.broadcast(pr))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
-               .withColumn("_rlo", F.floor("_h").cast("long"))
-               .withColumn("_rhi", F.ceil("_h").cast("long"))
-               .withColumn("_frac", F.col("_h") - F.col("_rlo")))
-        state = (tgt.select(*by, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"),
-                            "_lo", "_hi", "_nd")
-                 .distinct().withColumn("_base", F.lit(0).cast("long")))
-        parts = []
-        for _level in range(64):
-            parts.append(_finish(vc, state.where(F.col("_nd") <= finish_rows), by))
-            rest = state.where(F.col("_nd") > finish_rows)
-            if rest.limit(1).count() == 0:
-                break
-            state = _written(_refine(vc, rest, by, n_buckets), "q_state")
-        answers = parts[0]
-        for a in parts[1:]:
-            answers = answers.unionByName(a)
-        lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
-        hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
-        out = (tgt.select(*by, "prob", "_rlo", "_rhi", "_frac")
-               .join(lo, [*by, "_rlo"] if by else ["_rlo"], "left")
-               .join(hi, [*by, "_rhi"] if by else ["_rhi"], "left")
-               .select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-                       .alias("quantile")))
+        # per-group size and distinct count: groups-sized, written once
+        stats = _written(vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
+                                             F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "q_stats")
+        small_keys = stats.where(F.col("_nd") <= finish_rows)
+        # common path: exact type-7 percentile over value counts; the
+        # per-group buffer holds at most finish_rows distinct values
+        src = vc.join(small_keys.select(*by), by, "left_semi") if by else \
+            vc.crossJoin(F.broadcast(small_keys.select(F.lit(1).alias("_one")))).drop("_one")
+        small = (src.groupBy(*by).agg(F.percentile("_v", parr, F.col("_c")).alias("_qs"))
+                 .select(*by, F.posexplode("_qs").alias("_i", "quantile"))
+                 .select(*by, F.element_at(parr, F.col("_i") + 1).alias("prob"), "quantile"))
+        parts = [small]
+        if stats.where(F.col("_nd") > finish_rows).limit(1).count() > 0:
+            parts.append(_large_groups(spark, vc, stats.where(F.col("_nd") > finish_rows), probs, by,
+                                       finish_rows, n_buckets))
+        out = parts[0]
+        for p_ in parts[1:]:
+            out = out.unionByName(p_)
         # groups x probs rows: written once, so the result no longer needs vc
         out = _written(out, "quantiles")
     finally:
@@ -88,6 +81,39 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
     return out
 
 
+def _large_groups(spark, vc: DataFrame, stats: DataFrame, probs, by: list[str], finish_rows: int,
+                  n_buckets: int) -> DataFrame:
+    """Groups with more than ``finish_rows`` distinct values: narrow each
+    target rank's value range by bucket counts until it is small, then read
+    the rank off a bounded cumulative count; interpolate type 7."""
+    pr = spark.createDataFrame([(i, p) for i, p in enumerate(probs)], "_pi int, prob double")
+    tgt = (stats.crossJoin(F.broadcast(pr))
+           .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
+           .withColumn("_rlo", F.floor("_h").cast("long"))
+           .withColumn("_rhi", F.ceil("_h").cast("long"))
+           .withColumn("_frac", F.col("_h") - F.col("_rlo")))
+    state = (tgt.select(*by, F.explode(F.array_distinct(F.array("_rlo", "_rhi"))).alias("_r"),
+                        "_lo", "_hi", "_nd")
+             .distinct().withColumn("_base", F.lit(0).cast("long")))
+    parts = []
+    for _level in range(64):
+        parts.append(_finish(vc, state.where(F.col("_nd") <= finish_rows), by))
+        rest = state.where(F.col("_nd") > finish_rows)
+        if rest.limit(1).count() == 0:
+            break
+        state = _written(_refine(vc, rest, by, n_buckets), "q_state")
+    answers = parts[0]
+    for a in parts[1:]:
+        answers = answers.unionByName(a)
+    lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
+    hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
+    return (tgt.select(*by, "prob", "_rlo", "_rhi", "_frac")
+            .join(lo, [*by, "_rlo"] if by else ["_rlo"], "left")
+            .join(hi, [*by, "_rhi"] if by else ["_rhi"], "left")
+            .select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
+                    .alias("quantile")))
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Materialise a target-sized table in the shared checkpoint folder."""
     from panelkit.sources.io import checkpoint_table
