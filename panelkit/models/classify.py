@@ -66,10 +66,12 @@ def rff_frame(df: DataFrame, cols: Sequence[str], gamma: float, n_features: int,
 
 
 def fit_svm(train: DataFrame, cols: Sequence[str], label: str, gamma: float, cost: float,
-            n_features: int = 128, seed: int = 42, max_iter: int = 100, n_rows: int | None = None):
+            n_features: int = 128, seed: int = 42, max_iter: int = 100, n_rows: int | None = None,
+            tol: float = 1e-6):
     d = rff_frame(train, cols, gamma, n_features, seed)
     n = n_rows if n_rows is not None else d.count()
-    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (cost * n), maxIter=max_iter)
+    svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (cost * n), maxIter=max_iter,
+                    tol=tol)
     return svc.fit(d)
 
 
@@ -82,7 +84,7 @@ def score_svm(model, df: DataFrame, cols: Sequence[str], gamma: float, n_feature
 
 def svm_grid(train: DataFrame, cols: Sequence[str], label: str, fold_col: str, gammas: Sequence[float],
              costs: Sequence[float], n_features: int = 64, seed: int = 42, max_iter: int = 50,
-             parallelism: int = 2) -> list[tuple[float, float, float]]:
+             parallelism: int | None = None, tol: float = 1e-4) -> list[tuple[float, float, float]]:
     """Cross-validated error for every (gamma, cost) on fixed folds.
 
     The feature map depends on gamma, so gammas are an outer loop; costs are
@@ -94,13 +96,13 @@ def svm_grid(train: DataFrame, cols: Sequence[str], label: str, fold_col: str, g
     out = []
     for g in gammas:
         d = rff_frame(train, cols, g, n_features, seed).select("features", label, fold_col).cache()
-        svc = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter)
+        svc = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter, tol=tol)
         # each CV fit trains on (k-1)/k of the rows
         regs = [1.0 / (c * n * (k - 1) / k) for c in costs]
         grid = ParamGridBuilder().addGrid(svc.regParam, regs).build()
         ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
         cv = CrossValidator(estimator=svc, estimatorParamMaps=grid, evaluator=ev, foldCol=fold_col,
-                            parallelism=parallelism)
+                            parallelism=parallelism or len(costs))
         m = cv.fit(d)
         for c, acc in zip(costs, m.avgMetrics):
             out.append((float(g), float(c), float(1.0 - acc)))

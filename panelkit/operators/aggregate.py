@@ -20,6 +20,20 @@ _FNS = {
 }
 
 
+def n_distinct(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False,
+               rsd: float = 0.01, name: str = "n_distinct") -> DataFrame:
+    """Distinct count, global or per group.  Exact counts are a two-level
+    aggregation ((by, col) first, so hot groups spread); ``approx`` uses the
+    HyperLogLog++ sketch (bounded state, relative error ``rsd``)."""
+    by = list(by)
+    if approx:
+        agg = F.approx_count_distinct(col, rsd).alias(name)
+        return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+    pairs = df.select(*by, col).where(F.col(col).isNotNull()).distinct()
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias(name)) if by else \
+        pairs.agg(F.count(F.lit(1)).alias(name))
+
+
 def freq_pct(df: DataFrame, by: Sequence[str], count_name: str = "n", pct_name: str = "pct",
              digits: int = 1) -> DataFrame:
     """Frequency table with share of total (R ``round``: half-even)."""

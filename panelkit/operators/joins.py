@@ -26,15 +26,25 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS)
 
 
 def enrich(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-           broadcast: str = "auto", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+           broadcast: str = "auto", max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+           null_safe: bool = False) -> DataFrame:
     """Join a dimension onto a fact table.
 
     ``broadcast``: 'auto' (Catalyst/AQE decide from sizes), 'checked'
-    (capped count, then hint), 'never'.
+    (capped count, then hint), 'never'.  ``null_safe`` matches NULL keys to
+    NULL keys (as dplyr joins do) via ``<=>``; the key columns are kept once.
     """
     if broadcast == "checked":
         dim = checked_broadcast(dim, max_rows)
-    return fact.join(dim, on, how)
+    if not null_safe:
+        return fact.join(dim, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    d = dim.select(*[F.col(k).alias(f"_rk_{k}") for k in keys], *[c for c in dim.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = fact[k].eqNullSafe(d[f"_rk_{k}"])
+        cond = c if cond is None else cond & c
+    return fact.join(d, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
 def member_of(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> DataFrame:

@@ -118,8 +118,8 @@ FROM events GROUP BY 1
 """)
 def entities_per_day(spark, d):
     e = T.events_panel(spark, d)
-    return e.groupBy("date").agg(F.count_distinct("user_id").alias("n_entities"),
-                                 F.count(F.lit(1)).alias("n_rows"))
+    ents = A.n_distinct(e, "user_id", ["date"], name="n_entities")
+    return ents.join(e.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")), "date")
 
 
 @register("freq_pct", """

@@ -41,3 +41,17 @@ def test_kfold_balanced_and_deterministic(spark):
 def test_sample_n_exact(spark):
     df = spark.range(10000).withColumnRenamed("id", "k")
     assert SP.sample_n(df, ["k"], 480).count() == 480
+
+
+def test_null_safe_enrich_and_distinct(spark):
+    from panelkit.operators import aggregate as A, joins as J
+    fact = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, v string")
+    dim = spark.createDataFrame([(1, "x"), (None, "y")], "k int, w string")
+    plain = {r["v"]: r["w"] for r in J.enrich(fact, dim, "k", "left").collect()}
+    safe = {r["v"]: r["w"] for r in J.enrich(fact, dim, "k", "left", null_safe=True).collect()}
+    assert plain == {"a": "x", "b": None, "c": None}
+    assert safe == {"a": "x", "b": "y", "c": None}
+    df = spark.range(5000).select((F.col("id") % 7).alias("g"), (F.col("id") % 101).alias("u"))
+    exact = {r["g"]: r["n_distinct"] for r in A.n_distinct(df, "u", ["g"]).collect()}
+    approx = {r["g"]: r["n_distinct"] for r in A.n_distinct(df, "u", ["g"], approx=True).collect()}
+    assert all(exact[g] == 101 and abs(approx[g] - 101) <= 5 for g in exact)
