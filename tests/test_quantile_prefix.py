@@ -56,3 +56,25 @@ def test_running_sum_partitioned_numeric_blocks(spark):
     for s, grp in out.groupby("s"):
         grp = grp.sort_values("x", ascending=False)
         assert (grp["cum"].to_numpy() == grp["w"].cumsum().to_numpy()).all()
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-50, 50),
+                                                       st.floats(-1e3, 1e3), st.just(float("nan")))),
+                min_size=1, max_size=120),
+       st.sampled_from([1_000_000, 3]))
+def test_quantiles_property(spark, rows, finish_rows):
+    pdf = pd.DataFrame(rows, columns=["g", "v"]).astype({"v": "float64"})
+    # None -> NULL, NaN stays NaN (both must be ignored)
+    data = [(int(g), None if v is None else float(v)) for g, v in rows]
+    df = spark.createDataFrame(data, "g long, v double")
+    probs = [0.0, 0.3, 0.5, 0.9, 1.0]
+    got = quantiles_long(df, "v", probs, ["g"], finish_rows=finish_rows, n_buckets=4).toPandas()
+    clean = pdf.dropna()
+    assert set(got["g"]) == set(clean["g"])
+    for (g, p), q in got.set_index(["g", "prob"])["quantile"].items():
+        exp = np.quantile(clean.loc[clean.g == g, "v"], p)
+        assert q == pytest.approx(exp, rel=1e-9, abs=1e-9)
