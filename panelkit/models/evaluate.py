@@ -11,20 +11,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.prefix import quantile_block, running_sum
+from panelkit.operators.prefix import running_sum, with_quantile_blocks
 from panelkit.operators.quantile import quantiles_wide
 
 
-def roc_points(df: DataFrame, label: str, score: str, n_blocks: int = 32) -> DataFrame:
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """``(threshold, tp, fp, tpr, fpr)`` per distinct score, descending score."""
     per = df.groupBy(F.col(score).alias("threshold")).agg(
         F.sum(F.col(label).cast("long")).alias("_pos"),
         F.sum((1 - F.col(label)).cast("long")).alias("_neg"))
-    blk = quantile_block(per, "threshold", n_blocks, descending=True)
+    # distinct scores can grow with the data: materialise the score table once
+    # (it is read for the count, the split points, the totals and the sums),
+    # then cut it into blocks of ~1M scores each
+    from panelkit.sources.io import checkpoint_table
+    per = checkpoint_table(per, "roc_scores")
+    per, blk = with_quantile_blocks(per, "threshold", "_rblk", descending=True)
     tot = per.agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     cum = running_sum(per, [F.col("threshold").desc()], F.col("_pos"), blk, "tp")
     cum = running_sum(cum, [F.col("threshold").desc()], F.col("_neg"), blk, "fp")
-    return (cum.crossJoin(F.broadcast(tot))
+    return (cum.drop("_rblk").crossJoin(F.broadcast(tot))
             .select("threshold", "tp", "fp", (F.col("tp") / F.col("_P")).alias("tpr"),
                     (F.col("fp") / F.col("_N")).alias("fpr"), "_pos", "_neg"))
 

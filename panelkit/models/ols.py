@@ -172,20 +172,21 @@ def diagnostics(df: DataFrame, fit: LinearFit, y: str) -> DataFrame:
         "cooks_d": F.col("std_resid") ** 2 * F.col("leverage") / (p * (1 - F.col("leverage")))})
 
 
-def qq_points(df: DataFrame, value: str, order_keys: Sequence[str], n_blocks: int = 64) -> DataFrame:
+def qq_points(df: DataFrame, value: str, order_keys: Sequence[str]) -> DataFrame:
     """Normal QQ coordinates: ``theoretical`` = probit of the plotting position
     (i - a) / (n + 1 - 2a), a = 3/8 for n <= 10 else 1/2, for the i-th
     smallest ``value`` (ties broken by ``order_keys``).  The rank is a
     block-parallel running count, not a single-partition window."""
     from panelkit.functions.scalar import probit
-    from panelkit.operators.prefix import quantile_block, running_sum
+    from panelkit.operators.prefix import running_sum, with_quantile_blocks
     d = df.where(F.col(value).isNotNull())
-    blk = quantile_block(d, value, n_blocks)
-    ranked = running_sum(d, [F.col(value), *[F.col(k) for k in order_keys]], F.lit(1).cast("long"), blk, "_i")
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
-    a = F.when(F.col("_n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
-    pos = (F.col("_i") - a) / (F.col("_n") + 1 - 2 * a)
-    return ranked.crossJoin(F.broadcast(n)).withColumn("theoretical", probit(pos)).drop("_i", "_n")
+    n = d.count()
+    d, blk = with_quantile_blocks(d, value, "_qqblk", n_rows=n)
+    ranked = running_sum(d, [F.col(value), *[F.col(k) for k in order_keys]], F.lit(1).cast("long"), blk,
+                         "_i").drop("_qqblk")
+    a = 0.375 if n <= 10 else 0.5
+    pos = (F.col("_i") - F.lit(a)) / F.lit(n + 1 - 2 * a)
+    return ranked.withColumn("theoretical", probit(pos)).drop("_i")
 
 
 def vif(g: Gram, groups: dict[str, Sequence[str]] | None = None) -> list[tuple[str, float, int, float]]:

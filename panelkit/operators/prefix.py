@@ -45,6 +45,27 @@ def quantile_block(df: DataFrame, col: str, n_blocks: int, descending: bool = Fa
     return (F.lit(nb - 1) - expr) if descending else expr
 
 
+def with_quantile_blocks(df: DataFrame, col: str, out: str = "_qblk", descending: bool = False,
+                         rows_per_block: int = 1_000_000, min_blocks: int = 32, max_blocks: int = 4096,
+                         rel_err: float = 1e-3, n_rows: int | None = None) -> tuple[DataFrame, Column]:
+    """Add a block column from approximate quantiles of ``col``, with the
+    block count adapted to the row count (about ``rows_per_block`` rows per
+    block, clamped to [min_blocks, max_blocks]); split points beyond 64 use
+    the JVM binary search of ``Bucketizer``.  Returns (frame, block column)."""
+    n = df.count() if n_rows is None else n_rows
+    nb = int(min(max_blocks, max(min_blocks, n // rows_per_block + 1)))
+    if nb <= 64:
+        blk = quantile_block(df, col, nb, descending, rel_err)
+        return df.withColumn(out, blk), F.col(out)
+    probs = [i / nb for i in range(1, nb)]
+    splits = sorted(set(x for x in df.approxQuantile(col, probs, rel_err) if x is not None))
+    tmp = df.withColumn("_qb_x", F.col(col).cast("double"))
+    b = bucketize(tmp, "_qb_x", splits, out).drop("_qb_x")
+    if descending:
+        b = b.withColumn(out, F.lit(len(splits)) - F.col(out))
+    return b, F.col(out)
+
+
 def bucketize(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
     """Bucket a numeric column with a JVM binary search (many split points)."""
     b = Bucketizer(splits=[float("-inf")] + list(splits) + [float("inf")], inputCol=col,

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.prefix import hex_block, quantile_block, running_sum
+from panelkit.operators.prefix import hex_block, running_sum, with_quantile_blocks
 
 
 def hash_key(keys: Sequence[str], seed) -> Column:
@@ -68,7 +68,7 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed=42) -> DataFrame:
 
 
 def budget_admit(entities: DataFrame, key: str, size: str, cap: int, seed=42,
-                 order: str = "random", n_blocks: int = 64, materialize: bool = True) -> DataFrame:
+                 order: str = "random", materialize: bool = True) -> DataFrame:
     """Row-budget admission over an entity table (one row per entity).
 
     Entities are taken in hash order (``order='random'``) or by descending
@@ -86,9 +86,9 @@ def budget_admit(entities: DataFrame, key: str, size: str, cap: int, seed=42,
         out = running_sum(tmp, [F.col("_h"), F.col(key)], F.col(size).cast("long"), hex_block("_h"),
                           "cumulative_rows").drop("_h")
     else:
-        blk = quantile_block(entities, size, n_blocks, descending=True)
-        out = running_sum(entities, [F.col(size).desc(), F.col(key)], F.col(size).cast("long"), blk,
-                          "cumulative_rows")
+        ent, blk = with_quantile_blocks(entities, size, "_sblk", descending=True)
+        out = running_sum(ent, [F.col(size).desc(), F.col(key)], F.col(size).cast("long"), blk,
+                          "cumulative_rows").drop("_sblk")
     return out.where(F.col("cumulative_rows") <= cap)
 
 

@@ -78,3 +78,14 @@ def test_quantiles_property(spark, rows, finish_rows):
     for (g, p), q in got.set_index(["g", "prob"])["quantile"].items():
         exp = np.quantile(clean.loc[clean.g == g, "v"], p)
         assert q == pytest.approx(exp, rel=1e-9, abs=1e-9)
+
+
+def test_adaptive_blocks_bucketizer_path(spark):
+    from panelkit.operators.prefix import with_quantile_blocks
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"x": rng.permutation(4000).astype(float), "w": rng.integers(1, 4, 4000)})
+    df = spark.createDataFrame(pdf)
+    d, blk = with_quantile_blocks(df, "x", "_b", descending=True, rows_per_block=20, max_blocks=500)
+    assert d.select(F.max("_b")).collect()[0][0] > 64  # binary-search path used
+    out = running_sum(d, [F.col("x").desc()], F.col("w"), blk, "cum").toPandas().sort_values("x", ascending=False)
+    assert (out["cum"].to_numpy() == out["w"].cumsum().to_numpy()).all()
