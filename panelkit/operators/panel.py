@@ -21,22 +21,28 @@ def window_filter(df: DataFrame, date: str, start: str | None, end: str | None)
     return df.where(cond)
 
 
-def days_per_entity(df: DataFrame, entity: str, date: str) -> DataFrame:
+def rows_per_entity_day(df: DataFrame, entity: str, date: str) -> DataFrame:
+    """(entity, day) -> row count ``_r``: the shared pre-aggregation."""
+    return df.groupBy(entity, date).agg(F.count(F.lit(1)).alias("_r"))
+
+
+def days_per_entity(df: DataFrame, entity: str, date: str, per_day: bool = False) -> DataFrame:
     """Distinct observed days and rows per entity, one scan: pre-aggregated
-    on (entity, day) first, so a hot entity is spread over its days."""
-    per_day = df.groupBy(entity, date).agg(F.count(F.lit(1)).alias("_r"))
-    return per_day.groupBy(entity).agg(F.count(F.lit(1)).alias("n_days"), F.sum("_r").alias("n_rows"))
+    on (entity, day) first, so a hot entity is spread over its days.
+    ``per_day``: ``df`` already is the (entity, day, _r) pre-aggregation."""
+    pd_ = df if per_day else rows_per_entity_day(df, entity, date)
+    return pd_.groupBy(entity).agg(F.count(F.lit(1)).alias("n_days"), F.sum("_r").alias("n_rows"))
 
 
 def coverage(df: DataFrame, entity: str, date: str, start: str | None = None,
-             end: str | None = None) -> DataFrame:
+             end: str | None = None, per_day: bool = False) -> DataFrame:
     """``(entity, n_days, n_rows, days_in_window, coverage_pct)``.
 
     Without ``start``/``end`` the window is the data's own first..last day,
     computed as a one-row aggregate joined to every entity row.
     """
     df = window_filter(df, date, start, end)
-    per = days_per_entity(df, entity, date)
+    per = days_per_entity(df, entity, date, per_day)
     if start and end:
         span = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
         per = per.withColumn("days_in_window", span)
@@ -57,10 +63,15 @@ def eligible(df: DataFrame, entity: str, date: str, start: str | None, end: str
 
 def coverage_matrix(df: DataFrame, entity: str, date: str, windows: Mapping[str, tuple],
                     thresholds: Sequence[float]) -> DataFrame:
-    """Entities reaching each threshold, per named window ``name -> (start, end)``."""
+    """Entities reaching each threshold, per named window ``name -> (start, end)``.
+
+    The (entity, day) pre-aggregation is computed once and shared by every
+    window (one shuffle of the rows; each window filters the per-day table).
+    """
+    per_day = rows_per_entity_day(df, entity, date)
     parts = []
     for name, (start, end) in windows.items():
-        cov = coverage(df, entity, date, start, end)
+        cov = coverage(per_day, entity, date, start, end, per_day=True)
         aggs = [F.count_if(F.col("coverage_pct") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)]
         agg = cov.agg(F.count(F.lit(1)).alias("n_entities"), F.max("days_in_window").alias("days"), *aggs)
         rows = [F.struct(F.lit(name).alias("window"), F.col("days").alias("days_in_window"),

@@ -147,7 +147,8 @@ def leaderboard(spark, d):
     for r in results[1:]:
         out = out.unionByName(r)
     board = out.groupBy("model").agg(F.avg("accuracy").alias("cv_accuracy"), F.count(F.lit(1)).alias("n_folds"))
-    board = board.checkpoint(eager=True)
+    from panelkit.sources.io import checkpoint_table
+    board = checkpoint_table(board, "leaderboard")
     li.unpersist()
     return board
 
