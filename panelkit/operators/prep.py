@@ -15,6 +15,30 @@ def transmute(df: DataFrame, mapping: Mapping[str, Column | str]) -> DataFrame:
     return df.select(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in mapping.items()])
 
 
+def safe_names(names: Sequence[str]) -> list[str]:
+    """Syntactically safe, unique column names: non-word characters -> '.',
+    a leading digit/underscore gets an 'X' prefix, duplicates get .1, .2."""
+    import re
+    out, seen = [], {}
+    for n in names:
+        m = re.sub(r"[^A-Za-z0-9_.]", ".", str(n))
+        if not m or not (m[0].isalpha() or m[0] == "."):
+            m = "X" + m
+        k = seen.get(m, 0)
+        seen[m] = k + 1
+        out.append(m if k == 0 else f"{m}.{k}")
+    return out
+
+
+def rename(df: DataFrame, mapping: Mapping[str, str] | Sequence[str], make_safe: bool = False) -> DataFrame:
+    """Rename by ``{old: new}`` or by position (a full list of new names)."""
+    if isinstance(mapping, Mapping):
+        out = df.withColumnsRenamed(dict(mapping))
+    else:
+        out = df.toDF(*mapping)
+    return out.toDF(*safe_names(out.columns)) if make_safe else out
+
+
 def mutate(df: DataFrame, *stages: Mapping[str, Column]) -> DataFrame:
     """Sequential derivation: each stage may use columns made by earlier ones."""
     for stage in stages:

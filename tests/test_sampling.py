@@ -55,3 +55,11 @@ def test_null_safe_enrich_and_distinct(spark):
     exact = {r["g"]: r["n_distinct"] for r in A.n_distinct(df, "u", ["g"]).collect()}
     approx = {r["g"]: r["n_distinct"] for r in A.n_distinct(df, "u", ["g"], approx=True).collect()}
     assert all(exact[g] == 101 and abs(approx[g] - 101) <= 5 for g in exact)
+
+
+def test_rename_by_name_position_and_safe(spark):
+    from panelkit.operators import prep
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int")
+    assert prep.rename(df, {"a": "x"}).columns == ["x", "b", "c"]
+    assert prep.rename(df, ["N households", "1st", "N households"], make_safe=True).columns == [
+        "N.households", "X1st", "N.households.1"]
