@@ -186,10 +186,15 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
 
 
 def effect_grid(spark: SparkSession, fit: GamFit, term: str, n: int = 50,
-                fixed: dict | None = None, level: float = 0.95) -> DataFrame:
+                fixed: dict | None = None, level: float = 0.95,
+                factor: tuple[str, dict] | None = None) -> DataFrame:
     """Prediction grid over one smooth's range (other smooths at mid-range,
     parametric columns at their means, unless given in ``fixed``), with
-    pointwise SE and a back-transformed band (exp scale)."""
+    pointwise SE and a back-transformed band (exp scale).
+
+    ``factor = (name, {level: {dummy column: value}})`` crosses the sequence
+    with the factor's levels (n x levels rows, both bounded by construction).
+    """
     col, lo, hi, _k, _names = fit.smooths[term]
     base = {c: float(m) for c, m in zip(fit.names, fit.mean)}
     raw_fixed = {}
@@ -199,10 +204,20 @@ def effect_grid(spark: SparkSession, fit: GamFit, term: str, n: int = 50,
     for c in fit.parametric:
         raw_fixed[c] = (fixed or {}).get(c, base[c])
     g = spark.range(n).select((F.lit(lo) + F.col("id") * F.lit((hi - lo) / max(n - 1, 1))).alias(col))
+    keep = [F.col(col).alias("x")]
+    if factor is not None:
+        fname, levels = factor
+        dummies = sorted({d for m in levels.values() for d in m})
+        lv = spark.createDataFrame([(str(k), *[float(m.get(d, 0.0)) for d in dummies]) for k, m in levels.items()],
+                                   ", ".join([f"`{fname}` string"] + [f"`{d}` double" for d in dummies]))
+        for d in dummies:
+            raw_fixed.pop(d, None)
+        g = g.crossJoin(F.broadcast(lv))
+        keep.append(F.col(fname))
     g = g.withColumns({c: F.lit(v) for c, v in raw_fixed.items()})
     g = add_basis(g, fit.smooths)
     q = dists.norm_ppf(0.5 + level / 2)
-    out = g.select(F.col(col).alias("x"), fit.predict().alias("fit"), fit.predict_se().alias("se"))
+    out = g.select(*keep, fit.predict().alias("fit"), fit.predict_se().alias("se"))
     return out.withColumns({"lower": F.col("fit") - q * F.col("se"), "upper": F.col("fit") + q * F.col("se")}) \
         .withColumns({"fit_exp": F.exp("fit"), "lower_exp": F.exp("lower"), "upper_exp": F.exp("upper")})
 

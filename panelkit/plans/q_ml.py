@@ -56,8 +56,14 @@ def gam_terms(spark, d):
 
 @register("gam_grid")
 def gam_grid(spark, d):
-    _li, fit = _fit_gam(spark, d)
-    return gam.effect_grid(spark, fit, "l_quantity", n=50)
+    """Smooth effect of quantity on a 50-point grid crossed with the
+    return-flag levels (treatment dummies set per level), SE band and
+    back-transformed band."""
+    li, fit = _fit_gam(spark, d)
+    levels = FE.factor_levels(li, "l_returnflag")
+    dummies = [FE.level_name("l_returnflag", lv) for lv in levels[1:]]
+    mapping = {lv: {dn: float(dn == FE.level_name("l_returnflag", lv)) for dn in dummies} for lv in levels}
+    return gam.effect_grid(spark, fit, "l_quantity", n=50, factor=("l_returnflag", mapping))
 
 
 @register("gam_eval")

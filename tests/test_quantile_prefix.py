@@ -89,3 +89,13 @@ def test_adaptive_blocks_bucketizer_path(spark):
     assert d.select(F.max("_b")).collect()[0][0] > 64  # binary-search path used
     out = running_sum(d, [F.col("x").desc()], F.col("w"), blk, "cum").toPandas().sort_values("x", ascending=False)
     assert (out["cum"].to_numpy() == out["w"].cumsum().to_numpy()).all()
+
+
+def test_approx_quantiles_within_tolerance(spark):
+    pdf, df = _data(spark, seed=11)
+    got = quantiles_long(df, "v", [0.25, 0.5, 0.75], ["g"], method="approx", accuracy=10000).toPandas()
+    for (g, p), q in got.set_index(["g", "prob"])["quantile"].items():
+        vals = np.sort(pdf.loc[pdf.g == g, "v"].to_numpy())
+        # percentile_approx returns an observed value whose rank is within n/accuracy of p*n
+        rank = np.searchsorted(vals, q, side="right")
+        assert abs(rank - p * len(vals)) <= max(2, len(vals) / 10000 + 1)
