@@ -20,7 +20,12 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if a capped count proves at most ``max_rows`` rows."""
+    """Broadcast hint only if a capped count proves at most ``max_rows`` rows.
+
+    Meant for cheap inputs (small code tables read from storage).  For a side
+    that is itself an expensive aggregate, leave the decision to AQE, which
+    measures the materialised shuffle instead of computing the side twice.
+    """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

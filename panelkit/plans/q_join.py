@@ -61,8 +61,10 @@ def join_region_day(spark, d):
                                              F.col("c_nationkey").alias("region"))
     w = T.region_day_covariates(spark, d).select("region", "date", "price_avg", "qty_total")
     panel = joins.enrich(o, c, "o_custkey", "inner")
-    # region x day covariates are bounded by regions x calendar days
-    out = joins.enrich(panel, w, ["region", "date"], "left", broadcast="checked")
+    # region x day covariates are an aggregate (bounded by regions x days):
+    # AQE measures its shuffle output and broadcasts it at runtime, without
+    # computing it a second time for a size check
+    out = joins.enrich(panel, w, ["region", "date"], "left")
     return out.select("o_orderkey", "region", "date", F.round("price_avg", 6).alias("price_avg"),
                       "qty_total")
 
