@@ -62,7 +62,7 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         small_keys = stats.where(F.col("_nd") <= finish_rows)
         # common path: exact type-7 percentile over value counts; the
         # per-group buffer holds at most finish_rows distinct values
-        src = vc.join(small_keys.select(*by), by, "left_semi") if by else \
+        src = _nsjoin(vc, small_keys.select(*by), by, "left_semi") if by else \
             vc.crossJoin(F.broadcast(small_keys.select(F.lit(1).alias("_one")))).drop("_one")
         small = (src.groupBy(*by).agg(F.percentile("_v", parr, F.col("_c")).alias("_qs"))
                  .select(*by, F.posexplode("_qs").alias("_i", "quantile"))
@@ -107,13 +107,27 @@ def _large_groups(spark, vc: DataFrame, stats: DataFrame, probs, by: list[str],
         answers = answers.unionByName(a)
     lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
     hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
-    return (tgt.select(*by, "prob", "_rlo", "_rhi", "_frac")
-            .join(lo, [*by, "_rlo"] if by else ["_rlo"], "left")
-            .join(hi, [*by, "_rhi"] if by else ["_rhi"], "left")
+    return (_nsjoin(_nsjoin(tgt.select(*by, "prob", "_rlo", "_rhi", "_frac"), lo, [*by, "_rlo"], "left"),
+                    hi, [*by, "_rhi"], "left")
             .select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
                     .alias("quantile")))
 
 
+def _nsjoin(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` matching NULL to NULL (a NULL group key is a group),
+    keeping one copy of the key columns."""
+    keys = list(keys)
+    if not keys:
+        return a.crossJoin(b) if how == "inner" else a.join(b, how=how)
+    rb = b.select(*[F.col(c).alias(f"_nsk_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = None
+    for k in keys:
+        c = a[k].eqNullSafe(rb[f"_nsk_{k}"])
+        cond = c if cond is None else cond & c
+    out = a.join(rb, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_nsk_{k}" for k in keys])
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Materialise a target-sized table in the shared checkpoint folder."""
     from panelkit.sources.io import checkpoint_table
@@ -123,7 +137,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def _join_candidates(vc: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     if by:
-        return vc.join(ranges, by, "inner").where(cond)
+        return _nsjoin(vc, ranges, by, "inner").where(cond)
     return vc.crossJoin(F.broadcast(ranges)).where(cond)
 
 
@@ -138,7 +152,7 @@ def _finish(vc: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by, *_RANGE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = cand.withColumn("_cum", F.col("_base") + F.sum("_c").over(w))
     hit = (F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return (cum.join(state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+    return (_nsjoin(cum, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
             .select(*by, "_r", F.col("_v").alias("_ans")))
 
 
@@ -157,7 +171,7 @@ def _refine(vc: DataFrame, state: DataFrame, by: list[str], n_buckets: int) -> D
     w = Window.partitionBy(*by, *_RANGE).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bk = bk.withColumn("_cum", F.col("_base") + F.sum("_bc").over(w))
     hit = (F.col("_cum") - F.col("_bc") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return (bk.join(state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+    return (_nsjoin(bk, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
             .select(*by, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                     F.col("_bnd").alias("_nd"), (F.col("_cum") - F.col("_bc")).alias("_base")))
 

@@ -62,18 +62,19 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(-50, 50),
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.one_of(st.none(), st.integers(-50, 50),
                                                        st.floats(-1e3, 1e3), st.just(float("nan")))),
                 min_size=1, max_size=120),
        st.sampled_from([1_000_000, 3]))
 def test_quantiles_property(spark, rows, finish_rows):
     pdf = pd.DataFrame(rows, columns=["g", "v"]).astype({"v": "float64"})
     # None -> NULL, NaN stays NaN (both must be ignored)
-    data = [(int(g), None if v is None else float(v)) for g, v in rows]
+    data = [(None if g is None else int(g), None if v is None else float(v)) for g, v in rows]
     df = spark.createDataFrame(data, "g long, v double")
     probs = [0.0, 0.3, 0.5, 0.9, 1.0]
     got = quantiles_long(df, "v", probs, ["g"], finish_rows=finish_rows, n_buckets=4).toPandas()
-    clean = pdf.dropna()
+    clean = pdf.dropna(subset=["v"]).fillna({"g": -1})   # NULL group key is its own group
+    got = got.assign(g=got["g"].fillna(-1))
     assert set(got["g"]) == set(clean["g"])
     for (g, p), q in got.set_index(["g", "prob"])["quantile"].items():
         exp = np.quantile(clean.loc[clean.g == g, "v"], p)
@@ -101,3 +102,12 @@ def test_approx_quantiles_within_tolerance(spark):
         lo, hi = np.searchsorted(vals, q, side="left"), np.searchsorted(vals, q, side="right")
         tol = max(2, len(vals) / 10000 + 1)
         assert lo - tol <= p * len(vals) <= hi + tol
+
+
+def test_global_quantile_refinement_path(spark):
+    rng = np.random.default_rng(12)
+    v = np.round(rng.normal(0, 5, 2000), 2)
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = quantiles_long(df, "v", [0.1, 0.5, 0.99], [], finish_rows=7, n_buckets=4).toPandas()
+    for p, q in zip(got["prob"], got["quantile"]):
+        assert q == pytest.approx(np.quantile(v, p), rel=1e-12, abs=1e-12)
