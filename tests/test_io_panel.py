@@ -96,3 +96,12 @@ def test_checkpoint_csv_and_metrics_roundtrip(spark, tmp_path):
     m = io.metrics_frame(spark, {"share_zero": 0.2024, "n": 3300}, run="r1")
     io.write_metrics(m, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
+
+
+def test_read_dimension_checks_header(spark, raw_dir):
+    schema = "Household_ID string, Weather_ID string, Group string"
+    ok = io.read_dimension(spark, f"{raw_dir}/meta_data/meta_data.csv", schema)
+    assert sorted(r["Household_ID"] for r in ok.collect()) == ["1", "2", "4"]
+    swapped = "Weather_ID string, Household_ID string, Group string"
+    with pytest.raises(Exception):
+        io.read_dimension(spark, f"{raw_dir}/meta_data/meta_data.csv", swapped).collect()
