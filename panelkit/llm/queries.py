@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.llm.common import read_table
 from panelkit.llm.exact_dedup import exact_dedup
+from panelkit.llm.lines import SQL as LINE_SQL
+from panelkit.llm.lines import line_dedup
+from panelkit.llm.merkle import fingerprint_edits
 from panelkit.llm.mixing import mix
+from panelkit.llm.pii import find_pii
 from panelkit.llm.quality import quality_scores
 from panelkit.llm.registry import register
 from panelkit.llm.sentencepiece_trie import encode_documents
 from panelkit.llm.simhash import near_dedup
+from panelkit.llm.substring import substring_dedup
+from panelkit.llm.suffix_dedup import suffix_dedup
 
 
 @register("op2_exact_dedup", """
@@ -46,3 +52,28 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
+@register("op7_line_dedup", LINE_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read_table(spark, sf_dir, "pages"))
+
+
+@register("op8_merkle_fingerprints")
+def op8_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
