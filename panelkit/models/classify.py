@@ -8,7 +8,9 @@ leaderboard (ML18-ML21, ML25).
 * RBF SVM: exact kernel SVMs need the n x n kernel; here the RBF kernel
   exp(-gamma |x - x'|^2) is approximated by D random Fourier features
   (Rahimi & Recht 2007) computed as row expressions, then a linear SVM.
-  Cost C maps to ``regParam = 1 / (C n)``.
+  Cost C maps to ``regParam = 1 / (C n)`` with standardisation off, so the
+  penalty is on the weights of the kernel features themselves.
+* Scoring keeps every row: one with a missing predictor has a NULL score.
 """
 
 from __future__ import annotations
@@ -26,9 +28,23 @@ from pyspark.sql import functions as F
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
+    """Rows with all of ``cols``, assembled (for fitting)."""
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
 
+def scored_rows(model, df: DataFrame, cols: Sequence[str], pick: dict) -> DataFrame:
+    """``df`` with the columns of ``pick`` (name -> expression on the model's
+    output); NULL where a predictor is missing or NaN."""
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    # a stand-in for incomplete rows keeps them in the one pass
+    filled = df.withColumns({f"_f_{c}": F.when(whole, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in cols}).withColumn("_whole", whole)
+    out = model.transform(VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="features").transform(filled))
+    out = out.withColumns({name: F.when(F.col("_whole"), expr) for name, expr in pick.items()})
+    return out.select(*df.columns, *pick)
+
+
 def fit_mlp(train: DataFrame, features: Sequence[str], label: str, hidden: int = 3, max_iter: int = 100,
             seed: int = 42):
     d = assemble(train, features)
@@ -39,10 +55,8 @@ def fit_mlp(train: DataFrame, features: Sequence[str], label: str, hidden: int =
 
 def score_mlp(model, df: DataFrame, features: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Probability of class 1 and the 0/1 prediction at ``threshold``."""
-    s = model.transform(assemble(df, features))
-    p1 = vector_to_array("probability")[1]
-    return s.withColumn("prob", p1).withColumn("pred", (F.col("prob") > threshold).cast("int")) \
-        .drop("features", "rawPrediction", "probability", "prediction")
+    s = scored_rows(model, df, features, {"prob": vector_to_array("probability")[1]})
+    return s.withColumn("pred", (F.col("prob") >= threshold).cast("int"))
 
 
 def fourier_columns(cols: Sequence[str], gamma: float, n_features: int, seed: int = 42) -> dict:
@@ -71,15 +85,15 @@ def fit_svm(train: DataFrame, cols: Sequence[str], label: str, gamma: float, cos
     d = rff_frame(train, cols, gamma, n_features, seed)
     n = n_rows if n_rows is not None else d.count()
     svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (cost * n), maxIter=max_iter,
-                    tol=tol)
+                    tol=tol, standardization=False)
     return svc.fit(d)
 
 
 def score_svm(model, df: DataFrame, cols: Sequence[str], gamma: float, n_features: int = 128,
               seed: int = 42) -> DataFrame:
-    d = rff_frame(df, cols, gamma, n_features, seed)
-    return model.transform(d).withColumn("pred", F.col("prediction").cast("int")) \
-        .drop("features", "rawPrediction", "prediction", *[f"rff_{k}" for k in range(n_features)])
+    feats = fourier_columns(cols, gamma, n_features, seed)
+    out = scored_rows(model, df.withColumns(feats), list(feats), {"pred": F.col("prediction").cast("int")})
+    return out.drop(*feats)
 
 
 def svm_grid(train: DataFrame, cols: Sequence[str], label: str, fold_col: str, gammas: Sequence[float],
@@ -96,7 +110,7 @@ def svm_grid(train: DataFrame, cols: Sequence[str], label: str, fold_col: str, g
     out = []
     for g in gammas:
         d = rff_frame(train, cols, g, n_features, seed).select("features", label, fold_col).cache()
-        svc = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter, tol=tol)
+        svc = LinearSVC(featuresCol="features", labelCol=label, maxIter=max_iter, tol=tol, standardization=False)
         # each CV fit trains on (k-1)/k of the rows
         regs = [1.0 / (c * n * (k - 1) / k) for c in costs]
         grid = ParamGridBuilder().addGrid(svc.regParam, regs).build()

@@ -37,19 +37,22 @@ def _cardinal_cubic(u: Column) -> Column:
     return F.when(u < 4, terms).otherwise(F.lit(0.0))
 
 
-def basis_columns(x: Column, lo: float, hi: float, k: int) -> list[Column]:
-    """k cubic B-spline columns covering [lo, hi] (x clamped to the range)."""
-    inner = k - 3
-    dx = (hi - lo) / inner if hi > lo else 1.0
-    xc = F.least(F.greatest(x.cast("double"), F.lit(lo)), F.lit(hi))
-    return [_cardinal_cubic((xc - F.lit(lo + (j - 3) * dx)) / F.lit(dx)) for j in range(k)]
+def _cardinal_slope(u: Column) -> Column:
+    """Derivative of ``_cardinal_cubic``."""
+    terms = None
+    for i, c in enumerate((1, -4, 6, -4, 1)):
+        t = F.lit(c / 2.0) * F.pow(F.greatest(u - F.lit(float(i)), F.lit(0.0)), 2)
+        terms = t if terms is None else terms + t
+    return F.when(u < 4, terms).otherwise(F.lit(0.0))
+
+
+def _knot_step(lo: float, hi: float, k: int) -> float:
+    return (hi - lo) / (k - 3) if hi > lo else 1.0
 
 
 def _local_coordinate(x: Column, lo: float, hi: float, k: int) -> Column:
     """(clamped x - lo) / knot spacing; basis j uses u - j + 3."""
-    inner = k - 3
-    dx = (hi - lo) / inner if hi > lo else 1.0
-    return (F.least(F.greatest(x.cast("double"), F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(dx)
+    return (F.least(F.greatest(x.cast("double"), F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(_knot_step(lo, hi, k))
 
 
 def difference_penalty(k: int, order: int = 2) -> np.ndarray:
@@ -76,7 +79,7 @@ class GamFit:
     gcv: float
 
     def design(self, df: DataFrame) -> DataFrame:
-        return add_basis(df, self.smooths)
+        return add_basis(df, self.smooths, extend=True)
 
     def predict(self) -> Column:
         eta = F.lit(self.intercept)
@@ -109,17 +112,26 @@ class GamFit:
         return out
 
 
-def add_basis(df: DataFrame, smooths: dict) -> DataFrame:
+def add_basis(df: DataFrame, smooths: dict, extend: bool = False) -> DataFrame:
     """Append the design columns of every smooth.  The local coordinate is a
-    separate projection so each row computes it once per smooth."""
+    separate projection so each row computes it once per smooth.  With
+    ``extend`` (for scoring) the basis continues as its tangent outside the
+    fitted range, so predictions go on linearly there."""
     ucols = {f"_u_{name}": _local_coordinate(F.col(col), lo, hi, k)
              for name, (col, lo, hi, k, _names) in smooths.items()}
+    if extend:
+        ucols |= {f"_e_{name}": (F.col(col).cast("double") - F.lit(lo)) / F.lit(_knot_step(lo, hi, k)) - _local_coordinate(F.col(col), lo, hi, k)
+                  for name, (col, lo, hi, k, _names) in smooths.items()}
     out = df.withColumns(ucols)
     cols = {}
     for name, (_col, _lo, _hi, _k, names) in smooths.items():
         u = F.col(f"_u_{name}")
         for j, nm in enumerate(names, start=1):
-            cols[nm] = _cardinal_cubic(u - F.lit(float(j - 3)))
+            at = u - F.lit(float(j - 3))
+            cols[nm] = _cardinal_cubic(at)
+            if extend:
+                over = F.col(f"_e_{name}")
+                cols[nm] = F.when(over == 0, cols[nm]).otherwise(cols[nm] + over * _cardinal_slope(at))
     return out.withColumns(cols).drop(*ucols)
 
 
@@ -188,8 +200,9 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
 def effect_grid(spark: SparkSession, fit: GamFit, term: str, n: int = 50,
                 fixed: dict | None = None, level: float = 0.95,
                 factor: tuple[str, dict] | None = None) -> DataFrame:
-    """Prediction grid over one smooth's range (other smooths at mid-range,
-    parametric columns at their means, unless given in ``fixed``), with
+    """Prediction grid over one smooth's range (other terms at the values of
+    ``fixed``: their medians or reference levels; without one, smooths at
+    mid-range and parametric columns at their means), with
     pointwise SE and a back-transformed band (exp scale).
 
     ``factor = (name, {level: {dummy column: value}})`` crosses the sequence

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions import dists
+from panelkit.models.gram import compute_gram, select_full_rank
 
 INTERCEPT = "(Intercept)"
 
 
 @dataclass
 class GlmFit:
-    model: object
     terms: list[str]
     estimate: list[float]
     std_error: list[float]
@@ -35,6 +35,8 @@ class GlmFit:
     aic: float
     family: str
     pearson_chi2: float | None = None
+    aliased: list[str] = field(default_factory=list)
+    converged: bool = True
 
     @property
     def dispersion(self) -> float:
@@ -71,12 +73,28 @@ class GlmFit:
 
 def fit_glm(df: DataFrame, y: str, x: Sequence[str], family: str = "poisson", link: str | None = None,
             offset: str | None = None, max_iter: int = 50, pearson: bool = True) -> GlmFit:
-    """Fit a GLM; rows with NULL in a used column are dropped."""
+    """Fit a GLM; rows with NULL in a used column are dropped.  Predictors that
+    are linear combinations of earlier ones (or constant) are left out, as R
+    reports them NA, and named in ``aliased``.  A fit that stops at
+    ``max_iter`` without settling is reported by ``converged``."""
     x = list(x)
     used = x + [y] + ([offset] if offset else [])
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used]).dropna()
     # every IRLS iteration re-reads the design: keep it materialised for the fit
-    d = VectorAssembler(inputCols=x, outputCol="_features").transform(d).persist()
+    d = d.persist()
+    try:
+        gram = compute_gram(d, x, y, assume_complete=True)
+        kept = [x[i] for i in select_full_rank(gram.zz)]
+        fit = _fit(d, y, kept, family, link, offset, max_iter, pearson)
+        fit.aliased = [c for c in x if c not in kept]
+        return fit
+    finally:
+        d.unpersist()
+
+
+def _fit(d: DataFrame, y: str, x: list[str], family: str, link: str | None, offset: str | None, max_iter: int,
+         pearson: bool) -> GlmFit:
+    d = VectorAssembler(inputCols=x, outputCol="_features").transform(d)
     glr = GeneralizedLinearRegression(family=family, link=link or ("log" if family == "poisson" else "logit"),
                                       featuresCol="_features", labelCol=y, maxIter=max_iter, tol=1e-10)
     if offset:
@@ -87,13 +105,13 @@ def fit_glm(df: DataFrame, y: str, x: Sequence[str], family: str = "poisson", li
     est = [float(v) for v in m.coefficients] + [float(m.intercept)]
     terms = x + [INTERCEPT]
     order = [len(x)] + list(range(len(x)))  # intercept first, as R prints it
-    fit = GlmFit(m, [terms[i] for i in order], [est[i] for i in order], [float(se[i]) for i in order],
+    fit = GlmFit([terms[i] for i in order], [est[i] for i in order], [float(se[i]) for i in order],
                  float(s.deviance), float(s.nullDeviance), float(s.residualDegreeOfFreedom),
                  float(s.residualDegreeOfFreedomNull), float(s.aic), family)
+    fit.converged = int(s.numIterations) < max_iter
     if pearson:
         r = s.residuals("pearson")
         fit.pearson_chi2 = float(r.agg(F.sum(F.col("pearsonResiduals") ** 2)).collect()[0][0])
-    d.unpersist()
     return fit
 
 

@@ -5,7 +5,7 @@ pairwise ``covar_pop``.  Wide designs (spline bases, many dummies): one pass in
 which each partition turns its Arrow batches into numpy blocks and keeps a weight
 total, a mean vector and the cross-product matrix centred on that mean
 (updated batch by batch with the parallel-variance formula).  The driver
-merges the per-partition partials the same way and then does p x p linear
+merges a fixed number of partials, already combined by Spark tasks, and does p x p linear
 algebra only.  Row work is one scan; design expressions
 (dummies, spline bases) are evaluated once per row in the projection that
 feeds the batches.
@@ -42,6 +42,8 @@ class Gram:
 
 
 JVM_MAX_COLUMNS = 8
+#: partials that reach the driver
+MERGE_TASKS = 16
 
 
 def jvm_moments(d: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, np.ndarray]:
@@ -67,9 +69,9 @@ def jvm_moments(d: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, n
 def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = None
                       ) -> tuple[float, np.ndarray, np.ndarray]:
     """One pass: per-partition weight total, mean and centred cross-product
-    matrix (numpy over Arrow batches), combined on the driver with the
-    parallel-variance formula (traffic and driver memory: partitions x p^2
-    numbers, independent of the row count)."""
+    matrix (numpy over Arrow batches), combined with the parallel-variance
+    formula first by ``MERGE_TASKS`` Spark tasks, then on the driver (which
+    gets that many p^2 partials however many partitions there are)."""
     import pandas as pd
 
     cols = list(cols)
@@ -98,20 +100,25 @@ def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = No
         if n > 0:
             yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
 
+    def combine(rows):
+        n, mean, m2 = 0.0, np.zeros(k), np.zeros((k, k))
+        for nb, mb, m2b in rows:
+            mb, m2b = np.asarray(mb, dtype=float), np.asarray(m2b, dtype=float).reshape(k, k)
+            delta, tot = mb - mean, n + nb
+            m2 += m2b + np.outer(delta, delta) * (n * nb / tot)
+            mean = mean + delta * (nb / tot)
+            n = tot
+        return n, mean, m2
+
+    def merge(it):
+        n, mean, m2 = combine(r for pdf in it for r in zip(pdf["n"], pdf["mean"], pdf["m2"]))
+        if n > 0:
+            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
+
     schema = "n double, mean array<double>, m2 array<double>"
     sel = d.select(*cols, *([weight] if weight else []))
-    n = 0.0
-    mean = np.zeros(k)
-    m2 = np.zeros((k, k))
-    # one small row per partition (n, mean, p x p partial), merged on the driver
-    for r in sel.mapInPandas(part, schema).collect():
-        nb, mb, m2b = float(r["n"]), np.array(r["mean"]), np.array(r["m2"]).reshape(k, k)
-        delta = mb - mean
-        tot = n + nb
-        m2 += m2b + np.outer(delta, delta) * (n * nb / tot)
-        mean = mean + delta * (nb / tot)
-        n = tot
-    return n, mean, m2
+    merged = sel.mapInPandas(part, schema).repartition(MERGE_TASKS).mapInPandas(merge, schema)
+    return combine((float(r["n"]), r["mean"], r["m2"]) for r in merged.collect())
 
 
 def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = None,

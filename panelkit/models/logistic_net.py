@@ -20,6 +20,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.models.gram import MERGE_TASKS
+
+
+SCHEMA = "loss double, grad array<double>"
+
 
 @dataclass
 class LogisticNet:
@@ -61,6 +66,9 @@ def _objective_job(data: DataFrame, features: list[str], label: str, hidden: int
 
     p = len(features)
     k = n_weights(p, hidden)
+    # beyond a fixed number of partitions their gradients are added up by Spark
+    # tasks first, so the driver's share does not grow with the data
+    many = data.rdd.getNumPartitions() > MERGE_TASKS
 
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
         th = theta.copy()
@@ -87,7 +95,18 @@ def _objective_job(data: DataFrame, features: list[str], label: str, hidden: int
                 g += np.concatenate([gw1.ravel(), gb1, gw2, [gb2]])
             yield pd.DataFrame({"loss": [loss], "grad": [g.tolist()]})
 
-        rows = data.mapInPandas(part, "loss double, grad array<double>").collect()
+        def add_up(it):
+            loss, g, any_row = 0.0, np.zeros(k), False
+            for pdf in it:
+                for one, grad in zip(pdf["loss"], pdf["grad"]):
+                    loss, g, any_row = loss + one, g + np.asarray(grad, dtype=float), True
+            if any_row:
+                yield pd.DataFrame({"loss": [loss], "grad": [g.tolist()]})
+
+        partials = data.mapInPandas(part, SCHEMA)
+        if many:
+            partials = partials.repartition(MERGE_TASKS).mapInPandas(add_up, SCHEMA)
+        rows = partials.collect()
         loss = sum(r["loss"] for r in rows)
         grad = np.sum([np.array(r["grad"]) for r in rows], axis=0) if rows else np.zeros(k)
         return loss, grad

@@ -134,8 +134,20 @@ def fit_ols(df: DataFrame, y: str, x: Sequence[str], weight: str | None = None)
     return ols_from_gram(compute_gram(df, x, y, weight))
 
 
-def univariate_sweep(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFrame:
-    """One simple regression per numeric predictor, all in one aggregation:
+def factor_fit(df: DataFrame, y: str, factor: str) -> tuple[int, int, float]:
+    """(rows, levels, R^2) of y on one factor: between-level over total sum of
+    squares, from one aggregate per level (a hot level is a partial aggregate)."""
+    d = df.select(F.col(factor).alias("_g"), F.col(y).cast("double").alias("_y")).dropna()
+    per = d.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("m"), F.var_pop("_y").alias("v"))
+    total = d.agg(F.avg("_y").alias("mean"), F.var_pop("_y").alias("vy"), F.count(F.lit(1)).alias("rows_"))
+    row = per.crossJoin(F.broadcast(total)).agg(
+        F.max("rows_"), F.count(F.lit(1)), F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2) / F.max(F.col("vy") * F.col("rows_"))).first()
+    return int(row[0] or 0), int(row[1]), float(row[2]) if row[2] is not None else float("nan")
+
+
+def univariate_sweep(df: DataFrame, y: str, predictors: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
+    """One regression per predictor, ranked by R^2: the numeric ones all in one
+    aggregation, a factor by its level means (slope and intercept NULL):
     ``(predictor, n, slope, intercept, r2, adj_r2, f_stat, p_value)``."""
     aggs = []
     for i, p in enumerate(predictors):
@@ -153,6 +165,14 @@ def univariate_sweep(df: DataFrame, y: str, predictors: Sequence[str]) -> DataFr
         f = r2 / (1 - r2) * dfr if r2 < 1 else float("inf")
         out.append((p, int(n), float(row[f"b{i}"]), float(row[f"a{i}"]), r2, adj, f,
                     dists.f_sf(f, 1, dfr)))
+    for name in factors:
+        n, levels, r2 = factor_fit(df, y, name)
+        df1, dfr = levels - 1, n - levels
+        usable = df1 > 0 and dfr > 0
+        f = (r2 / df1) / ((1 - r2) / dfr) if usable and r2 < 1 else float("inf") if usable else float("nan")
+        out.append((name, n, None, None, r2, 1 - (1 - r2) * (n - 1) / dfr if usable else float("nan"), f,
+                    dists.f_sf(f, df1, dfr) if usable else float("nan")))
+    out.sort(key=lambda r: (r[4] != r[4], -r[4]))
     return df.sparkSession.createDataFrame(
         out, "predictor string, n long, slope double, intercept double, r2 double, adj_r2 double, "
              "f_stat double, p_value double")
@@ -178,12 +198,12 @@ def qq_points(df: DataFrame, value: str, order_keys: Sequence[str]) -> DataFrame
     smallest ``value`` (ties broken by ``order_keys``).  The rank is a
     block-parallel running count, not a single-partition window."""
     from panelkit.functions.scalar import probit
-    from panelkit.operators.prefix import running_sum, with_quantile_blocks
+    from panelkit.operators.prefix import row_rank, with_range_blocks
+    order = [F.col(value), *[F.col(k) for k in order_keys]]
     d = df.where(F.col(value).isNotNull())
     n = d.count()
-    d, blk = with_quantile_blocks(d, value, "_qqblk", n_rows=n)
-    ranked = running_sum(d, [F.col(value), *[F.col(k) for k in order_keys]], F.lit(1).cast("long"), blk,
-                         "_i").drop("_qqblk")
+    d = with_range_blocks(d, order, "_qqblk", n_rows=n)
+    ranked = row_rank(d, order, F.col("_qqblk"), "_i").drop("_qqblk")
     a = 0.375 if n <= 10 else 0.5
     pos = (F.col("_i") - F.lit(a)) / F.lit(n + 1 - 2 * a)
     return ranked.withColumn("theoretical", probit(pos)).drop("_i")

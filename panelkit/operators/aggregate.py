@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.joins import null_safe_join
 from panelkit.operators.quantile import quantiles_wide
 from panelkit.operators.reshape import unpivot
 
@@ -21,31 +22,35 @@ _FNS = {
 
 
 def n_distinct(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False,
-               rsd: float = 0.01, name: str = "n_distinct") -> DataFrame:
+               rsd: float = 0.01, name: str = "n_distinct", rows: str | None = None) -> DataFrame:
     """Distinct count, global or per group.  Exact counts are a two-level
     aggregation ((by, col) first, so hot groups spread); ``approx`` uses the
-    HyperLogLog++ sketch (bounded state, relative error ``rsd``)."""
+    HyperLogLog++ sketch (bounded state, relative error ``rsd``).  ``rows``
+    names a column for the row count, from the same scan."""
     by = list(by)
     if approx:
-        agg = F.approx_count_distinct(col, rsd).alias(name)
-        return df.groupBy(*by).agg(agg) if by else df.agg(agg)
-    pairs = df.select(*by, col).where(F.col(col).isNotNull()).distinct()
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias(name)) if by else \
-        pairs.agg(F.count(F.lit(1)).alias(name))
+        aggs = [F.approx_count_distinct(col, rsd).alias(name), *([F.count(F.lit(1)).alias(rows)] if rows else [])]
+        return df.groupBy(*by).agg(*aggs)
+    pairs = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("_rows"))
+    aggs = [F.count(col).alias(name), *([F.coalesce(F.sum("_rows"), F.lit(0)).alias(rows)] if rows else [])]
+    return pairs.groupBy(*by).agg(*aggs)
 
 
 def freq_pct(df: DataFrame, by: Sequence[str], count_name: str = "n", pct_name: str = "pct",
              digits: int = 1) -> DataFrame:
     """Frequency table with share of total (R ``round``: half-even)."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(count_name))
-    total = F.sum(count_name).over(Window.partitionBy())
-    return counts.withColumn(pct_name, F.bround(F.col(count_name) * 100.0 / total, digits))
+    total = counts.agg(F.sum(count_name).alias("_total"))
+    return (counts.crossJoin(F.broadcast(total))
+            .withColumn(pct_name, F.bround(F.col(count_name) * 100.0 / F.col("_total"), digits)).drop("_total"))
 
 
 def group_sums(df: DataFrame, by: Sequence[str], cols: Sequence[str], count_name: str = "n_rows",
-               prefix: str = "") -> DataFrame:
-    """Row count plus sums where an all-NULL group sums to 0 (R ``na.rm``)."""
+               prefix: str = "", present: str | None = None) -> DataFrame:
+    """Row count plus sums where an all-NULL group sums to 0 (R ``na.rm``);
+    ``present`` (a pattern with {col}) also counts the non-NULL values."""
     aggs = [F.count(F.lit(1)).alias(count_name)]
+    aggs += [F.count(c).alias(present.format(col=c)) for c in cols] if present else []
     aggs += [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{prefix}{c}") for c in cols]
     return df.groupBy(*by).agg(*aggs)
 
@@ -61,24 +66,34 @@ def summary_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                   quantile_method: str = "exact") -> DataFrame:
     """Long ``(by..., variable, n, min, q1, median, mean, q3, max, sd)``.
 
-    One unpivot, then per-variable moments (partial aggregation) and exact
-    quantiles (pre-aggregated by value, so each variable's group spreads).
+    Moments of all variables come from one wide aggregate whose small result
+    is laid out long; only the exact quantiles see rows in long form, already
+    counted per value (so each variable's group spreads).
     """
-    by = list(by)
+    by, cols = list(by), list(cols)
+    wide = df.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"{k}_{i}") for i, c in enumerate(cols) for k, f in (
+        ("n", F.count), ("min", F.min), ("mean", F.avg), ("max", F.max), ("sd", F.stddev_samp))])
+    rows = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{k}_{i}").alias(k) for k in ("n", "min", "mean", "max", "sd")])
+            for i, c in enumerate(cols)]
+    moments = wide.select(*by, F.inline(F.array(*rows))).where(F.col("n") > 0)
     long = unpivot(df, by, cols, "variable", "value").where(F.col("value").isNotNull())
-    moments = long.groupBy(*by, "variable").agg(
-        F.count("value").alias("n"), F.min("value").alias("min"), F.avg("value").alias("mean"),
-        F.max("value").alias("max"), F.stddev_samp("value").alias("sd"))
     qs = quantiles_wide(long, "value", [0.25, 0.5, 0.75], by + ["variable"], ["q1", "median", "q3"],
                         method=quantile_method)
-    return moments.join(qs, by + ["variable"], "left")
+    return null_safe_join(moments, qs, by + ["variable"], "left")
+
+
+def _missing(df: DataFrame, col: str) -> Column:
+    """NULL, or NaN in a floating-point column."""
+    c = F.col(f"`{col}`")
+    floating = dict(df.dtypes)[col] in ("double", "float")
+    return c.isNull() | F.isnan(c) if floating else c.isNull()
 
 
 def na_profile(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """``(variable, n_missing, pct_missing)`` for every column, one pass."""
     cols = list(cols or df.columns)
     agg = df.agg(F.count(F.lit(1)).alias("_rows"),
-                 *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols])
+                 *[F.count_if(_missing(df, c)).alias(c) for c in cols])
     long = agg.unpivot(["_rows"], cols, "variable", "n_missing")
     return long.select("variable", "n_missing",
                        F.bround(F.col("n_missing") * 100.0 / F.col("_rows"), digits).alias("pct_missing"))
@@ -155,33 +170,46 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
 
 
 def contingency(df: DataFrame, a: str, b: str, levels_a: Sequence | None = None,
-                levels_b: Sequence | None = None) -> DataFrame:
+                levels_b: Sequence | None = None, max_levels: int = 1000) -> DataFrame:
     """Two-way counts, zero-filled over all level pairs.
 
-    Level lists are tiny (factor levels), so the level grid is a literal or
-    a distinct of one column; the counts are a
-    partial aggregate; Spark picks the join strategy from their sizes.
+    The counts are one partial aggregate.  Levels taken from the data (a NULL
+    is a level) are read off its result, counted, and refused beyond
+    ``max_levels``: a zero-filled table over more is not meant.
     """
     spark = df.sparkSession
     counts = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    for c, given in ((a, levels_a), (b, levels_b)):
+        if given is None and df.select(c).distinct().limit(max_levels + 1).count() > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
     la = (spark.createDataFrame([(x,) for x in levels_a], [a]) if levels_a is not None
-          else df.select(a).distinct())
+          else counts.select(a).distinct())
     lb = (spark.createDataFrame([(x,) for x in levels_b], [b]) if levels_b is not None
-          else df.select(b).distinct())
+          else counts.select(b).distinct())
     grid = la.crossJoin(lb)
-    return (grid.join(counts, [a, b], "left")
-            .select(a, b, F.coalesce("n", F.lit(0)).alias("n")))
+    return null_safe_join(grid, counts, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
+
 
+def column_profile(df: DataFrame, exact: bool = True, rsd: float = 0.02) -> DataFrame:
+    """Column, Spark type, role and number of distinct values.
 
-def column_profile(df: DataFrame, max_levels: int = 50) -> DataFrame:
-    """Column, Spark type, role and number of distinct values, one pass.
+    ``exact`` counts distinct (column, value) pairs, one aggregate per column
+    over that column only (no row is copied once per column); otherwise all
+    columns share one pass of bounded sketches with relative error ``rsd``.
 
     Role: 'id' for string columns named like keys, 'categorical' for other
     string columns, 'numeric' / 'date' / 'other' by type.
     """
     dtypes = dict(df.dtypes)
-    agg = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    long = agg.unpivot([], df.columns, "variable", "n_distinct")
+    if exact:
+        long = None
+        for c in df.columns:
+            one = (df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct()
+                   .agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("variable"), "n_distinct"))
+            long = one if long is None else long.unionByName(one)
+    else:
+        agg = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(c) for c in df.columns])
+        long = agg.unpivot([], df.columns, "variable", "n_distinct")
 
     def role(c, t):
         if t == "string":

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkit.operators.joins import null_safe_join
 from panelkit.operators.prep import first_per_key
 from panelkit.operators.quantile import quantiles_wide
 from panelkit.operators.reshape import unpivot
@@ -37,12 +38,12 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns({
         "lower_fence": F.col("q1") - 1.5 * F.col("iqr"), "upper_fence": F.col("q3") + 1.5 * F.col("iqr")})
     inside = F.col("_x").between(F.col("lower_fence"), F.col("upper_fence"))
-    agg = x.join(q.select(*by, "lower_fence", "upper_fence"), by, "inner").groupBy(*by).agg(
+    agg = null_safe_join(x, q.select(*by, "lower_fence", "upper_fence"), by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(inside, F.col("_x"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("_x"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
-    return q.join(agg, by, "inner")
+    return null_safe_join(q, agg, by)
 
 
 def flag_share_by(df: DataFrame, flag: str, by: Sequence[str], name: str = "pct_flagged") -> DataFrame:

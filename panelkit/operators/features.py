@@ -9,21 +9,39 @@ level list to the driver is the only driver step and is bounded by
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from panelkit.operators.joins import null_safe_join
 from panelkit.operators.quantile import quantiles_wide
 
 
 def factor_levels(df: DataFrame, col: str, max_levels: int = 1000) -> list:
     """Sorted distinct non-NULL levels (reference level first, as R factors)."""
-    rows = (df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-            .limit(max_levels + 1).collect())
-    if len(rows) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
-    return [r[0] for r in rows]
+    return factors_levels(df, [col], max_levels)[col]
+
+
+def factors_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
+    """The level lists of several factors in one scan: the distinct (factor,
+    level) pairs come from one partial aggregate; more than ``max_levels``
+    levels of a factor raise."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("s")) for i, c in enumerate(cols)])).alias("p")) \
+        .select("p.i", "p.s").where(F.col("s").isNotNull()).distinct()
+    found = pairs.limit(len(cols) * (max_levels + 1)).collect()
+    out = {}
+    for i, c in enumerate(cols):
+        kind = df.schema[c].dataType
+        levels = [r["s"] for r in found if r["i"] == i]
+        if len(levels) > max_levels or len(found) > len(cols) * max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels")
+        if not isinstance(kind, T.StringType):
+            typed = df.sparkSession.createDataFrame([(s,) for s in levels], "s string").select(F.col("s").cast(kind))
+            levels = [r[0] for r in typed.collect()]
+        out[c] = sorted(levels)
+    return out
 
 
 def level_name(col: str, level) -> str:
@@ -68,7 +86,7 @@ def label_by_quantile(df: DataFrame, col: str, q: float, out: str, cmp: str = ">
     """0/1 label: value compared with the q-quantile (global or per group)."""
     by = list(by)
     thr = quantiles_wide(df.select(*by, col), col, [q], by, ["_thr"])
-    j = df.join(thr, by, "left") if by else df.crossJoin(F.broadcast(thr))
+    j = null_safe_join(df, thr, by, "left") if by else df.crossJoin(F.broadcast(thr))
     ops = {">=": F.col(col) >= F.col("_thr"), ">": F.col(col) > F.col("_thr")}
     return j.withColumn(out, ops[cmp].cast("int")).drop("_thr")
 
@@ -85,7 +103,3 @@ def responses(df: DataFrame, col: str, label: str = "high_consumption",
     if log_name:
         out = out.withColumn(log_name, F.when(F.col(col) > 0, F.ln(col)))
     return out
-
-
-def apply_mapping(df: DataFrame, mapping: Mapping[str, object]) -> DataFrame:
-    return df.withColumns({k: F.lit(v) for k, v in mapping.items()})

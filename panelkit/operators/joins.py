@@ -52,6 +52,21 @@ def enrich(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     return fact.join(d, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
+def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` matching NULL to NULL (a NULL group key is a group),
+    keeping one copy of the key columns.  ``b`` may carry a broadcast hint."""
+    keys = list(keys)
+    if not keys:
+        return a.crossJoin(b) if how == "inner" else a.join(b, how=how)
+    rb = b.select(*[F.col(c).alias(f"_nsk_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_nsk_{k}"))
+        cond = c if cond is None else cond & c
+    out = a.join(rb, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_nsk_{k}" for k in keys])
+
+
 def member_of(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Rows whose key is in ``ids`` (``%in%``): a left-semi join."""
     return df.join(ids.select(*([key] if isinstance(key, str) else key)).distinct(), key, "left_semi")
@@ -63,7 +78,7 @@ def not_member_of(df: DataFrame, ids: DataFrame, key: str | Sequence[str]) -> Da
 
 def attach_group_stat(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     """Join a per-group aggregate back to every row of its group."""
-    return df.join(stats, list(by), "left")
+    return null_safe_join(df, stats, by, "left")
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -80,14 +95,18 @@ def linspace_grid(spark: SparkSession, name: str, lo_hi: DataFrame, n: int) -> D
 
 
 def prediction_grid(spark: SparkSession, seq: DataFrame, levels: Sequence[DataFrame] = (),
-                    constants: Mapping[str, object] | DataFrame | None = None) -> DataFrame:
+                    constants: Mapping[str, object] | DataFrame | None = None,
+                    max_levels: int = 1000) -> DataFrame:
     """Cartesian grid: a value sequence x factor levels x constants (JN7).
 
-    All inputs are bounded by construction (n grid points, factor levels,
-    one row of constants), so every product is explicit and small.
+    ``seq`` has n grid points and ``constants`` one row; a level list that
+    comes from data is counted, and more than ``max_levels`` levels raise (a
+    grid over them is a mistake, not a plan to run).
     """
     g = seq
     for lv in levels:
+        if lv.limit(max_levels + 1).count() > max_levels:
+            raise ValueError(f"{lv.columns} has more than {max_levels} levels")
         g = g.crossJoin(F.broadcast(lv))
     if isinstance(constants, DataFrame):
         g = g.crossJoin(F.broadcast(constants))

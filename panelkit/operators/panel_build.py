@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.functions import scalar as S
+from panelkit.operators.joins import null_safe_join
 
 # --- fixed values: raw column names and output column set of the daily panel ---
 METER_COLUMNS = ["Household_ID", "Timestamp", "kWh_received_Total", "kWh_received_HeatPump",
@@ -39,6 +40,15 @@ PANEL_COLUMNS = ["Household_ID", "date", "year", "month", "weekday", "is_weekend
                  "precipitation", "sunshine_hours", "weather_region", "group", "building_type",
                  "heatpump_type", "living_area", "n_residents", "has_floor_heating", "has_radiator",
                  "has_dryer", "has_freezer", "has_electric_vehicle"]
+ANNUAL_MEASURES = {"annual_kWh_total": "kWh_received_Total", "annual_kWh_heatpump": "kWh_received_HeatPump",
+                   "annual_kWh_other": "kWh_received_Other", "annual_kWh_returned": "kWh_returned_Total"}
+ANNUAL_CORE_VARS = ["annual_kWh_total", "living_area", "n_residents", "building_type", "heatpump_type",
+                    "weather_region", "has_floor_heating", "has_radiator"]
+ANNUAL_COLUMNS = ["Household_ID", "annual_kWh_total", "living_area", "temp_avg", "temp_range",
+                  "heating_degree_days", "cooling_degree_days", "humidity_avg", "precipitation_total",
+                  "annual_kWh_returned", "kWh_per_m2", "weather_region", "building_type", "heatpump_type",
+                  "group", "n_residents", "has_floor_heating", "has_radiator", "has_dryer", "has_freezer",
+                  "has_electric_vehicle", "high_consumption"]
 FLAGS_FILLED = ["has_electric_vehicle", "has_dryer", "has_freezer"]
 # --- end fixed values ---
 
@@ -60,7 +70,7 @@ def entity_attributes(meta: DataFrame, households: DataFrame) -> DataFrame:
     for the appliance flags (heating flags stay NULL, as in the source)."""
     m = meta.select(F.col("Household_ID").cast("string").alias("Household_ID"), "Weather_ID", "Group")
     h = households.withColumn("Household_ID", F.col("Household_ID").cast("string"))
-    j = m.join(h, "Household_ID", "left")
+    j = null_safe_join(m, h, ["Household_ID"], "left")
     out = j.select(
         "Household_ID",
         F.col("Weather_ID").cast("string").alias("weather_region"),
@@ -99,7 +109,7 @@ def assemble_panel(readings: DataFrame, attributes: DataFrame, covariates: DataF
                    area: str = "living_area", measure: str = "kWh_total",
                    ratio_name: str = "kWh_per_m2") -> DataFrame:
     """Join, derive calendar/ratio features, keep complete cases, project."""
-    j = readings.join(attributes, entity, "inner").join(covariates, [region, "date"], "left")
+    j = null_safe_join(null_safe_join(readings, attributes, [entity]), covariates, [region, "date"], "left")
     cal = S.calendar_columns("date")
     j = j.withColumns({"year": cal["year"], "month": cal["month"], "weekday": cal["weekday"],
                        ratio_name: S.guarded_ratio(measure, area)})
@@ -123,22 +133,17 @@ def annual_consumption(monthly: DataFrame, entity: str, year: str, measures: Seq
 
     Per entity-year: months present and NULL-as-0 sums; a year is complete
     with >= ``min_months`` months and a positive ``total``; sums are scaled
-    to 12 months; the per-entity median across complete years uses the
-    exact (skew-safe) quantile operator on the long form (entity, measure).
+    to 12 months; an entity has few years, so their median is Spark's grouped
+    percentile, in the same aggregate as their count.
     """
-    from panelkit.operators.quantile import quantiles_long
-    from panelkit.operators.reshape import pivot, unpivot
     measures = list(measures)
     yearly = monthly.groupBy(entity, year).agg(
         F.count(F.lit(1)).alias("months_available"),
         *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in measures])
     full = (yearly.where((F.col("months_available") >= min_months) & (F.col(total) > 0))
             .withColumns({m: F.col(m) * 12 / F.col("months_available") for m in measures}))
-    long = unpivot(full, [entity], measures, "measure", "value")
-    med = quantiles_long(long, "value", [0.5], [entity, "measure"])
-    wide = pivot(med, [entity], "measure", "quantile", levels=measures, agg="first")
-    years = full.groupBy(entity).agg(F.count(F.lit(1)).alias("n_complete_years"))
-    return wide.join(years, entity, "inner")
+    return full.groupBy(entity).agg(*[F.percentile(F.col(m), F.lit(0.5)).alias(m) for m in measures],
+                                    F.count(F.lit(1)).alias("n_complete_years"))
 
 
 def annual_covariates(daily: DataFrame, region: str, date: str, means: dict, sums: dict) -> DataFrame:
@@ -156,10 +161,38 @@ def assemble_annual(attributes: DataFrame, consumption: DataFrame, covariates: D
                     flag: str = "high_consumption", ratio_name: str = "kWh_per_m2") -> DataFrame:
     """attributes x consumption (inner) x covariates (left); the above-median
     flag uses the median of the joined rows *before* incomplete rows are
-    dropped; then complete cases on ``core_vars``."""
+    dropped; then complete cases on ``core_vars``.  Joins match missing keys
+    to missing keys.  The covariates are one row per region and cannot change
+    the median, so it is taken from the entities alone, written once."""
     from panelkit.operators.quantile import quantiles_wide
-    j = (attributes.join(consumption, entity, "inner").join(covariates, region, "left")
-         .withColumn(ratio_name, S.guarded_ratio(total, area)))
-    med = quantiles_wide(j.select(total), total, [0.5], [], ["_median"])
+    from panelkit.sources.io import checkpoint_table
+    known = checkpoint_table(null_safe_join(attributes, consumption, [entity]), "annual_entities")
+    med = quantiles_wide(known.select(total), total, [0.5], [], ["_median"])
+    j = null_safe_join(known, covariates, [region], "left").withColumn(ratio_name, S.guarded_ratio(total, area))
     j = j.crossJoin(F.broadcast(med)).withColumn(flag, (F.col(total) > F.col("_median")).cast("int"))
     return j.drop("_median").dropna(subset=list(core_vars))
+
+
+def build_annual_dataset(meter_raw: DataFrame, meta: DataFrame, households: DataFrame, weather_raw: DataFrame,
+                         min_months: int = 10) -> DataFrame:
+    """Raw monthly meter rows, entity tables and daily weather -> one row per
+    entity with its annual consumption, attributes and average annual weather
+    (``ANNUAL_COLUMNS``).
+
+    A row per month file line counts as a month, unreadable numbers add
+    nothing, a year needs ``min_months`` months and a positive total and is
+    scaled to 12; appliance flags default to 0; the above-median flag is set
+    before incomplete entities are dropped.
+    """
+    monthly = meter_raw.select(
+        F.col("Household_ID").cast("string").alias("Household_ID"), F.year(S.iso_prefix_date("Timestamp")).alias("year"),
+        *[S.safe_double(raw).alias(name) for name, raw in ANNUAL_MEASURES.items()])
+    consumption = annual_consumption(monthly, "Household_ID", "year", list(ANNUAL_MEASURES), "annual_kWh_total", min_months)
+    weather = annual_covariates(
+        typed_covariates(weather_raw), "weather_region", "date",
+        means={"temp_avg": F.col("temp_avg"), "temp_range": F.col("temp_range"), "humidity_avg": F.col("humidity_avg")},
+        sums={"heating_degree_days": F.col("heating_degree_days"), "cooling_degree_days": F.col("cooling_degree_days"),
+              "precipitation_total": F.col("precipitation")})
+    out = assemble_annual(entity_attributes(meta, households), consumption, weather, "Household_ID", "weather_region",
+                          "annual_kWh_total", "living_area", ANNUAL_CORE_VARS)
+    return out.select(*ANNUAL_COLUMNS)

@@ -5,100 +5,83 @@ cut into *blocks* (an integer column that never decreases along the order):
 block totals form a small table (<= number of blocks per group) whose prefix
 sums are the block offsets; a second window only runs inside one block.
 Blocks come either from leading hex digits of an md5 order key (uniform by
-construction) or from approximate quantile split points of a numeric key.
+construction) or from Spark's own range partitioning of the whole order
+(values *and* tie keys, so equal values spread over blocks too).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_BLOCKS = 65536
+from panelkit.operators.joins import null_safe_join
 
+#: blocks per shuffle partition for hash orders
+BLOCKS_PER_PARTITION = 8
+#: at most 16**5 block offsets (16 MB) are ever broadcast
+MAX_HEX_DIGITS = 5
+ROWS_PER_BLOCK = 1_000_000
 
-def hex_block(hex_col, digits: int = 3) -> Column:
+
+def hex_digits(spark: SparkSession) -> int:
+    """Leading hex digits that give several blocks per shuffle partition: the
+    block count follows the partitioning the session is sized for."""
+    want = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_HEX_DIGITS, max(1, math.ceil(math.log(want, 16))))
+
+
+def hex_block(hex_col, digits: int) -> Column:
     """Block id from the first ``digits`` hex characters (16**digits blocks)."""
     c = F.col(hex_col) if isinstance(hex_col, str) else hex_col
     return F.conv(F.substring(c, 1, digits), 16, 10).cast("int")
 
 
-def quantile_block(df: DataFrame, col: str, n_blocks: int, descending: bool = False,
-                   rel_err: float = 1e-3) -> Column:
-    """Block id from approximate quantile split points of a numeric column.
-
-    The split points (``n_blocks - 1`` doubles) are the only values brought to
-    the driver.  Returns a column expression usable on ``df``.
-    """
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    splits = sorted(set(x for x in df.approxQuantile(col, probs, rel_err) if x is not None))
-    bounds = [float("-inf")] + splits + [float("inf")]
-    nb = len(bounds) - 1
-    # Bucketizer is a JVM binary search; express the same as a CASE chain when
-    # the split list is short, to stay inside whole-stage codegen.
-    x = F.col(col).cast("double")
-    expr = F.lit(nb - 1)
-    for i in range(len(splits) - 1, -1, -1):
-        expr = F.when(x < F.lit(splits[i]), F.lit(i)).otherwise(expr)
-    return (F.lit(nb - 1) - expr) if descending else expr
-
-
-def with_quantile_blocks(df: DataFrame, col: str, out: str = "_qblk", descending: bool = False,
-                         rows_per_block: int = 1_000_000, min_blocks: int = 32, max_blocks: int = 4096,
-                         rel_err: float = 1e-3, n_rows: int | None = None) -> tuple[DataFrame, Column]:
-    """Add a block column from approximate quantiles of ``col``, with the
-    block count adapted to the row count (about ``rows_per_block`` rows per
-    block, clamped to [min_blocks, max_blocks]); split points beyond 64 use
-    the JVM binary search of ``Bucketizer``.  Returns (frame, block column)."""
+def with_range_blocks(df: DataFrame, order: Sequence[Column], out: str = "_blk",
+                      rows_per_block: int = ROWS_PER_BLOCK, n_rows: int | None = None) -> DataFrame:
+    """Range-partition the rows along ``order`` (a total order) and add the
+    partition number as the block column.  The result is written once, so the
+    blocks cannot change between reads.  NULLs are placed by the order itself."""
+    from panelkit.sources.io import checkpoint_table
     n = df.count() if n_rows is None else n_rows
-    nb = int(min(max_blocks, max(min_blocks, n // rows_per_block + 1)))
-    if nb <= 64:
-        blk = quantile_block(df, col, nb, descending, rel_err)
-        return df.withColumn(out, blk), F.col(out)
-    probs = [i / nb for i in range(1, nb)]
-    splits = sorted(set(x for x in df.approxQuantile(col, probs, rel_err) if x is not None))
-    tmp = df.withColumn("_qb_x", F.col(col).cast("double"))
-    b = bucketize(tmp, "_qb_x", splits, out).drop("_qb_x")
-    if descending:
-        b = b.withColumn(out, F.lit(len(splits)) - F.col(out))
-    return b, F.col(out)
-
-
-def bucketize(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
-    """Bucket a numeric column with a JVM binary search (many split points)."""
-    b = Bucketizer(splits=[float("-inf")] + list(splits) + [float("inf")], inputCol=col,
-                   outputCol=out, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(out).cast("int"))
+    blocks = int(n // rows_per_block + 1)
+    dealt = df.repartitionByRange(blocks, *order).withColumn(out, F.spark_partition_id())
+    return checkpoint_table(dealt, "range_blocks")
 
 
-def running_sum(df: DataFrame, order: Sequence[Column], value: Column, block: Column, out: str,
-                partition_by: Sequence[str] = (), exclusive: bool = False,
-                broadcast_offsets: bool | None = None) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows up to this one along ``order``.
+def running_sums(df: DataFrame, order: Sequence[Column], values: Mapping[str, Column], block: Column,
+                 partition_by: Sequence[str] = (), exclusive: bool = False,
+                 totals: Mapping[str, str] | None = None) -> DataFrame:
+    """Add each ``out`` of ``values`` = sum of its column over rows up to this
+    one along ``order``; all sums share one window and one join.
 
     ``order`` must be a total order (add a tiebreak key), ``block`` must not
-    decrease along it.  With ``partition_by`` the sum restarts per group.
-    ``exclusive`` excludes the current row.
+    decrease along it.  With ``partition_by`` the sums restart per group (a
+    NULL key is a group).  ``exclusive`` excludes the current row.  ``totals``
+    maps an ``out`` to a column name for its sum over the whole group.
     """
-    tmp = df.withColumn("_pk_blk", block).withColumn("_pk_val", value)
-    keys = list(partition_by) + ["_pk_blk"]
-    totals = tmp.groupBy(*keys).agg(F.sum("_pk_val").alias("_pk_bt"))
-    w_blk = (Window.partitionBy(*partition_by).orderBy("_pk_blk")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, F.coalesce(F.sum("_pk_bt").over(w_blk), F.lit(0))
-                            .alias("_pk_off"))
-    if broadcast_offsets is None:
-        broadcast_offsets = not partition_by
-    if broadcast_offsets:
-        offsets = F.broadcast(offsets)
-    w_in = Window.partitionBy(*keys).orderBy(*order)
-    frame = w_in.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    inner = F.coalesce(F.sum("_pk_val").over(frame), F.lit(0))
-    return (tmp.join(offsets, keys, "inner")
-            .withColumn(out, F.col("_pk_off") + inner)
-            .drop("_pk_blk", "_pk_val", "_pk_off"))
+    by, outs = list(partition_by), list(values)
+    tmp = df.withColumns({"_pk_blk": block, **{f"_pk_v{i}": values[o] for i, o in enumerate(outs)}})
+    sums = tmp.groupBy(*by, "_pk_blk").agg(*[F.sum(f"_pk_v{i}").alias(f"_pk_b{i}") for i in range(len(outs))])
+    before = Window.partitionBy(*by).orderBy("_pk_blk").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.coalesce(F.sum(f"_pk_b{outs.index(o)}").over(Window.partitionBy(*by)), F.lit(0)).alias(name)
+             for o, name in (totals or {}).items()]
+    offsets = sums.select(*by, "_pk_blk", *extra, *[
+        F.coalesce(F.sum(f"_pk_b{i}").over(before), F.lit(0)).alias(f"_pk_o{i}") for i in range(len(outs))])
+    # without groups there are at most as many offsets as blocks
+    joined = null_safe_join(tmp, offsets if by else F.broadcast(offsets), [*by, "_pk_blk"])
+    inside = Window.partitionBy(*by, "_pk_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    out = joined.withColumns({o: F.col(f"_pk_o{i}") + F.coalesce(F.sum(f"_pk_v{i}").over(inside), F.lit(0))
+                              for i, o in enumerate(outs)})
+    return out.drop("_pk_blk", *[f"_pk_{k}{i}" for i in range(len(outs)) for k in ("v", "o")])
+
+
+def running_sum(df: DataFrame, order: Sequence[Column], value: Column, block: Column, out: str,
+                partition_by: Sequence[str] = (), exclusive: bool = False) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over rows up to this one along ``order``."""
+    return running_sums(df, order, {out: value}, block, partition_by, exclusive)
 
 
 def row_rank(df: DataFrame, order: Sequence[Column], block: Column, out: str,

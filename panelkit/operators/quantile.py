@@ -10,16 +10,19 @@ task with all its distinct values.  This operator instead:
 3. groups with at most ``finish_rows`` distinct values take the exact
    percentile with frequency weights over those counts: the per-group
    buffer is bounded by ``finish_rows`` entries, whatever the row count;
-4. larger groups are narrowed by equal-width value buckets: bucket counts
-   are partial aggregates (<= ``n_buckets`` rows per target rank), the
-   bucket holding the rank becomes the new search range, and the loop
-   repeats until the range is small enough to read the rank off a bounded
-   cumulative count.
+4. larger groups are narrowed by value buckets (equal width, and equal width
+   in the logarithm in turn, so values spread over many orders of magnitude
+   narrow as fast): bucket counts are partial aggregates (<= ``n_buckets``
+   rows per target rank), the bucket holding the rank becomes the new search
+   range, and the loop repeats until every range is small enough to read the
+   rank off a bounded cumulative count.
 
 Only groups-sized tables (per-group statistics, refinement state, the
 result) are materialised, as written tables in the shared checkpoint
 folder; nothing groups-sized reaches the driver.  ``method='approx'``
-switches to ``percentile_approx`` (bounded sketch, no interpolation).
+switches to ``percentile_approx`` (bounded sketch, no interpolation);
+``method='grouped'`` is Spark's own exact percentile, for groups that are
+small by construction (the years of an entity, say).
 """
 
 from __future__ import annotations
@@ -29,8 +32,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FINISH_ROWS = 1_000_000
+from panelkit.operators.joins import null_safe_join
+
+#: distinct values that one group's buffer may hold
+FINISH_ROWS = 20_000
 N_BUCKETS = 1024
+#: doubles have 2**64 values, so two rounds in three digits each suffice many times over
+MAX_LEVELS = 200
 
 
 def prob_label(p: float) -> str:
@@ -52,6 +60,10 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         return agg.select(*by, F.posexplode("_qs").alias("_i", "quantile")).select(
             *by, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"),
             "quantile")
+    if method == "grouped":
+        agg = base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"))
+        return agg.select(*by, F.posexplode("_qs").alias("_i", "quantile")).select(
+            *by, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "quantile")
     spark = df.sparkSession
     parr = F.array(*[F.lit(p) for p in probs])
     vc = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
@@ -62,7 +74,7 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         small_keys = stats.where(F.col("_nd") <= finish_rows)
         # common path: exact type-7 percentile over value counts; the
         # per-group buffer holds at most finish_rows distinct values
-        src = _nsjoin(vc, small_keys.select(*by), by, "left_semi") if by else \
+        src = null_safe_join(vc, small_keys.select(*by), by, "left_semi") if by else \
             vc.crossJoin(F.broadcast(small_keys.select(F.lit(1).alias("_one")))).drop("_one")
         small = (src.groupBy(*by).agg(F.percentile("_v", parr, F.col("_c")).alias("_qs"))
                  .select(*by, F.posexplode("_qs").alias("_i", "quantile"))
@@ -96,38 +108,25 @@ def _large_groups(spark, vc: DataFrame, stats: DataFrame, probs, by: list[str],
                         "_lo", "_hi", "_nd")
              .distinct().withColumn("_base", F.lit(0).cast("long")))
     parts = []
-    for _level in range(64):
+    for level in range(MAX_LEVELS):
         parts.append(_finish(vc, state.where(F.col("_nd") <= finish_rows), by))
         rest = state.where(F.col("_nd") > finish_rows)
         if rest.limit(1).count() == 0:
             break
-        state = _written(_refine(vc, rest, by, n_buckets), "q_state")
+        state = _written(_refine(vc, rest, by, n_buckets, logarithmic=level % 2 == 1), "q_state")
+    else:
+        raise RuntimeError("quantile ranges did not narrow")
     answers = parts[0]
     for a in parts[1:]:
         answers = answers.unionByName(a)
     lo = answers.withColumnRenamed("_r", "_rlo").withColumnRenamed("_ans", "_vlo")
     hi = answers.withColumnRenamed("_r", "_rhi").withColumnRenamed("_ans", "_vhi")
-    return (_nsjoin(_nsjoin(tgt.select(*by, "prob", "_rlo", "_rhi", "_frac"), lo, [*by, "_rlo"], "left"),
+    return (null_safe_join(null_safe_join(tgt.select(*by, "prob", "_rlo", "_rhi", "_frac"), lo, [*by, "_rlo"], "left"),
                     hi, [*by, "_rhi"], "left")
             .select(*by, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
                     .alias("quantile")))
 
 
-def _nsjoin(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` matching NULL to NULL (a NULL group key is a group),
-    keeping one copy of the key columns."""
-    keys = list(keys)
-    if not keys:
-        return a.crossJoin(b) if how == "inner" else a.join(b, how=how)
-    rb = b.select(*[F.col(c).alias(f"_nsk_{c}") if c in keys else F.col(c) for c in b.columns])
-    cond = None
-    for k in keys:
-        c = a[k].eqNullSafe(rb[f"_nsk_{k}"])
-        cond = c if cond is None else cond & c
-    out = a.join(rb, cond, how)
-    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_nsk_{k}" for k in keys])
-
-
 def _written(df: DataFrame, name: str) -> DataFrame:
     """Materialise a target-sized table in the shared checkpoint folder."""
     from panelkit.sources.io import checkpoint_table
@@ -137,7 +136,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
 def _join_candidates(vc: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     if by:
-        return _nsjoin(vc, ranges, by, "inner").where(cond)
+        return null_safe_join(vc, ranges, by, "inner").where(cond)
     return vc.crossJoin(F.broadcast(ranges)).where(cond)
 
 
@@ -152,17 +151,18 @@ def _finish(vc: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by, *_RANGE).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = cand.withColumn("_cum", F.col("_base") + F.sum("_c").over(w))
     hit = (F.col("_cum") - F.col("_c") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return (_nsjoin(cum, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+    return (null_safe_join(cum, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
             .select(*by, "_r", F.col("_v").alias("_ans")))
 
 
-def _refine(vc: DataFrame, state: DataFrame, by: list[str], n_buckets: int) -> DataFrame:
+def _refine(vc: DataFrame, state: DataFrame, by: list[str], n_buckets: int, logarithmic: bool = False) -> DataFrame:
     """Narrow every large range to the value bucket holding each target rank
     (bucket counts are partial aggregates, <= n_buckets rows per range)."""
     ranges = state.select(*by, *_RANGE).distinct()
     cand = _join_candidates(vc, ranges, by)
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * n_buckets),
+    at = (lambda c: F.signum(c) * (F.ln(F.abs(F.col(c)) + 1e-300) + 691.0)) if logarithmic else F.col
+    width = at("_hi") - at("_lo")
+    bucket = F.when(width > 0, F.least(F.floor((at("_v") - at("_lo")) / width * n_buckets),
                                        F.lit(n_buckets - 1))).otherwise(F.lit(0)).cast("int")
     bk = (cand.withColumn("_b", bucket)
           .groupBy(*by, *_RANGE, "_b")
@@ -171,7 +171,7 @@ def _refine(vc: DataFrame, state: DataFrame, by: list[str], n_buckets: int) -> D
     w = Window.partitionBy(*by, *_RANGE).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     bk = bk.withColumn("_cum", F.col("_base") + F.sum("_bc").over(w))
     hit = (F.col("_cum") - F.col("_bc") <= F.col("_r")) & (F.col("_r") < F.col("_cum"))
-    return (_nsjoin(bk, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
+    return (null_safe_join(bk, state.select(*by, *_RANGE, "_r"), [*by, *_RANGE], "inner").where(hit)
             .select(*by, "_r", F.col("_bmin").alias("_lo"), F.col("_bmax").alias("_hi"),
                     F.col("_bnd").alias("_nd"), (F.col("_cum") - F.col("_bc")).alias("_base")))
 

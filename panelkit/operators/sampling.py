@@ -11,10 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.prefix import hex_block, running_sum, with_quantile_blocks
+from panelkit.operators.prefix import hex_block, hex_digits, running_sum, running_sums, with_range_blocks
+
+
+#: samples up to this size are taken by a top-k
+TOP_K_ROWS = 100_000
 
 
 def hash_key(keys: Sequence[str], seed) -> Column:
@@ -38,31 +42,33 @@ def split_hash(df: DataFrame, keys: Sequence[str], frac: float, seed=42,
 
 
 def hash_rank(df: DataFrame, keys: Sequence[str], seed=42, by: Sequence[str] = (),
-              out: str = "_rank", digits: int = 3) -> DataFrame:
-    """1-based position along the hash order (within ``by``), block-parallel."""
+              out: str = "_rank", digits: int | None = None, size: str | None = None) -> DataFrame:
+    """1-based position along the hash order (within ``by``), block-parallel;
+    ``size`` names a column for the group's row count (from the same block
+    totals, so it costs no further scan)."""
     h = hash_key(keys, seed)
     tmp = df.withColumn("_h", h)
-    ranked = running_sum(tmp, [F.col("_h"), *[F.col(k) for k in keys]], F.lit(1).cast("long"),
-                         hex_block("_h", digits), out, partition_by=list(by))
+    blocks = hex_block("_h", digits or hex_digits(df.sparkSession))
+    ranked = running_sums(tmp, [F.col("_h"), *[F.col(k) for k in keys]], {out: F.lit(1).cast("long")},
+                          blocks, partition_by=list(by), totals={out: size} if size else None)
     return ranked.drop("_h")
 
 
 def split_exact(df: DataFrame, keys: Sequence[str], frac: float, seed=42, by: Sequence[str] = (),
                 out: str = "is_train", rounding: str = "floor") -> DataFrame:
     """Exact-size split: the first floor(frac*n) (or ceil, per stratum) rows of
-    the hash order are train.  Stratum sizes are a grouped count."""
-    by = list(by)
-    ranked = hash_rank(df, keys, seed, by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else \
-        df.agg(F.count(F.lit(1)).alias("_n"))
+    the hash order are train.  A NULL stratum is a stratum."""
+    ranked = hash_rank(df, keys, seed, list(by), size="_n")
     rnd = F.floor if rounding == "floor" else F.ceil
     cut = rnd(F.col("_n") * F.lit(frac))
-    joined = ranked.join(sizes, by, "inner") if by else ranked.crossJoin(F.broadcast(sizes))
-    return joined.withColumn(out, (F.col("_rank") <= cut).cast("int")).drop("_rank", "_n")
+    return ranked.withColumn(out, (F.col("_rank") <= cut).cast("int")).drop("_rank", "_n")
 
 
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed=42) -> DataFrame:
-    """Exact-n sample: the n smallest hash positions (top-k, bounded by n per task)."""
+    """Exact-n sample: the n smallest hash positions.  A small n is a top-k; a
+    large one is read off the block-parallel rank, with the same rows."""
+    if n > TOP_K_ROWS:
+        return hash_rank(df, keys, seed).where(F.col("_rank") <= n).drop("_rank")
     h = hash_key(keys, seed)
     return df.withColumn("_h", h).orderBy("_h", *keys).limit(n).drop("_h")
 
@@ -83,12 +89,12 @@ def budget_admit(entities: DataFrame, key: str, size: str, cap: int, seed=42,
         entities = checkpoint_table(entities, "budget_entities")
     if order == "random":
         tmp = entities.withColumn("_h", hash_key([key], seed))
-        out = running_sum(tmp, [F.col("_h"), F.col(key)], F.col(size).cast("long"), hex_block("_h"),
-                          "cumulative_rows").drop("_h")
+        out = running_sum(tmp, [F.col("_h"), F.col(key)], F.col(size).cast("long"),
+                          hex_block("_h", hex_digits(entities.sparkSession)), "cumulative_rows").drop("_h")
     else:
-        ent, blk = with_quantile_blocks(entities, size, "_sblk", descending=True)
-        out = running_sum(ent, [F.col(size).desc(), F.col(key)], F.col(size).cast("long"), blk,
-                          "cumulative_rows").drop("_sblk")
+        by_size = [F.col(size).desc_nulls_last(), F.col(key)]
+        ent = with_range_blocks(entities, by_size, "_sblk")
+        out = running_sum(ent, by_size, F.col(size).cast("long"), F.col("_sblk"), "cumulative_rows").drop("_sblk")
     return out.where(F.col("cumulative_rows") <= cap)
 
 
@@ -99,4 +105,4 @@ def prefix_summary(admitted: DataFrame, size: str) -> DataFrame:
 
 
 __all__ = ["hash_key", "kfold", "split_hash", "split_exact", "sample_n", "budget_admit",
-           "prefix_summary", "hash_rank", "Window"]
+           "prefix_summary", "hash_rank"]

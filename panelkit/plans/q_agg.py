@@ -29,10 +29,8 @@ def annual_sums(spark, d):
     o = T.table(spark, d, "orders").select(
         "o_custkey", F.year("o_orderdate").alias("year"),
         F.when(F.col("o_totalprice") <= 400000, F.col("o_totalprice")).alias("amount"))
-    s = A.group_sums(o, ["o_custkey", "year"], ["amount"], count_name="n_orders")
-    n = o.groupBy("o_custkey", "year").agg(F.count("amount").alias("n_with_amount"))
-    return s.join(n, ["o_custkey", "year"]).select(
-        "o_custkey", "year", "n_orders", F.round("amount", 2).alias("amount"), "n_with_amount")
+    s = A.group_sums(o, ["o_custkey", "year"], ["amount"], count_name="n_orders", present="n_with_{col}")
+    return s.select("o_custkey", "year", "n_orders", F.round("amount", 2).alias("amount"), "n_with_amount")
 
 
 @register("annualise", """
@@ -118,8 +116,7 @@ FROM events GROUP BY 1
 """)
 def entities_per_day(spark, d):
     e = T.events_panel(spark, d)
-    ents = A.n_distinct(e, "user_id", ["date"], name="n_entities")
-    return ents.join(e.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows")), "date")
+    return A.n_distinct(e, "user_id", ["date"], name="n_entities", rows="n_rows").select("date", "n_entities", "n_rows")
 
 
 @register("freq_pct", """

@@ -8,10 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.models import classify as C, evaluate as EV, gam, glm, logistic_net as LN, ols
-from panelkit.operators import features as FE, sampling as SP
+from panelkit.operators import features as FE, reshape, sampling as SP
+from panelkit.operators.quantile import quantiles_long
 from panelkit.plans.registry import register
 from panelkit.sources import tables as T
 
+SVM_FEATURES = 64
+GAM_SMOOTHS = ["l_quantity", "l_discount", "l_tax"]
 NUMERIC = ["log_price", "l_discount", "l_tax"]
 
 
@@ -35,12 +38,12 @@ def gam_frame(spark, d):
         "l_returnflag")
     li, dn = FE.dummy_columns(li, "l_returnflag", FE.factor_levels(li, "l_returnflag"))
     li = SP.split_hash(li, ["l_orderkey", "l_linenumber"], 0.8, seed=42)
-    return li, ["l_tax", *dn]
+    return li, dn
 
 
 def _fit_gam(spark, d):
     li, par = gam_frame(spark, d)
-    fit = gam.fit_gam(li.where(F.col("is_train") == 1), "y", ["l_quantity", "l_discount"], par, k=10)
+    fit = gam.fit_gam(li.where(F.col("is_train") == 1), "y", GAM_SMOOTHS, par, k=10)
     return li, fit
 
 
@@ -56,14 +59,17 @@ def gam_terms(spark, d):
 
 @register("gam_grid")
 def gam_grid(spark, d):
-    """Smooth effect of quantity on a 50-point grid crossed with the
-    return-flag levels (treatment dummies set per level), SE band and
-    back-transformed band."""
+    """Smooth effect of quantity on a 200-point grid crossed with the
+    return-flag levels (treatment dummies set per level), the other smooths at
+    their training medians; SE band and back-transformed band."""
     li, fit = _fit_gam(spark, d)
     levels = FE.factor_levels(li, "l_returnflag")
     dummies = [FE.level_name("l_returnflag", lv) for lv in levels[1:]]
     mapping = {lv: {dn: float(dn == FE.level_name("l_returnflag", lv)) for dn in dummies} for lv in levels}
-    return gam.effect_grid(spark, fit, "l_quantity", n=50, factor=("l_returnflag", mapping))
+    others = [c for c in GAM_SMOOTHS if c != "l_quantity"]
+    long = reshape.unpivot(li.where(F.col("is_train") == 1), [], others, "variable", "value")
+    medians = {r["variable"]: r["quantile"] for r in quantiles_long(long, "value", [0.5], ["variable"]).collect()}
+    return gam.effect_grid(spark, fit, "l_quantity", n=200, fixed=medians, factor=("l_returnflag", mapping))
 
 
 @register("gam_eval")
@@ -73,7 +79,7 @@ def gam_eval(spark, d):
     return EV.reg_metrics(test, "y", "yhat", back_transform=True)
 
 
-def _mlp_scored(spark, d, max_iter=100):
+def _mlp_scored(spark, d, max_iter=300):
     li, feats = class_frame(spark, d)
     m = C.fit_mlp(li.where(F.col("is_train") == 1), feats, "label", hidden=3, max_iter=max_iter)
     return C.score_mlp(m, li.where(F.col("is_train") == 0), feats)
@@ -99,7 +105,7 @@ def nn_decay_metrics(spark, d):
     the driver, gradients as Spark jobs); held-out metrics at the 0.5 cut."""
     li, feats = class_frame(spark, d)
     net = LN.fit_logistic_net(li.where(F.col("is_train") == 1), feats, "label", hidden=3, decay=0.001,
-                              max_iter=100)
+                              max_iter=300)
     s = LN.score(net, li.where(F.col("is_train") == 0))
     return EV.class_metrics(s, "label", "pred").withColumns(
         {"model": F.lit("logistic net p-3-1, decay 0.001"), "iterations": F.lit(net.iterations)})
@@ -117,14 +123,14 @@ def svm_metrics(spark, d):
 @register("svm_grid")
 def svm_grid(spark, d):
     li, feats = class_frame(spark, d)
-    train = SP.kfold(li.where(F.col("is_train") == 1), ["l_orderkey", "l_linenumber"], 3, seed=7)
-    rows = C.svm_grid(train, feats, "label", "fold", gammas=[0.1, 0.1429], costs=[1.0, 10.0],
-                      n_features=32, max_iter=15)
+    train = SP.kfold(li.where(F.col("is_train") == 1), ["l_orderkey", "l_linenumber"], 5, seed=7)
+    rows = C.svm_grid(train, feats, "label", "fold", gammas=[0.05, 0.1, 0.2], costs=[0.1, 1.0, 10.0],
+                      n_features=SVM_FEATURES, max_iter=100)
     t = spark.createDataFrame(rows, "gamma double, cost double, cv_error double")
     best = min(rows, key=lambda r: (r[2], r[0], r[1]))
     # refit the best setting on all training rows, evaluate on the held-out rows
-    m = C.fit_svm(train, feats, "label", gamma=best[0], cost=best[1], n_features=32, max_iter=15, tol=1e-4)
-    s = C.score_svm(m, li.where(F.col("is_train") == 0), feats, gamma=best[0], n_features=32)
+    m = C.fit_svm(train, feats, "label", gamma=best[0], cost=best[1], n_features=SVM_FEATURES, max_iter=100, tol=1e-4)
+    s = C.score_svm(m, li.where(F.col("is_train") == 0), feats, gamma=best[0], n_features=SVM_FEATURES)
     test_acc = EV.class_metrics(s, "label", "pred").select("accuracy")
     is_best = (F.col("gamma") == best[0]) & (F.col("cost") == best[1])
     return (t.crossJoin(F.broadcast(test_acc))
@@ -136,16 +142,16 @@ def svm_grid(spark, d):
 def leaderboard(spark, d):
     """Shared folds x models -> mean held-out accuracy (one row per model)."""
     li, feats = class_frame(spark, d)
-    li = SP.kfold(li, ["l_orderkey", "l_linenumber"], 3, seed=7).cache()
+    li = SP.kfold(li, ["l_orderkey", "l_linenumber"], 5, seed=7).cache()
     results = []
-    for k in range(3):
+    for k in range(5):
         train, test = li.where(F.col("fold") != k), li.where(F.col("fold") == k)
         g = glm.fit_glm(train, "label", feats, "binomial", pearson=False)
-        sg = glm.predict(g, test, feats, "prob").withColumn("pred", (F.col("prob") > 0.5).cast("int"))
-        mm = C.fit_mlp(train, feats, "label", max_iter=50)
+        sg = glm.predict(g, test, feats, "prob").withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
+        mm = C.fit_mlp(train, feats, "label", max_iter=300)
         sm = C.score_mlp(mm, test, feats)
-        sv = C.fit_svm(train, feats, "label", gamma=0.1, cost=1.0, n_features=32, max_iter=30)
-        ss = C.score_svm(sv, test, feats, gamma=0.1, n_features=32)
+        sv = C.fit_svm(train, feats, "label", gamma=0.1, cost=1.0, n_features=SVM_FEATURES, max_iter=100, tol=1e-4)
+        ss = C.score_svm(sv, test, feats, gamma=0.1, n_features=SVM_FEATURES)
         for name, scored in (("logit", sg), ("mlp", sm), ("svm_rff", ss)):
             results.append(EV.class_metrics(scored, "label", "pred")
                            .select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "accuracy"))
@@ -161,12 +167,11 @@ def leaderboard(spark, d):
 
 @register("obs_vs_fitted")
 def obs_vs_fitted(spark, d):
-    li, _par = gam_frame(spark, d)
-    fit = ols.fit_ols(li.where(F.col("is_train") == 1), "y", ["l_quantity", "l_tax"])
-    test = li.where(F.col("is_train") == 0).withColumn("fitted", fit.predict())
-    test = test.select("l_orderkey", "l_linenumber", F.col("y").alias("observed"), "fitted",
-                       (F.col("y") - F.col("fitted")).alias("residual"))
-    return SP.sample_n(test, ["l_orderkey", "l_linenumber"], 480, seed=42)
+    """Observed, fitted and residual of the additive model for every training row."""
+    li, fit = _fit_gam(spark, d)
+    train = fit.design(li.where(F.col("is_train") == 1)).withColumn("fitted", fit.predict())
+    return train.select("l_orderkey", "l_linenumber", F.col("y").alias("observed"), "fitted",
+                        (F.col("y") - F.col("fitted")).alias("residual"))
 
 
 @register("poisson_full")
@@ -207,16 +212,15 @@ def logit_full(spark, d):
     train, test = li.where(F.col("is_train") == 1), li.where(F.col("is_train") == 0)
     fit = glm.fit_glm(train, "label", feats, "binomial", pearson=False)
     scored = glm.predict(fit, test, feats, "prob").withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
-    auc = EV.auc(scored, "label", "prob").collect()[0]["auc"]
-    cm = EV.class_metrics(scored, "label", "pred").collect()[0]
+    held = EV.auc(scored, "label", "prob").select(F.col("auc").alias("test_auc")).crossJoin(F.broadcast(
+        EV.class_metrics(scored, "label", "pred").select(F.col("accuracy").alias("test_accuracy"),
+                                                         F.col("sensitivity").alias("test_sensitivity"), F.col("specificity").alias("test_specificity"))))
     z = dists_norm_975()
     rows = [(t, b, s_, zv, p, orr, lo, hi, int(abs(zv) > z)) for t, b, s_, zv, p, orr, lo, hi in fit.coef_rows()]
     out = spark.createDataFrame(rows, "term string, estimate double, std_error double, z_value double, "
                                       "p_value double, odds_ratio double, or_ci_low double, or_ci_high double, "
                                       "significant int")
-    return out.withColumns({"test_auc": F.lit(float(auc)), "test_accuracy": F.lit(float(cm["accuracy"])),
-                            "test_sensitivity": F.lit(cm["sensitivity"]),
-                            "test_specificity": F.lit(cm["specificity"])})
+    return out.crossJoin(F.broadcast(held))
 
 
 def dists_norm_975() -> float:

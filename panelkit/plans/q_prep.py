@@ -20,9 +20,10 @@ FROM lineitem GROUP BY 1
 """)
 def median_by_day(spark, d):
     li = T.lineitem_panel(spark, d).select("date", "l_quantity")
-    med = quantiles_wide(li, "l_quantity", [0.5], ["date"], ["median_quantity"])
-    n = li.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"))
-    return med.join(n, "date")
+    # (day, value) counts carry both the row count and the exact median
+    counts = li.groupBy("date", "l_quantity").agg(F.count(F.lit(1)).alias("c"))
+    return counts.groupBy("date").agg(F.percentile("l_quantity", F.lit(0.5), F.col("c")).alias("median_quantity"),
+                                      F.sum("c").alias("n_rows"))
 
 
 @register("quantiles", """

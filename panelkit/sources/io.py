@@ -2,25 +2,28 @@
 
 ``read_delimited_dir`` reads a directory of per-entity delimited files into
 one all-text table, binding columns **by name** even when files order their
-headers differently (Spark's CSV reader binds by position).  Header lines
-are found in one distributed text scan (a line whose fields include all the
-key column names); files are grouped by header and each group is read with
-a schema in its own column order, then the groups are unioned by name.
-Empty files contribute nothing.  The only driver-side data is the list of
-(header, file) pairs, bounded by the number of files.
+headers differently (Spark's CSV reader binds by position).  The header of a
+file is its first line: Spark lists the files and its tasks read only the head
+of each; files are grouped by header and each group is read with a schema in
+its own column order, then the groups are unioned by name.  A file whose header
+lacks a key column stops the read with its name; empty files contribute
+nothing.  The driver holds one path per file, as Spark's own file index does.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.models import persist
 from panelkit.session import checkpoint_dir
 
 
@@ -28,21 +31,41 @@ def _string_schema(cols: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
 
 
+def _escaped(path: str) -> str:
+    """A literal path for readers that take globs."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def file_headers(spark: SparkSession, path: str, sep: str, key_columns: Sequence[str],
                  glob: str = "*.csv") -> dict[str, list[str]]:
-    """Header line -> files, found by one text scan of the directory."""
+    """Header line -> files.  While the heads are read every split is a task of
+    its own, and a task stops after its first batch of lines, so the files are
+    not scanned."""
     lines = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
-             .select(F.regexp_replace("value", "^\ufeff", "").alias("value"),
-                     F.col("_metadata.file_path").alias("file")))
-    fields = F.split(F.col("value"), F.lit(sep), -1)
-    cond = None
-    for k in key_columns:
-        c = F.array_contains(F.transform(fields, lambda x: F.trim(F.regexp_replace(x, '"', ""))), k)
-        cond = c if cond is None else cond & c
-    heads = lines.where(cond).select("value", "file").distinct().collect()
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")))
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                if batch.column(2)[0].as_py() == 0:
+                    yield batch.slice(0, 1).select(["value", "file"])
+                return
+
+    own_task = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(own_task)
+    spark.conf.set(own_task, str(1 << 40))
+    try:
+        heads = lines.mapInArrow(first, "value string, file string").collect()
+    finally:
+        spark.conf.set(own_task, before)
     groups: dict[str, list[str]] = defaultdict(list)
     for r in heads:
-        groups[r["value"]].append(r["file"])
+        head, file = r["value"].removeprefix("\ufeff"), unquote(r["file"])
+        names = [h.strip().strip('"') for h in head.split(sep)]
+        missing = [c for c in key_columns if c not in names]
+        if missing:
+            raise ValueError(f"{file}: header {head!r} has no column {', '.join(missing)}")
+        groups[head].append(file)
     return dict(groups)
 
 
@@ -59,7 +82,7 @@ def read_delimited_dir(spark: SparkSession, path: str, columns: Sequence[str], s
     for header, files in sorted(groups.items()):
         names = [h.strip().strip('"') for h in header.split(sep)]
         df = (spark.read.schema(_string_schema(names)).option("sep", sep).option("header", True)
-              .option("enforceSchema", True).option("mode", "PERMISSIVE").csv(sorted(files)))
+              .option("enforceSchema", True).option("mode", "PERMISSIVE").csv([_escaped(f) for f in sorted(files)]))
         present = [c for c in columns if c in names]
         parts.append(df.select(*present))
     if not parts:
@@ -80,6 +103,9 @@ def read_dimension(spark: SparkSession, path: str, schema: T.StructType | str, s
             .option("enforceSchema", False).csv(path))
 
 
+_CHECKPOINTS: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/panelkit_tables/{name}"
 
@@ -102,7 +128,33 @@ def checkpoint_table(df: DataFrame, name: str, partition_by: Sequence[str] = ())
     spark = df.sparkSession
     path = table_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
     save_table(df, path, partition_by)
-    return load_table(spark, path)
+    _CHECKPOINTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_checkpoints(spark: SparkSession) -> int:
+    """Delete the tables ``checkpoint_table`` has written in this process; call
+    it once the results that read them are stored.  Returns how many."""
+    n = 0
+    while _CHECKPOINTS:
+        n += delete_path(spark, _CHECKPOINTS.pop())
+    return n
+
+
+def _fs(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.delete(p, True))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
 
 
 def export_csv(df: DataFrame, path: str, sep: str = ",", single_file: bool = False) -> str:
@@ -125,11 +177,14 @@ def write_metrics(df: DataFrame, path: str) -> str:
 
 
 def save_model(model, path: str) -> str:
-    """MLlib models: their own writer; coefficient models: JSON of arrays."""
+    """MLlib models through their own writer; this library's fits (dataclasses
+    of numbers) as one JSON document."""
     if hasattr(model, "write"):
         model.write().overwrite().save(path)
     else:
-        raise TypeError("use save_coefficients for Gram/GLM coefficient tables")
+        spark = SparkSession.getActiveSession()
+        doc = spark.createDataFrame([(persist.dumps(model),)], "model string")
+        doc.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
     return path
 
 
@@ -144,13 +199,17 @@ def load_coefficients(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
-def fit_or_load(path: str, fit_fn, load_fn, exists_fn=None):
-    """Reuse a saved model when present, else fit and save (IO5)."""
-    try:
-        if exists_fn is None or exists_fn(path):
-            return load_fn(path)
-    except Exception:  # noqa: BLE001 - missing or unreadable: refit
-        pass
+def load_model(spark: SparkSession, path: str):
+    """A fit saved by ``save_model`` (not for MLlib models: use their loader)."""
+    return persist.loads(spark.read.text(path).first()[0])
+
+
+def fit_or_load(path: str, fit_fn, load_fn=None, exists_fn=None):
+    """Reuse a saved model when there is one, else fit and save (IO5).  A model
+    that is there but cannot be read raises; it is never overwritten."""
+    spark = SparkSession.getActiveSession()
+    if exists_fn(path) if exists_fn else path_exists(spark, path):
+        return load_fn(path) if load_fn else load_model(spark, path)
     model = fit_fn()
     save_model(model, path)
     return model

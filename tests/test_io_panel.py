@@ -56,6 +56,44 @@ def test_read_by_name_and_skip_empty(spark, raw_dir):
     assert r["kWh_received_Total"] == "20" and r["kWh_returned_Total"] == "1.5"
 
 
+def test_annual_dataset_from_raw_files(spark, raw_dir, tmp_path):
+    head = "Household_ID;Timestamp;kWh_received_Total;kWh_received_HeatPump;kWh_received_Other;kWh_returned_Total\n"
+
+    def months(h, year, n, kwh, returned=""):
+        return "".join(f"{h};{year}-{k:02d}-01T00:00:00;{kwh};;;{returned}\n" for k in range(1, n + 1))
+
+    m = str(tmp_path / "monthly")
+    _write(f"{m}/1.csv", head + months(1, 2021, 12, 100, 2) + months(1, 2022, 10, 120) + months(1, 2023, 9, 999))   # 9 months: not a year
+    _write(f"{m}/2.csv", head + months(2, 2022, 12, 50) + months(2, 2023, 12, "bad"))                                # a year without a total
+    _write(f"{m}/4.csv", head + months(4, 2022, 11, 10))                                                             # no survey row: dropped at the end
+    meter = io.read_delimited_dir(spark, m, PB.METER_COLUMNS, key_columns=["Household_ID", "Timestamp"])
+    meta = io.read_delimited_dir(spark, f"{raw_dir}/meta_data/meta_data.csv", PB.META_COLUMNS, glob="*")
+    hh = io.read_delimited_dir(spark, f"{raw_dir}/meta_data/households.csv", PB.HOUSEHOLD_COLUMNS, glob="*")
+    wx = io.read_delimited_dir(spark, f"{raw_dir}/weather_data/daily", PB.WEATHER_COLUMNS, key_columns=["Weather_ID", "Timestamp"])
+    out = PB.build_annual_dataset(meter, meta, hh, wx)
+    assert out.columns == PB.ANNUAL_COLUMNS and len(out.columns) == 22
+    rows = {r["Household_ID"]: r for r in out.collect()}
+    assert set(rows) == {"1", "2"}
+    one, two = rows["1"], rows["2"]
+    assert one["annual_kWh_total"] == pytest.approx((1200 + 1440) / 2) and one["annual_kWh_returned"] == pytest.approx(12)
+    assert two["annual_kWh_total"] == pytest.approx(600) and two["annual_kWh_returned"] == 0 and two["kWh_per_m2"] is None
+    # the median is taken over 1, 2 and 4, before 4 is dropped
+    assert one["high_consumption"] == 1 and two["high_consumption"] == 0
+    assert one["has_dryer"] == 0 and one["has_freezer"] == 1 and one["temp_avg"] == pytest.approx(2.0)
+    assert one["heating_degree_days"] == pytest.approx(54) and one["precipitation_total"] == pytest.approx(1.2)
+
+
+def test_paths_with_spaces_are_read_and_bad_headers_stop(spark, tmp_path):
+    d = str(tmp_path / "raw files [a]")
+    _write(f"{d}/h 1.csv", "k;v\n1;a\n")
+    _write(f"{d}/h2.csv", "v;k\nb;2\n")
+    rows = io.read_delimited_dir(spark, f"{tmp_path}/raw files*", ["k", "v"], key_columns=["k"]).collect()
+    assert sorted(map(tuple, rows)) == [("1", "a"), ("2", "b")]
+    _write(f"{d}/h3.csv", "K,v\n3,c\n")
+    with pytest.raises(ValueError, match="h3.csv"):
+        io.read_delimited_dir(spark, f"{tmp_path}/raw files*", ["k", "v"], key_columns=["k"])
+
+
 def test_typed_readings_filters(spark, raw_dir):
     raw = io.read_delimited_dir(spark, f"{raw_dir}/smart_meter_data/daily", PB.METER_COLUMNS,
                                 key_columns=["Household_ID", "Timestamp"])

@@ -67,15 +67,102 @@ def test_poisson_offset_closed_form_and_quasi(spark):
     assert glm.dispersion_row(fit, 1.5)["overdispersed"] == int(fit.deviance / fit.df_resid > 1.5)
 
 
-def test_published_reference_arithmetic():
-    # confusion counts and metrics published with the reference's NN (fixed values)
+def test_published_reference_arithmetic(spark):
+    # fixed values: published confusion counts with their metrics, and a published deviance with its rate ratio
     tp, tn, fp, fn = 8011, 7357, 2627, 1971
-    assert (tp + tn) / (tp + tn + fp + fn) == pytest.approx(0.7697, abs=5e-5)
-    assert tp / (tp + fn) == pytest.approx(0.8025, abs=5e-5)
-    assert tn / (tn + fp) == pytest.approx(0.7369, abs=5e-5)
-    # overdispersion ratio and quasi SE scaling
-    assert 27529.614 / 3291 == pytest.approx(8.3651, abs=5e-5)
-    assert math.exp(1.532964) == pytest.approx(4.6319, abs=5e-5)
+    counts = spark.createDataFrame([(1, 1, tp), (0, 0, tn), (0, 1, fp), (1, 0, fn)], "label int, pred int, n int")
+    m = EV.class_metrics(counts.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))), "label", "pred").first()
+    assert m["accuracy"] == pytest.approx(0.7697, abs=5e-5)
+    assert m["sensitivity"] == pytest.approx(0.8025, abs=5e-5)
+    assert m["specificity"] == pytest.approx(0.7369, abs=5e-5)
+    fit = glm.GlmFit(["x"], [1.532964], [0.1], 27529.614, 0.0, 3291.0, 3292.0, 0.0, "poisson", pearson_chi2=27529.614)
+    assert fit.ratio_table(spark).first()["rate_ratio"] == pytest.approx(4.6319, abs=5e-5)
+    assert fit.quasi_rows()[0][4] == pytest.approx(0.1 * math.sqrt(8.3651), rel=1e-4)
+    assert glm.dispersion_row(fit, 1.5)["deviance_ratio"] == pytest.approx(8.3651, abs=5e-5)
+
+
+def test_svm_cost_is_on_the_kernel_features(spark):
+    """Squared norm and objective against a small exact solution of the same problem."""
+    rng = np.random.default_rng(11)
+    p = rng.normal(size=(300, 2))
+    lab = (p[:, 0] + 0.5 * rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"a": p[:, 0], "b": p[:, 1], "label": lab}))
+    m = C.fit_svm(df, ["a", "b"], "label", gamma=0.5, cost=0.1, n_features=16, max_iter=500, tol=1e-10)
+    z = C.rff_frame(df, ["a", "b"], 0.5, 16).select("features").toPandas()["features"].map(lambda v: v.toArray())
+    z, s = np.stack(z.to_list()), 2.0 * lab - 1
+
+    def objective(w, b):
+        return 0.5 * w @ w + 0.1 * np.maximum(0, 1 - s * (z @ w + b)).sum()
+
+    w, b, best = np.zeros(16), 0.0, np.inf
+    for t in range(1, 30_000):                   # subgradient descent on the exact objective
+        miss = s * (z @ w + b) < 1
+        g, gb = w - 0.1 * (s[miss] @ z[miss]), -0.1 * s[miss].sum()
+        w, b = w - g / (1 + t / 50), b - gb / (10 + t)
+        best = min(best, objective(w, b))
+    assert objective(m.coefficients.toArray(), m.intercept) == pytest.approx(best, rel=0.02)
+
+
+def test_scores_keep_incomplete_rows(spark):
+    df = spark.createDataFrame([(0.0, 0), (1.0, 1), (None, 1), (0.1, 0), (0.9, 1)], "a double, label int")
+    m = C.fit_mlp(df, ["a"], "label", hidden=2, max_iter=20)
+    out = C.score_mlp(m, df, ["a"])
+    assert out.count() == 5 and out.where("a is null").first()["prob"] is None and out.where("prob is null").count() == 1
+
+
+def test_auc_and_r2_use_scored_rows_only(spark):
+    df = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, None), (1, None), (None, 0.5)], "label int, score double")
+    row = EV.auc(df, "label", "score").first()
+    assert row["auc"] == 1.0 and EV.unscored(df, "label", "score").first()["n_unscored"] == 3
+    m = EV.reg_metrics(spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5), (9.0, None)], "y double, p double"), "y", "p").first()
+    assert m["n"] == 3 and m["r2"] == pytest.approx(0.75)
+
+
+def test_aliased_glm_names_its_term(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=400)
+    pdf = pd.DataFrame({"x": x, "x2": 3 * x, "one": np.ones(400), "y": rng.poisson(np.exp(0.3 * x)).astype(float)})
+    fit = glm.fit_glm(spark.createDataFrame(pdf), "y", ["x", "x2", "one"], "poisson")
+    assert fit.aliased == ["x2", "one"] and fit.converged and len(fit.terms) == 2
+
+
+def test_partials_to_the_driver_do_not_grow_with_partitions(spark):
+    from panelkit.models import gram
+    pdf = pd.DataFrame(np.random.default_rng(13).normal(size=(600, 10)), columns=[f"c{i}" for i in range(10)])
+    df = spark.createDataFrame(pdf)
+    n, mean, m2 = gram.partition_moments(df.repartition(300), list(pdf.columns))
+    assert n == 600
+    np.testing.assert_allclose(mean, pdf.mean().to_numpy(), atol=1e-12)
+    np.testing.assert_allclose(m2, (pdf - pdf.mean()).T @ (pdf - pdf.mean()), rtol=1e-9, atol=1e-9)
+
+
+def test_smooth_goes_on_linearly_outside_the_data(spark):
+    x = np.linspace(0, 5, 200)
+    fit = gam.fit_gam(spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 * x})), "y", ["x"], k=8)
+    far = spark.createDataFrame([(-3.0,), (2.5,), (10.0,)], "x double")
+    got = [r["f"] for r in fit.design(far).select("x", fit.predict().alias("f")).orderBy("x").collect()]
+    assert got == pytest.approx([-6.0, 5.0, 20.0], abs=0.05)
+
+
+def test_own_models_are_saved_and_reused(spark, tmp_path):
+    from panelkit.models import logistic_net as LN
+    from panelkit.sources import io
+    rng = np.random.default_rng(14)
+    pdf = pd.DataFrame({"x": rng.normal(size=200), "z": rng.normal(size=200)})
+    df = spark.createDataFrame(pdf.assign(y=pdf.x + 1, c=(pdf.x > 0).astype(float)))
+    fits = {"ols": lambda: ols.fit_ols(df, "y", ["x", "z"]), "gam": lambda: gam.fit_gam(df, "y", ["x"], ["z"], k=6),
+            "glm": lambda: glm.fit_glm(df, "c", ["z"], "binomial"), "net": lambda: LN.fit_logistic_net(df, ["x"], "c", hidden=2, max_iter=3)}
+    for name, make in fits.items():
+        calls = []
+        path = str(tmp_path / name)
+        first = io.fit_or_load(path, lambda: (calls.append(1), make())[1])
+        again = io.fit_or_load(path, lambda: (calls.append(1), make())[1])
+        assert len(calls) == 1 and type(again) is type(first)
+        for k, v in vars(first).items():
+            np.testing.assert_equal(getattr(again, k), v)
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(Exception):
+        io.fit_or_load(str(tmp_path / "bad"), lambda: 1 / 0)
 
 
 def test_class_metrics_and_auc_rank_formula(spark):

@@ -7,7 +7,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+import panelkit.plans  # noqa: F401
+from panelkit.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY_MODELS = {"svm_grid", "leaderboard", "svm_metrics", "nn_metrics", "nn_confusion", "gam_terms",
@@ -37,9 +38,9 @@ def _single_partition_inputs(plan: str):
     return out
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ROWS_ONLY_MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY_MODELS))
 def test_no_row_level_single_partition(spark, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for head, below in _single_partition_inputs(plan):
         text = "\n".join(below)

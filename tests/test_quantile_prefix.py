@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.operators.prefix import hex_block, quantile_block, running_sum
+from panelkit.operators.prefix import hex_block, running_sum, running_sums, with_range_blocks
 from panelkit.operators.quantile import quantiles_long, quantiles_wide
 
 
@@ -51,8 +51,8 @@ def test_running_sum_partitioned_numeric_blocks(spark):
     pdf = pd.DataFrame({"s": rng.integers(0, 3, 3000), "x": rng.permutation(3000).astype(float),
                         "w": rng.integers(1, 5, 3000)})
     df = spark.createDataFrame(pdf)
-    blk = quantile_block(df, "x", 16, descending=True)
-    out = running_sum(df, [F.col("x").desc()], F.col("w"), blk, "cum", partition_by=["s"]).toPandas()
+    df = with_range_blocks(df, [F.col("x").desc()], "b", rows_per_block=200)
+    out = running_sum(df, [F.col("x").desc()], F.col("w"), F.col("b"), "cum", partition_by=["s"]).toPandas()
     for s, grp in out.groupby("s"):
         grp = grp.sort_values("x", ascending=False)
         assert (grp["cum"].to_numpy() == grp["w"].cumsum().to_numpy()).all()
@@ -81,17 +81,42 @@ def test_quantiles_property(spark, rows, finish_rows):
         assert q == pytest.approx(exp, rel=1e-9, abs=1e-9)
 
 
-def test_adaptive_blocks_bucketizer_path(spark):
-    from panelkit.operators.prefix import with_quantile_blocks
+def test_many_range_blocks(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"x": rng.permutation(4000).astype(float), "w": rng.integers(1, 4, 4000)})
     df = spark.createDataFrame(pdf)
-    d, blk = with_quantile_blocks(df, "x", "_b", descending=True, rows_per_block=20, max_blocks=500)
-    assert d.select(F.max("_b")).collect()[0][0] > 64  # binary-search path used
-    out = running_sum(d, [F.col("x").desc()], F.col("w"), blk, "cum").toPandas().sort_values("x", ascending=False)
+    d = with_range_blocks(df, [F.col("x").desc()], "_b", rows_per_block=20)
+    assert d.select(F.max("_b")).collect()[0][0] > 64
+    out = running_sum(d, [F.col("x").desc()], F.col("w"), F.col("_b"), "cum").toPandas().sort_values("x", ascending=False)
     assert (out["cum"].to_numpy() == out["w"].cumsum().to_numpy()).all()
 
 
+@pytest.mark.parametrize("rows_per_block", [100, 1_000_000])
+def test_ties_and_nulls_in_range_blocks(spark, rows_per_block):
+    """Equal values spread over blocks by their key; NULL values and NULL groups keep their rows."""
+    rows = [(i, None if i % 50 == 0 else 7.0, None if i % 3 == 0 else i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, v double, g int")
+    order = [F.col("v").desc_nulls_last(), F.col("k")]
+    d = with_range_blocks(df, order, "b", rows_per_block=rows_per_block)
+    n_blocks = 4000 // rows_per_block + 1
+    assert d.groupBy("b").count().agg(F.max("count")).first()[0] <= max(2 * 4000 / n_blocks, 0)
+    out = running_sums(d, order, {"i": F.lit(1), "s": F.col("k")}, F.col("b"), ["g"], totals={"i": "n"}).toPandas()
+    assert len(out) == 4000
+    for _, grp in out.groupby("g", dropna=False):
+        grp = grp.sort_values(["v", "k"], ascending=[False, True], na_position="last")
+        assert grp["i"].tolist() == list(range(1, len(grp) + 1)) and set(grp["n"]) == {len(grp)}
+        assert (grp["s"].to_numpy() == grp["k"].cumsum().to_numpy()).all()
+
+
+def test_quantiles_of_values_over_many_orders_of_magnitude(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([10.0 ** rng.uniform(-280, 280, 900), -(10.0 ** rng.uniform(-200, 200, 300)), [0.0] * 9])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    got = quantiles_long(df, "v", [0.01, 0.4, 0.5, 0.9], [], finish_rows=5, n_buckets=4).toPandas()
+    for p, q in zip(got["prob"], got["quantile"]):
+        assert q == pytest.approx(np.quantile(v, p), rel=1e-9)
+
+
 def test_approx_quantiles_within_tolerance(spark):
     pdf, df = _data(spark, seed=11)
     got = quantiles_long(df, "v", [0.25, 0.5, 0.75], ["g"], method="approx", accuracy=10000).toPandas()

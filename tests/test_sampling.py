@@ -29,6 +29,20 @@ def test_budget_never_exceeded_and_prefix(spark):
         ["n", "e"], ascending=[False, True])["n"].iloc[len(top) - 1]
 
 
+def test_null_stratum_keeps_its_rows(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") % 4 != 0, F.col("id") % 2).alias("s"))
+    out = SP.split_exact(df, ["k"], 0.8, by=["s"])
+    assert out.count() == 100
+    assert {r["s"]: r["t"] for r in out.groupBy("s").agg(F.sum("is_train").alias("t")).collect()} == {None: 20, 0: 20, 1: 40}
+
+
+def test_large_sample_takes_the_rank_path(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    small = {r["k"] for r in SP.sample_n(df, ["k"], 700).collect()}
+    monkeypatch.setattr(SP, "TOP_K_ROWS", 10)
+    assert {r["k"] for r in SP.sample_n(df, ["k"], 700).collect()} == small
+
+
 def test_kfold_balanced_and_deterministic(spark):
     df = spark.range(3000).withColumnRenamed("id", "k")
     a = SP.kfold(df, ["k"], 5).toPandas()
