@@ -57,8 +57,8 @@ def safe_int(c) -> Column:
 def safe_bool_int(c) -> Column:
     """TRUE/True/T/1 -> 1, FALSE/False/F/0 -> 0, else NULL."""
     s = F.upper(F.trim(col(c).cast("string")))
-    return (F.when(s.isin("TRUE", "T", "1", "YES"), F.lit(1))
-            .when(s.isin("FALSE", "F", "0", "NO"), F.lit(0)))
+    return (F.when(s.isin("TRUE", "T", "1"), F.lit(1))
+            .when(s.isin("FALSE", "F", "0"), F.lit(0)))
 
 
 def nan_to_null(c) -> Column:

@@ -115,6 +115,31 @@ def annualise(df: DataFrame, entity: str, date: str, measure: str, min_months: i
             .withColumn("annual_total", F.col("total") * 12 / F.col("months_available")))
 
 
+def filtration_audit(df: DataFrame, entity: str, date: str, start: str, end: str, min_pct: float,
+                     labels: Sequence[str]) -> DataFrame:
+    """The whole filtration in one scan: full panel, date window, eligible
+    entities, their rows in the window -> ``(step, label, n_entities, n_rows)``.
+
+    Rows are counted per (entity, day), then per entity; a step is a condition
+    on that table, so eligibility is computed once."""
+    inside = F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    span = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
+    per = rows_per_entity_day(df, entity, date).groupBy(entity).agg(
+        F.sum("_r").alias("_all"), F.coalesce(F.sum(F.when(inside, F.col("_r"))), F.lit(0)).alias("_win"),
+        F.count_if(inside).alias("_days"))
+    # an entity is counted by its key, so a NULL key is not one; its rows are rows
+    known = F.col(entity).isNotNull()
+    admitted = (F.col("_days") > 0) & (F.col("_days") * 100.0 / span >= min_pct)
+    one = per.agg(F.count_if(known).alias("e0"), F.sum("_all").alias("r0"),
+                  F.count_if(known & (F.col("_win") > 0)).alias("e1"), F.sum("_win").alias("r1"),
+                  F.count_if(admitted).alias("e2"), F.count_if(admitted & known).alias("e3"),
+                  F.coalesce(F.sum(F.when(admitted & known, F.col("_win"))), F.lit(0)).alias("r3"))
+    rows = [F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), F.col(f"e{i}").alias("n_entities"),
+                     (F.lit(None).cast("long") if i == 2 else F.coalesce(F.col(f"r{i}"), F.lit(0))).alias("n_rows"))
+            for i, label in enumerate(labels)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def step_audit(steps: Sequence[tuple[str, DataFrame | None, DataFrame | None]], entity: str) -> DataFrame:
     """Filtration audit: per step, entities and rows.
 

@@ -81,12 +81,14 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
 
 def contract_violations(df: DataFrame, required: Sequence[str] = (), binary: Sequence[str] = (),
                         positive: Sequence[str] = (), not_null: Sequence[str] = (),
-                        max_rows: int | None = None, types: Mapping[str, str] | None = None
-                        ) -> DataFrame:
+                        max_rows: int | None = None, types: Mapping[str, str] | None = None,
+                        at_most: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Check a data contract in one aggregation pass.
 
     Returns ``(check STRING, n_violations BIGINT)``: missing columns and type
     mismatches are schema checks (count 1), the rest count offending rows.
+    ``at_most`` lists (a, b) pairs of columns with a <= b (a count and its
+    exposure, say).
     """
     spark = df.sparkSession
     schema_rows = [(f"missing_column:{c}", 0 if c in df.columns else 1) for c in required]
@@ -98,6 +100,8 @@ def contract_violations(df: DataFrame, required: Sequence[str] = (), binary: Seq
         aggs.append(F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(0, 1)).alias(f"binary:{c}"))
     for c in positive:
         aggs.append(F.count_if(F.col(c) <= 0).alias(f"positive:{c}"))
+    for a, b in at_most:
+        aggs.append(F.count_if(F.col(a) > F.col(b)).alias(f"at_most:{a}<={b}"))
     for c in not_null:
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"not_null:{c}"))
     aggs.append(F.count(F.lit(1)).alias("_rows"))

@@ -317,14 +317,9 @@ UNION ALL SELECT 2, 'eligible (>=80% coverage)', count(*), CAST(NULL AS BIGINT)
 UNION ALL SELECT 3, 'final subset', count(DISTINCT user_id), count(*) FROM fin
 """)
 def step_audit(spark, d):
-    from panelkit.operators import joins
     e = T.events_panel(spark, d).select("user_id", "date")
-    win = P.window_filter(e, "date", "2024-01-08", "2024-01-30")
-    el = P.eligible(e, "user_id", "date", "2024-01-08", "2024-01-30", 80.0).select("user_id")
-    fin = joins.member_of(win, el, "user_id")
-    out = P.step_audit([("full panel", e, None), ("time window", win, None),
-                        ("eligible (>=80% coverage)", None, el), ("final subset", fin, None)], "user_id")
-    return out
+    return P.filtration_audit(e, "user_id", "date", "2024-01-08", "2024-01-30", 80.0,
+                              ["full panel", "time window", "eligible (>=80% coverage)", "final subset"])
 
 
 @register("column_profile", " UNION ALL ".join(f"""

@@ -24,8 +24,9 @@ def class_frame(spark, d):
     li = T.table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).cast("int").alias("label"),
         F.ln("l_extendedprice").alias("log_price"), "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    li, d1 = FE.dummy_columns(li, "l_returnflag", FE.factor_levels(li, "l_returnflag"))
-    li, d2 = FE.dummy_columns(li, "l_linestatus", FE.factor_levels(li, "l_linestatus"))
+    levels = FE.factors_levels(li, ["l_returnflag", "l_linestatus"])
+    li, d1 = FE.dummy_columns(li, "l_returnflag", levels["l_returnflag"])
+    li, d2 = FE.dummy_columns(li, "l_linestatus", levels["l_linestatus"])
     li = SP.split_hash(li, ["l_orderkey", "l_linenumber"], 0.8, seed=42)
     li = FE.standardise(li, NUMERIC, FE.train_stats(li, NUMERIC, "is_train"), suffix="_z")
     feats = [f"{c}_z" for c in NUMERIC] + d1 + d2

@@ -130,6 +130,17 @@ def ols_sweep_factors(spark, d):
     return s.select("predictor", "n", F.round("r2", 8).alias("r2"), F.round("adj_r2", 8).alias("adj_r2"), F.round("f_stat", 4).alias("f_stat"), rank.alias("rank"))
 
 
+@register("contract_pairs", """
+SELECT 'at_most:n_high<=n_days' AS "check", CAST(0 AS BIGINT) AS n_violations
+UNION ALL SELECT 'at_most:n_days<=n_high', count(*) FILTER (WHERE n_days > n_high) FROM (
+    SELECT l_suppkey, sum(CAST(l_quantity > 25 AS BIGINT)) AS n_high, count(*) AS n_days FROM lineitem GROUP BY 1)
+UNION ALL SELECT 'max_rows', CAST(0 AS BIGINT)
+""")
+def contract_pairs(spark, d):
+    m = T.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_quantity") > 25).alias("n_high"), F.count(F.lit(1)).alias("n_days"))
+    return prep.contract_violations(m, at_most=[("n_high", "n_days"), ("n_days", "n_high")])
+
+
 @register("unpivot_measures", """
 SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, l_quantity AS value FROM lineitem
 UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem
