@@ -32,15 +32,21 @@ def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
 
 
-def scored_rows(model, df: DataFrame, cols: Sequence[str], pick: dict) -> DataFrame:
+def scored_rows(model, df: DataFrame, cols: Sequence[str], pick: dict, expand=None) -> DataFrame:
     """``df`` with the columns of ``pick`` (name -> expression on the model's
-    output); NULL where a predictor is missing or NaN."""
+    output); NULL where a predictor is missing or NaN.  ``expand`` maps the
+    (filled) predictor names to feature expressions."""
     whole = F.lit(True)
     for c in cols:
         whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     # a stand-in for incomplete rows keeps them in the one pass
-    filled = df.withColumns({f"_f_{c}": F.when(whole, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in cols}).withColumn("_whole", whole)
-    out = model.transform(VectorAssembler(inputCols=[f"_f_{c}" for c in cols], outputCol="features").transform(filled))
+    inputs = [f"_f_{c}" for c in cols]
+    filled = df.withColumn("_whole", whole).withColumns({
+        f: F.when(F.col("_whole"), F.col(c).cast("double")).otherwise(F.lit(0.0)) for f, c in zip(inputs, cols)})
+    if expand:
+        made = expand(inputs)
+        filled, inputs = filled.withColumns(made), list(made)
+    out = model.transform(VectorAssembler(inputCols=inputs, outputCol="features").transform(filled))
     out = out.withColumns({name: F.when(F.col("_whole"), expr) for name, expr in pick.items()})
     return out.select(*df.columns, *pick)
 
@@ -91,9 +97,8 @@ def fit_svm(train: DataFrame, cols: Sequence[str], label: str, gamma: float, cos
 
 def score_svm(model, df: DataFrame, cols: Sequence[str], gamma: float, n_features: int = 128,
               seed: int = 42) -> DataFrame:
-    feats = fourier_columns(cols, gamma, n_features, seed)
-    out = scored_rows(model, df.withColumns(feats), list(feats), {"pred": F.col("prediction").cast("int")})
-    return out.drop(*feats)
+    return scored_rows(model, df, cols, {"pred": F.col("prediction").cast("int")},
+                       lambda inputs: fourier_columns(inputs, gamma, n_features, seed))
 
 
 def svm_grid(train: DataFrame, cols: Sequence[str], label: str, fold_col: str, gammas: Sequence[float],

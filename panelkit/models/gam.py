@@ -55,6 +55,15 @@ def _local_coordinate(x: Column, lo: float, hi: float, k: int) -> Column:
     return (F.least(F.greatest(x.cast("double"), F.lit(lo)), F.lit(hi)) - F.lit(lo)) / F.lit(_knot_step(lo, hi, k))
 
 
+def _total(terms: Sequence[Column]) -> Column:
+    """Sum by halves, so that the expression stays shallow however many terms."""
+    if not terms:
+        return F.lit(0.0)
+    if len(terms) == 1:
+        return terms[0]
+    return _total(terms[:len(terms) // 2]) + _total(terms[len(terms) // 2:])
+
+
 def difference_penalty(k: int, order: int = 2) -> np.ndarray:
     d = np.diff(np.eye(k), n=order, axis=0)
     return d.T @ d
@@ -91,15 +100,8 @@ class GamFit:
         """Pointwise SE of the linear predictor from the z-scale covariance."""
         zs = [F.lit(1.0)] + [(F.col(nm) - F.lit(float(m))) / F.lit(float(s))
                              for nm, m, s in zip(self.names, self.mean, self.scale)]
-        expr = None
-        for i in range(len(zs)):
-            for j in range(i, len(zs)):
-                c = self.vb[i, i] if i == j else 2 * self.vb[i, j]
-                if c == 0:
-                    continue
-                t = F.lit(float(c)) * zs[i] * zs[j]
-                expr = t if expr is None else expr + t
-        return F.sqrt(F.greatest(expr, F.lit(0.0)))
+        rows = [_total([F.lit(float(c)) * z for c, z in zip(self.vb[i], zs) if c != 0]) * zs[i] for i in range(len(zs))]
+        return F.sqrt(F.greatest(_total(rows), F.lit(0.0)))
 
     def parametric_rows(self) -> list[tuple]:
         """(term, estimate, std_error, pct_change) with % effect = (exp(b)-1)*100."""
@@ -130,8 +132,7 @@ def add_basis(df: DataFrame, smooths: dict, extend: bool = False) -> DataFrame:
             at = u - F.lit(float(j - 3))
             cols[nm] = _cardinal_cubic(at)
             if extend:
-                over = F.col(f"_e_{name}")
-                cols[nm] = F.when(over == 0, cols[nm]).otherwise(cols[nm] + over * _cardinal_slope(at))
+                cols[nm] = cols[nm] + F.col(f"_e_{name}") * _cardinal_slope(at)     # 0 inside the range
     return out.withColumns(cols).drop(*ucols)
 
 

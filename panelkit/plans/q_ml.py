@@ -175,22 +175,63 @@ def obs_vs_fitted(spark, d):
                         (F.col("y") - F.col("fitted")).alias("residual"))
 
 
-@register("poisson_full")
-def poisson_full(spark, d):
-    """Count chain with several predictors: entity-month counts with a
-    log-exposure offset -> Poisson fit -> rate ratios with Wald intervals,
-    deviance/Pearson dispersion and quasi-Poisson standard errors."""
-    from panelkit import constants as K
+POISSON_X = ["discount_avg", "tax_avg", "share_weekend", "balance_k", "supplier_rich"]
+
+
+def poisson_frame(spark, d):
     from panelkit.operators import panel as P
     li = T.lineitem_panel(spark, d)
     m = P.monthly_rollup(li, "l_suppkey", "date", (F.col("l_quantity") > 25).cast("int"),
                          {"discount_avg": F.col("l_discount"), "tax_avg": F.col("l_tax"),
                           "share_weekend": (F.weekday("date") >= 5).cast("double")})
     s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", "s_nationkey")
-    m = m.join(s, "l_suppkey").withColumns({"supplier_rich": (F.col("s_acctbal") > 4500).cast("int"),
-                                            "balance_k": F.col("s_acctbal") / 1000})
-    x = ["discount_avg", "tax_avg", "share_weekend", "balance_k", "supplier_rich"]
-    fit = glm.fit_glm(m, "n_high_days", x, "poisson", offset="log_n_days")
+    return m.join(s, "l_suppkey").withColumns({"supplier_rich": (F.col("s_acctbal") > 4500).cast("int"),
+                                               "balance_k": F.col("s_acctbal") / 1000})
+
+
+def mean_scores(df, fit, y, offset=None):
+    """(term, mean_score, n): the mean of (y - fitted mean) times each column.
+    These are the equations a maximum-likelihood fit solves, so all are 0."""
+    eta = F.col(offset) if offset else F.lit(0.0)
+    for t, b in zip(fit.terms, fit.estimate):
+        eta = eta + F.lit(float(b)) * (F.lit(1.0) if t == glm.INTERCEPT else F.col(t))
+    mu = F.exp(eta) if fit.family == "poisson" else 1 / (1 + F.exp(-eta))
+    left = df.withColumn("_left", F.col(y) - mu)
+    one = left.agg(F.count(F.lit(1)).alias("n"), *[
+        F.abs(F.round(F.avg(F.col("_left") * (F.lit(1.0) if t == glm.INTERCEPT else F.col(t))), 6)).alias(f"s{i}")
+        for i, t in enumerate(fit.terms)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"s{i}").alias("mean_score"), F.col("n"))
+                                         for i, t in enumerate(fit.terms)])))
+
+
+@register("poisson_score", """
+WITH m AS (SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS ym FROM lineitem GROUP BY 1, 2)
+SELECT term, CAST(0 AS DOUBLE) AS mean_score, (SELECT count(*) FROM m) AS n
+FROM (VALUES ('(Intercept)'), ('discount_avg'), ('tax_avg'), ('share_weekend'), ('balance_k'), ('supplier_rich')) t(term)
+""")
+def poisson_score(spark, d):
+    m = poisson_frame(spark, d)
+    return mean_scores(m, glm.fit_glm(m, "n_high_days", POISSON_X, "poisson", offset="log_n_days", pearson=False), "n_high_days", "log_n_days")
+
+
+@register("logit_score", """
+WITH b AS (SELECT CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '#' || CAST(l_linenumber AS VARCHAR) || '#42'), 1, 8)) AS BIGINT) AS h FROM lineitem)
+SELECT term, CAST(0 AS DOUBLE) AS mean_score, (SELECT count(*) FROM b WHERE h < CAST(trunc(0.8 * 4294967296) AS BIGINT)) AS n
+FROM (VALUES ('(Intercept)'), ('log_price_z'), ('l_discount_z'), ('l_tax_z'), ('l_returnflag_N'), ('l_returnflag_R'), ('l_linestatus_O')) t(term)
+""")
+def logit_score(spark, d):
+    li, feats = class_frame(spark, d)
+    train = li.where(F.col("is_train") == 1)
+    return mean_scores(train, glm.fit_glm(train, "label", feats, "binomial", pearson=False), "label")
+
+
+@register("poisson_full")
+def poisson_full(spark, d):
+    """Count chain with several predictors: entity-month counts with a
+    log-exposure offset -> Poisson fit -> rate ratios with Wald intervals,
+    deviance/Pearson dispersion and quasi-Poisson standard errors."""
+    from panelkit import constants as K
+    fit = glm.fit_glm(poisson_frame(spark, d), "n_high_days", POISSON_X, "poisson", offset="log_n_days")
     disp = glm.dispersion_row(fit, K.OVERDISPERSION_FLAG)
     quasi = {t: (sq, pq) for t, _b, _s, _p, sq, _tq, pq in fit.quasi_rows()}
     rows = [(t, b, s_, z, p, rr, lo, hi, quasi[t][0], quasi[t][1]) for t, b, s_, z, p, rr, lo, hi in fit.coef_rows()]

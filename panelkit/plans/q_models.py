@@ -371,6 +371,25 @@ def qq_points(spark, d):
                     F.round("theoretical", 6).alias("theoretical"))
 
 
+@register("ols_score", """
+WITH c AS (SELECT count(*) AS n, avg(ln(l_extendedprice)) AS mean_y FROM lineitem)
+SELECT term, CAST(0 AS DOUBLE) AS mean_score, n, round(mean_y, 8) AS mean_fitted
+FROM c, (VALUES ('(Intercept)'), ('l_quantity'), ('l_discount'), ('l_tax'), ('l_returnflag_N'), ('l_returnflag_R')) t(term)
+""")
+def ols_score(spark, d):
+    """The normal equations of the multiple fit behind ``ols_coef_ci``: the mean
+    of residual times column is 0 for every term."""
+    df = lm_frame(spark, d)
+    df, dn = FE.dummy_columns(df, "l_returnflag", FE.factor_levels(df, "l_returnflag"))
+    fit = ols.fit_ols(df, "y", ["l_quantity", "l_discount", "l_tax", *dn])
+    left = df.withColumn("_fit", fit.predict())
+    one = left.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_fit"), 8).alias("mean_fitted"), *[
+        F.abs(F.round(F.avg((F.col("y") - F.col("_fit")) * (F.lit(1.0) if t == ols.INTERCEPT else F.col(t))), 6)).alias(f"s{i}")
+        for i, t in enumerate(fit.terms)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"s{i}").alias("mean_score"), F.col("n"), F.col("mean_fitted"))
+                                         for i, t in enumerate(fit.terms)])))
+
+
 @register("ols_coef_ci")
 def ols_coef_ci(spark, d):
     """Multiple OLS with t-based 95 % intervals and p-values (ML2, ML6)."""
