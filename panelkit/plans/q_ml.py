@@ -116,7 +116,7 @@ def nn_decay_metrics(spark, d):
 def svm_metrics(spark, d):
     li, feats = class_frame(spark, d)
     train = li.where(F.col("is_train") == 1)
-    m = C.fit_svm(train, feats, "label", gamma=0.1, cost=1.0, n_features=64, max_iter=100)
+    m = C.fit_svm(train, feats, "label", gamma=0.1, cost=1.0, n_features=SVM_FEATURES, max_iter=100, tol=1e-4)
     s = C.score_svm(m, li.where(F.col("is_train") == 0), feats, gamma=0.1, n_features=64)
     return EV.class_metrics(s, "label", "pred").withColumn("model", F.lit("rbf-rff svm"))
 
@@ -126,7 +126,7 @@ def svm_grid(spark, d):
     li, feats = class_frame(spark, d)
     train = SP.kfold(li.where(F.col("is_train") == 1), ["l_orderkey", "l_linenumber"], 5, seed=7)
     rows = C.svm_grid(train, feats, "label", "fold", gammas=[0.05, 0.1, 0.2], costs=[0.1, 1.0, 10.0],
-                      n_features=SVM_FEATURES, max_iter=100)
+                      n_features=SVM_FEATURES, max_iter=100, tol=1e-3)
     t = spark.createDataFrame(rows, "gamma double, cost double, cv_error double")
     best = min(rows, key=lambda r: (r[2], r[0], r[1]))
     # refit the best setting on all training rows, evaluate on the held-out rows
