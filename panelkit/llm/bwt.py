@@ -30,29 +30,46 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         c[far < k] = 0
         key = (key << np.uint64(9)) | c
     tie = np.where(far < PACK, which, 0)
-    order = np.lexsort((tie, key))
+    # the few suffixes that reach their end mark within the key are told apart by the mark
+    near = np.flatnonzero(far < PACK)
+    order = np.argsort(key)
+    sorted_key = key[order]
     fresh = np.ones(n, dtype=bool)
-    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | (tie[order[1:]] != tie[order[:-1]])
+    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n, dtype=np.int64)
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank[order] = group
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    order, rank, fresh = _split(order, rank, fresh, near, which)
     depth = PACK
     open_ = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
     while len(open_):
         at = order[open_]
-        first, second = rank[at], rank[np.minimum(at + depth, n - 1)]
-        sub = np.lexsort((second, first))
-        at, first, second = at[sub], first[sub], second[sub]
-        order[open_] = at                                    # a group keeps its slots
+        # slots of one rank are neighbours: (rank, rank further on) as one number
+        pair = (rank[at] << 32) | rank[at + depth]
+        sub = np.argsort(pair)
+        at, pair = at[sub], pair[sub]
+        order[open_] = at
         start = np.ones(len(at), dtype=bool)
-        start[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        start[1:] = pair[1:] != pair[:-1]
         rank[at] = open_[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
-        alone = start & np.append(start[1:], True)
-        open_ = open_[~alone]
+        open_ = open_[~(start & np.append(start[1:], True))]
         depth *= 2
     return order, rank
 
 
+def _split(order: np.ndarray, rank: np.ndarray, fresh: np.ndarray, near: np.ndarray, which: np.ndarray):
+    """Within equal keys that hold an end mark, order by the mark; each is then alone in its rank."""
+    slots = np.flatnonzero(np.isin(order, near, assume_unique=True)) if len(near) else near
+    at = order[slots]
+    sub = np.lexsort((which[at], rank[at]))
+    order[slots] = at[sub]
+    rank[order[slots]] = slots
+    fresh[slots] = True
+    after = slots + 1
+    after = after[after < len(order)]
+    fresh[after] |= True
+    return order, rank, fresh
+
+
 def long_borders(text: np.ndarray, order: np.ndarray, rank: np.ndarray, n_marks: int, least: int) -> np.ndarray:
     """For each border between suffixes i - 1 and i in order (0 and n are outer
     borders): whether their common prefix has at least ``least`` characters."""

@@ -28,10 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.anchors import BASES, Runs, Spans, Symbols, find_runs
-from panelkit.llm.common import maybe_broadcast, text_or_empty, written
+from panelkit.llm.common import text_or_empty, written
 
 SALTS = 16
-SLICE_BYTES = 4_000_000
+#: text of one slice; its symbols and hashes take about a hundred times as much
+SLICE_BYTES = 1_500_000
+#: contexts compared at a time
+COMPARE_BYTES = 2_000_000
 
 SymbolsOf = Callable[[list[bytes]], Symbols]
 
@@ -84,10 +87,6 @@ def run_rows(rows: DataFrame, symbols_of: SymbolsOf, length: int, gram: int,
 
 def _salted_semi(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """``rows`` with a match in ``keys`` (distinct); a hot key's rows are spread over salts."""
-    n = keys.count()
-    side = maybe_broadcast(keys, 40, n)
-    if n * 40 <= 8 << 20:
-        return rows.join(side, on, "left_semi")
     wide = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("th", "start"), F.lit(SALTS)).cast("int")) \
         .join(wide, [*on, "salt"], "left_semi").drop("salt")
@@ -192,7 +191,7 @@ def _resolve_cold(asked: DataFrame, symbols_of: SymbolsOf, length: int, payload:
                 rest = batch.slice(start)
                 g = rest.column(0).to_numpy()
                 sizes = np.cumsum(np.asarray(pc.binary_length(rest.column(6))))
-                room = int(np.searchsorted(sizes, SLICE_BYTES // 2 - held_bytes))
+                room = int(np.searchsorted(sizes, COMPARE_BYTES - held_bytes))
                 if room >= rest.num_rows:
                     held.append(rest)
                     held_bytes += int(sizes[-1])

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 import brute
+from panelkit.llm import repeats as R
 from panelkit.llm import substring as S
 from panelkit.llm import suffix_dedup as X
 from panelkit.llm.anchors import byte_symbols, find_runs, word_symbols
@@ -64,8 +65,9 @@ def test_words_on_messy_texts(spark, max_contexts):
     assert rows_of(got) == words_want(rows, 7)
 
 
-@pytest.mark.parametrize("max_contexts", [1, 2048])
-def test_bytes_on_messy_texts(spark, max_contexts):
+@pytest.mark.parametrize("max_contexts, at_once", [(1, 2_000_000), (2048, 2_000_000), (2048, 1)])
+def test_bytes_on_messy_texts(spark, monkeypatch, max_contexts, at_once):
+    monkeypatch.setattr(R, "COMPARE_BYTES", at_once)
     rows = messy_rows(2)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, g int, body string")
     got = X.suffix_dedup(df, least=24, gram=8, max_contexts=max_contexts).drop("kept")
