@@ -3,6 +3,7 @@ the shared checkpoint folder, size-checked broadcasts and key arithmetic."""
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,26 @@ BROADCAST_LIMIT_BYTES = 48 << 20
 _WRITTEN: list[str] = []
 
 
+#: rows of whole texts that go to a Python worker at a time
+ROWS_PER_BATCH = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it (a
+    cluster's executors have it installed or get it with --py-files), and keep
+    their batches small, as rows hold whole texts."""
+    per_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(per_batch)) > ROWS_PER_BATCH:
+        spark.conf.set(per_batch, str(ROWS_PER_BATCH))
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

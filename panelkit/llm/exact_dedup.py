@@ -37,8 +37,11 @@ from panelkit.llm.common import maybe_broadcast, text_or_empty, written
 
 #: digests per filter shard: bounds what one task builds or tests
 SHARD_KEYS = 200_000
-#: rows of one hot group that share a salt
-SALT_ROWS = 20_000
+#: a group of more rows is hot; there are never more hot groups than HOT_GROUPS
+HOT_ROWS = 20_000
+HOT_GROUPS = 200_000
+#: texts of one group that are compared in one place
+SALT_ROWS = 512
 MAX_SALTS = 4096
 
 _FILTER = "shard int, seed decimal(20,0), seg int, count int, table binary"
@@ -139,57 +142,44 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(plain.select("doc_id", digest(F.col("text")).alias("digest"),
                                 arrival_batch(F.col("doc_id"), batches).alias("batch")), "digests")
     groups = exact_groups(rows, batches)
-    multi = written(groups.filter("n > 1")
-                    .withColumn("salts", F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / SALT_ROWS)).cast("int")), "groups")
-    salted = multi.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    max_salts = multi.agg(F.max("salts")).first()[0] or 1
-    members = _members(rows, multi, salted, max_salts)
-    singles = (_outside(rows, multi)
+    multi = written(groups.filter("n > 1").select("digest", "n", "keep_id"), "groups")
+    grouped = written(_with_groups(rows, multi), "grouped")
+    singles = (grouped.filter("n is null")
                .select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                        F.lit(True).alias("kept"), "digest"))
-    checked = _byte_check(plain, members, digest)
-    return singles.unionByName(checked)
+    return singles.unionByName(_byte_check(plain, grouped.filter("n is not null"), digest))
 
 
-def _members(rows: DataFrame, multi: DataFrame, salted: DataFrame, max_salts: int) -> DataFrame:
-    """Rows of groups of two or more with their group's figures."""
-    figures = ["digest", "n", "keep_id"]
-    if max_salts == 1:
-        out = rows.join(maybe_broadcast(multi.select(*figures), 120), "digest")
-    else:
-        # the salt of a row is taken modulo its group's own count, so join on the
-        # salt modulo each possible count that occurs
-        counts = [r[0] for r in multi.select("salts").distinct().collect()]      # at most MAX_SALTS numbers
-        spread = F.explode(F.array(*[F.struct(F.lit(c).alias("salts"),
-                                              F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(c)).cast("int").alias("salt"))
-                                     for c in counts]))
-        side = maybe_broadcast(salted.select(*figures, "salts", "salt"), 140)
-        out = (rows.withColumn("s", spread).select("doc_id", "digest", "s.salts", "s.salt")
-               .join(side, ["digest", "salts", "salt"]))
-    return written(out.select("doc_id", "digest", "n", "keep_id"), "members")
+def _with_groups(rows: DataFrame, multi: DataFrame) -> DataFrame:
+    """doc_id, digest and the figures (n, keep_id) of the row's group, null where it is alone.
 
-
-def _outside(rows: DataFrame, multi: DataFrame) -> DataFrame:
-    return rows.join(maybe_broadcast(multi.select("digest"), 90), "digest", "left_anti")
+    Groups of more than ``cut`` rows are at most ``HOT_GROUPS`` by count, so
+    they are broadcast; the others are joined by a shuffle in which no digest
+    has more than ``cut`` rows.
+    """
+    cut = max(HOT_ROWS, rows.count() // HOT_GROUPS)
+    plain = rows.select("doc_id", "digest")
+    hot = F.broadcast(multi.filter(F.col("n") > cut))
+    in_hot = plain.join(hot, "digest")
+    rest = plain.join(hot.select("digest"), "digest", "left_anti")
+    in_cold = rest.join(multi.filter(F.col("n") <= cut), "digest", "left")
+    return in_hot.select("doc_id", "digest", "n", "keep_id").unionByName(in_cold.select("doc_id", "digest", "n", "keep_id"))
 
 
 def _byte_check(plain: DataFrame, members: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Compare each member's bytes with those of the row that stays."""
     per_doc = Window.partitionBy("doc_id", "digest").orderBy("digest")
-    side = maybe_broadcast(members.select("doc_id", "digest").distinct(), 100)
+    side = maybe_broadcast(members.select("doc_id", "digest", "n", "keep_id").distinct(), 120)
     hashed = plain.withColumn("digest", digest(F.col("text")))
     same_doc = hashed["doc_id"].eqNullSafe(side["doc_id"]) & (hashed["digest"] == side["digest"])
-    texts = written(hashed.join(side, same_doc, "left_semi"), "texts")
-    keepers = (members.select("digest", "keep_id", "n").distinct())
-    kept_text = (texts.join(keepers, (texts["digest"] == keepers["digest"])
-                            & texts["doc_id"].eqNullSafe(keepers["keep_id"]))
-                 .groupBy(keepers["digest"], "n").agg(F.max("text").alias("kept_text"))
-                 .withColumn("salts", F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / 512)).cast("int"))
+    parts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
+    texts = written(hashed.join(side, same_doc).select(hashed["doc_id"], hashed["digest"], "text", "n", "keep_id")
+                    .withColumn("salts", parts), "texts")
+    # the text that stays, once per salt of its group
+    kept_text = (texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.max("text").alias("kept_text"))
                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    sizes = texts.join(maybe_broadcast(members.select("digest", "n").distinct(), 100), "digest")
-    sizes = sizes.withColumn("salts", F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / 512)).cast("int")) \
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("salts")).cast("int")).drop("n")
-    compared = sizes.join(kept_text.select("digest", "salts", "salt", "kept_text"), ["digest", "salts", "salt"], "left")
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("salts")).cast("int"))
+    compared = salted.join(kept_text.drop("salts"), ["digest", "salt"], "left")
     differing = written(compared.filter(~F.col("text").eqNullSafe(F.col("kept_text"))).select("digest").distinct(), "differing")
     numbered = F.row_number().over(per_doc)
 
@@ -199,7 +189,7 @@ def _byte_check(plain: DataFrame, members: DataFrame, digest: Callable[[Column],
 
     if differing.isEmpty():
         return finish(members)
-    mixed = texts.join(differing, "digest", "left_semi")
+    mixed = texts.select("doc_id", "digest", "text").join(differing, "digest", "left_semi")
     by_text = mixed.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
     regrouped = mixed.join(by_text, ["digest", "text"])
     per_text = Window.partitionBy("doc_id", "digest", "text").orderBy("digest")
@@ -219,5 +209,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if gone.filter("any_kept and copies > 1").isEmpty():
         return left.drop("_digest")
     names = docs.columns
-    repeated = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_digest")).orderBy(*[F.col(c) for c in names if c not in (id_col, text_col)]))
+    # rows repeated with equal id and text: any one of them stays
+    repeated = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_digest")).orderBy(text_col))
     return left.withColumn("_copy", repeated).filter("_copy = 1").select(*names)

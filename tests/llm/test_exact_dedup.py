@@ -41,6 +41,7 @@ def test_colliding_digests_are_told_apart_by_bytes(edge_docs):
 
 def test_hot_group_is_salted(spark, monkeypatch):
     monkeypatch.setattr(X, "SALT_ROWS", 7)
+    monkeypatch.setattr(X, "HOT_ROWS", 50)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 50).cast("string"))).alias("text"))
     assert rows_of(X.exact_dedup(docs)) == brute.exact([tuple(r) for r in docs.collect()])
 
