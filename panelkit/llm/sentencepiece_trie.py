@@ -27,7 +27,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,13 @@ from pyspark.sql import functions as F
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 600_000
+#: words kept in each of two generations of the cache
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 500_000
 #: pieces are looked up by their last characters, shorter ones directly
 TAIL = 4
 CACHE_WORD_CHARS = 48
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 _MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -62,8 +67,8 @@ class Vocabulary:
         #: lengths of the pieces that end in these TAIL characters, longest first
         self.lengths = {tail: tuple(sorted(ls, reverse=True)) for tail, ls in lengths.items() if len(tail) == TAIL}
         self.worst = min(scores) - 10.0
-        self._stands: dict[tuple[str, str], bool] = {}
-        self._solid: dict[str, bool] = {}
+        self._stands: dict[int, bool] = {}         # left id * pieces + right id
+        self._solid: dict[int, bool] = {}
         self.raw = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids or ()):
             self.raw[i] = bytes([b])
@@ -102,18 +107,26 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def solid(self, piece: str) -> bool:
-        out = self._solid.get(piece)
+    def solid(self, k: int) -> bool:
+        """Whether merging yields the piece for its own text."""
+        out = self._solid.get(k)
         if out is None:
-            out = self._solid[piece] = self.merge(piece) == [piece]
+            piece = self.pieces[k]
+            out = self._solid[k] = self.merge(piece) == [piece]
         return out
 
-    def stands(self, left: str, right: str) -> bool:
-        out = self._stands.get((left, right))
+    def stands(self, left: int, right: int) -> bool:
+        """Whether merging leaves the two pieces beside each other. A character
+        outside the vocabulary (-1) merges with nothing."""
+        if left < 0 or right < 0:
+            return right < 0 or self.solid(right)
+        key = left * len(self.pieces) + right
+        out = self._stands.get(key)
         if out is None:
-            if len(self._stands) > 2_000_000:
+            if len(self._stands) > CACHE_PAIRS:
                 self._stands.clear()
-            out = self._stands[left, right] = self.merge(left + right) == [left, right]
+            a, b = self.pieces[left], self.pieces[right]
+            out = self._stands[key] = self.merge(a + b) == [a, b]
         return out
 
     def candidates(self, word: str, i: int) -> Iterator[int]:
@@ -128,25 +141,26 @@ class Vocabulary:
                 yield n
         yield 1
 
-    def extend_merge(self, word: str, back: list[int]) -> None:
-        """Append to ``back`` the last piece's length of each further prefix of ``word``."""
-        ids, lengths, stands = self.ids, self.lengths, self._stands
+    def extend_merge(self, word: str, back: list[int], last: list[int]) -> None:
+        """Append the last piece's length (``back``) and id (``last``) of each
+        further prefix of ``word``; index 0 is the empty prefix."""
+        ids, lengths, known, pieces = self.ids, self.lengths, self._stands, len(self.pieces)
         for i in range(len(back), len(word) + 1):
             for n in (*lengths.get(word[i - TAIL:i], ()), 3, 2) if i >= TAIL else range(i, 1, -1):
-                if n <= i and (piece := word[i - n:i]) in ids:
-                    j = i - n
-                    if not j:
-                        ok = self.solid(piece)
+                if n <= i and (k := ids.get(word[i - n:i])) is not None:
+                    if n == i:
+                        ok = self.solid(k)
                     else:
-                        pair = (word[j - back[j]:j], piece)
-                        ok = stands.get(pair)
+                        ok = known.get(last[i - n] * pieces + k)
                         if ok is None:
-                            ok = self.stands(*pair)
+                            ok = self.stands(last[i - n], k)
                     if ok:
                         back.append(n)
+                        last.append(k)
                         break
             else:
                 back.append(1)
+                last.append(ids.get(word[i - 1], -1))
 
     # -- decoding --
     def decode(self, ids: Iterable[int]) -> str:
@@ -185,34 +199,33 @@ def _model_kind(proto: bytes) -> int:
     return 1
 
 
-def encode_words(vocab: Vocabulary, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+def encode_words(vocab: Vocabulary, words: Iterable[str]) -> dict[str, list[int]]:
     """Ids of each distinct word; sorted words share the forward pass of their prefixes."""
-    out: dict[str, tuple[int, ...]] = {}
-    back, best, last = [0], [0.0], ""
-    ids, unk, byte_ids = vocab.ids, vocab.unk_id, vocab.byte_ids
+    out: dict[str, list[int]] = {}
+    back, last, best, before = [0], [-1], [0.0], ""
     for word in sorted(words):
-        shared, stop = 0, min(len(word), len(last))
-        while shared < stop and word[shared] == last[shared]:
-            shared += 1
+        shared = len(commonprefix((before, word)))
         del back[shared + 1:]
-        del best[shared + 1:]
         if vocab.merges:
-            vocab.extend_merge(word, back)
+            del last[shared + 1:]
+            vocab.extend_merge(word, back, last)
         else:
+            del best[shared + 1:]
             extend_best(vocab, word, back, best)
         path, i = [], len(word)
         while i:
-            piece = word[i - back[i]:i]
-            k = ids.get(piece)
-            if k is not None:
+            n = back[i]
+            k = last[i] if vocab.merges else vocab.ids.get(word[i - n:i], -1)
+            if k >= 0:
                 path.append(k)
-            elif byte_ids:
-                path.extend(byte_ids[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
+            elif vocab.byte_ids:
+                path.extend(vocab.byte_ids[b] for b in reversed(word[i - n:i].encode("utf-8", "surrogatepass")))
             else:
-                path.append(unk)
-            i -= back[i]
-        out[word] = tuple(reversed(path))
-        last = word
+                path.append(vocab.unk_id)
+            i -= n
+        path.reverse()
+        out[word] = path
+        before = word
     return out
 
 
@@ -240,7 +253,8 @@ class Encoder:
     def __init__(self, proto: bytes):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.vocab = Vocabulary.of(self.sp)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}        # word -> its ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, proto: bytes) -> Encoder:
@@ -251,21 +265,31 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the new words of all of them go through one trie."""
-        cut = [marked_words(self.sp.normalize(t)) if t else [] for t in texts]
+        cut = [self.cut(t) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache      # words in use move on to the new generation
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        fresh = {w for words in cut for w in words if w not in cache}
-        found = encode_words(self.vocab, fresh)
-        cache.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_WORD_CHARS)
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += cache.get(w) or found[w]
-            out.append(np.array(ids, dtype=np.int32))
+        fresh = set(chain.from_iterable(cut)).difference(cache)
+        for word in fresh.intersection(self.older):
+            cache[word] = self.older[word]
+        fresh.difference_update(self.older)
+        for word, ids in encode_words(self.vocab, fresh).items():
+            cache[word] = array("i", ids).tobytes()
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype=np.int32) for words in cut]
+        for word in fresh:
+            if len(word) > CACHE_WORD_CHARS:
+                del cache[word]
         return out
 
+    def cut(self, text: str) -> list[str]:
+        if not text:
+            return []
+        normal = self.sp.normalize(text)
+        if normal.startswith(MARK) and not normal.endswith(MARK) and MARK * 2 not in normal:
+            # single marks only: cutting at them is all there is to do
+            return (MARK + normal[1:].replace(MARK, "\0" + MARK)).split("\0") if "\0" not in normal else marked_words(normal)
+        return marked_words(normal)
+
 
 def _slices(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Rows in slices of bounded text."""

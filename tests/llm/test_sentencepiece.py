@@ -47,7 +47,7 @@ def test_prefixes_are_computed_once():
     v = T.Vocabulary(["<unk>", "a", "b", "ab", "abc", "c"], [0.0, -1, -2, -3, -4, -5], True, None, 0)
     calls = []
     real = v.extend_merge
-    v.extend_merge = lambda word, back: (calls.append(len(word) + 1 - len(back)), real(word, back))[1]
+    v.extend_merge = lambda word, back, last: (calls.append(len(word) + 1 - len(back)), real(word, back, last))[1]
     T.encode_words(v, {"abcabc", "abcabb", "abc", "abcab"})
     assert sum(calls) == len("abcabc") + 1                                       # a trie of 7 nodes
 
