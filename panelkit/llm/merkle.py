@@ -45,27 +45,33 @@ def leaf_digests(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_LEAF), F.lit(0)), lambda p: F.sha2(p.cast("binary"), 256))
 
 
-def sections(leaves: Column) -> Column:
-    """Arrays of the leaf digests of each section."""
+def section_ends(leaves: Column) -> Column:
+    """Numbers (from 1) of the leaves that end a section."""
     n = F.size(leaves)
-    last = F.filter(F.sequence(F.lit(1), n), lambda i: (F.conv(F.substring(F.get(leaves, i - 1), 1, 7), 16, 10).cast("int") % SECTION_MEAN) == 0)
-    ends = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(last, F.array(n))))
-    return F.transform(ends, lambda e, k: F.slice(leaves, F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 1),
-                                                  e - F.when(k == 0, 0).otherwise(F.get(ends, k - 1))))
+    last = F.filter(F.sequence(F.lit(1), n), lambda i: F.pmod(F.xxhash64(F.get(leaves, i - 1)), F.lit(SECTION_MEAN)) == 0)
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(last, F.array(n))))
+
+
+def sections(leaves: Column, ends: Column) -> Column:
+    """Arrays of the leaf digests of each section."""
+    starts = F.concat(F.array(F.lit(0)), ends)
+    return F.zip_with(F.slice(starts, 1, F.size(ends)), ends, lambda a, e: F.slice(leaves, a + 1, e - a))
 
 
 def with_tree(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Adds <prefix>_leaves (heads) and <prefix>_fp (the fingerprint string)."""
-    leaves, parts, digests = f"{prefix}_full", f"{prefix}_sections", f"{prefix}_digests"
+    leaves, ends, parts, digests = (f"{prefix}_{x}" for x in ("full", "ends", "sections", "digests"))
     out = df.withColumn(leaves, leaf_digests(F.col(text)))
-    out = out.withColumn(parts, sections(F.col(leaves)))
+    # a column of its own: inside the next one's function it would be computed per section
+    out = out.withColumn(ends, section_ends(F.col(leaves)))
+    out = out.withColumn(parts, sections(F.col(leaves), F.col(ends)))
     out = out.withColumn(digests, F.transform(parts, lambda s: F.sha2(F.array_join(s, "").cast("binary"), 256)))
     shown = F.zip_with(digests, parts, lambda d, s: F.concat(
         F.substring(d, 1, HEAD), F.lit(":"), F.array_join(F.transform(s, lambda x: F.substring(x, 1, HEAD)), ",")))
     root = F.sha2(F.array_join(digests, "").cast("binary"), 256)
     out = out.withColumn(f"{prefix}_fp", F.concat(root, F.lit(";"), F.array_join(shown, "|")))
     return out.withColumn(f"{prefix}_leaves", F.transform(leaves, lambda x: F.conv(F.substring(x, 1, HEAD), 16, 10).cast("long"))) \
-        .drop(leaves, parts, digests)
+        .drop(leaves, ends, parts, digests)
 
 
 def root_of(fp: Column) -> Column:
