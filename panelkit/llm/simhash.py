@@ -40,7 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import maybe_broadcast, written
+from panelkit.llm.common import maybe_broadcast, text_or_empty, written
+from panelkit.llm.exact_dedup import sha256_hex
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -246,26 +247,57 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _lookup(base: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component_id, members) per distinct fingerprint of ``base``;
+    root names the component, also where no id is known, members counts its rows."""
+    classes = base.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    roots = components(near_links(classes, max_bits))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", "n")
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("members"))
+    return written(rooted.join(firsts, "root").select("fp", "root", "component_id", "members"), "components")
+
+
+def _with_component(base: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``base`` joined to the lookup; equal fingerprints may be a third of all rows, so they are salted."""
+    salted = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["fp", "salt"])
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per row of ``docs``."""
     base = written(docs.select(F.col(id_col).alias("doc_id"), with_fingerprints(docs, text_col, shingle).alias("fp")), "simhash")
-    classes = base.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(classes, max_bits))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    lookup = written(rooted.join(firsts, "root").select("fp", "component_id"), "components")
-    # equal fingerprints may be a third of all rows: salt them
-    salted = lookup.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-            .join(salted, ["fp", "salt"])
-            .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+    return _with_component(base, _lookup(base, max_bits)).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest (rows with a
-    null id stay only where their component has no id)."""
-    found = near_dedup(docs, id_col, text_col)
-    gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near_gone")
-    side = maybe_broadcast(gone, 24)
-    return docs.join(side, docs[id_col].eqNullSafe(side["_gone"]), "left_anti")
+    """One row of ``docs`` per component, unchanged: that of the smallest id
+    (null ids last), of several texts of that id the one of the smallest
+    digest, of rows repeated with equal id and text any one.
+
+    Rows are told apart by id and text digest: an id may be null or stand with
+    several texts, in several components."""
+    digest = sha256_hex(text_or_empty(text_col))
+    base = written(docs.select(F.col(id_col).alias("doc_id"), with_fingerprints(docs, text_col).alias("fp"), digest.alias("digest")), "simhash")
+    shared = _lookup(base, MAX_BITS).filter("members > 1").select("fp", "root")
+    members = written(_with_component(base, shared).select("doc_id", "digest", "root"), "near_members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    first = members.groupBy("root").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_first"))
+    keys = members.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    decided = keys.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_first")), "left")
+    decided = written(decided.select(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest"), "copies",
+                                     F.col("_first").isNotNull().alias("stays")), "near_decided")
+    tagged = docs.withColumn("_digest", digest)
+    same = F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_digest") == F.col("_key_digest"))
+    gone = maybe_broadcast(decided.filter("not stays").select("_key_id", "_key_digest"), 100)
+    left = tagged.join(gone, same, "left_anti")
+    repeated = decided.filter("stays and copies > 1").select("_key_id", "_key_digest")
+    n_repeated = repeated.count()
+    if not n_repeated:
+        return left.drop("_digest")
+    names = docs.columns
+    side = maybe_broadcast(repeated, 100, n_repeated)
+    # an aggregate, not a window: the copies of one row may be a third of all rows
+    once = left.join(side, same, "left_semi").groupBy(F.col(id_col).alias("_i"), "_digest").agg(F.first(F.struct(*names)).alias("_row"))
+    return left.join(side, same, "left_anti").select(*names).unionByName(once.select("_row.*"))

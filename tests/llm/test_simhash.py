@@ -99,3 +99,23 @@ def test_keep_one_and_empty(edge_docs, no_docs):
     want = {r[0] for r in brute.near_components([(r.doc_id, r.text) for r in edge_docs.collect()]) if r[0] == r[2]}
     assert kept.columns == edge_docs.columns and {r.doc_id for r in kept.collect()} == want
     assert S.near_dedup(no_docs).count() == 0 and S.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_decides_per_row(spark):
+    """Null ids and ids with several texts: each component keeps exactly one row."""
+    long = " ".join(f"w{i}" for i in range(400))
+    other, third, clean = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, long), (None, long), (None, other), (None, third), (None, third), (2, long), (2, clean), (5, "x y"), (5, "x y"), (None, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    want = [(1, long), (None, other), (None, third), (2, clean), (5, "x y"), (None, " ")]
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == sorted(want, key=str)
+
+
+def test_keep_one_of_null_ids_without_repeats(spark):
+    """One near copy and one clean row with null ids; no row is repeated."""
+    long, clean = " ".join(f"w{i}" for i in range(400)), " ".join(f"c{i}" for i in range(60))
+    docs = spark.createDataFrame([(7, long), (None, long + " "), (None, clean), (8, long + "  "), (8, "free text here")], "doc_id long, text string")
+    got = S.keep_one(docs).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([(7, long), (None, clean), (8, "free text here")], key=str)
