@@ -7,10 +7,12 @@ batch
 
 1. duplicates inside the batch are grouped on their digest (partial
    aggregation, so a hot text moves one row per task);
-2. the distinct digests are screened by every snapshot's filters, shard by
-   shard; a negative answer is certain, so those digests are new;
+2. the distinct digests are screened by one snapshot's filters after the
+   other, shard by shard, a shard's digests spread over salts; a negative
+   answer is certain;
 3. positives join the exact buckets on the full digest (a filter's false
-   positives find nothing and are new);
+   positives find nothing); only digests not found go on to the next snapshot,
+   and those found in none are new;
 4. at the end every member of a group is compared byte for byte with the text
    that stays. Texts whose digests collide are regrouped on the text itself.
 
@@ -76,8 +78,9 @@ def build_filters(buckets: DataFrame, shards: int) -> DataFrame:
     return keyed.withColumn("shard", _shard("k", shards)).groupBy("shard").applyInPandas(decimals, _FILTER)
 
 
-def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The rows of ``digests`` (distinct) that the snapshot may hold."""
+def screen(digests: DataFrame, filters: DataFrame, shards: int, salts: int = 1) -> DataFrame:
+    """The rows of ``digests`` (distinct) that the snapshot may hold. Each
+    shard's digests are tested in ``salts`` groups, its filter in each of them."""
     fields = digests.schema.fieldNames()
 
     def test(rows: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +91,9 @@ def screen(digests: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
         return rows[fuse.contains(one, rows["k"].to_numpy(np.int64).view(np.uint64))][fields]
 
     keyed = digests.withColumn("k", _key("digest")).withColumn("shard", _shard("k", shards))
-    return keyed.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(test, digests.schema)
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(salts)).cast("int"))
+    each = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return keyed.groupBy("shard", "salt").cogroup(each.groupBy("shard", "salt")).applyInPandas(test, digests.schema)
 
 
 def arrival_batch(id_col: Column, batches: int) -> Column:
@@ -106,19 +111,18 @@ def exact_groups(rows: DataFrame, batches: int) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")))
         if snapshots:
             new = written(new, f"batch{b}")
-            found = []
+            left = new.count()
             for buckets, filters, shards in snapshots:
-                positive = screen(new, filters, shards)
-                found.append(positive.join(buckets.select("digest"), "digest", "left_semi"))
-            known = found[0]
-            for more in found[1:]:
-                known = known.unionByName(more)
-            known = written(known, f"known{b}")
-            hits = known if hits is None else hits.unionByName(known)
-            new = new.join(known.select("digest"), "digest", "left_anti")
+                if not shards or not left:
+                    continue
+                positive = screen(new, filters, shards, max(1, -(-left // (shards * SHARD_KEYS))))
+                known = written(positive.join(buckets.select("digest"), "digest", "left_semi"), f"known{b}")
+                hits = known if hits is None else hits.unionByName(known)
+                new = new.join(known.select("digest"), "digest", "left_anti")
+                left -= known.count()
         buckets = written(new, f"snapshot{b}")
-        shards = max(1, -(-buckets.count() // SHARD_KEYS))
-        filters = written(build_filters(buckets, shards), f"filter{b}") if b < batches - 1 else None
+        shards = -(-buckets.count() // SHARD_KEYS)
+        filters = written(build_filters(buckets, shards), f"filter{b}") if shards and b < batches - 1 else None
         snapshots.append((buckets, filters, shards))
     out = snapshots[0][0]
     for buckets, _, _ in snapshots[1:]:

@@ -56,3 +56,33 @@ def test_keep_first_keeps_one_of_each_text(edge_docs):
     assert kept.columns == edge_docs.columns
     want = sorted((r[0], r[4]) for r in brute.exact([(r.doc_id, r.text) for r in edge_docs.collect()]) if r[3])
     assert sorted((r.doc_id, brute.sha(r.text or "")) for r in kept.collect()) == want
+
+
+def test_screened_groups_are_bounded(spark, monkeypatch):
+    """Snapshots much smaller than the batches screened against them."""
+    monkeypatch.setattr(X, "SHARD_KEYS", 40)
+    real, sizes, rows = X.screen, [], []
+
+    def screen(digests, filters, shards, salts=1):
+        k = F.xxhash64("digest")
+        shard = F.pmod(F.shiftrightunsigned(k, 20), F.lit(shards))
+        groups = digests.groupBy(shard, F.pmod(F.xxhash64(k), F.lit(salts))).count()
+        sizes.extend(r["count"] for r in groups.collect())
+        rows.append(digests.count())
+        return real(digests, filters, shards, salts) if salts != 1 else real(digests, filters, shards)
+
+    monkeypatch.setattr(X, "screen", screen)
+    # batch 0 holds 2 texts, batch 1 these and 600 more, batch 2 the 602 again
+    text = [(i % 2, 0) for i in range(50)] + [(i, 1) for i in range(602)] + [(i, 2) for i in range(602)]
+    docs = spark.createDataFrame([(k, f"t{i}", b) for k, (i, b) in enumerate(text)], "doc_id long, text string, batch int")
+    plain = docs.select("doc_id", X.sha256_hex(F.col("text")).alias("digest"), "batch")
+    got = {r.digest: (r.n, r.keep_id) for r in X.exact_groups(plain, 3).collect()}
+    assert got == {brute.sha(f"t{i}"): (27 if i < 2 else 2, 652 + i) for i in range(602)}
+    assert rows == [602, 602, 600]                  # what the first snapshot holds is not asked of the second
+    assert max(sizes) <= 2 * X.SHARD_KEYS           # hashed spread about SHARD_KEYS
+
+
+def test_empty_snapshots_are_skipped(spark):
+    docs = spark.createDataFrame([(k, f"t{k % 30}", 1 + k % 2) for k in range(90)], "doc_id long, text string, batch int")
+    plain = docs.select("doc_id", X.sha256_hex(F.col("text")).alias("digest"), "batch")
+    assert sorted(r.n for r in X.exact_groups(plain, 3).collect()) == [3] * 30
