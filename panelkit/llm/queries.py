@@ -17,6 +17,7 @@ from panelkit.llm.sentencepiece_trie import encode_documents
 from panelkit.llm.simhash import near_dedup
 from panelkit.llm.substring import substring_dedup
 from panelkit.llm.suffix_dedup import suffix_dedup
+from panelkit.llm.token_align import alignment_links
 
 
 @register("op2_exact_dedup", """
@@ -77,3 +78,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_links(read_table(spark, sf_dir, "documents"))
