@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.llm.common import read_table
 from panelkit.llm.exact_dedup import exact_dedup
+from panelkit.llm.lexical import SQL as SEARCH_SQL
+from panelkit.llm.lexical import search
 from panelkit.llm.lines import SQL as LINE_SQL
 from panelkit.llm.lines import line_dedup
 from panelkit.llm.merkle import fingerprint_edits
@@ -80,6 +82,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@register("op12_lexical_search", SEARCH_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @register("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_links(read_table(spark, sf_dir, "documents"))
