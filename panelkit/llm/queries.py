@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelkit.llm.common import read_table
 from panelkit.llm.exact_dedup import exact_dedup
+from panelkit.llm.langid import language_id
 from panelkit.llm.lexical import SQL as SEARCH_SQL
 from panelkit.llm.lexical import search
 from panelkit.llm.lines import SQL as LINE_SQL
@@ -82,6 +83,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@register("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read_table(spark, sf_dir, "documents"))
+
+
 @register("op12_lexical_search", SEARCH_SQL)
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
