@@ -46,7 +46,7 @@ from panelkit.llm.common import task_count, written
 TOP_K = 10
 #: items searched for at a time; their terms and thresholds go to every task
 ITEMS_PER_BLOCK = 2000
-#: documents scored for the starting thresholds
+#: about as many documents are scored for the starting thresholds
 SEED_ROWS = 20_000
 #: documents of a bucket
 BUCKET_ROWS = 2000
@@ -252,6 +252,20 @@ def _by_length() -> list[Column]:
     return [F.col("norm").desc(), F.xxhash64("row").asc()]
 
 
+def _longest(by_length: DataFrame) -> DataFrame:
+    """About ``SEED_ROWS`` of the longest vectors. Any documents give valid starting
+    thresholds, so copies of one length may be thinned out by a hash of the row."""
+    step = F.floor(F.log(F.greatest("norm", F.lit(1.0))) * 64)
+    held, cut = 0, None
+    for cut, rows in by_length.groupBy(step.alias("step")).count().orderBy(F.col("step").desc()).toLocalIterator():      # some hundred rows
+        held += rows
+        if held >= SEED_ROWS:
+            break
+    if cut is None:
+        return by_length
+    return by_length.filter((step >= cut) & (F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) < F.lit(math.ceil(SEED_ROWS / held * (1 << 30)))))
+
+
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
            item_text_col: str = "text", k: int = TOP_K, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """item_id, rank, doc_id, score: the ``k`` best documents of each item."""
@@ -286,9 +300,8 @@ def _search_block(docs: DataFrame, block: list[tuple[object, list[bytes]]], item
     known = Items(vectors)
     by_length = impact_vectors(counted, n_docs, max(total, 1), weights)
     by_length = written(by_length.repartitionByRange(task_count(spark), *_by_length()).sortWithinPartitions(*_by_length()), "impacts")
-    longest = by_length.orderBy(F.col("norm").desc(), "row").limit(SEED_ROWS)
     start = np.ones(len(block), dtype=np.int64)
-    seeds = _ranked(search_buckets(longest, known, start, len(vocabulary), k), k).filter(F.col("rank") == k)
+    seeds = _ranked(search_buckets(_longest(by_length), known, start, len(vocabulary), k), k).filter(F.col("rank") == k)
     for item, score in seeds.select("item", "score").toLocalIterator():                                  # one row per item
         start[item] = max(1, score)
     found = _ranked(search_buckets(by_length, known, start, len(vocabulary), k), k)
