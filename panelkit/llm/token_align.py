@@ -5,9 +5,9 @@ SentencePiece model (B, which adds the space itself). Both token sequences cover
 the same bytes; where tokens of both end at the same offset, a group ends.
 
 Method. The two arrays of token ends are walked together. At the current index
-shift the ends are compared over stretches that double while they agree and
-halve once they do not, so a one-to-one stretch of n tokens costs about log n
-block comparisons. Where the ends differ, the group is closed locally, moving
+shift the ends are compared over stretches that double while they agree;
+the first difference in the failing stretch ends the run, so a one-to-one run of n
+tokens costs about log n block comparisons. Where the ends differ, the group is closed locally, moving
 whichever side lies behind until both meet, and the shift becomes the new index
 difference.
 
@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: characters of text in one bundle (a longer text is a bundle of its own)
 BUNDLE_CHARS = 4_000_000
+#: tokens of the first stretch compared along a diagonal
+FIRST_STRETCH = 8
 #: groups with more links than this are linked by distinct ids
 WIDE_GROUP = 4096
 
@@ -113,17 +116,27 @@ def irregular_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int,
     n, m = len(ends_a), len(ends_b)
     block_a, block_b = ends_a.astype("<i8").tobytes(), ends_b.astype("<i8").tobytes()
     a, b = ends_a.tolist(), ends_b.tolist()
+    number = int.from_bytes
     i = j = 0
     while i < n and j < m:
         if a[i] == b[j]:
-            # along the diagonal: double the stretch while it agrees, then halve it
-            step, growing = 1, True
-            while step:
-                if step <= n - i and step <= m - j and block_a[8 * i:8 * (i + step)] == block_b[8 * j:8 * (j + step)]:
-                    i, j = i + step, j + step
-                    step = step << 1 if growing else step >> 1
-                else:
-                    growing, step = False, step >> 1
+            # along the diagonal: double the stretch while it agrees; where it does
+            # not, the lowest differing bit tells how far it still did
+            step = FIRST_STRETCH
+            while True:
+                x, y = block_a[8 * i:8 * (i + step)], block_b[8 * j:8 * (j + step)]
+                if x != y:
+                    break
+                k = len(x) >> 3
+                i, j = i + k, j + k
+                if k < step:
+                    break
+                step <<= 1
+            if x != y:
+                size = min(len(x), len(y))
+                differ = number(x[:size], "little") ^ number(y[:size], "little")
+                k = (differ & -differ).bit_length() - 1 >> 6 if differ else size >> 3
+                i, j = i + k, j + k
             continue
         i0, j0 = i, j
         x, y = a[i], b[j]
@@ -139,6 +152,40 @@ def irregular_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> list[tuple[int,
     return out
 
 
+def _flat(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    n = np.array(list(map(len, coded)), dtype=np.int64)
+    return np.fromiter(chain.from_iterable(coded), dtype=np.int64, count=int(n.sum())), n
+
+
+class TokenBytes:
+    """The bytes of every token, end to end."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(r) for r in raw], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.table = np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+    def come_back(self, coded: list[list[int]], raw: list[bytes]) -> np.ndarray:
+        """Per text: whether its tokens' joined bytes are ``raw``."""
+        ids, n = _flat(coded)
+        size = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        made = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])
+        joined = self.table[np.repeat(self.start[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        want = np.array([len(r) for r in raw], dtype=np.int64)
+        same = made == want
+        if same.all():
+            differ = joined != np.frombuffer(b"".join(raw), dtype=np.uint8)
+            if differ.any():
+                same[np.searchsorted(np.cumsum(want), np.flatnonzero(differ), side="right")] = False
+            return same
+        stops = np.cumsum(made)
+        for d in np.flatnonzero(same):
+            same[d] = joined[stops[d] - made[d]:stops[d]].tobytes() == raw[d]
+        return same
+
+
 class Aligner:
     """Both encoders and the tables by token id; one per Python worker and pair of files."""
 
@@ -146,7 +193,8 @@ class Aligner:
 
     def __init__(self, blob_a: bytes, blob_b: bytes):
         self.a, self.b = ByteLevel(blob_a), Pieces(blob_b)
-        self.size_a, self.size_b = (np.array([len(r) for r in x.raw], dtype=np.int64) for x in (self.a, self.b))
+        self.bytes_a, self.bytes_b = TokenBytes(self.a.raw), TokenBytes(self.b.raw)
+        self.size_a, self.size_b = self.bytes_a.size, self.bytes_b.size
         self.base = len(self.b.raw)
         self.texts = [s for k in range(len(self.a.raw)) for s in (b"%d," % k, b"%d|" % k)]
         self.texts += [s for k in range(self.base) for s in (b"%d," % k, b"%d;" % k)]
@@ -158,22 +206,16 @@ class Aligner:
             cls._made[key] = cls(blob_a, blob_b)
         return cls._made[key]
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids by A and by B of each text; none where the bytes do not come back."""
+    def bundle(self, texts: list[str | None]) -> Bundle:
         given = [t or "" for t in texts]
         spaced = [" " + t for t in given]
-        out = []
-        for s, t, ka, kb in zip(spaced, given, self.a.encode(spaced), self.b.encode(given)):
-            want = s.encode()
-            same = t and b"".join(map(self.a.raw.__getitem__, ka)) == want == b"".join(map(self.b.raw.__getitem__, kb))
-            out.append((ka, kb) if same else ([], []))
-        return out
-
-    def bundle(self, texts: list[str | None]) -> Bundle:
-        coded = self.encode(texts)
-        n_a, n_b = (np.array([len(c[k]) for c in coded], dtype=np.int64) for k in (0, 1))
-        ids_a, ids_b = (np.fromiter((x for c in coded for x in c[k]), dtype=np.int64, count=int(n.sum()))
-                        for k, n in ((0, n_a), (1, n_b)))
+        raw = [s.encode() for s in spaced]
+        coded_a, coded_b = self.a.encode(spaced), self.b.encode(given)
+        same = np.array([bool(t) for t in given], dtype=bool)
+        same &= self.bytes_a.come_back(coded_a, raw) & self.bytes_b.come_back(coded_b, raw)
+        for d in np.flatnonzero(~same):
+            coded_a[d], coded_b[d] = [], []
+        (ids_a, n_a), (ids_b, n_b) = _flat(coded_a), _flat(coded_b)
         last_a, last_b = np.ones(len(ids_a), dtype=bool), np.ones(len(ids_b), dtype=bool)
         at_a, at_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
         for d in range(len(texts)):
