@@ -1,7 +1,8 @@
-"""Generalised linear models on MLlib's distributed IRLS (ML8-ML13).
+"""Generalised linear models (ML8-ML13).
 
-Each IRLS iteration is one Spark aggregation (weighted normal equations);
-the driver solves p x p.  Poisson with a log-exposure offset, binomial
+Poisson-log and binomial-logit models are fitted by ``irls.newton``: each
+iteration is one Spark job, the driver solves p x p, and deviance, null deviance
+and Pearson chi^2 come from the same passes.  Other links go to MLlib.  Poisson with a log-exposure offset, binomial
 (logit), rate/odds ratios with Wald intervals, Pearson dispersion and the
 quasi-Poisson rescaling (SE x sqrt(phi), t-based p-values).
 """
@@ -18,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions import dists
+from panelkit.models.batched import spread
 from panelkit.models.gram import compute_gram, select_full_rank
+from panelkit.models.irls import NewtonFit, newton
 
 INTERCEPT = "(Intercept)"
+DEFAULT_LINK = {"poisson": "log", "binomial": "logit"}
 
 
 @dataclass
@@ -37,6 +41,7 @@ class GlmFit:
     pearson_chi2: float | None = None
     aliased: list[str] = field(default_factory=list)
     converged: bool = True
+    separated: bool = False
 
     @property
     def dispersion(self) -> float:
@@ -75,23 +80,37 @@ def fit_glm(df: DataFrame, y: str, x: Sequence[str], family: str = "poisson", li
             offset: str | None = None, max_iter: int = 50, pearson: bool = True) -> GlmFit:
     """Fit a GLM; rows with NULL in a used column are dropped.  Predictors that
     are linear combinations of earlier ones (or constant) are left out, as R
-    reports them NA, and named in ``aliased``.  A fit that stops at
-    ``max_iter`` without settling is reported by ``converged``."""
+    reports them NA, and named in ``aliased``.  ``converged`` is false for a fit
+    that stops at ``max_iter`` without settling and for separated classes
+    (``separated``: fitted probabilities of 0 or 1)."""
     x = list(x)
     used = x + [y] + ([offset] if offset else [])
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used]).dropna()
     # every IRLS iteration re-reads the design: keep it materialised for the fit
-    d = d.persist()
+    d = spread(d).persist()
     try:
         gram = compute_gram(d, x, y, assume_complete=True)
-        kept = [x[i] for i in select_full_rank(gram.zz)]
-        fit = _fit(d, y, kept, family, link, offset, max_iter, pearson)
+        keep = select_full_rank(gram.zz)
+        kept = [x[i] for i in keep]
+        if link in (None, DEFAULT_LINK.get(family)) and family in DEFAULT_LINK:
+            found = newton(d, y, kept, family, gram.mean[keep], gram.scale[keep], offset, max_iter=max_iter)[0]
+            fit = from_newton(found, kept, family)
+        else:
+            fit = _fit(d, y, kept, family, link, offset, max_iter, pearson)
         fit.aliased = [c for c in x if c not in kept]
         return fit
     finally:
         d.unpersist()
 
 
+def from_newton(found: NewtonFit, x: Sequence[str], family: str) -> GlmFit:
+    p = len(x) + 1
+    fit = GlmFit([INTERCEPT, *x], [float(b) for b in found.coef], [float(v) ** 0.5 for v in found.cov.diagonal()], found.deviance,
+                 found.null_deviance, found.n - p, found.n - 1, -2 * found.loglik + 2 * p, family, found.pearson)
+    fit.converged, fit.separated = found.converged, found.separated
+    return fit
+
+
 def _fit(d: DataFrame, y: str, x: list[str], family: str, link: str | None, offset: str | None, max_iter: int,
          pearson: bool) -> GlmFit:
     d = VectorAssembler(inputCols=x, outputCol="_features").transform(d)
