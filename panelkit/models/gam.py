@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions import dists
-from panelkit.models.gram import compute_gram
+from panelkit.models.gram import Gram, compute_gram
 
 
 def _cardinal_cubic(u: Column) -> Column:
@@ -136,6 +136,13 @@ def add_basis(df: DataFrame, smooths: dict, extend: bool = False) -> DataFrame:
     return out.withColumns(cols).drop(*ucols)
 
 
+def smooth_terms(d: DataFrame, smooth_cols: Sequence[str], k: int) -> dict:
+    """Range and design columns of each smooth, over the rows of ``d``."""
+    rng = d.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(smooth_cols)],
+                *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(smooth_cols)]).collect()[0]
+    return {c: (c, float(rng[f"lo_{i}"]), float(rng[f"hi_{i}"]), k, [f"s_{c}_{j}" for j in range(1, k)]) for i, c in enumerate(smooth_cols)}
+
+
 def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Sequence[str] = (),
             k: int = 10, lambda_grid: Sequence[float] | None = None, rounds: int = 3,
             lambdas: dict | None = None) -> GamFit:
@@ -143,16 +150,19 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
     smooth_cols = list(smooth_cols)
     parametric = list(parametric)
     d = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(smooth_cols + parametric + [y])]).dropna()
-    rng = d.agg(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(smooth_cols)],
-                *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(smooth_cols)]).collect()[0]
-    smooths = {}
-    for i, c in enumerate(smooth_cols):
-        names = [f"s_{c}_{j}" for j in range(1, k)]
-        smooths[c] = (c, float(rng[f"lo_{i}"]), float(rng[f"hi_{i}"]), k, names)
+    smooths = smooth_terms(d, smooth_cols, k)
     design = add_basis(d, smooths)
     names = parametric + [nm for s in smooths.values() for nm in s[4]]
     g = compute_gram(design, names, y, assume_complete=True)
+    return gam_from_gram(g, smooths, parametric, lambda_grid, rounds, lambdas)
+
+
+def gam_from_gram(g: Gram, smooths: dict, parametric: Sequence[str], lambda_grid: Sequence[float] | None = None, rounds: int = 3,
+                  lambdas: dict | None = None) -> GamFit:
+    """The fit from the cross-products of the parametric and basis columns (no pass over rows)."""
+    names, parametric = list(g.names), list(parametric)
     p = len(names)
+    k = next(iter(smooths.values()))[3]
     blocks = {}
     s_full = difference_penalty(k)[1:, 1:]
     for c, s in smooths.items():

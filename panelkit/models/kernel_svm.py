@@ -199,6 +199,18 @@ def fit(df: DataFrame, cols: Sequence[str], label: str, gamma: float, cost: floa
     return KernelMachine(list(cols), kernel, float(gamma), float(cost), runs[0].theta, runs[0].iterations)
 
 
+def fold_errors(df: DataFrame, cols: Sequence[str], label: str, fold: str, n_folds: int, gamma: float, cost: float, m: int = LANDMARKS,
+                max_iter: int = 100, tol: float = 1e-4, seed: int = 42) -> list[float]:
+    """Held-out error of one setting on each of the folds 0..n_folds-1."""
+    kernel = kernel_map(landmarks(df, cols, m, None, seed), [gamma])
+    data = training_rows(df, cols, label, fold)
+    try:
+        _, _, errors = train_together(data, len(cols), kernel, [Setting(float(gamma), float(cost), k) for k in range(n_folds)], max_iter, tol)
+    finally:
+        data.unpersist()
+    return (errors[:, 0] / np.maximum(errors[:, 1], 1)).tolist()
+
+
 @dataclass(frozen=True)
 class GridSearch:
     rows: list[tuple[float, float, float, int]]      # gamma, cost, mean error over the folds, held-out rows

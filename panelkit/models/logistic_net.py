@@ -3,11 +3,11 @@ weight decay (ML18, decay variant).
 
 * Objective: cross-entropy + decay * sum(w^2) over all weights (biases
   included), as a p-h-1 logistic network.
-* Each objective/gradient evaluation is one Spark job: every partition runs
-  the forward/backward pass on its Arrow batches with numpy and emits one
-  row (loss, gradient); the driver sums partitions x n_weights numbers.
-* The driver runs BFGS with a backtracking line search over the weight
-  vector (p*h + 2h + 1 numbers).
+* One Spark job returns losses and gradients at several weight vectors: every
+  partition runs the forward/backward pass on its Arrow batches with numpy.
+* The driver runs BFGS over the weight vector (p*h + 2h + 1 numbers); all trial
+  steps of a line search share a job.  ``fit_fold_nets`` trains the networks of
+  all cross-validation folds in the same jobs.
 * Scoring is a JVM row expression (weights as literals), no Python.
 """
 
@@ -20,10 +20,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.models.gram import MERGE_TASKS
+from panelkit.models.batched import Descent, descend, spread, sum_over_rows
 
-
-SCHEMA = "loss double, grad array<double>"
+#: step lengths (1, 0.3, 0.09, ...) tried in one job
+TRIAL_STEPS = 5
 
 
 @dataclass
@@ -61,76 +61,93 @@ def unpack(theta: np.ndarray, p: int, h: int):
     return w1, b1, w2, b2
 
 
-def _objective_job(data: DataFrame, features: list[str], label: str, hidden: int):
-    import pandas as pd
+def _evaluate(data: DataFrame, features: list[str], label: str, hidden: int, thetas: np.ndarray, fold: str | None = None,
+              leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Loss and gradient at every row of ``thetas`` in one job; with ``fold``
+    each over the rows outside its entry of ``leave_out``."""
+    p, k = len(features), n_weights(len(features), hidden)
+    at = np.array(thetas, dtype=float)
+
+    def block(b: np.ndarray) -> np.ndarray:
+        x, y = b[:, :p], b[:, p]
+        out = np.zeros((len(at), 1 + k))
+        for i, theta in enumerate(at):
+            w1, b1, w2, b2 = unpack(theta, p, hidden)
+            a = 1 / (1 + np.exp(-np.clip(x @ w1 + b1, -500, 500)))
+            o = 1 / (1 + np.exp(-np.clip(a @ w2 + b2, -500, 500)))
+            inside = 1.0 if fold is None else (b[:, p + 1] != leave_out[i]).astype(float)
+            eps = 1e-12
+            d_out = (o - y) * inside                    # dL/d(logit)
+            d_hid = np.outer(d_out, w2) * a * (1 - a)
+            out[i, 0] = -((y * np.log(o + eps) + (1 - y) * np.log(1 - o + eps)) * inside).sum()
+            out[i, 1:] = np.concatenate([(x.T @ d_hid).ravel(), d_hid.sum(axis=0), a.T @ d_out, [d_out.sum()]])
+        return out.ravel()
+
+    columns = [*features, label, *([fold] if fold else [])]
+    sums = sum_over_rows(data, columns, block, len(at) * (1 + k)).reshape(len(at), 1 + k)
+    return sums[:, 0], sums[:, 1:]
 
-    p = len(features)
-    k = n_weights(p, hidden)
-    # beyond a fixed number of partitions their gradients are added up by Spark
-    # tasks first, so the driver's share does not grow with the data
-    many = data.rdd.getNumPartitions() > MERGE_TASKS
 
+def _objective_job(data: DataFrame, features: list[str], label: str, hidden: int):
+    """One-point form of ``_evaluate``."""
     def evaluate(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        th = theta.copy()
-
-        def part(it):
-            w1, b1, w2, b2 = unpack(th, p, hidden)
-            loss = 0.0
-            g = np.zeros(k)
-            for pdf in it:
-                if len(pdf) == 0:
-                    continue
-                x = pdf[features].to_numpy(dtype=float)
-                y = pdf[label].to_numpy(dtype=float)
-                a = 1 / (1 + np.exp(-np.clip(x @ w1 + b1, -500, 500)))
-                o = 1 / (1 + np.exp(-np.clip(a @ w2 + b2, -500, 500)))
-                eps = 1e-12
-                loss += float(-(y * np.log(o + eps) + (1 - y) * np.log(1 - o + eps)).sum())
-                d_out = o - y                               # dL/d(logit)
-                gw2 = a.T @ d_out
-                gb2 = d_out.sum()
-                d_hid = np.outer(d_out, w2) * a * (1 - a)
-                gw1 = x.T @ d_hid
-                gb1 = d_hid.sum(axis=0)
-                g += np.concatenate([gw1.ravel(), gb1, gw2, [gb2]])
-            yield pd.DataFrame({"loss": [loss], "grad": [g.tolist()]})
-
-        def add_up(it):
-            loss, g, any_row = 0.0, np.zeros(k), False
-            for pdf in it:
-                for one, grad in zip(pdf["loss"], pdf["grad"]):
-                    loss, g, any_row = loss + one, g + np.asarray(grad, dtype=float), True
-            if any_row:
-                yield pd.DataFrame({"loss": [loss], "grad": [g.tolist()]})
-
-        partials = data.mapInPandas(part, SCHEMA)
-        if many:
-            partials = partials.repartition(MERGE_TASKS).mapInPandas(add_up, SCHEMA)
-        rows = partials.collect()
-        loss = sum(r["loss"] for r in rows)
-        grad = np.sum([np.array(r["grad"]) for r in rows], axis=0) if rows else np.zeros(k)
-        return loss, grad
-
+        loss, grad = _evaluate(data, features, label, hidden, theta[None, :])
+        return float(loss[0]), grad[0]
     return evaluate
 
 
+def start_weights(p: int, hidden: int, seed: int, init_range: float) -> np.ndarray:
+    return np.random.default_rng(seed).uniform(-init_range, init_range, n_weights(p, hidden))
+
+
+def fit_fold_nets(data: DataFrame, features: Sequence[str], label: str, fold: str, n_folds: int, hidden: int = 3, decay: float = 0.001,
+                  max_iter: int = 300, seed: int = 42, init_range: float = 0.7, reltol: float = 1e-8) -> list[Descent]:
+    """One network per left-out fold, all trained in the same passes (L-BFGS
+    from the same start); ``data`` is complete and cached."""
+    features = list(features)
+    runs = [Descent(start_weights(len(features), hidden, seed, init_range), max_iter, reltol, memory=60) for _ in range(n_folds)]
+
+    def evaluate(which: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.array([runs[i].trial for i in which])
+        loss, grad = _evaluate(data, features, label, hidden, at, fold, np.array(which))
+        return loss + decay * (at * at).sum(axis=1), grad + 2 * decay * at
+
+    descend(runs, evaluate)
+    return runs
+
+
+def held_out_net_errors(data: DataFrame, features: Sequence[str], label: str, fold: str, hidden: int, weights: Sequence[np.ndarray]) -> list[float]:
+    """Share of wrong predictions of each network on the fold it did not see."""
+    p, n = len(features), len(weights)
+
+    def block(b: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 2))
+        for i, theta in enumerate(weights):
+            part = b[b[:, p + 1] == i]
+            w1, b1, w2, b2 = unpack(theta, p, hidden)
+            a = 1 / (1 + np.exp(-np.clip(part[:, :p] @ w1 + b1, -500, 500)))
+            out[i] = len(part), ((a @ w2 + b2 >= 0) != (part[:, p] > 0.5)).sum()
+        return out.ravel()
+
+    sums = sum_over_rows(data, [*features, label, fold], block, 2 * n).reshape(n, 2)
+    return (sums[:, 1] / np.maximum(sums[:, 0], 1)).tolist()
+
+
 def fit_logistic_net(df: DataFrame, features: Sequence[str], label: str, hidden: int = 3,
                      decay: float = 0.001, max_iter: int = 300, seed: int = 42, init_range: float = 0.7,
                      reltol: float = 1e-8) -> LogisticNet:
     features = list(features)
     data = df.select(*[F.col(c).cast("double") for c in features], F.col(label).cast("double")).dropna()
-    data = data.persist()
+    data = spread(data).persist()
     try:
-        evaluate = _objective_job(data, features, label, hidden)
-        k = n_weights(len(features), hidden)
-        rng = np.random.default_rng(seed)
-        theta = rng.uniform(-init_range, init_range, k)
+        theta = start_weights(len(features), hidden, seed, init_range)
+        k = len(theta)
 
-        def f(th):
-            loss, g = evaluate(th)
-            return loss + decay * float(th @ th), g + 2 * decay * th
+        def f(points):
+            loss, g = _evaluate(data, features, label, hidden, points)
+            return loss + decay * (points * points).sum(axis=1), g + 2 * decay * points
 
-        fx, gx = f(theta)
+        fx, gx = (v[0] for v in f(theta[None, :]))
         hinv = np.eye(k)
         converged = False
         it = 0
@@ -139,14 +156,17 @@ def fit_logistic_net(df: DataFrame, features: Sequence[str], label: str, hidden:
             if gx @ d >= 0:          # not a descent direction: reset
                 hinv = np.eye(k)
                 d = -gx
-            step, accepted = 1.0, False
-            for _ in range(30):
-                cand = theta + step * d
-                fc, gc = f(cand)
-                if fc <= fx + 1e-4 * step * (gx @ d):
-                    accepted = True
+            # all trial steps in one job; where none will do, shorter ones in another
+            steps, accepted = 0.3 ** np.arange(TRIAL_STEPS), False
+            for _ in range(30 // TRIAL_STEPS):
+                values, grads = f(theta + steps[:, None] * d)
+                for step, fc, gc in zip(steps, values, grads):
+                    if fc <= fx + 1e-4 * step * (gx @ d):
+                        cand, accepted = theta + step * d, True
+                        break
+                if accepted:
                     break
-                step *= 0.3
+                steps = steps * 0.3 ** TRIAL_STEPS
             if not accepted:
                 break
             s, yv = cand - theta, gc - gx

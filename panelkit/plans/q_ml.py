@@ -5,9 +5,10 @@ in ``tests/``."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from panelkit.models import classify as C, evaluate as EV, gam, glm, logistic_net as LN, ols
+from panelkit.models import batched, classify as C, evaluate as EV, folds, gam, glm, irls, kernel_svm as KS, logistic_net as LN, ols
 from panelkit.operators import features as FE, reshape, sampling as SP
 from panelkit.operators.quantile import quantiles_long
 from panelkit.plans.registry import register
@@ -121,49 +122,137 @@ def svm_metrics(spark, d):
     return EV.class_metrics(s, "label", "pred").withColumn("model", F.lit("rbf-rff svm"))
 
 
-@register("svm_grid")
-def svm_grid(spark, d):
+#: the grid of the reference: costs, and kernel widths that include 1 / 7 predictors
+SVM_COSTS = [1.0, 10.0, 100.0]
+SVM_GAMMAS = [0.01, 0.1, 0.1429]
+
+
+def _svm_search(spark, d):
     li, feats = class_frame(spark, d)
     train = SP.kfold(li.where(F.col("is_train") == 1), ["l_orderkey", "l_linenumber"], 5, seed=7)
-    rows = C.svm_grid(train, feats, "label", "fold", gammas=[0.05, 0.1, 0.2], costs=[0.1, 1.0, 10.0],
-                      n_features=SVM_FEATURES, max_iter=100, tol=1e-3)
-    t = spark.createDataFrame(rows, "gamma double, cost double, cv_error double")
-    best = min(rows, key=lambda r: (r[2], r[0], r[1]))
-    # refit the best setting on all training rows, evaluate on the held-out rows
-    m = C.fit_svm(train, feats, "label", gamma=best[0], cost=best[1], n_features=SVM_FEATURES, max_iter=100, tol=1e-4)
-    s = C.score_svm(m, li.where(F.col("is_train") == 0), feats, gamma=best[0], n_features=SVM_FEATURES)
-    test_acc = EV.class_metrics(s, "label", "pred").select("accuracy")
-    is_best = (F.col("gamma") == best[0]) & (F.col("cost") == best[1])
+    return li, KS.grid_search(train, feats, "label", "fold", SVM_GAMMAS, SVM_COSTS)
+
+
+@register("svm_grid")
+def svm_grid(spark, d):
+    """Cross-validated error of every (cost, gamma) on five folds; the best
+    setting, refitted on all training rows, on the held-out rows."""
+    li, found = _svm_search(spark, d)
+    t = spark.createDataFrame(found.rows, "gamma double, cost double, cv_error double, n_cv long")
+    test_acc = EV.class_metrics(found.best.score(li.where(F.col("is_train") == 0)), "label", "pred").select("accuracy")
+    is_best = (F.col("gamma") == found.best.gamma) & (F.col("cost") == found.best.cost)
     return (t.crossJoin(F.broadcast(test_acc))
-            .select("gamma", "cost", "cv_error", is_best.cast("int").alias("best"),
+            .select("gamma", "cost", "cv_error", "n_cv", is_best.cast("int").alias("best"),
                     F.when(is_best, F.col("accuracy")).alias("test_accuracy_refit")))
 
 
+@register("svm_confusion")
+def svm_confusion(spark, d):
+    """Confusion counts of the tuned machine on the held-out rows."""
+    from panelkit.operators.aggregate import contingency
+    li, found = _svm_search(spark, d)
+    s = found.best.score(li.where(F.col("is_train") == 0))
+    return contingency(s.select(F.col("pred").alias("Predicted"), F.col("label").alias("Actual")),
+                       "Predicted", "Actual", [0, 1], [0, 1]).withColumnRenamed("n", "Freq")
+
+
+_FOLD = """CAST(CAST(('0x' || substr(md5(concat_ws('#', l_orderkey::VARCHAR, l_linenumber::VARCHAR, '{seed}')), 1, 8)) AS BIGINT) {op} AS {kind})"""
+
+
+@register("svm_grid_folds", f"""
+WITH d AS (SELECT {_FOLD.format(seed=42, op='< ' + str(int(0.8 * 2 ** 32)), kind='INTEGER')} AS is_train,
+                  {_FOLD.format(seed=7, op='% 5', kind='INTEGER')} AS fold FROM lineitem),
+f AS (SELECT fold, count(*) AS n_held_out, (SELECT count(*) FROM d WHERE is_train = 1) - count(*) AS n_train
+      FROM d WHERE is_train = 1 GROUP BY fold)
+SELECT gamma::DOUBLE AS gamma, cost::DOUBLE AS cost, fold, n_train, n_held_out
+FROM f, (VALUES (0.01), (0.1), (0.1429)) g(gamma), (VALUES (1), (10), (100)) c(cost)
+""")
+def svm_grid_folds(spark, d):
+    """The settings of the grid search with the rows each trains and is judged on."""
+    li, _ = class_frame(spark, d)
+    train = SP.kfold(li.where(F.col("is_train") == 1), ["l_orderkey", "l_linenumber"], 5, seed=7)
+    sizes = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n_held_out"))
+    total = sizes.agg(F.sum("n_held_out").alias("n"))
+    settings = spark.createDataFrame([(g, c) for g in SVM_GAMMAS for c in SVM_COSTS], "gamma double, cost double")
+    return (sizes.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(settings))
+            .select("gamma", "cost", "fold", (F.col("n") - F.col("n_held_out")).alias("n_train"), "n_held_out"))
+
+
+FOLDS = 5
+
+
 @register("leaderboard")
 def leaderboard(spark, d):
-    """Shared folds x models -> mean held-out accuracy (one row per model)."""
+    """Five models on the same five folds: mean held-out accuracy of the 0/1
+    label. One scan gives the cross-products of every training set for the linear
+    and the additive model; the iterative models train all folds in the same passes."""
     li, feats = class_frame(spark, d)
-    li = SP.kfold(li, ["l_orderkey", "l_linenumber"], 5, seed=7).cache()
-    results = []
-    for k in range(5):
-        train, test = li.where(F.col("fold") != k), li.where(F.col("fold") == k)
-        g = glm.fit_glm(train, "label", feats, "binomial", pearson=False)
-        sg = glm.predict(g, test, feats, "prob").withColumn("pred", (F.col("prob") >= 0.5).cast("int"))
-        mm = C.fit_mlp(train, feats, "label", max_iter=300)
-        sm = C.score_mlp(mm, test, feats)
-        sv = C.fit_svm(train, feats, "label", gamma=0.1, cost=1.0, n_features=SVM_FEATURES, max_iter=100, tol=1e-4)
-        ss = C.score_svm(sv, test, feats, gamma=0.1, n_features=SVM_FEATURES)
-        for name, scored in (("logit", sg), ("mlp", sm), ("svm_rff", ss)):
-            results.append(EV.class_metrics(scored, "label", "pred")
-                           .select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "accuracy"))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    board = out.groupBy("model").agg(F.avg("accuracy").alias("cv_accuracy"), F.count(F.lit(1)).alias("n_folds"))
-    from panelkit.sources.io import checkpoint_table
-    board = checkpoint_table(board, "leaderboard")
-    li.unpersist()
-    return board
+    li = SP.kfold(li, ["l_orderkey", "l_linenumber"], FOLDS, seed=7)
+    smooth_cols = [f"{c}_z" for c in NUMERIC]
+    dummies = [c for c in feats if c not in smooth_cols]
+    data = li.select(*[F.col(c).cast("double") for c in feats], F.col("label").cast("double"), F.col("fold").cast("double")).dropna()
+    smooths = gam.smooth_terms(data, smooth_cols, k=10)
+    data = batched.spread(gam.add_basis(data, smooths)).persist()
+    try:
+        basis = [n for s in smooths.values() for n in s[4]]
+        wide = [*feats, *basis]
+        grams = folds.training_grams(data, wide, "label", "fold", FOLDS)
+        moments = data.agg(*[F.avg(c) for c in feats], *[F.stddev_pop(c) for c in feats]).first()
+        mean, scale = np.array(moments[:len(feats)]), np.array([s or 1.0 for s in moments[len(feats):]])
+        lm = np.zeros((FOLDS, 1 + len(wide)))
+        additive, logit = lm.copy(), lm.copy()
+        for k, g in enumerate(grams):
+            _place(lm[k], wide, ols.ols_from_gram(folds.sub_gram(g, feats)))
+            fit = gam.gam_from_gram(folds.sub_gram(g, [*dummies, *basis]), smooths, dummies)
+            additive[k, 0] = fit.intercept
+            for n, b in zip(fit.names, fit.coef):
+                additive[k, 1 + wide.index(n)] = b
+        for k, fit in enumerate(irls.newton(data, "label", feats, "binomial", mean, scale, fold="fold", leave_out=range(FOLDS))):
+            logit[k, 0] = fit.coef[0]
+            logit[k, 1:1 + len(feats)] = fit.coef[1:]
+        errors = folds.held_out_errors(data, wide, "label", "fold", FOLDS, {"lm": (lm, 0.5), "gam": (additive, 0.5), "logit": (logit, 0.0)})
+        nets = LN.fit_fold_nets(data, feats, "label", "fold", FOLDS, hidden=3, decay=0.001, max_iter=300)
+        errors["net"] = LN.held_out_net_errors(data, feats, "label", "fold", 3, [r.theta for r in nets])
+        errors["svm"] = KS.fold_errors(data, feats, "label", "fold", FOLDS, gamma=SVM_GAMMAS[-1], cost=1.0)
+    finally:
+        data.unpersist()
+    return spark.createDataFrame([(m, 1.0 - float(np.mean(e)), len(e)) for m, e in errors.items()],
+                                 "model string, cv_accuracy double, n_folds long")
+
+
+def _place(row, names, fit):
+    row[0] = fit.coef[0]
+    for t, b in zip(fit.terms[1:], fit.coef[1:]):
+        row[1 + names.index(t)] = b
+
+
+@register("fold_lm_one_factor", f"""
+WITH d AS (SELECT CAST(l_quantity > 25 AS INTEGER) AS label, l_returnflag AS g, {_FOLD.format(seed=7, op='% 5', kind='INTEGER')} AS fold FROM lineitem),
+s AS (SELECT fold, g, sum(label) AS s, count(*) AS n FROM d GROUP BY fold, g),
+t AS (SELECT g, sum(s) AS s, sum(n) AS n FROM s GROUP BY g),
+m AS (SELECT s.fold, s.g, (t.s - s.s)::DOUBLE / (t.n - s.n) AS fitted FROM s JOIN t ON s.g = t.g)
+SELECT fold, l_returnflag, round(fitted, 8) AS fitted, n, n_wrong FROM (
+    SELECT d.fold, d.g AS l_returnflag, fitted, count(*) AS n, count(*) FILTER (WHERE (fitted >= 0.5) <> (label = 1)) AS n_wrong
+    FROM d JOIN m ON d.fold = m.fold AND d.g = m.g GROUP BY d.fold, d.g, fitted)
+""")
+def fold_lm_one_factor(spark, d):
+    """Linear model of the label on the return flag, fitted outside each fold
+    from one scan: fitted value per level and the errors on the fold."""
+    li = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") > 25).cast("double").alias("label"), "l_returnflag")
+    levels = FE.factor_levels(li, "l_returnflag")
+    li, names = FE.dummy_columns(li, "l_returnflag", levels)
+    li = SP.kfold(li, ["l_orderkey", "l_linenumber"], FOLDS, seed=7)
+    data = li.select(*[F.col(c).cast("double") for c in names], "label", F.col("fold").cast("double"))
+    fits = [ols.ols_from_gram(g) for g in folds.training_grams(data, names, "label", "fold", FOLDS)]
+    rows = []
+    for k, fit in enumerate(fits):
+        b = dict(zip(fit.terms, fit.coef))
+        rows += [(k, lv, float(fit.coef[0] + b.get(FE.level_name("l_returnflag", lv), 0.0))) for lv in levels]
+    table = spark.createDataFrame(rows, "fold int, l_returnflag string, fitted double")       # folds x levels
+    wrong = (F.col("fitted") >= 0.5) != (F.col("label") == 1)
+    return (li.select("fold", "l_returnflag", "label").join(F.broadcast(table), ["fold", "l_returnflag"])
+            .groupBy("fold", "l_returnflag", F.round("fitted", 8).alias("fitted"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(wrong).alias("n_wrong")))
 
 
 @register("obs_vs_fitted")
