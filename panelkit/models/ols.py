@@ -148,7 +148,7 @@ def factor_fit(df: DataFrame, y: str, factor: str) -> tuple[int, int, float]:
 def univariate_sweep(df: DataFrame, y: str, predictors: Sequence[str], factors: Sequence[str] = ()) -> DataFrame:
     """One regression per predictor, ranked by R^2: the numeric ones all in one
     aggregation, a factor by its level means (slope and intercept NULL):
-    ``(predictor, n, slope, intercept, r2, adj_r2, f_stat, p_value)``."""
+    ``(predictor, n, slope, intercept, r2, adj_r2, f_stat, p_value, rank)``."""
     aggs = []
     for i, p in enumerate(predictors):
         aggs += [F.regr_count(F.col(y), F.col(p)).alias(f"n{i}"),
@@ -174,8 +174,8 @@ def univariate_sweep(df: DataFrame, y: str, predictors: Sequence[str], factors:
                     dists.f_sf(f, df1, dfr) if usable else float("nan")))
     out.sort(key=lambda r: (r[4] != r[4], -r[4]))
     return df.sparkSession.createDataFrame(
-        out, "predictor string, n long, slope double, intercept double, r2 double, adj_r2 double, "
-             "f_stat double, p_value double")
+        [(*r, i) for i, r in enumerate(out, 1)], "predictor string, n long, slope double, intercept double, r2 double, adj_r2 double, "
+                                                 "f_stat double, p_value double, rank int")
 
 
 def diagnostics(df: DataFrame, fit: LinearFit, y: str) -> DataFrame:

@@ -4,25 +4,25 @@ Plain ``percentile`` on rows keeps a value->count map per group and merges
 it in one task, so a group holding a third of all rows would land in one
 task with all its distinct values.  This operator instead:
 
-1. pre-aggregates to distinct ``(group, value) -> count`` (map-side combine,
-   shuffled on group *and* value, so hot groups spread over many tasks);
-2. per group derives n and the number of distinct values;
-3. groups with at most ``finish_rows`` distinct values take the exact
-   percentile with frequency weights over those counts: the per-group
-   buffer is bounded by ``finish_rows`` entries, whatever the row count;
-4. larger groups are narrowed by value buckets (equal width, and equal width
-   in the logarithm in turn, so values spread over many orders of magnitude
-   narrow as fast): bucket counts are partial aggregates (<= ``n_buckets``
-   rows per target rank), the bucket holding the rank becomes the new search
-   range, and the loop repeats until every range is small enough to read the
-   rank off a bounded cumulative count.
-
-Only groups-sized tables (per-group statistics, refinement state, the
-result) are materialised, as written tables in the shared checkpoint
-folder; nothing groups-sized reaches the driver.  ``method='approx'``
-switches to ``percentile_approx`` (bounded sketch, no interpolation);
-``method='grouped'`` is Spark's own exact percentile, for groups that are
-small by construction (the years of an entity, say).
+1. counts the rows per group; groups of at most ``finish_rows`` rows take
+   Spark's exact percentile, whose buffer is then bounded;
+2. for larger groups a mergeable sketch (``percentile_approx``, rank error at
+   most n / ``SKETCH_ACCURACY``) brackets every target rank between two values;
+3. one pass keeps the values inside a bracket, counted per distinct value, and
+   adds up everything between brackets, so the ranks are read off exactly from
+   a running count over few rows;
+4. where a group has more than ``finish_rows`` distinct values inside its
+   brackets, they are narrowed by value buckets (equal width, and equal width
+   in the logarithm in turn): bucket counts are partial aggregates, the bucket
+   holding the rank becomes the new range, until it is small enough;
+5. a rank outside its bracket (the sketch's bound excludes it) would send its
+   group through step 4 over all its counted values.
+
+Only groups-sized tables and the bracketed counts are materialised, as written
+tables in the shared checkpoint folder; nothing groups-sized reaches the driver.
+``method='approx'`` switches to ``percentile_approx`` (bounded sketch, no
+interpolation); ``method='grouped'`` is Spark's own exact percentile, for groups
+that are small by construction (the years of an entity, say).
 """
 
 from __future__ import annotations
@@ -34,8 +34,12 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.joins import null_safe_join
 
-#: distinct values that one group's buffer may hold
+#: rows, or distinct values, that one group's buffer or window may hold
 FINISH_ROWS = 20_000
+#: samples of a group's sketch; its rank error is at most n over this
+SKETCH_ACCURACY = 2000
+#: group-sized sides of up to so many rows are broadcast (a few MB)
+BROADCAST_GROUPS = 50_000
 N_BUCKETS = 1024
 #: doubles have 2**64 values, so two rounds in three digits each suffice many times over
 MAX_LEVELS = 200
@@ -64,33 +68,91 @@ def quantiles_long(df: DataFrame, value: str, probs: Sequence[float], by: Sequen
         agg = base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_qs"))
         return agg.select(*by, F.posexplode("_qs").alias("_i", "quantile")).select(
             *by, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("prob"), "quantile")
-    spark = df.sparkSession
+    sizes = _written(base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "q_sizes")
+    n_groups, most = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if n_groups == 0 or most <= finish_rows:
+        return _written(_direct(base, probs, by), "quantiles")
+    if by:
+        large = sizes.where(F.col("_n") > finish_rows).drop("_n")
+        n_large = large.count()
+        # one row per large group: at most a finish_rows-th of the rows, sent whole only when few
+        side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        big = null_safe_join(base, side, by, "left_semi")
+        out = _bracketed(big, n_large, probs, by, finish_rows, n_buckets)
+        if n_large < n_groups:
+            out = out.unionByName(_direct(null_safe_join(base, side, by, "left_anti"), probs, by))
+    else:
+        out = _bracketed(base, 1, probs, by, finish_rows, n_buckets)
+    # groups x probs rows: written once, so that readers do not compute it again
+    return _written(out, "quantiles")
+
+
+def _direct(base: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """Spark's exact percentile, for groups of bounded rows."""
     parr = F.array(*[F.lit(p) for p in probs])
-    vc = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")).persist()
-    try:
-        # per-group size and distinct count: groups-sized, written once
-        stats = _written(vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"),
-                                             F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "q_stats")
-        small_keys = stats.where(F.col("_nd") <= finish_rows)
-        # common path: exact type-7 percentile over value counts; the
-        # per-group buffer holds at most finish_rows distinct values
-        src = null_safe_join(vc, small_keys.select(*by), by, "left_semi") if by else \
-            vc.crossJoin(F.broadcast(small_keys.select(F.lit(1).alias("_one")))).drop("_one")
-        small = (src.groupBy(*by).agg(F.percentile("_v", parr, F.col("_c")).alias("_qs"))
-                 .select(*by, F.posexplode("_qs").alias("_i", "quantile"))
-                 .select(*by, F.element_at(parr, F.col("_i") + 1).alias("prob"), "quantile"))
-        parts = [small]
-        if stats.where(F.col("_nd") > finish_rows).limit(1).count() > 0:
-            parts.append(_large_groups(spark, vc, stats.where(F.col("_nd") > finish_rows), probs, by,
-                                       finish_rows, n_buckets))
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        # groups x probs rows: written once, so the result no longer needs vc
-        out = _written(out, "quantiles")
-    finally:
-        vc.unpersist()
-    return out
+    agg = base.groupBy(*by).agg(F.percentile("_v", parr).alias("_qs"))
+    return agg.select(*by, F.posexplode("_qs").alias("_i", "quantile")).select(*by, F.element_at(parr, F.col("_i") + 1).alias("prob"), "quantile")
+
+
+def _bracketed(base: DataFrame, n_groups: int, probs: list[float], by: list[str], finish_rows: int, n_buckets: int) -> DataFrame:
+    """Quantiles of large groups: sketch, one counting pass, exact ranks."""
+    spark = base.sparkSession
+    # more than the sketch's error, by at least a few ranks in groups of over finish_rows rows
+    slack = 2.0 / SKETCH_ACCURACY + 3.0 / finish_rows
+    ends = [e for p in probs for e in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), SKETCH_ACCURACY)
+    marks = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), sketch.alias("_e"))
+    marks = _written(marks.where("_n > 0"), "q_marks")
+    # a bracket that reaches an end of the order takes the end itself, which the sketch may miss
+    lo = [F.col("_min") if ends[2 * j] == 0 else F.col("_e")[2 * j] for j in range(len(probs))]
+    hi = [F.col("_max") if ends[2 * j + 1] == 1 else F.col("_e")[2 * j + 1] for j in range(len(probs))]
+    lo_hi = marks.select(*by, F.array(*lo).alias("_lo"), F.array(*hi).alias("_hi"))
+    side = F.broadcast(lo_hi) if n_groups <= BROADCAST_GROUPS else lo_hi
+    rows = null_safe_join(base, side, by, "inner") if by else base.crossJoin(F.broadcast(lo_hi))
+    inside, gap = F.lit(False), F.lit(0)
+    for j in range(len(probs)):
+        inside = inside | ((F.col("_v") >= F.col("_lo")[j]) & (F.col("_v") <= F.col("_hi")[j]))
+        gap = gap + (F.col("_v") > F.col("_hi")[j]).cast("int")
+    # a bracketed value counts for itself, the values between two brackets count together
+    counted = _written(rows.groupBy(*by, F.when(inside, F.col("_v")).alias("_x"), F.when(~inside, gap).alias("_gap"))
+                       .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_v")).drop("_x"), "q_counted")
+    sizes = _written(counted.groupBy(*by).agg(F.count(F.lit(1)).alias("_nd"), F.sum("_c").alias("_n"), F.min("_v").alias("_lo"),
+                                              F.max("_v").alias("_hi")), "q_stats")
+    if sizes.where(F.col("_nd") > finish_rows).limit(1).count() == 0:
+        found = _read_ranks(spark, counted, sizes, probs, by)
+    else:
+        few = null_safe_join(counted, sizes.where(F.col("_nd") <= finish_rows).select(*by), by, "left_semi") if by else counted.limit(0)
+        found = _read_ranks(spark, few, sizes.where(F.col("_nd") <= finish_rows), probs, by).unionByName(
+            _large_groups(spark, counted.select(*by, "_v", "_c"), sizes.where(F.col("_nd") > finish_rows), probs, by, finish_rows, n_buckets)
+            .withColumn("_missed", F.lit(False)))
+    found = _written(found, "q_found")
+    if found.where("_missed").limit(1).count() == 0:
+        return found.drop("_missed")
+    lost = found.where("_missed").select(*by).distinct()
+    again = null_safe_join(base, lost, by, "left_semi") if by else base
+    vc = _written(again.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "q_values")
+    stats = vc.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_nd"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    kept = null_safe_join(found, lost, by, "left_anti") if by else found.limit(0)
+    return kept.drop("_missed").unionByName(_large_groups(spark, vc, _written(stats, "q_stats"), probs, by, finish_rows, n_buckets))
+
+
+def _read_ranks(spark, counted: DataFrame, sizes: DataFrame, probs: list[float], by: list[str]) -> DataFrame:
+    """(by..., prob, quantile, _missed) off a running count of at most
+    ``finish_rows`` rows per group; a rank on a row of several values is missed."""
+    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counted.withColumn("_cum", F.sum("_c").over(w))
+    n = sizes.select(*by, "_n")
+    cum = null_safe_join(cum, n, by, "inner") if by else cum.crossJoin(F.broadcast(n))
+    targets = F.array(*[F.struct(F.lit(p).alias("prob"), ((F.col("_n") - 1) * F.lit(p)).alias("h")) for p in probs])
+    # the two ranks around each target that this row holds
+    hit = cum.withColumn("_t", F.explode(targets)).select(
+        *by, F.col("_t.prob").alias("prob"), F.col("_t.h").alias("_h"), "_v", "_gap", (F.col("_cum") - F.col("_c")).alias("_from"), "_cum")
+    low, high = F.floor("_h"), F.ceil("_h")
+    on_low, on_high = (low >= F.col("_from")) & (low < F.col("_cum")), (high >= F.col("_from")) & (high < F.col("_cum"))
+    hit = hit.where(on_low | on_high)
+    v_low, v_high = F.max(F.when(on_low, F.col("_v"))), F.max(F.when(on_high, F.col("_v")))
+    return hit.groupBy(*by, "prob").agg(
+        (v_low + (v_high - v_low) * (F.max("_h") - F.floor(F.max("_h")))).alias("quantile"), F.max(F.col("_gap").isNotNull()).alias("_missed"))
 
 
 def _large_groups(spark, vc: DataFrame, stats: DataFrame, probs, by: list[str], finish_rows: int,

@@ -308,6 +308,37 @@ def loess_grid(spark, d):
                     F.round("weight_sum", 6).alias("weight_sum"))
 
 
+@register("loess_span", """
+WITH dm AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS y FROM lineitem GROUP BY 1),
+d AS (SELECT CAST(date_diff('day', DATE '1995-01-01', date) AS DOUBLE) AS x, y FROM dm),
+rng AS (SELECT min(x) AS lo, max(x) AS hi, CAST(floor(count(*) * 0.1 + 1e-5) AS BIGINT) AS q, count(*) AS n FROM d),
+g AS (SELECT CAST(i AS INTEGER) AS i, lo + i * ((hi - lo) / 79) AS gx, q FROM rng, range(80) t(i)),
+r AS (SELECT i, gx, x - gx AS dd, y, row_number() OVER (PARTITION BY i ORDER BY abs(x - gx)) AS nr, q FROM d, g),
+h AS (SELECT i, max(abs(dd)) AS h FROM r WHERE nr <= q GROUP BY i),
+w AS (SELECT r.i, gx, h, dd / h AS u, y, pow(1 - pow(abs(dd) / h, 3), 3) AS k FROM r JOIN h ON r.i = h.i WHERE abs(dd) < h),
+s AS (SELECT i, gx, h, sum(k) AS S0, sum(k * u) AS S1, sum(k * u * u) AS S2, sum(k * pow(u, 3)) AS S3, sum(k * pow(u, 4)) AS S4,
+             sum(k * y) AS T0, sum(k * y * u) AS T1, sum(k * y * u * u) AS T2,
+             sum(k * k) AS U0, sum(k * k * u) AS U1, sum(k * k * u * u) AS U2, sum(k * k * pow(u, 3)) AS U3, sum(k * k * pow(u, 4)) AS U4
+      FROM w GROUP BY i, gx, h),
+a AS (SELECT *, S0 * (S2 * S4 - S3 * S3) - S1 * (S1 * S4 - S3 * S2) + S2 * (S1 * S3 - S2 * S2) AS det FROM s),
+c AS (SELECT *, (S2 * S4 - S3 * S3) / det AS a0, (S2 * S3 - S1 * S4) / det AS a1, (S1 * S3 - S2 * S2) / det AS a2 FROM a),
+f AS (SELECT i, gx, h, a0 * T0 + a1 * T1 + a2 * T2 AS fitted, a0 AS lev,
+             a0 * a0 * U0 + 2 * a0 * a1 * U1 + (a1 * a1 + 2 * a0 * a2) * U2 + 2 * a1 * a2 * U3 + a2 * a2 * U4 AS norm2 FROM c),
+p AS (SELECT x, y, least(floor((x - lo) / ((hi - lo) / 79)), 78) AS k, (x - lo) / ((hi - lo) / 79) AS pos FROM d, rng),
+e AS (SELECT y - (f0.fitted * (1 - (pos - k)) + f1.fitted * (pos - k)) AS res, f0.lev * (1 - (pos - k)) + f1.lev * (pos - k) AS lev,
+             f0.norm2 * (1 - (pos - k)) + f1.norm2 * (pos - k) AS norm2 FROM p JOIN f f0 ON f0.i = k JOIN f f1 ON f1.i = k + 1),
+sg AS (SELECT sqrt(sum(res * res) / (count(*) - 2 * sum(lev) + sum(norm2))) AS sigma FROM e)
+SELECT i AS grid_idx, round(gx, 6) AS x, round(h, 6) AS bandwidth, round(fitted, 6) AS fitted, round(sqrt(norm2), 6) AS row_norm,
+       round(sigma * sqrt(norm2), 6) AS se FROM f, sg
+""")
+def loess_span(spark, d):
+    """Daily mean quantity smoothed over the nearest tenth of the days, with its standard error."""
+    dm = T.lineitem_panel(spark, d).groupBy("date").agg(F.avg("l_quantity").alias("y"))
+    t = dm.select(F.datediff("date", F.lit("1995-01-01").cast("date")).cast("double").alias("x"), "y")
+    g = loess.loess_span(t, "x", "y", span=0.1, n_grid=80)
+    return g.select("grid_idx", *[F.round(c, 6).alias(c) for c in ("x", "bandwidth", "fitted", "row_norm", "se")])
+
+
 @register("trend_line", """
 WITH dm AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_quantity) AS y FROM lineitem GROUP BY 1),
 t AS (SELECT date_diff('day', (SELECT min(date) FROM dm), date) AS x, y FROM dm),

@@ -8,7 +8,6 @@ value where it is a multiple of eleven.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.models import evaluate as EV, ols
@@ -125,9 +124,7 @@ SELECT predictor, n, round(r2, 8) AS r2, round(1 - (1 - r2) * (n - 1) / (n - k),
 def ols_sweep_factors(spark, d):
     li = T.table(spark, d, "lineitem").select(F.ln("l_extendedprice").alias("y"), "l_quantity", "l_returnflag", "l_linestatus")
     s = ols.univariate_sweep(li, "y", ["l_quantity"], ["l_returnflag", "l_linestatus"])
-    # one row per predictor
-    rank = F.row_number().over(Window.orderBy(F.col("r2").desc())).cast("int")
-    return s.select("predictor", "n", F.round("r2", 8).alias("r2"), F.round("adj_r2", 8).alias("adj_r2"), F.round("f_stat", 4).alias("f_stat"), rank.alias("rank"))
+    return s.select("predictor", "n", F.round("r2", 8).alias("r2"), F.round("adj_r2", 8).alias("adj_r2"), F.round("f_stat", 4).alias("f_stat"), "rank")
 
 
 @register("contract_pairs", """
