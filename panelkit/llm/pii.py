@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +49,8 @@ CONTEXT = {
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: begins only where a run of digits does and never gives digits back, so a run is read once
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -132,8 +135,10 @@ def find_spans(text: str | None) -> tuple[list[Span], list[tuple[Span, float]]]:
     order = lambda s: (s[0], KIND_RANK[s[2]], s[1])
     base = sorted(base_spans(text), key=order)
     every = [(s, score(text, s)) for s in base]
+    starts, reach = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
     for span in added_proposals(text):
-        if not any(s[0] < span[1] and span[0] < s[1] for s in base) and (value := score(text, span)) >= THRESHOLD:
+        before = bisect_left(starts, span[1])            # base spans that begin before this one ends
+        if not (before and reach[before - 1] > span[0]) and (value := score(text, span)) >= THRESHOLD:
             every.append((span, value))
     return base, sorted(every, key=lambda x: order(x[0]))
 

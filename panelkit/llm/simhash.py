@@ -242,7 +242,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = written(small, "star")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            found = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            tops = found.select("root").distinct()
+            return found.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
         state = now
     raise RuntimeError("components did not settle")
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 
@@ -65,3 +67,25 @@ def test_edge_cases(edge_docs, no_docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert all(r.base_sha256 == empty and r.spans == "" for r in rows)
     assert P.find_pii(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, ("9" * 50_000 + ".") * 20, "1.2.3." * 150_000 + "x", "+1 " * 300_000,
+                                  "123-45-6789 " * 60_000 + "a@b.cd " * 20_000])
+def test_long_runs_take_linear_time(text):
+    start = time.perf_counter()
+    found, _ = P.find_spans(text)
+    assert time.perf_counter() - start < 20
+    assert [f"{k}:{s}:{e}" for s, e, k in P.find_spans(text[:3000])[0]] == brute_base(text[:3000])
+
+
+def test_a_million_digits_take_under_two_seconds():
+    start = time.perf_counter()
+    assert P.find_spans("4" * 1_000_000) == ([], [])
+    assert time.perf_counter() - start < 2
+
+
+def test_ip_runs_match_like_the_plain_pattern():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("0125.. x") for _ in range(rng.randint(1, 40)))
+        assert [m.span() for m in P._IP.finditer(text)] == [m.span() for m in re.finditer(BASE["ip"], text)]
