@@ -26,11 +26,11 @@ format turns into a space. Repeated rows repeat; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -93,18 +93,26 @@ class Vocabulary:
         return cls(pieces, [sp.get_score(i) for i in range(n)], kind == 2, byte_ids, sp.unk_id(), special)
 
     # -- BPE --
-    def merge(self, text: str) -> list[str]:
-        """Greedy merging: best score first, leftmost among equals."""
-        parts, rank = list(text), self.rank.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = rank(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+    def merge(self, text: str, wall: int = 0) -> list[str] | None:
+        """Greedy merging: best score first, leftmost among equals. With a
+        ``wall``, None as soon as a merge runs across that place."""
+        parts, rank, none = list(text), self.rank.get, -math.inf
+        scores = [rank(x + y, none) for x, y in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
+            at = scores.index(best)
+            if wall:
+                if at == wall - 1:
+                    return None
+                wall -= at < wall
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = rank(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = rank(parts[at - 1] + parts[at], none)
         return parts
 
     def solid(self, k: int) -> bool:
@@ -126,7 +134,7 @@ class Vocabulary:
             if len(self._stands) > CACHE_PAIRS:
                 self._stands.clear()
             a, b = self.pieces[left], self.pieces[right]
-            out = self._stands[key] = self.merge(a + b) == [a, b]
+            out = self._stands[key] = self.merge(a + b, len(a)) == [a, b]
         return out
 
     def candidates(self, word: str, i: int) -> Iterator[int]:
@@ -202,11 +210,13 @@ def _model_kind(proto: bytes) -> int:
 def encode_words(vocab: Vocabulary, words: Iterable[str]) -> dict[str, list[int]]:
     """Ids of each distinct word; sorted words share the forward pass of their prefixes."""
     out: dict[str, list[int]] = {}
-    back, last, best, before = [0], [-1], [0.0], ""
+    back, last, best, before, merges = [0], [-1], [0.0], "", vocab.merges
     for word in sorted(words):
-        shared = len(commonprefix((before, word)))
+        shared, top = 0, min(len(before), len(word))
+        while shared < top and before[shared] == word[shared]:
+            shared += 1
         del back[shared + 1:]
-        if vocab.merges:
+        if merges:
             del last[shared + 1:]
             vocab.extend_merge(word, back, last)
         else:
@@ -215,7 +225,7 @@ def encode_words(vocab: Vocabulary, words: Iterable[str]) -> dict[str, list[int]
         path, i = [], len(word)
         while i:
             n = back[i]
-            k = last[i] if vocab.merges else vocab.ids.get(word[i - n:i], -1)
+            k = last[i] if merges else vocab.ids.get(word[i - n:i], -1)
             if k >= 0:
                 path.append(k)
             elif vocab.byte_ids:
