@@ -61,27 +61,65 @@ def eligible(df: DataFrame, entity: str, date: str, start: str | None, end: str
     return cov.where(F.col("coverage_pct") >= min_pct)
 
 
+def day_bitmaps(df: DataFrame, entity: str, date: str) -> DataFrame:
+    """``(entity, word, bits)``: the observed days of an entity as 64-day words,
+    day number = 64 * word + bit. One partial aggregate; a hot entity is spread
+    over its words. Rows without a day leave a word NULL without bits."""
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    bit = F.pmod(day, F.lit(64))
+    one = F.coalesce(F.expr("shiftleft(1L, _bit)"), F.lit(0).cast("long"))
+    return (df.select(F.col(entity), ((day - bit) / 64).cast("int").alias("word"), bit.cast("int").alias("_bit"))
+            .groupBy(entity, "word").agg(F.bit_or(one).alias("bits")))
+
+
+def _masked(start: str | None, end: str | None) -> Column:
+    """The bits of a word that lie inside an inclusive window."""
+    first = F.datediff(F.lit(start).cast("date"), F.lit("1970-01-01").cast("date")) - F.col("word") * 64 if start else F.lit(0)
+    last = F.datediff(F.lit(end).cast("date"), F.lit("1970-01-01").cast("date")) - F.col("word") * 64 if end else F.lit(63)
+    every = F.lit(-1).cast("long")
+    low = F.when(first >= 64, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", every, F.greatest(first, F.lit(0))))
+    high = F.when(last < 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", every, F.lit(63) - F.least(last, F.lit(63))))
+    return F.col("bits").bitwiseAND(low).bitwiseAND(high)
+
+
 def coverage_matrix(df: DataFrame, entity: str, date: str, windows: Mapping[str, tuple],
                     thresholds: Sequence[float]) -> DataFrame:
     """Entities reaching each threshold, per named window ``name -> (start, end)``.
 
-    The (entity, day) pre-aggregation is computed once and shared by every
-    window (one shuffle of the rows; each window filters the per-day table).
+    All windows are masked counts over one table of day bitmaps, so a further
+    window or threshold costs no further scan or shuffle; per window only the
+    counts per number of days (at most the days of the panel) remain. An open
+    end is the first or last day that any entity has inside the window.
     """
-    per_day = rows_per_entity_day(df, entity, date)
-    parts = []
-    for name, (start, end) in windows.items():
-        cov = coverage(per_day, entity, date, start, end, per_day=True)
-        aggs = [F.count_if(F.col("coverage_pct") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)]
-        agg = cov.agg(F.count(F.lit(1)).alias("n_entities"), F.max("days_in_window").alias("days"), *aggs)
-        rows = [F.struct(F.lit(name).alias("window"), F.col("days").alias("days_in_window"),
-                         F.col("n_entities"), F.lit(float(t)).alias("threshold_pct"),
-                         F.col(f"t{i}").alias("n_reaching")) for i, t in enumerate(thresholds)]
-        parts.append(agg.select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = df.sparkSession
+    names = list(windows)
+    words = day_bitmaps(df, entity, date)
+    days, firsts, lasts = [], [], []
+    for i, (start, end) in enumerate(windows.values()):
+        inside = _masked(start, end)
+        days.append(F.coalesce(F.sum(F.bit_count(inside)), F.lit(0)).alias(f"d{i}"))
+        firsts.append(F.min(F.when(inside != 0, F.col("word") * 64 + F.instr(F.reverse(F.bin(inside)), "1") - 1)).alias(f"f{i}"))
+        lasts.append(F.max(F.when(inside != 0, F.col("word") * 64 + F.length(F.bin(inside)) - 1)).alias(f"l{i}"))
+    per = words.groupBy(entity).agg(*days, *firsts, *lasts)
+    each = per.select(F.explode(F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"d{i}").alias("d"), F.col(f"f{i}").alias("f"),
+                                                   F.col(f"l{i}").alias("l")) for i, n in enumerate(names)])).alias("w")).select("w.*")
+    bounds = spark.createDataFrame([(n, s, e) for n, (s, e) in windows.items()], "window string, start string, end string")
+    counted = (each.groupBy("window", "d").agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f"), F.max("l").alias("l"))
+               .groupBy("window").agg(F.collect_list(F.struct("d", "n")).alias("by_days"), F.min("f").alias("f"), F.max("l").alias("l")))
+
+    def number(c: str) -> Column:
+        return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    table = F.broadcast(bounds).join(counted, "window", "left").withColumn(
+        "days_in_window", (F.coalesce(number("end"), F.col("l")) - F.coalesce(number("start"), F.col("f")) + 1).cast("int"))
+    whole = F.col("start").isNull() & F.col("end").isNull()
+
+    def total(keep) -> Column:
+        return F.coalesce(F.aggregate("by_days", F.lit(0).cast("long"), lambda t, x: t + F.when(keep(x), x["n"]).otherwise(F.lit(0).cast("long"))),
+                          F.lit(0).cast("long"))
+    rows = [F.struct(F.lit(float(t)).alias("threshold_pct"),
+                     total(lambda x, t=t: ((x["d"] > 0) | whole) & (F.try_divide(x["d"] * 100.0, F.col("days_in_window")) >= t)).alias("n_reaching"))
+            for t in thresholds]
+    return table.select("window", "days_in_window", total(lambda x: (x["d"] > 0) | whole).alias("n_entities"), F.inline(F.array(*rows)))
 
 
 def monthly_rollup(df: DataFrame, entity: str, date: str, flag: Column,
