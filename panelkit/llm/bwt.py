@@ -2,7 +2,8 @@
 
 The suffixes of some texts, each closed by its own end mark, are sorted; the
 transform's backward step leads from a suffix to the one a character longer.
-Starting from the interval of all suffixes, breadth-first backward extension
+Starting from the intervals of the strings as long as the sort's first key (the
+keys tell the shorter common prefixes), breadth-first backward extension
 visits the intervals of all strings by increasing length; the first interval
 that ends before a border between neighbouring suffixes gives that border's
 common-prefix length, and only then is it extended further. The expansion stops
@@ -14,81 +15,121 @@ from __future__ import annotations
 
 import numpy as np
 
-PACK = 7                        # characters in the first sort key, 9 bits each
+KEY_BITS = 63                   # of the first sort key
 
 
-def suffix_order(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_by(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(``key`` sorted, the order that sorts it); ``size`` bounds the key."""
+    bits = int(len(key)).bit_length()
+    if size.bit_length() + bits > KEY_BITS:
+        by = np.argsort(key, kind="stable")
+        return key[by], by
+    # key and position as one number: values sort several times faster than indices
+    packed = key << bits
+    packed |= np.arange(len(key), dtype=np.int64)
+    packed.sort()
+    by = packed & ((1 << bits) - 1)
+    packed >>= bits
+    return packed, by
+
+
+def dense_symbols(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """``text`` with its symbols numbered without gaps in their order (0 stays 0), and the bits of one."""
+    there = np.bincount(text, minlength=1) > 0
+    there[0] = True
+    return (np.cumsum(there) - 1)[text], max(1, int(there.sum() - 1).bit_length())
+
+
+def suffix_order(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, tuple[int, np.ndarray, np.ndarray]]:
     """(order, rank) of the suffixes of ``text`` (0 for an end mark, else byte + 1);
-    ``ends`` are the positions of the marks, ordered by position among themselves."""
+    ``ends`` are the positions of the marks, ordered by position among themselves.
+    The third value tells the common prefixes shorter than the first sort key:
+    its length (at most ``least``), whether the border after a slot has at least
+    that length, and whether it has one character less."""
     n = len(text)
-    which = np.searchsorted(ends, np.arange(n))              # the mark that closes each suffix
-    far = ends[which] - np.arange(n)
-    padded = np.concatenate([text, np.zeros(PACK, dtype=np.uint64)]).astype(np.uint64)
-    key = np.zeros(n, dtype=np.uint64)
-    for k in range(PACK):
-        c = padded[k:k + n].copy()
-        c[far < k] = 0
-        key = (key << np.uint64(9)) | c
-    tie = np.where(far < PACK, which, 0)
-    # the few suffixes that reach their end mark within the key are told apart by the mark
-    near = np.flatnonzero(far < PACK)
+    symbols, bits = dense_symbols(text)
+    pack = min(least, KEY_BITS // bits)                      # characters in the first sort key
+    key, have = symbols, 1
+    while have < pack:
+        more = min(have, pack - have)
+        ahead = np.zeros(n, dtype=np.int64)
+        ahead[:max(0, n - have)] = key[have:]
+        key = (key << (more * bits)) | (ahead >> ((have - more) * bits))
+        have += more
+    # the few suffixes that reach their end mark within the key end there, and are told apart by the mark
+    sizes = np.diff(ends, prepend=-1) - 1
+    far = np.tile(np.arange(pack), len(ends))
+    which = np.repeat(np.arange(len(ends)), pack)
+    inside = far <= sizes[which]
+    far, which = far[inside], which[inside]
+    near = ends[which] - far
+    cut = (pack - 1 - far) * bits
+    key[near] = (key[near] >> cut) << cut
     order = np.argsort(key)
     sorted_key = key[order]
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, dtype=np.int64)
+    # a zero at the end of a key or of its head: an end mark stands within, and no two marks are equal
+    symbol = (1 << bits) - 1
+    longer = np.append(~fresh[1:] & ((sorted_key[1:] & symbol) > 0), False)
+    head = sorted_key >> bits
+    just = np.append((head[1:] == head[:-1]) & ((head[1:] & symbol > 0) if pack > 1 else True), False) & ~longer
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    order, rank, fresh = _split(order, rank, fresh, near, which)
-    depth = PACK
-    open_ = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+    mark = np.full(n, -1, dtype=np.int64)
+    mark[near] = which
+    _split(order, rank, fresh, mark)
+    depth = pack
+    open_ = np.flatnonzero(~fresh | np.append(~fresh[1:], False)).astype(rank.dtype)
+    at = order[open_].astype(rank.dtype)
+    group = rank[at]
     while len(open_):
-        at = order[open_]
         # slots of one rank are neighbours: (rank, rank further on) as one number
-        pair = (rank[at] << 32) | rank[at + depth]
-        sub = np.argsort(pair)
-        at, pair = at[sub], pair[sub]
-        order[open_] = at
-        start = np.ones(len(at), dtype=bool)
-        start[1:] = pair[1:] != pair[:-1]
-        rank[at] = open_[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
-        open_ = open_[~(start & np.append(start[1:], True))]
+        pair = group.astype(np.int64)
+        pair *= n
+        pair += rank[at + depth]
+        pair, sub = _sorted_by(pair, n * n)
+        at = at[sub]
+        start = np.ones(len(at) + 1, dtype=bool)
+        np.not_equal(pair[1:], pair[:-1], out=start[1:-1])
+        group = open_[np.maximum.accumulate(np.where(start[:-1], np.arange(len(at), dtype=rank.dtype), 0))]
+        rank[at] = group
+        alone = start[:-1] & start[1:]
+        order[open_[alone]] = at[alone]
+        more = ~alone
+        open_, at, group = open_[more], at[more], group[more]
         depth *= 2
-    return order, rank
+    return order, rank, (pack, longer, just)
 
 
-def _split(order: np.ndarray, rank: np.ndarray, fresh: np.ndarray, near: np.ndarray, which: np.ndarray):
+def _split(order: np.ndarray, rank: np.ndarray, fresh: np.ndarray, mark: np.ndarray) -> None:
     """Within equal keys that hold an end mark, order by the mark; each is then alone in its rank."""
-    slots = np.flatnonzero(np.isin(order, near, assume_unique=True)) if len(near) else near
+    slots = np.flatnonzero(mark[order] >= 0)
     at = order[slots]
-    sub = np.lexsort((which[at], rank[at]))
+    sub = np.lexsort((mark[at], rank[at]))
     order[slots] = at[sub]
     rank[order[slots]] = slots
     fresh[slots] = True
     after = slots + 1
-    after = after[after < len(order)]
-    fresh[after] |= True
-    return order, rank, fresh
+    fresh[after[after < len(order)]] = True
 
 
-def long_borders(text: np.ndarray, order: np.ndarray, rank: np.ndarray, n_marks: int, least: int) -> np.ndarray:
+def long_borders(text: np.ndarray, order: np.ndarray, rank: np.ndarray, known: tuple[int, np.ndarray, np.ndarray], least: int) -> np.ndarray:
     """For each border between suffixes i - 1 and i in order (0 and n are outer
-    borders): whether their common prefix has at least ``least`` characters."""
-    n = len(text)
+    borders): whether their common prefix has at least ``least`` characters.
+
+    The sort by the first ``pack`` characters has given the borders of shorter
+    common prefixes and the intervals of the strings of that length; those that
+    end before a border of ``pack - 1`` are where the expansion stands then."""
+    pack, longer, just = known
     before = order - 1
-    char = np.where(before >= 0, text[before], 0).astype(np.int64)      # the transform; 0 at a text's start
+    char = np.where(before >= 0, text[before], 0).astype(np.int16)      # the transform; 0 at a text's start
     back = rank[before]                                                  # its backward step
-    open_ = np.ones(n + 1, dtype=bool)                                   # borders without a value
-    open_[:n_marks + 1] = False
-    open_[n] = False
-    lo = np.concatenate([[0], np.arange(n_marks)])
-    hi = np.concatenate([[n - 1], np.arange(n_marks)])
-    level = np.concatenate([[0], np.ones(n_marks, dtype=np.int64)])
-    pending = (lo[1:], hi[1:])                                           # the marks join at length 1
-    lo, hi = lo[:1], hi[:1]
-    del level
-    for length in range(least):
-        if length == 1:
-            lo, hi = np.concatenate([lo, pending[0]]), np.concatenate([hi, pending[1]])
+    open_ = np.concatenate([[False], longer])                            # borders without a value
+    hi = np.flatnonzero(just).astype(back.dtype)
+    ends = np.flatnonzero(~longer)                                       # the last slots of the intervals
+    lo = np.concatenate([[-1], ends])[np.searchsorted(ends, hi)].astype(back.dtype) + back.dtype.type(1)
+    for _ in range(pack, least):
         if not len(lo):
             break
         one = lo == hi
@@ -99,14 +140,14 @@ def long_borders(text: np.ndarray, order: np.ndarray, rank: np.ndarray, n_marks:
         if len(lo):
             size = hi - lo + 1
             which = np.repeat(np.arange(len(lo)), size)
-            member = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            ok = char[member] > 0
+            member = np.arange(len(which)) + np.repeat(lo - (np.cumsum(size) - size), size)
+            c = char[member]
+            ok = c > 0
             which, member = which[ok], member[ok]
-            step = back[member]
             # one character's members of an interval lead to neighbouring suffixes
-            key = which * 257 + char[member]
-            by = np.argsort(key, kind="stable")
-            key, step = key[by], step[by]
+            key = which * 257 + c[ok]
+            key, by = _sorted_by(key, len(lo) * 257)
+            step = back[member[by]]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
             last = np.append(first[1:], len(key)) - 1 if len(first) else first
             new_lo = np.concatenate([new_lo, step[first]])
@@ -125,8 +166,8 @@ def repeated_starts(texts: list[bytes], least: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes + 1) - 1
     joined = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(np.int64) + 1
     joined[ends] = 0
-    order, rank = suffix_order(joined, ends)
-    border = long_borders(joined, order, rank, len(texts), least)
+    order, rank, known = suffix_order(joined, ends, least)
+    border = long_borders(joined, order, rank, known, least)
     twice = np.zeros(len(joined), dtype=bool)
     twice[order] = border[:-1] | border[1:]
     starts = ends - sizes
