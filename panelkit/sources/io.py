@@ -2,12 +2,13 @@
 
 ``read_delimited_dir`` reads a directory of per-entity delimited files into
 one all-text table, binding columns **by name** even when files order their
-headers differently (Spark's CSV reader binds by position).  The header of a
-file is its first line: Spark lists the files and its tasks read only the head
-of each; files are grouped by header and each group is read with a schema in
-its own column order, then the groups are unioned by name.  A file whose header
-lacks a key column stops the read with its name; empty files contribute
-nothing.  The driver holds one path per file, as Spark's own file index does.
+headers differently (Spark's CSV reader binds by position).  Plain files on a
+path that executors mount are one scan of the data source in ``by_name.py``.
+Elsewhere (storage only Spark's readers open, compressed files) files are
+grouped by header, each group is read with a schema in its own column order,
+and the groups are unioned by name.  A file whose header lacks a key column
+stops the read with its name; empty files contribute nothing.  The driver
+holds one path per file, as Spark's own file index does.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import types as T
 
 from panelkit.models import persist
 from panelkit.session import checkpoint_dir
+from panelkit.sources import by_name
+
+#: endings that Spark's readers decompress
+COMPRESSED = (".gz", ".gzip", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
 
 def _string_schema(cols: Sequence[str]) -> T.StructType:
@@ -69,14 +74,31 @@ def file_headers(spark: SparkSession, path: str, sep: str, key_columns: Sequence
     return dict(groups)
 
 
+def list_files(spark: SparkSession, path: str, glob: str = "*.csv") -> list[tuple[str, int]]:
+    """(address, size) of the files that are not empty; no content is read."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+             .filter("length > 0").select("path", "length").collect())
+    return sorted((r["path"], r["length"]) for r in found)
+
+
 def read_delimited_dir(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";",
-                       key_columns: Sequence[str] | None = None, glob: str = "*.csv") -> DataFrame:
+                       key_columns: Sequence[str] | None = None, glob: str = "*.csv", method: str | None = None) -> DataFrame:
     """Many delimited files -> one table of ``columns`` (all STRING).
 
     Columns missing from a file are NULL; extra columns are ignored.
+    ``method``: "scan" (one scan, ``by_name.py``) or "union" (Spark's CSV reader
+    per header); by default "scan" for plain files on mounted paths.
     """
     columns = list(columns)
     keys = list(key_columns or columns[:1])
+    files = list_files(spark, path, glob) if method != "union" else []
+    if method is None and files:
+        plain = all(f.startswith("file:") and not f.endswith(COMPRESSED) for f, _ in files)
+        method = "scan" if plain else "union"
+    if method == "scan" and files:
+        return by_name.scan(spark, files, columns, sep, keys)
+    if method != "union":
+        return spark.createDataFrame([], _string_schema(columns))
     groups = file_headers(spark, path, sep, keys, glob)
     parts = []
     for header, files in sorted(groups.items()):
