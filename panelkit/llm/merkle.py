@@ -13,14 +13,18 @@ and those of its paragraphs: ``root;section:leaf,leaf|section:leaf``. The
 likeness of two fingerprints is 1 for equal roots, else twice the paragraphs
 in common over those of both (0 to 1).
 
-The query's "next document" is found with bounded windows: ids fall into at
-most ``MAX_BLOCKS`` ranges of equal width, each block also receives the first
-row of the block after it, and no window holds more than a block.
+The query's "next document" is found with bounded windows. The ids and text
+hashes alone are range-partitioned into blocks of about ``BLOCK_ROWS`` rows
+(more only beyond ``MAX_BLOCKS`` blocks), wherever the ids lie; each text goes
+to its block by binary search in the blocks' first keys, a block also receives
+the row next to its end, and no window holds more than a block. Rows repeated
+with equal id and text travel as one.
 
 Only DataFrame functions are used. Defined results: a null text counts as
 empty; the empty text has no sections and the root of the empty string; two
 empty texts have likeness 1, an empty and another 0. Rows are ordered by
-descending id, null ids last, equal ids by text. A single row is its own next.
+descending id, null ids last, equal ids by descending SHA-256 of the text. A
+single row is its own next.
 An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -29,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import text_or_empty
+from panelkit.llm.common import maybe_broadcast, text_or_empty, written
 
 LEAF_WORDS = 6
 SECTION_MEAN = 8
@@ -107,29 +111,64 @@ def locate_edits(pairs: DataFrame, before: str = "before", after: str = "after")
     return split.withColumn("changed", F.when(same, F.slice(changed, 1, 0)).otherwise(changed)).drop("_old", "_new", "_old_leaves")
 
 
+def block_starts(keys: DataFrame, n: int) -> DataFrame:
+    """One row: ``starts``, the first (doc_id, th) of each block of the ``n`` distinct ``keys``, in order."""
+    blocks = max(1, min(MAX_BLOCKS, n // BLOCK_ROWS))
+    dealt = keys.repartitionByRange(blocks, F.col("doc_id").asc_nulls_first(), F.col("th"))
+    firsts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    # at most MAX_BLOCKS entries
+    return written(firsts.agg(F.sort_array(F.collect_list("first")).alias("starts")), "block_starts")
+
+
+def with_block(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, th, ...) with the number ``at`` of their block."""
+    key = F.struct("doc_id", "th")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MAX_BLOCKS.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("starts", at + step) <= key, at + step).otherwise(at))
+    # one row on that side
+    return rows.join(F.broadcast(starts)).withColumn("at", found).drop("starts")
+
+
+def merged_repeats(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, th, text) with the number ``n`` of rows of equal id and text, once each."""
+    repeats = written(keys.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeats")
+    count = repeats.count()
+    if not count:
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    side = maybe_broadcast(repeats.select(F.col("doc_id").alias("rid"), F.col("th").alias("rth"), "n"), 120, count)
+    same = rows["doc_id"].eqNullSafe(side["rid"]) & (rows["th"] == side["rth"])
+    alone = rows.join(side, same, "left_anti").withColumn("n", F.lit(1).cast("long"))
+    merged = rows.join(side, same).groupBy("doc_id", "th").agg(F.any_value("text").alias("text"), F.max("n").alias("n"))
+    return alone.unionByName(merged)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the text of the next row by descending id
     (after the last: the first)."""
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    rows = docs.withColumn("th", F.sha2(F.col("text").cast("binary"), 256))
+    keys = written(rows.select("doc_id", "th"), "keys")
+    one = keys.distinct()
+    n = one.count()
     if not n:
         return docs.withColumn("next_text", F.lit(None).cast("string"))
-    blocks = max(1, min(MAX_BLOCKS, n // BLOCK_ROWS))
-    width = 1 if low is None else (high - low) // blocks + 1
-    block = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low or 0).cast("decimal(38,0)")) / width).cast("int")
-    blocked = docs.withColumn("block", F.coalesce(block, F.lit(-1)))
-    # at most MAX_BLOCKS + 1 rows
-    heads = blocked.groupBy("block").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy("block")
-    every = Window.partitionBy()
-    heads = heads.select(F.col("block").alias("b"), "head",
-                         F.coalesce(F.lead("block").over(order), F.min("block").over(every)).alias("to_block"))
-    first = (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head"))
-    marked = blocked.join(F.broadcast(heads), first, "left")
-    places = F.when(F.col("b").isNull(), F.array(F.struct(F.lit(False).alias("guest"), F.col("block").alias("at")))).otherwise(
-        F.array(F.struct(F.lit(False).alias("guest"), F.col("block").alias("at")), F.struct(F.lit(True).alias("guest"), F.col("to_block").alias("at"))))
-    placed = marked.withColumn("p", F.explode(places)).select("doc_id", "text", "p.guest", "p.at")
-    inside = Window.partitionBy("at").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
-    return placed.withColumn("next_text", F.lead("text").over(inside)).filter("not guest").select("doc_id", "text", "next_text")
+    starts = block_starts(one, n)
+    # at most MAX_BLOCKS rows; a block's last key is the next of the first key of the block above
+    heads = with_block(one, starts).groupBy("at").agg(F.max(F.struct("doc_id", "th")).alias("head"))
+    above = F.coalesce(F.lead("at").over(Window.orderBy("at")), F.min("at").over(Window.partitionBy()))
+    heads = written(heads.select(F.col("at").alias("b"), "head", above.alias("to_block")), "heads")
+    blocked = with_block(merged_repeats(rows, keys), starts)
+    last = (F.col("at") == F.col("b")) & (F.col("head.th") == F.col("th")) & F.col("head.doc_id").eqNullSafe(F.col("doc_id"))
+    marked = blocked.join(F.broadcast(heads), last, "left")
+    home = F.struct(F.lit(False).alias("guest"), F.col("at").alias("block"))
+    away = F.struct(F.lit(True).alias("guest"), F.col("to_block").alias("block"))
+    places = F.when(F.col("b").isNull(), F.array(home)).otherwise(F.array(home, away))
+    placed = marked.withColumn("p", F.explode(places)).select("doc_id", "th", "text", "n", "p.guest", "p.block")
+    # the guest stands before the block's first key, also where it comes round from the highest one
+    inside = Window.partitionBy("block").orderBy(F.col("guest").desc(), F.col("doc_id").asc_nulls_first(), "th")
+    following = placed.withColumn("next_text", F.lag("text").over(inside)).filter("not guest")
+    # of repeated rows all but one are followed by their like
+    each = following.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("doc_id", "text", F.when(F.col("copy") == 1, F.col("next_text")).otherwise(F.col("text")).alias("next_text"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,3 +74,28 @@ def test_edit_is_located(spark):
 def test_no_python_on_the_main_path(edge_docs):
     plan = M.fingerprint_edits(edge_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def next_of(rows):
+    """Multiset of (id, text, next text), by descending id and text hash."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, brute.sha(r[1])), reverse=True)
+    return sorted(((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)), key=str)
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, f"t{i}") for i in range(400)] + [(10 ** 18, "far"), (-2 ** 63, "least"), (2 ** 63 - 1, "most")],
+    [(None, f"t{i}") for i in range(400)] + [(5, "five")],
+    [(7, "same")] * 300 + [(None, "same")] * 50 + [(i, "same") for i in range(20)],
+    [(i % 3, f"t{i}") for i in range(200)],
+    [(1, "one")]])
+def test_next_wherever_the_ids_lie(spark, monkeypatch, rows):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, M.with_next(df).collect()), key=str) == next_of(rows)
+
+
+@pytest.mark.parametrize("ids", ["id", "if(id = 0, 1000000000000000000, id)", "cast(null as long)", "if(id % 3 = 0, null, id * id)"])
+def test_blocks_are_bounded_wherever_the_ids_lie(spark, ids):
+    keys = spark.range(20_000).selectExpr(f"{ids} as doc_id", "sha2(cast(id as string), 256) as th")
+    sizes = [r["count"] for r in M.with_block(keys, M.block_starts(keys, 20_000)).groupBy("at").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 9 and max(sizes) < 2 * M.BLOCK_ROWS
