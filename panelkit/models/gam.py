@@ -4,8 +4,9 @@ Each smooth term is a cubic B-spline basis on equally spaced knots (k basis
 columns, built as JVM column expressions) with a second-order difference
 penalty (P-splines, Eilers & Marx 1996).  One distributed Gram pass over
 [parametric columns, all basis columns] is the only row work; smoothing
-parameters are chosen by GCV on the driver from that Gram alone (a
-coordinate search over a log grid per smooth), and edf = tr((X'X+S)^-1 X'X).
+parameters are chosen by GCV on the driver from that Gram alone (Newton steps
+on the log parameters of all smooths at once, with the exact gradient and
+Hessian of log GCV), and edf = tr((X'X+S)^-1 X'X).
 
 This approximates, and does not reproduce, a thin-plate/REML smoother: the
 basis and the criterion differ, the reported quantities (edf per smooth,
@@ -103,6 +104,15 @@ class GamFit:
         rows = [_total([F.lit(float(c)) * z for c, z in zip(self.vb[i], zs) if c != 0]) * zs[i] for i in range(len(zs))]
         return F.sqrt(F.greatest(_total(rows), F.lit(0.0)))
 
+    def penalty_slope(self) -> dict[str, float]:
+        """Per design column the penalty's side of the score equations,
+        lambda (S coef)_j: the sum of residual times column equals it (0 for parametric ones)."""
+        out = dict.fromkeys(self.names, 0.0)
+        for c, (_col, _lo, _hi, k, names) in self.smooths.items():
+            b = np.array([self.coef[self.names.index(nm)] for nm in names])
+            out.update(zip(names, (self.lambdas[c] * (difference_penalty(k)[1:, 1:] @ b)).tolist()))
+        return out
+
     def parametric_rows(self) -> list[tuple]:
         """(term, estimate, std_error, pct_change) with % effect = (exp(b)-1)*100."""
         out = []
@@ -114,6 +124,68 @@ class GamFit:
         return out
 
 
+#: log smoothing parameters stay within these; a straight-line effect has its optimum at the upper one
+LOG_LAMBDA = (float(np.log(1e-6)), float(np.log(1e9)))
+
+
+def log_gcv(g: Gram, penalties: Sequence[np.ndarray], rho: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """log GCV at the log smoothing parameters ``rho`` with its gradient and Hessian.
+
+    ``penalties`` are p x p. With V = (Z'Z + sum P_j)^-1 and P_j = exp(rho_j) S_j:
+    d beta_j = -V P_j beta, and the residual sum and tr(V Z'Z) follow from it."""
+    m = len(penalties)
+    parts = [np.exp(r) * q for r, q in zip(rho, penalties)]
+    total = sum(parts)
+    v = np.linalg.pinv(g.zz + total)
+    beta = v @ g.zy
+    vg = v @ g.zz
+    vp = [v @ q for q in parts]
+    # an exact fit leaves rounding only
+    rss = max(float(g.yy - 2 * beta @ g.zy + beta @ g.zz @ beta), float(np.finfo(float).eps * max(g.yy, 1e-300)))
+    room = float(g.n - np.trace(vg) - 1.0)
+    slope = -total @ beta                                    # half the derivative of the residual sum by beta
+    d_beta = [-w @ beta for w in vp]
+    d_rss = np.array([2 * slope @ b for b in d_beta])
+    d_edf = np.array([-np.sum(w * vg.T) for w in vp])
+    dd_rss, dd_edf = np.empty((m, m)), np.empty((m, m))
+    for j in range(m):
+        for k in range(m):
+            dd_beta = -vp[k] @ d_beta[j] - vp[j] @ d_beta[k] + (d_beta[j] if j == k else 0)
+            dd_rss[j, k] = 2 * d_beta[k] @ g.zz @ d_beta[j] + 2 * slope @ dd_beta
+            dd_edf[j, k] = np.sum((vp[k] @ vp[j]) * vg.T) + np.sum((vp[j] @ vp[k]) * vg.T) + (d_edf[j] if j == k else 0)
+    value = float(np.log(g.n) + np.log(rss) - 2 * np.log(room))
+    grad = d_rss / rss + 2 * d_edf / room
+    hess = dd_rss / rss - np.outer(d_rss, d_rss) / rss ** 2 + 2 * dd_edf / room + 2 * np.outer(d_edf, d_edf) / room ** 2
+    return value, grad, hess
+
+
+def newton_gcv(g: Gram, penalties: Sequence[np.ndarray], start: np.ndarray, max_iter: int = 60, tol: float = 1e-9) -> tuple[float, np.ndarray]:
+    """(log GCV, log parameters) where Newton's steps from ``start`` end: the
+    gradient is 0, or points out of ``LOG_LAMBDA``. Directions of negative
+    curvature are turned downhill, steps are halved until they descend."""
+    lo, hi = LOG_LAMBDA
+    rho = np.clip(np.asarray(start, dtype=float), lo, hi)
+    value, grad, hess = log_gcv(g, penalties, rho)
+    for _ in range(max_iter):
+        free = ~(((rho <= lo) & (grad > 0)) | ((rho >= hi) & (grad < 0)))
+        if not free.any() or np.abs(grad[free]).max() < tol:
+            break
+        w, q = np.linalg.eigh(hess[np.ix_(free, free)])
+        step = np.zeros(len(rho))
+        step[free] = -q @ ((q.T @ grad[free]) / np.maximum(np.abs(w), 1e-12))
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))
+        for _half in range(40):
+            trial = np.clip(rho + step, lo, hi)
+            found = log_gcv(g, penalties, trial)
+            if found[0] < value:
+                break
+            step = step / 2
+        else:
+            break
+        rho, (value, grad, hess) = trial, found
+    return value, rho
+
+
 def add_basis(df: DataFrame, smooths: dict, extend: bool = False) -> DataFrame:
     """Append the design columns of every smooth.  The local coordinate is a
     separate projection so each row computes it once per smooth.  With
@@ -146,7 +218,8 @@ def smooth_terms(d: DataFrame, smooth_cols: Sequence[str], k: int) -> dict:
 def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Sequence[str] = (),
             k: int = 10, lambda_grid: Sequence[float] | None = None, rounds: int = 3,
             lambdas: dict | None = None) -> GamFit:
-    """Fit; smoothing parameters by GCV unless fixed via ``lambdas``."""
+    """Fit; smoothing parameters by GCV unless fixed via ``lambdas``; with a
+    ``lambda_grid`` by ``rounds`` of a coordinate search on it."""
     smooth_cols = list(smooth_cols)
     parametric = list(parametric)
     d = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(smooth_cols + parametric + [y])]).dropna()
@@ -169,7 +242,6 @@ def gam_from_gram(g: Gram, smooths: dict, parametric: Sequence[str], lambda_grid
         idx = [names.index(nm) for nm in s[4]]
         sz = s_full / np.outer(g.scale[idx], g.scale[idx])
         blocks[c] = (idx, sz)
-    grid = list(lambda_grid) if lambda_grid is not None else list(np.logspace(-4, 6, 41))
     lam = {c: 1.0 for c in smooths}
 
     def solve(lams):
@@ -187,11 +259,20 @@ def gam_from_gram(g: Gram, smooths: dict, parametric: Sequence[str], lambda_grid
 
     if lambdas is not None:
         lam = {c: float(lambdas[c]) for c in smooths}
-        rounds = 0
+    elif lambda_grid is None:
+        full = []
+        for idx, sz in blocks.values():
+            full.append(np.zeros((p, p)))
+            full[-1][np.ix_(idx, idx)] = sz
+        # GCV may have several minima: Newton from the best of a few common starts and from the middle
+        starts = sorted(np.linspace(np.log(1e-3), np.log(1e6), 7), key=lambda r: log_gcv(g, full, np.full(len(full), r))[0])
+        found = [newton_gcv(g, full, np.full(len(full), r)) for r in (*starts[:3], 0.0)]
+        rho = min(found, key=lambda x: x[0])[1]
+        lam = {c: float(np.exp(r)) for c, r in zip(blocks, rho)}
     best = solve(lam)[0]
-    for _ in range(rounds):
+    for _ in range(0 if lambdas is not None or lambda_grid is None else rounds):
         for c in smooths:
-            for v in grid:
+            for v in lambda_grid:
                 trial = dict(lam, **{c: v})
                 score = solve(trial)[0]
                 if score < best - 1e-12:

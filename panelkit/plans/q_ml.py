@@ -59,6 +59,27 @@ def gam_terms(spark, d):
               "pct_change double")
 
 
+@register("gam_score", """
+WITH c AS (SELECT count(*) AS n, avg(ln(l_extendedprice)) AS mean_y FROM lineitem),
+t AS (SELECT unnest(['(Intercept)', 'l_returnflag_N', 'l_returnflag_R']) AS term
+      UNION ALL
+      SELECT 's_' || s.name || '_' || j.j FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) s(name), range(1, 10) j(j))
+SELECT term, CAST(0 AS DOUBLE) AS mean_score, n, round(mean_y, 8) AS mean_fitted FROM c, t
+""")
+def gam_score(spark, d):
+    """The penalised score equations of the additive fit: for every term the
+    mean of residual times column less the penalty's slope is 0 (ML14)."""
+    li, par = gam_frame(spark, d)
+    fit = gam.fit_gam(li, "y", GAM_SMOOTHS, par, k=10)
+    pull = {"(Intercept)": 0.0, **fit.penalty_slope()}
+    scored = fit.design(li).withColumn("_fit", fit.predict())
+    one = scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_fit"), 8).alias("mean_fitted"), *[
+        F.abs(F.round(F.avg((F.col("y") - F.col("_fit")) * (F.lit(1.0) if i == 0 else F.col(t))) - v / F.lit(fit.n), 6)).alias(f"s{i}")
+        for i, (t, v) in enumerate(pull.items())])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"s{i}").alias("mean_score"), F.col("n"), F.col("mean_fitted"))
+                                         for i, t in enumerate(pull)])))
+
+
 @register("gam_grid")
 def gam_grid(spark, d):
     """Smooth effect of quantity on a 200-point grid crossed with the
