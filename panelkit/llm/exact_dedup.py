@@ -204,15 +204,21 @@ def _byte_check(plain: DataFrame, members: DataFrame, digest: Callable[[Column],
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    decided = written(exact_dedup(docs, id_col, text_col, batches).filter("group_size > 1"), "decided")
-    gone = decided.groupBy("doc_id", "digest").agg(F.max("kept").alias("any_kept"), F.count(F.lit(1)).alias("copies"))
-    side = maybe_broadcast(gone.filter("not any_kept").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")), 100)
+    """The rows of ``docs`` that stay, with all their columns; of rows repeated
+    with equal id and text any one."""
+    decided = exact_dedup(docs, id_col, text_col, batches).filter("group_size > 1")
+    keys = written(decided.groupBy(F.col("doc_id").alias("_key_id"), F.col("digest").alias("_key_digest"))
+                   .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies")), "decided")
+    side = maybe_broadcast(keys.filter("not stays").select("_key_id", "_key_digest"), 100)
     tagged = docs.withColumn("_digest", sha256_hex(text_or_empty(text_col)))
-    left = tagged.join(side, tagged[id_col].eqNullSafe(side["_gone_id"]) & (tagged["_digest"] == side["_gone_digest"]), "left_anti")
-    if gone.filter("any_kept and copies > 1").isEmpty():
+    same = F.col(id_col).eqNullSafe(F.col("_key_id")) & (F.col("_digest") == F.col("_key_digest"))
+    left = tagged.join(side, same, "left_anti")
+    repeated = keys.filter("stays and copies > 1").select("_key_id", "_key_digest")
+    n_repeated = repeated.count()
+    if not n_repeated:
         return left.drop("_digest")
     names = docs.columns
-    # rows repeated with equal id and text: any one of them stays
-    repeated = F.row_number().over(Window.partitionBy(F.col(id_col), F.col("_digest")).orderBy(text_col))
-    return left.withColumn("_copy", repeated).filter("_copy = 1").select(*names)
+    twice = maybe_broadcast(repeated, 100, n_repeated)
+    # an aggregate, not a window: the copies of one row may be a third of all rows
+    once = left.join(twice, same, "left_semi").groupBy(F.col(id_col).alias("_i"), "_digest").agg(F.first(F.struct(*names)).alias("_row"))
+    return left.join(twice, same, "left_anti").select(*names).unionByName(once.select("_row.*"))

@@ -86,3 +86,11 @@ def test_empty_snapshots_are_skipped(spark):
     docs = spark.createDataFrame([(k, f"t{k % 30}", 1 + k % 2) for k in range(90)], "doc_id long, text string, batch int")
     plain = docs.select("doc_id", X.sha256_hex(F.col("text")).alias("digest"), "batch")
     assert sorted(r.n for r in X.exact_groups(plain, 3).collect()) == [3] * 30
+
+
+def test_repeated_rows_stay_once_without_a_window(spark):
+    rows = [(7, "same", k) for k in range(3000)] + [(None, "none", k) for k in range(500)] + [(None, "same", 0), (8, "other", 1), (6, "same", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(8)
+    kept = X.keep_first(docs)
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == [(7, "same"), (8, "other"), (None, "none")]
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
