@@ -31,7 +31,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm import fuse
@@ -172,35 +172,34 @@ def _with_groups(rows: DataFrame, multi: DataFrame) -> DataFrame:
 
 def _byte_check(plain: DataFrame, members: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     """Compare each member's bytes with those of the row that stays."""
-    per_doc = Window.partitionBy("doc_id", "digest").orderBy("digest")
     side = maybe_broadcast(members.select("doc_id", "digest", "n", "keep_id").distinct(), 120)
     hashed = plain.withColumn("digest", digest(F.col("text")))
     same_doc = hashed["doc_id"].eqNullSafe(side["doc_id"]) & (hashed["digest"] == side["digest"])
     parts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("n") / SALT_ROWS)).cast("int")
     texts = written(hashed.join(side, same_doc).select(hashed["doc_id"], hashed["digest"], "text", "n", "keep_id")
-                    .withColumn("salts", parts), "texts")
+                    .withColumns({"salts": parts, "row": F.monotonically_increasing_id()}), "texts")
     # the text that stays, once per salt of its group
     kept_text = (texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "salts").agg(F.max("text").alias("kept_text"))
                  .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("salts")).cast("int"))
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
     compared = salted.join(kept_text.drop("salts"), ["digest", "salt"], "left")
     differing = written(compared.filter(~F.col("text").eqNullSafe(F.col("kept_text"))).select("digest").distinct(), "differing")
-    numbered = F.row_number().over(per_doc)
-
-    def finish(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "keep_id", F.col("n").alias("group_size"),
-                         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (numbered == 1)).alias("kept"), "digest")
-
+    settled = _marked(texts.join(differing, "digest", "left_anti"), ["digest"])
     if differing.isEmpty():
-        return finish(members)
-    mixed = texts.select("doc_id", "digest", "text").join(differing, "digest", "left_semi")
+        return settled
+    mixed = texts.drop("n", "keep_id").join(differing, "digest", "left_semi")
     by_text = mixed.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-    regrouped = mixed.join(by_text, ["digest", "text"])
-    per_text = Window.partitionBy("doc_id", "digest", "text").orderBy("digest")
-    again = regrouped.select("doc_id", "keep_id", F.col("n").alias("group_size"),
-                             (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(per_text) == 1)).alias("kept"),
-                             "digest")
-    return finish(members.join(differing, "digest", "left_anti")).unionByName(again)
+    return settled.unionByName(_marked(mixed.join(by_text, ["digest", "text"]), ["digest", "text"]))
+
+
+def _marked(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The result's columns; of the rows that hold their group's ``keep_id`` the
+    one of the smallest row number is kept. That row is found by an aggregate and
+    joined by its own number, so rows repeated any number of times spread."""
+    first = (rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*group)
+             .agg(F.min("row").alias("first")).select("first"))
+    return rows.join(first, F.col("row") == F.col("first"), "left").select(
+        "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("first").isNotNull().alias("kept"), "digest")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:

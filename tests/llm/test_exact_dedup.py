@@ -94,3 +94,12 @@ def test_repeated_rows_stay_once_without_a_window(spark):
     kept = X.keep_first(docs)
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == [(7, "same"), (8, "other"), (None, "none")]
     assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_rows_and_null_ids_spread(spark, monkeypatch):
+    monkeypatch.setattr(X, "SALT_ROWS", 100)
+    rows = spark.range(6000).select(F.when(F.col("id") < 3000, F.lit(7)).when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"),
+                                    F.when(F.col("id") < 4000, "same").otherwise(F.concat(F.lit("t"), F.col("id") % 40)).alias("text"))
+    out = X.exact_dedup(rows)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert rows_of(out) == brute.exact([tuple(r) for r in rows.collect()])
