@@ -16,13 +16,15 @@ aggregate over (source, size, documents) counts, never over the texts.
 Copies. floor(r_i) copies, then one more for some documents: in the order of a
 fixed hash over the fraction, documents are taken while the source's words left
 to its target allow it, and the remainder is offered again to the smaller ones.
-The running sums go over blocks of that order, so no task holds a source. At
-last the one document whose size is nearest to what is still missing is taken
+The running sums go over blocks of that order, cut by range partitioning of
+sources and order, so no task holds a source and none holds a crowded stretch
+of it. At last the one document whose size is nearest to what is still missing is taken
 if that comes nearer to the target.
 
 Only DataFrame operations are used. Defined results: a null or blank text has
 size 0 and takes 0 words (its rate is 1); a null source is a source of its own,
-ranked last; rows with equal id, source and size are decided alike; empty
+ranked last; rows with equal id, source and text are decided alike (a null id is
+one id, its texts are told apart); empty
 tables give empty results; reruns agree, as everything follows from the rows.
 """
 
@@ -31,14 +33,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.llm.common import maybe_broadcast, text_or_empty, written
+from panelkit.llm.common import maybe_broadcast, task_count, text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_RATE = 3
 MAX_STEPS = 40
 TOLERANCE = 1e-4
-#: rows of a source per block of the running sums, on average
+#: rows per block of the running sums: as few as BLOCK_ROWS while that gives
+#: less than BLOCKS_PER_TASK blocks a shuffle partition, at most MAX_BLOCK_ROWS
 BLOCK_ROWS = 4000
+BLOCKS_PER_TASK = 8
+MAX_BLOCK_ROWS = 1_000_000
 #: times the words left over are offered again
 FILL_PASSES = 4
 
@@ -106,29 +111,29 @@ def solve_rates(sizes: DataFrame, sources: DataFrame, n_sources: int) -> DataFra
     return state.select("source", "lam")
 
 
-def _fill(rows: DataFrame, n_sources: int) -> DataFrame:
+def _fill(rows: DataFrame, n_sources: int, n_rows: int) -> DataFrame:
     """One pass: give one more copy, in the order of ``turn``, to documents that
     are no larger than the words left of their source and whose running sum
     stays within them. Documents that got one come later the next time."""
     taken = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("used"), F.first("target").alias("t"),
                                        F.count(F.lit(1)).alias("rows_"))
-    room = taken.select(F.col("source").alias("rs"), (F.col("t") - F.col("used")).alias("room"),
-                        F.ceil(F.col("rows_") / BLOCK_ROWS).alias("blocks"))
-    joined = rows.join(maybe_broadcast(room, 60, n_sources), F.col("source").eqNullSafe(F.col("rs"))).drop("rs")
+    room = taken.select(F.col("source").alias("rs"), (F.col("t") - F.col("used")).alias("room"))
+    joined = rows.join(maybe_broadcast(written(room, "room"), 60, n_sources), F.col("source").eqNullSafe(F.col("rs"))).drop("rs")
     open_ = (F.col("copies") < MAX_RATE) & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-    joined = joined.withColumn("block", F.when(open_, F.least(F.floor(F.col("turn") * F.col("blocks")), F.col("blocks") - 1)).otherwise(-1)).drop("blocks")
-    joined = written(joined, "room")
-    sums = joined.filter("block >= 0").groupBy("source", "block").agg(F.sum("size").alias("words"))
+    order = ["turn", "doc_id", "size", "mark"]
+    blocks = max(n_rows // MAX_BLOCK_ROWS, min(BLOCKS_PER_TASK * task_count(rows.sparkSession), n_rows // BLOCK_ROWS)) + 1
+    dealt = written(joined.filter(open_).repartitionByRange(blocks, "source", *order).withColumn("block", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy("source", "block").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("os"), F.col("block").alias("ob"),
                           F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size")
-    offered = (joined.filter("block >= 0").join(offsets, F.col("source").eqNullSafe(F.col("os")) & (F.col("block") == F.col("ob")))
+    inside = Window.partitionBy("source", "block").orderBy(*order)
+    offered = (dealt.join(offsets, F.col("source").eqNullSafe(F.col("os")) & (F.col("block") == F.col("ob")))
                .withColumn("upto", F.sum("size").over(inside) + F.col("offset")))
     yes = F.col("upto") <= F.col("room")
     # one select: both columns are set from the same comparison
     offered = offered.withColumn("copies", F.col("copies") + yes.cast("long")).withColumn("turn", F.when(yes, 0.5 + F.col("turn") / 2).otherwise(F.col("turn")))
-    return written(offered.select(*rows.columns).unionByName(joined.filter("block < 0").select(*rows.columns)), "fill")
+    return written(offered.select(*rows.columns).unionByName(joined.filter(~open_).select(*rows.columns)), "fill")
 
 
 def _nearest(rows: DataFrame, n_sources: int) -> DataFrame:
@@ -138,17 +143,19 @@ def _nearest(rows: DataFrame, n_sources: int) -> DataFrame:
     side = maybe_broadcast(room, 60, n_sources)
     helps = (F.col("copies") < MAX_RATE) & (F.col("size") > 0) & (F.abs(F.col("room") - F.col("size")) < F.col("room"))
     best = (rows.join(side, F.col("source").eqNullSafe(F.col("rs"))).filter(helps).groupBy("source")
-            .agg(F.min(F.struct(F.abs(F.col("room") - F.col("size")).alias("off"), "turn", "doc_id", "size")).alias("b"))
-            .select(F.col("source").alias("bs"), F.col("b.doc_id").alias("bi"), F.col("b.size").alias("bz")))
+            .agg(F.min(F.struct(F.abs(F.col("room") - F.col("size")).alias("off"), "turn", "doc_id", "size", "mark")).alias("b"))
+            .select(F.col("source").alias("bs"), F.col("b.doc_id").alias("bi"), F.col("b.size").alias("bz"), F.col("b.mark").alias("bm")))
     chosen = maybe_broadcast(written(best, "nearest"), 60, n_sources)
-    return (rows.join(chosen, F.col("source").eqNullSafe(F.col("bs")) & F.col("doc_id").eqNullSafe(F.col("bi")) & (F.col("size") == F.col("bz")), "left")
+    same = F.col("source").eqNullSafe(F.col("bs")) & F.col("doc_id").eqNullSafe(F.col("bi")) & (F.col("size") == F.col("bz")) & (F.col("mark") == F.col("bm"))
+    return (rows.join(chosen, same, "left")
             .withColumn("copies", F.col("copies") + F.col("bz").isNotNull().cast("long")).select(*rows.columns))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken per row."""
-    base = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                               word_count(text_or_empty(text_col)).alias("size")), "sizes")
+    """doc_id, source, size, mark (the text's 64-bit hash), source_size, target,
+    rate, copies, taken per row."""
+    base = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"),
+                               F.xxhash64(text_or_empty(text_col)).alias("mark")), "sizes")
     sizes = written(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "size_counts")
     totals = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("docs"))
     totals = totals.withColumn("mean", F.greatest(F.lit(1.0), F.col("source_size") / F.col("docs")))
@@ -161,24 +168,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("mean")))
     rows = rows.withColumn("rate", rate).withColumn("copies", F.floor("rate").cast("long"))
     part = F.col("rate") - F.col("copies")
-    chance = (F.pmod(F.xxhash64("doc_id", "size", F.lit(17)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("mark", F.lit(17))).otherwise(F.xxhash64("doc_id", "size", F.lit(17)))
+    chance = (F.pmod(key, F.lit(1 << 40)) + 0.5) / float(1 << 40)
     # monotone in chance / part: documents that independent rounding would copy come first
     rows = rows.withColumn("turn", chance / (chance + part))
-    rows = written(rows.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "turn"), "rates")
+    rows = written(rows.select("doc_id", "source", "size", "mark", "source_size", "target", "rate", "copies", "turn"), "rates")
+    n_rows = rows.count()
     for _ in range(FILL_PASSES):
-        rows = _fill(rows, n_sources)
+        rows = _fill(rows, n_sources, n_rows)
     rows = _nearest(rows, n_sources)
     return rows.withColumn("taken", F.col("copies") * F.col("size")).select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
+        "doc_id", "source", "size", "mark", "source_size", "target", "rate", "copies", "taken")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, unchanged."""
     decided = mix(docs, id_col, text_col, source_col)
-    counts = decided.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")) \
-        .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_copies")
+    counts = decided.groupBy("doc_id", "source", "size", "mark").agg(F.max("copies").alias("_copies")) \
+        .select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("mark").alias("_m"), "_copies")
     counts = written(counts.filter("_copies > 0"), "copies")
-    side = maybe_broadcast(counts, 60)
-    sized = docs.withColumn("_size", word_count(text_or_empty(text_col)))
-    joined = sized.join(side, sized[id_col].eqNullSafe(side["_i"]) & sized[source_col].eqNullSafe(side["_s"]) & (sized["_size"] == side["_z"]))
+    side = maybe_broadcast(counts, 70)
+    sized = docs.withColumns({"_size": word_count(text_or_empty(text_col)), "_mark": F.xxhash64(text_or_empty(text_col))})
+    joined = sized.join(side, sized[id_col].eqNullSafe(side["_i"]) & sized[source_col].eqNullSafe(side["_s"]) & (sized["_size"] == side["_z"])
+                        & (sized["_mark"] == side["_m"]))
     return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -57,3 +57,29 @@ def test_edge_cases(edge_docs, no_docs):
 def test_no_python_on_the_main_path(edge_docs):
     plan = M.mix_documents(edge_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_blocks_stay_even_where_the_order_crowds(spark, monkeypatch):
+    """Rates just above 1 crowd the fill order towards its end."""
+    monkeypatch.setattr(M, "BLOCK_ROWS", 500)
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"),
+                                    F.when(F.col("id") % 20 > 0, "a").otherwise("b").alias("source"))
+    dealt = []
+    plain = M.written
+    monkeypatch.setattr(M, "written", lambda df, label="t": dealt.append((label, plain(df, label))) or dealt[-1][1])
+    rows = M.mix(docs).collect()
+    assert sum(r.taken for r in rows if r.source == "b") == pytest.approx(next(r.target for r in rows if r.source == "b"), rel=0.01)
+    for label, df in dealt:
+        if label == "dealt":
+            sizes = [r["count"] for r in df.groupBy("source", "block").count().collect()]
+            assert max(sizes, default=0) <= 1000
+
+
+def test_texts_of_a_null_id_are_decided_apart(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("w "), F.col("id")).alias("text"),
+                                    F.when(F.col("id") % 4 > 0, "a").otherwise("b").alias("source"))
+    rows = M.mix(docs).collect()
+    for s in "ab":
+        mine = [r for r in rows if r.source == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.01)
+    assert M.mix_documents(docs).count() == sum(r.copies for r in rows)
