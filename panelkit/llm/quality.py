@@ -4,12 +4,13 @@ A document's strength is w . x over the shape statistics of its text
 (``textstats.py``); the chance that document a is preferred to b is
 sigmoid(w . (x_a - x_b)). Pairs of a good and a bad labelled document train w
 by logistic loss on feature differences (MLlib, no intercept). The cut is a
-quantile of the training strengths: the share of bad labels. The score is
-sigmoid(strength - cut + logit(0.7)), so 0.7 is the cut.
+quantile of the strengths of all usable labelled documents: their share of bad
+labels. The score is sigmoid(strength - cut + logit(0.7)), so 0.7 is the cut.
 
-The fit uses at most ``max_labelled`` labelled documents, those of smallest
-id hash (a documented bound on the training sample only); scoring covers every
-whole text in one pass, without a shuffle.
+The weights are fitted on at most ``max_labelled`` labelled documents, those of
+smallest id hash (a documented bound on the training sample only); the cut's
+share and quantile cover all of them, and scoring covers every whole text in
+one pass, without a shuffle.
 
 Defined results: null and empty texts get the score of all-zero statistics;
 labels that are null, or whose ids have no document, are ignored; of several
@@ -31,8 +32,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelkit.llm.common import written
+from panelkit.llm.common import maybe_broadcast, written
 from panelkit.llm.textstats import NAMES, text_stats
+from panelkit.operators.quantile import quantiles_long
 
 MAX_LABELLED = 20_000
 PAIRS_PER_BAD = 8
@@ -66,8 +68,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .groupBy("lid").agg(F.max("q").alias("q")))
     chosen = usable.orderBy(F.xxhash64("lid"), "lid").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("body"))
-    sample = written(texts.join(F.broadcast(chosen), "lid")
-                     .select("lid", "q", stats_of("body").alias("x")), "quality_sample")
+    labelled = written(texts.join(maybe_broadcast(usable, 40), "lid").select("lid", "q", stats_of("body").alias("x")), "quality_labelled")
+    sample = written(labelled.join(F.broadcast(chosen.select("lid")), "lid"), "quality_sample")
     p = len(NAMES)
     moments = sample.agg(*[F.avg(F.col("x")[i]) for i in range(p)], *[F.stddev_pop(F.col("x")[i]) for i in range(p)],
                          F.avg(1 - F.col("q"))).first()
@@ -76,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mean, scale = list(moments[:p]), [s if s and s > 1e-9 else 1.0 for s in moments[p:2 * p]]
     weights = _fit_pairs(_pairs(sample, mean, scale, pairs_per_bad))
     strength = sum(((F.col("x")[i] - mean[i]) * (weights[i] / scale[i]) for i in range(p)), F.lit(0.0))
-    cut = sample.agg(F.percentile(strength, F.lit(float(moments[-1])))).first()[0]
+    bad = labelled.agg(F.avg(1 - F.col("q"))).first()[0]
+    cut = quantiles_long(labelled.select(strength.alias("strength")), "strength", [float(bad)]).first()["quantile"]
     return QualityModel(mean, scale, weights, float(cut))
 
 

@@ -1,5 +1,7 @@
+import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,18 @@ def test_edge_cases(spark, edge_docs, no_docs):
 def test_stats_are_finite(text):
     x = text_stats(text)
     assert len(x) == len(NAMES) and all(v == v and abs(v) < 1e6 for v in x)
+
+
+def test_cut_covers_all_labels_and_scores_match_plain_python(spark):
+    """The weights may come from a sample; share and quantile of the cut may not."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = Q.fit(docs, labels, max_labelled=120)
+    w = np.array(model.weights) / np.array(model.scale)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    strength = {i: float((np.array(text_stats(t)) - np.array(model.mean)) @ w) for i, t in texts.items()}
+    used = [r for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in strength]
+    assert len(used) > 120
+    want = np.quantile([strength[r.doc_id] for r in used], np.mean([1 - r.quality for r in used]))
+    assert model.cut == pytest.approx(want, abs=1e-9)
+    for r in Q.quality_scores(docs, labels, max_labelled=120).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(strength[r.doc_id] - want) - math.log(7 / 3))), abs=1e-9)
