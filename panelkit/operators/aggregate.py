@@ -190,23 +190,33 @@ def contingency(df: DataFrame, a: str, b: str, levels_a: Sequence | None = None,
     return null_safe_join(grid, counts, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _as_key(name: str, dtype: str) -> Column:
+    """The column's value as text, equal exactly where values are equal (0.0 and -0.0 are)."""
+    c = F.col(f"`{name}`")
+    if dtype == "binary":
+        return F.hex(c)
+    return (c + F.lit(0).cast(dtype) if dtype in ("double", "float") else c).cast("string")
+
+
 def column_profile(df: DataFrame, exact: bool = True, rsd: float = 0.02) -> DataFrame:
     """Column, Spark type, role and number of distinct values.
 
-    ``exact`` counts distinct (column, value) pairs, one aggregate per column
-    over that column only (no row is copied once per column); otherwise all
-    columns share one pass of bounded sketches with relative error ``rsd``.
+    ``exact`` counts distinct (column, value) pairs of one scan: each task turns
+    its rows into pairs and keeps each pair once before the shuffle, which no
+    frequent value can crowd. Otherwise all columns share one pass of bounded
+    sketches with relative error ``rsd``.
 
     Role: 'id' for string columns named like keys, 'categorical' for other
     string columns, 'numeric' / 'date' / 'other' by type.
     """
     dtypes = dict(df.dtypes)
     if exact:
-        long = None
-        for c in df.columns:
-            one = (df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct()
-                   .agg(F.count(F.lit(1)).alias("n_distinct")).select(F.lit(c).alias("variable"), "n_distinct"))
-            long = one if long is None else long.unionByName(one)
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _as_key(c, t).alias("v")) for i, (c, t) in enumerate(df.dtypes)])).alias("p"))
+        names = F.array(*[F.lit(c) for c in df.columns])
+        long = (pairs.select("p.*").where(F.col("v").isNotNull()).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n")))
+        # a column without values has no pair: the names bring it back with 0
+        every = df.sparkSession.range(len(df.columns)).select(F.col("id").cast("int").alias("i"))
+        long = every.join(F.broadcast(long), "i", "left").select(F.element_at(names, F.col("i") + 1).alias("variable"), F.coalesce("n", F.lit(0)).alias("n_distinct"))
     else:
         agg = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(c) for c in df.columns])
         long = agg.unpivot([], df.columns, "variable", "n_distinct")
