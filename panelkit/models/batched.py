@@ -6,35 +6,100 @@ driver. A pass may serve any number of candidates at once (settings, folds,
 trial steps), so a grid search costs as many jobs as its slowest candidate needs
 steps, not as many as all of them together.
 
+``Blocks`` are rows packed once, column after column, into byte blocks of a few
+hundred rows that Spark keeps: a pass over them moves bytes to Python instead of
+turning rows into Arrow columns again, and numpy works on pieces that fit a cache.
+Blocks ``by`` a column hold rows of one value of it only, so that a pass leaves a
+fold out by leaving out blocks instead of masking rows.
+
 ``Descent`` is the driver's side of one candidate: L-BFGS with backtracking, cut
 at every evaluation, so that candidates advance independently of each other.
+``descend_ahead`` evaluates the next points of a line in the same pass as the
+first: a refused step then costs no further pass, and the path stays the same.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelkit.models.gram import MERGE_TASKS
 
 #: steps in a row with less than the relative gain ``tol`` that end a descent
 SMALL_STEPS = 3
+#: rows of a block, and of a partition of blocks at most
+BLOCK_ROWS, PARTITION_ROWS = 512, 500_000
+#: points of a line tried in one pass at most
+MAX_AHEAD = 8
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows of doubles without NULL as byte blocks (column ``block``), kept by Spark."""
+    frame: DataFrame
+    columns: tuple[str, ...]
+    partitions: int
+
+    def counts(self, column: str) -> dict[float, int]:
+        """Rows by the value of a column of few values (a fold, a label)."""
+        at, k = self.columns.index(column), len(self.columns)
+
+        def part(batches):
+            for b in batches:
+                for raw in b.column(0):
+                    values, n = np.unique(np.frombuffer(raw.as_buffer()).reshape(k, -1)[at], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], names=["value", "n"])
+
+        found = self.frame.mapInArrow(part, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+        return {float(r["value"]): int(r["n"]) for r in found}
+
+    def unpersist(self) -> None:
+        self.frame.unpersist()
+
+
+def in_blocks(data: DataFrame, columns: Sequence[str], by: str | None = None) -> Blocks:
+    """``columns`` of ``data`` (numbers without NULL) as cached blocks, over all cores and
+    at most about ``PARTITION_ROWS`` rows a partition."""
+    key = list(columns).index(by) if by else None
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                m = np.vstack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in b.columns])
+                parts = [m] if key is None else [m[:, m[key] == v] for v in np.unique(m[key])]
+                made = [part[:, i:i + BLOCK_ROWS].tobytes() for part in parts for i in range(0, part.shape[1], BLOCK_ROWS)]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["block"])
+
+    rows = data.select(*columns)
+    want = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PARTITION_ROWS))
+    have = rows.rdd.getNumPartitions()
+    if have < want:
+        rows, have = rows.repartition(want), want
+    return Blocks(rows.mapInArrow(pack, "block binary").persist(), tuple(columns), have)
 
 
-def sum_over_rows(data: DataFrame, columns: Sequence[str], fn: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+def sum_over_rows(data: DataFrame | Blocks, columns: Sequence[str], fn: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
     """Sum over all rows of ``fn(block)``, a vector of ``width`` numbers for a
     block of rows x ``columns`` (doubles without NULL)."""
+    packed = isinstance(data, Blocks)
+    at, k = ([data.columns.index(c) for c in columns], len(data.columns)) if packed else ([], 0)
+
     def one(total: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), pa.array(total))], names=["s"])
 
     def part(batches):
         total = np.zeros(width)
         for b in batches:
-            if b.num_rows:
+            if packed:
+                for raw in b.column(0):
+                    total += fn(np.frombuffer(raw.as_buffer()).reshape(k, -1)[at].T)
+            elif b.num_rows:
                 total += fn(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float, copy=False))
         yield one(total)
 
@@ -44,8 +109,8 @@ def sum_over_rows(data: DataFrame, columns: Sequence[str], fn: Callable[[np.ndar
             total += b.column(0).flatten().to_numpy().reshape(-1, width).sum(axis=0)
         yield one(total)
 
-    sums = data.select(*columns).mapInArrow(part, "s array<double>")
-    if data.rdd.getNumPartitions() > MERGE_TASKS:
+    sums = (data.frame if packed else data.select(*columns)).mapInArrow(part, "s array<double>")
+    if (data.partitions if packed else data.rdd.getNumPartitions()) > MERGE_TASKS:
         sums = sums.repartition(MERGE_TASKS).mapInArrow(add_up, "s array<double>")
     rows = sums.collect()
     return np.sum([np.asarray(r["s"], dtype=float) for r in rows], axis=0) if rows else np.zeros(width)
@@ -67,17 +132,29 @@ class Descent:
         self.max_iter, self.tol, self.iterations, self.done, self.small = max_iter, tol, 0, False, 0
         self.pairs: deque = deque(maxlen=memory)
         self.step, self.direction, self.slope = 1.0, np.zeros_like(theta), 0.0
+        self.refused = self.refused_before = 0         # points of the present line, of the last one
+
+    def ahead(self, spare: int = 0) -> list[float]:
+        """Step of ``trial`` and the steps that follow it on its line if it is refused, as many
+        as the last line refused and ``spare``, or twice as many as this one did so far."""
+        steps = [self.step]
+        n = min(MAX_AHEAD, 1 + max(self.refused_before + spare, 2 * self.refused)) if np.isfinite(self.value) else 1
+        while len(steps) < n and steps[-1] * 0.3 >= 1e-10:
+            steps.append(steps[-1] * 0.3)
+        return steps
 
     def tell(self, value: float, grad: np.ndarray) -> None:
         if self.done:
             return
         if np.isfinite(self.value) and not value <= self.value + 1e-4 * self.step * self.slope:
             self.step *= 0.3                       # too far: try nearer
+            self.refused += 1
             if self.step < 1e-10:
                 if not self.pairs:
                     self.done = True
                     return
                 self.pairs.clear()                 # start again along the gradient
+                self.refused = 0
                 self._aim()
             self.trial = self.theta + self.step * self.direction
             return
@@ -87,6 +164,7 @@ class Descent:
             if float(s @ y) > 1e-12 * float(y @ y) ** 0.5 * float(s @ s) ** 0.5:
                 self.pairs.append((s, y))
             self.iterations += 1
+            self.refused_before, self.refused = self.refused, 0
         self.theta, self.grad, self.value = self.trial, grad, value
         # one short step may gain little: stop after several in a row
         self.small = self.small + 1 if gain <= self.tol * max(abs(value), self.tol) else 0
@@ -125,3 +203,22 @@ def descend(runs: Sequence[Descent], evaluate: Callable[[list[int]], tuple[np.nd
         for k, i in enumerate(open_):
             runs[i].tell(float(values[k]), grads[k])
     return jobs
+
+
+def descend_ahead(runs: Sequence[Descent], evaluate: Callable[[list[int], list[list[float]]], Sequence[Sequence[tuple[float, np.ndarray]]]],
+                  spare: int = 0) -> int:
+    """``descend`` with the steps of ``Descent.ahead`` in one job: ``evaluate`` gets the runs
+    and the steps of each along its direction, and returns the value and gradient of each.
+    Every run takes the steps that it takes in ``descend``."""
+    jobs = 0
+    while open_ := [i for i, r in enumerate(runs) if not r.done]:
+        steps = [runs[i].ahead(spare) for i in open_]
+        found = evaluate(open_, steps)
+        jobs += 1
+        for i, tried, told in zip(open_, steps, found):
+            run, line = runs[i], runs[i].direction
+            for step, (value, grad) in zip(tried, told):
+                if run.done or run.direction is not line or run.step != step:
+                    break                              # the line ended before this point
+                run.tell(float(value), grad)
+    return jobs

@@ -10,10 +10,13 @@ and serve every gamma.
 Training. Every (gamma, cost, fold) is a candidate with the objective
 |w|^2 / (2 C n) + mean hinge(y f(x)) over the rows outside its fold, the hinge
 rounded off over a width of ``SMOOTH`` below the margin so that it has a gradient.
-One pass returns loss and gradient of all candidates, one matrix product per
-Arrow batch and gamma with the folds as masks; the driver steps each candidate
-(``batched.Descent``). Candidates of fold ``None`` train on all rows, so the refit
-of the best setting needs no further pass.
+One pass returns loss and gradient of all candidates, two matrix products per
+block of rows (of one fold) and gamma, for the candidates that train on the fold;
+K_mm^-1/2 is applied to the weights and the gradient on the driver instead of to
+every row. The driver steps each candidate (``batched.Descent``), with the points
+that a refused step would lead to in the same pass: their margins are linear in the
+step. Candidates of fold ``None`` train on all rows, so the
+refit of the best setting needs no further pass.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.models.batched import Descent, descend, spread, sum_over_rows
+from panelkit.models.batched import Blocks, Descent, descend_ahead, in_blocks, sum_over_rows
 
 SMOOTH = 0.1
 LANDMARKS = 100
+#: points beyond the expected ones that a pass tries on a line
+SPARE_POINTS = 2
 
 
 @dataclass(frozen=True)
@@ -38,8 +43,22 @@ class KernelMap:
     roots: dict[float, np.ndarray]       # gamma -> K_mm^-1/2
 
     def distances(self, x: np.ndarray) -> np.ndarray:
-        d = (x * x).sum(1)[:, None] + (self.points * self.points).sum(1) - 2 * x @ self.points.T
-        return np.maximum(d, 0.0)
+        p = self.points
+        d = np.column_stack([x, (x * x).sum(1), np.ones(len(x))]) @ np.vstack([-2 * p.T, np.ones(len(p)), (p * p).sum(1)])
+        return np.maximum(d, 0.0, out=d)
+
+    def signed(self, distances: np.ndarray, gamma: float, y: np.ndarray) -> np.ndarray:
+        """One row per input: kernel values of the landmarks and a 1, times ``y``."""
+        k = np.empty((len(distances), distances.shape[1] + 1))
+        np.multiply(distances, -gamma, out=k[:, :-1])
+        np.exp(k[:, :-1], out=k[:, :-1])
+        k[:, -1] = 1.0
+        k *= y[:, None]
+        return k
+
+    def on_landmarks(self, weights: np.ndarray, gamma: float) -> np.ndarray:
+        """Weights of ``features`` (one column per machine) as weights of ``signed``."""
+        return np.vstack([self.roots[gamma] @ weights[:-1], weights[-1:]])
 
     def features(self, distances: np.ndarray, gamma: float) -> np.ndarray:
         """One row per input: the mapped features and a 1 for the intercept."""
@@ -101,10 +120,12 @@ def kernel_map(points: np.ndarray, gammas: Sequence[float]) -> KernelMap:
 
 
 def hinge(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rounded hinge loss and its derivative."""
-    short = 1.0 - margin
-    loss = np.where(short <= 0, 0.0, np.where(short < SMOOTH, short * short / (2 * SMOOTH), short - SMOOTH / 2))
-    return loss, -np.clip(short / SMOOTH, 0.0, 1.0)
+    """Sums of the rounded hinge loss along the rows, and its derivative times ``-SMOOTH``.
+    ``margin`` is overwritten."""
+    short = np.subtract(1.0, margin, out=margin)
+    np.maximum(short, 0.0, out=short)
+    near = np.minimum(short, SMOOTH)
+    return (np.einsum("ij,ij->i", near, short) - np.einsum("ij,ij->i", near, near) / 2) / SMOOTH, near
 
 
 @dataclass(frozen=True)
@@ -114,13 +135,13 @@ class Setting:
     fold: int | None                     # left out in training
 
 
-def train_together(data: DataFrame, p: int, kernel: KernelMap, settings: Sequence[Setting], max_iter: int, tol: float
+def train_together(data: Blocks, p: int, kernel: KernelMap, settings: Sequence[Setting], max_iter: int, tol: float
                    ) -> tuple[list[Descent], int, np.ndarray]:
     """Fit every setting on ``data`` (p predictors x0.., y in -1/1, fold). Returns
     the finished runs, the number of passes and the errors made on each setting's
     own fold with that fold's size."""
     columns = [f"x{i}" for i in range(p)] + ["y", "fold"]
-    sizes = {int(r["fold"]): int(r["n"]) for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {int(k): n for k, n in data.counts("fold").items()}
     total = sum(sizes.values())
     gammas = sorted({s.gamma for s in settings})
     width = {g: kernel.roots[g].shape[1] + 1 for g in gammas}
@@ -129,49 +150,76 @@ def train_together(data: DataFrame, p: int, kernel: KernelMap, settings: Sequenc
         raise ValueError("a fold holds all rows")
     runs = [Descent(np.zeros(width[s.gamma]), max_iter, tol) for s in settings]
 
-    def grouped(which: list[int]) -> list[tuple[float, list[int], np.ndarray, np.ndarray]]:
-        out = []
+    trains = np.array([-1 if s.fold is None else s.fold for s in settings])
+    m = len(kernel.points)
+
+    def evaluate(which: list[int], steps: list[list[float]]) -> list[list[tuple[float, np.ndarray]]]:
+        # per gamma: the candidates, their points and directions, the places of their steps in the sums
+        plan, at = [], 0
         for g in gammas:
-            of = [i for i in which if settings[i].gamma == g]
+            of = [(j, i) for j, i in enumerate(which) if settings[i].gamma == g]
             if of:
-                left_out = np.array([-1 if settings[i].fold is None else settings[i].fold for i in of])
-                out.append((g, of, np.column_stack([runs[i].trial for i in of]), left_out))
-        return out
-
-    def evaluate(which: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        plan = grouped(which)
+                start = kernel.on_landmarks(np.column_stack([runs[i].theta for _, i in of]), g)
+                along = kernel.on_landmarks(np.column_stack([runs[i].direction for _, i in of]), g)
+                n = [len(steps[j]) for j, _ in of]
+                ends = at + np.cumsum(n)
+                plan.append((g, of, start, along, ends - n, ends))
+                at = int(ends[-1])
+
+        def lines(fold: float) -> list[tuple]:
+            """What the rows of a fold need: per gamma the weights, and for every step of
+            the candidates that train on it the candidate, the step and its place."""
+            out = []
+            for g, of, start, along, first, last in plan:
+                keep = [c for c, (_, i) in enumerate(of) if trains[i] != fold]
+                if keep:
+                    column = np.concatenate([[k] * int(last[c] - first[c]) for k, c in enumerate(keep)]).astype(int)
+                    place = np.concatenate([np.arange(first[c], last[c]) for c in keep])
+                    step = np.concatenate([steps[of[c][0]] for c in keep])
+                    out.append((g, np.hstack([start[:, keep], along[:, keep]]).T, len(keep), column, step[:, None], place))
+            return out
+
+        by_fold = {f: lines(f) for f in sizes}
 
         def block(b: np.ndarray) -> np.ndarray:
-            d, y, fold, out = kernel.distances(b[:, :p]), b[:, p], b[:, p + 1], []
-            for g, of, theta, left_out in plan:
-                z = kernel.features(d, g)
-                loss, slope = hinge(y[:, None] * (z @ theta))
-                inside = fold[:, None] != left_out
-                out += [(loss * inside).sum(0), (z.T @ (slope * inside * y[:, None])).T.ravel()]
-            return np.concatenate(out)
-
-        sums = sum_over_rows(data, columns, block, sum(len(of) * (1 + width[g]) for g, of, _, _ in plan))
-        values, grads, at = {}, {}, 0
-        for g, of, theta, _ in plan:
-            k, w = len(of), width[g]
-            for c, i in enumerate(of):
-                pull = theta[:, c] / (settings[i].cost * rows[i])
-                pull[-1] = 0.0                              # the intercept is free
-                values[i] = sums[at + c] / rows[i] + 0.5 * float(pull @ theta[:, c])
-                grads[i] = sums[at + k + c * w:at + k + (c + 1) * w] / rows[i] + pull
-            at += k * (1 + w)
-        return np.array([values[i] for i in which]), [grads[i] for i in which]
-
-    passes = descend(runs, evaluate)
-    for r in runs:
-        r.trial = r.theta
-    plan = grouped(list(range(len(settings))))
+            out = np.zeros((at, 2 + m))
+            d = kernel.distances(b[:, :p])
+            for g, weights, n, column, step, place in by_fold[int(b[0, p + 1])]:
+                k = kernel.signed(d, g, b[:, p])
+                line = weights @ k.T
+                margin = line[n:][column]
+                margin *= step
+                margin += line[:n][column]
+                out[place, 0], near = hinge(margin)
+                out[place, 1:] = near @ k
+            return out.ravel()
+
+        sums = sum_over_rows(data, columns, block, at * (2 + m)).reshape(at, 2 + m)
+        found: list = [None] * len(which)
+        for g, of, _, _, first, last in plan:
+            for c, (j, i) in enumerate(of):
+                told = []
+                for row, step in zip(sums[first[c]:last[c]], steps[j]):
+                    theta = runs[i].theta + step * runs[i].direction
+                    pull = theta / (settings[i].cost * rows[i])
+                    pull[-1] = 0.0                              # the intercept is free
+                    slope = np.append(row[1:-1] @ kernel.roots[g], row[-1]) / -SMOOTH
+                    told.append((row[0] / rows[i] + 0.5 * float(pull @ theta), slope / rows[i] + pull))
+                found[j] = told
+        return found
+
+    passes = descend_ahead(runs, evaluate, SPARE_POINTS)
+    final = [(g, of, kernel.on_landmarks(np.column_stack([runs[i].theta for i in of]), g))
+             for g in gammas for of in [[i for i, s in enumerate(settings) if s.gamma == g]]]
 
     def wrong(b: np.ndarray) -> np.ndarray:
-        d, y, fold, out = kernel.distances(b[:, :p]), b[:, p], b[:, p + 1], np.zeros(len(settings))
-        for g, of, theta, left_out in plan:
-            miss = ((kernel.features(d, g) @ theta >= 0) != (y > 0)[:, None]) & (fold[:, None] == left_out)
-            out[of] = miss.sum(0)
+        d, y, fold, out = kernel.distances(b[:, :p]), b[:, p], int(b[0, p + 1]), np.zeros(len(settings))
+        for g, of, weights in final:
+            judged = [c for c, i in enumerate(of) if trains[i] == fold]
+            if judged:
+                # a decision of 0 is class 1
+                said = kernel.signed(d, g, np.ones(len(d))) @ weights[:, judged] >= 0
+                out[[of[c] for c in judged]] = (said != (y > 0)[:, None]).sum(0)
         return out
 
     errors = sum_over_rows(data, columns, wrong, len(settings))
@@ -179,12 +227,12 @@ def train_together(data: DataFrame, p: int, kernel: KernelMap, settings: Sequenc
     return runs, passes + 1, np.column_stack([errors, held])
 
 
-def training_rows(df: DataFrame, cols: Sequence[str], label: str, fold: str | None) -> DataFrame:
+def training_rows(df: DataFrame, cols: Sequence[str], label: str, fold: str | None) -> Blocks:
     """Complete rows as x0.., y in -1/1 and fold (0 without one), cached."""
     rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)],
                      (F.col(label).cast("double") * 2 - 1).alias("y"),
                      (F.col(fold) if fold else F.lit(0)).cast("double").alias("fold")).dropna()
-    return spread(rows).persist()
+    return in_blocks(rows, rows.columns, by="fold")
 
 
 def fit(df: DataFrame, cols: Sequence[str], label: str, gamma: float, cost: float, m: int = LANDMARKS, weight: str | None = None,
@@ -225,7 +273,7 @@ def grid_search(df: DataFrame, cols: Sequence[str], label: str, fold: str, gamma
     kernel = kernel_map(landmarks(df, cols, m, weight, seed), gammas)
     data = training_rows(df, cols, label, fold)
     try:
-        folds = sorted(int(r["fold"]) for r in data.select("fold").distinct().collect())
+        folds = sorted(int(k) for k in data.counts("fold"))
         settings = [Setting(float(g), float(c), k) for g in gammas for c in costs for k in [*folds, None]]
         runs, passes, errors = train_together(data, len(cols), kernel, settings, max_iter, tol)
     finally:

@@ -141,3 +141,70 @@ def test_sums_over_many_partitions_reach_the_driver_as_a_few(spark):
     out = batched.sum_over_rows(df, ["x"], lambda b: np.array([len(b), b.sum()]), 2)
     assert out.tolist() == [1000.0, 499500.0]
     assert batched.sum_over_rows(df.limit(0), ["x"], lambda b: np.array([1.0]), 1).tolist() == [0.0]
+
+
+def test_points_tried_ahead_change_no_step():
+    rng = np.random.default_rng(3)
+    scale = np.logspace(0, 4, 6)
+
+    def value(x):
+        return float((scale * np.abs(x) ** 1.5).sum()), scale * 1.5 * np.sign(x) * np.abs(x) ** 0.5
+    start = [rng.normal(size=6) for _ in range(4)]
+    plain, ahead = ([batched.Descent(x, 60, 1e-6) for x in start] for _ in range(2))
+    alone = batched.descend(plain, lambda which: tuple(zip(*[value(plain[i].trial) for i in which])))
+    seen = []
+
+    def along(which, steps):
+        seen.append(max(map(len, steps)))
+        return [[value(ahead[i].theta + s * ahead[i].direction) for s in tried] for i, tried in zip(which, steps)]
+    together = batched.descend_ahead(ahead, along, spare=2)
+    for p, q in zip(plain, ahead):
+        assert p.iterations == q.iterations and p.value == q.value and np.array_equal(p.theta, q.theta)
+    assert together < 0.7 * alone and 1 < max(seen) <= batched.MAX_AHEAD
+
+
+def test_blocks_hold_every_row_once_and_one_fold_each(spark):
+    pdf = pd.DataFrame({"x": np.arange(3000.0), "fold": np.arange(3000) % 7.0, "z": 1.0})
+    data = batched.in_blocks(spark.createDataFrame(pdf), ["x", "fold", "z"], by="fold")
+    try:
+        assert data.counts("fold") == {float(k): int((pdf.fold == k).sum()) for k in range(7)}
+        out = batched.sum_over_rows(data, ["fold", "x"], lambda b: np.array([len(b), b[:, 1].sum(), len(np.unique(b[:, 0])) > 1, len(b) > batched.BLOCK_ROWS]), 4)
+        assert out.tolist() == [3000.0, float(pdf.x.sum()), 0.0, 0.0]
+    finally:
+        data.unpersist()
+    empty = batched.in_blocks(spark.createDataFrame(pdf).limit(0), ["x"])
+    assert batched.sum_over_rows(empty, ["x"], lambda b: np.ones(1), 1).tolist() == [0.0] and empty.counts("x") == {}
+
+
+def test_blocks_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(batched, "PARTITION_ROWS", 100)
+    data = batched.in_blocks(spark.range(0, 2000, 1, 2).select(F.col("id").cast("double").alias("x")), ["x"])
+    assert data.partitions == data.frame.rdd.getNumPartitions() == 20
+    rows = data.frame.select(F.sum(F.length("block") / 8)).first()[0]
+    assert rows == 2000
+    data.unpersist()
+
+
+def test_a_search_takes_as_few_passes_as_steps(spark):
+    """Refused steps used to cost a pass each (several a step on this loss)."""
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"a": rng.normal(size=900), "b": rng.normal(size=900), "label": rng.integers(0, 2, 900), "fold": np.arange(900) % 3})
+    df = spark.createDataFrame(pdf)
+    kernel = KS.kernel_map(KS.landmarks(df, ["a", "b"], 20), [0.1])
+    data = KS.training_rows(df, ["a", "b"], "label", "fold")
+    settings = [KS.Setting(0.1, c, k) for c in (1.0, 100.0) for k in (0, 1, 2, None)]
+    runs, passes, errors = KS.train_together(data, 2, kernel, settings, 60, 1e-4)
+    assert passes <= 2 * max(r.iterations for r in runs) + 4
+    # value and gradient are those of plain features over the rows outside the fold
+    x, y, fold = pdf[["a", "b"]].to_numpy(), 2.0 * pdf.label.to_numpy() - 1, pdf.fold.to_numpy()
+    z = kernel.features(kernel.distances(x), 0.1)
+    for s, r, (wrong, held) in zip(settings, runs, errors):
+        inside = fold != (-1 if s.fold is None else s.fold)
+        short = np.maximum(1 - y * (z @ r.theta), 0)[inside]
+        loss = np.where(short < KS.SMOOTH, short ** 2 / (2 * KS.SMOOTH), short - KS.SMOOTH / 2)
+        slope = -np.minimum(short / KS.SMOOTH, 1) * y[inside]
+        pull = np.append(r.theta[:-1], 0) / (s.cost * inside.sum())
+        assert r.value == pytest.approx(loss.mean() + 0.5 * float(pull @ r.theta), rel=1e-9)
+        np.testing.assert_allclose(r.grad, z[inside].T @ slope / inside.sum() + pull, rtol=1e-6, atol=1e-9)
+        assert (wrong, held) == ((((z @ r.theta >= 0) != (y > 0)) & ~inside).sum(), (~inside).sum())
+    data.unpersist()
