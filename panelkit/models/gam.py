@@ -1,9 +1,12 @@
 """Additive model with penalised cubic regression splines (ML14-ML17).
 
 Each smooth term is a cubic B-spline basis on equally spaced knots (k basis
-columns, built as JVM column expressions) with a second-order difference
+columns; ``basis_matrix`` makes them from a batch's values, ``add_basis`` as column
+expressions) with a second-order difference
 penalty (P-splines, Eilers & Marx 1996).  One distributed Gram pass over
-[parametric columns, all basis columns] is the only row work; smoothing
+[parametric columns, all basis columns] is the only row work (Spark sends the
+values, the batch makes its columns); fitted values are one cubic a smooth and
+row, read off by the cell between two knots (``GamFit.fitted``); smoothing
 parameters are chosen by GCV on the driver from that Gram alone (Newton steps
 on the log parameters of all smooths at once, with the exact gradient and
 Hessian of log GCV), and edf = tr((X'X+S)^-1 X'X).
@@ -17,7 +20,7 @@ intercept (the B-splines sum to one).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.functions import dists
+from panelkit.models.batched import sum_over_rows
 from panelkit.models.gram import Gram, compute_gram
 
 
@@ -33,7 +37,8 @@ def _cardinal_cubic(u: Column) -> Column:
     fourth difference of truncated cubes: (1/6) sum_i (-1)^i C(4,i) (u-i)_+^3."""
     terms = None
     for i, c in enumerate((1, -4, 6, -4, 1)):
-        t = F.lit(c / 6.0) * F.pow(F.greatest(u - F.lit(float(i)), F.lit(0.0)), 3)
+        over = F.greatest(u - F.lit(float(i)), F.lit(0.0))
+        t = F.lit(c / 6.0) * over * over * over
         terms = t if terms is None else terms + t
     return F.when(u < 4, terms).otherwise(F.lit(0.0))
 
@@ -42,11 +47,35 @@ def _cardinal_slope(u: Column) -> Column:
     """Derivative of ``_cardinal_cubic``."""
     terms = None
     for i, c in enumerate((1, -4, 6, -4, 1)):
-        t = F.lit(c / 2.0) * F.pow(F.greatest(u - F.lit(float(i)), F.lit(0.0)), 2)
+        over = F.greatest(u - F.lit(float(i)), F.lit(0.0))
+        t = F.lit(c / 2.0) * over * over
         terms = t if terms is None else terms + t
     return F.when(u < 4, terms).otherwise(F.lit(0.0))
 
 
+#: the four pieces of a cubic B-spline as coefficients of 1, t, t^2, t^3 within a cell
+PIECES = np.array([[1, -3, 3, -1], [4, 0, -6, 3], [1, 3, 3, -3], [0, 0, 0, 1]]) / 6.0
+
+
+def basis_matrix(x: np.ndarray, lo: float, hi: float, k: int) -> np.ndarray:
+    """Rows x the k - 1 design columns of a smooth (the first spline is dropped)."""
+    u = (np.clip(x, lo, hi) - lo) / _knot_step(lo, hi, k)
+    cell = np.minimum(u.astype(int), k - 4)
+    t = u - cell
+    powers = np.stack([np.ones_like(t), t, t * t, t * t * t])
+    out = np.zeros((len(x), k))
+    row = np.arange(len(x))
+    for i, values in enumerate(PIECES @ powers):
+        out[row, cell + i] = values
+    return out[:, 1:]
+
+
+def design_matrix(smooths: dict) -> Callable[[np.ndarray], np.ndarray]:
+    """Function from the smoothed columns (rows x smooths) to the design columns of all smooths."""
+    terms = [(lo, hi, k) for _col, lo, hi, k, _names in smooths.values()]
+    return lambda b: np.hstack([basis_matrix(b[:, i], *term) for i, term in enumerate(terms)])
+
+
 def _knot_step(lo: float, hi: float, k: int) -> float:
     return (hi - lo) / (k - 3) if hi > lo else 1.0
 
@@ -97,6 +126,24 @@ class GamFit:
             eta = eta + F.lit(float(b)) * F.col(nm)
         return eta
 
+    def fitted(self) -> Column:
+        """``predict`` from the smoothed columns themselves instead of ``design``: per smooth
+        the cubic of the value's cell, its tangent outside the fitted range."""
+        eta = F.lit(self.intercept)
+        coef = dict(zip(self.names, self.coef))
+        for nm in self.parametric:
+            eta = eta + F.lit(float(coef[nm])) * F.col(nm)
+        for col, lo, hi, k, names in self.smooths.values():
+            b = np.array([0.0, *[coef[nm] for nm in names]])
+            cubics = np.array([b[c:c + 4] @ PIECES for c in range(k - 3)])
+            u = _local_coordinate(F.col(col), lo, hi, k)
+            cell = F.least(F.floor(u), F.lit(k - 4)).cast("int")
+            beyond = (F.col(col).cast("double") - F.lit(lo)) / F.lit(_knot_step(lo, hi, k)) - u      # 0 inside the range
+            t = u - cell
+            a0, a1, a2, a3 = (F.get(F.array(*[F.lit(float(v)) for v in cubics[:, j]]), cell) for j in range(4))
+            eta = eta + a0 + t * (a1 + t * (a2 + t * a3)) + beyond * (a1 + t * (2 * a2 + 3 * t * a3))
+        return eta
+
     def predict_se(self) -> Column:
         """Pointwise SE of the linear predictor from the z-scale covariance."""
         zs = [F.lit(1.0)] + [(F.col(nm) - F.lit(float(m))) / F.lit(float(s))
@@ -224,9 +271,9 @@ def fit_gam(df: DataFrame, y: str, smooth_cols: Sequence[str], parametric: Seque
     parametric = list(parametric)
     d = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys(smooth_cols + parametric + [y])]).dropna()
     smooths = smooth_terms(d, smooth_cols, k)
-    design = add_basis(d, smooths)
-    names = parametric + [nm for s in smooths.values() for nm in s[4]]
-    g = compute_gram(design, names, y, assume_complete=True)
+    names, make, p = parametric + [nm for s in smooths.values() for nm in s[4]], design_matrix(smooths), len(parametric)
+    g = compute_gram(d, parametric + smooth_cols, y, assume_complete=True,
+                     design=(names, lambda b: np.hstack([b[:, :p], make(b[:, p:])])))
     return gam_from_gram(g, smooths, parametric, lambda_grid, rounds, lambdas)
 
 
@@ -289,6 +336,23 @@ def gam_from_gram(g: Gram, smooths: dict, parametric: Sequence[str], lambda_grid
                   float(sigma2), edf_total, edf, lam, float(gcv))
 
 
+def score_sums(df: DataFrame, fit: GamFit, y: str) -> tuple[float, float, float, np.ndarray]:
+    """One pass: the number of rows with all predictors and the sum of their fitted values,
+    the number of those that have ``y`` and their sums of residual times 1 and every design column."""
+    inputs = [*fit.parametric, *[s[0] for s in fit.smooths.values()]]
+    p, make, beta = len(fit.parametric), design_matrix(fit.smooths), np.concatenate([[fit.intercept], fit.coef])
+
+    def block(b: np.ndarray) -> np.ndarray:
+        b = b[~np.isnan(b[:, :-1]).any(axis=1)]
+        x = np.column_stack([np.ones(len(b)), b[:, :p], make(b[:, p:-1])])
+        found = x @ beta
+        known = ~np.isnan(b[:, -1])
+        return np.concatenate([[len(b), found.sum(), known.sum()], x[known].T @ (b[known, -1] - found[known])])
+
+    sums = sum_over_rows(df.select(*[F.col(c).cast("double") for c in [*inputs, y]]), [*inputs, y], block, 3 + len(beta))
+    return float(sums[0]), float(sums[1]), float(sums[2]), sums[3:]
+
+
 def effect_grid(spark: SparkSession, fit: GamFit, term: str, n: int = 50,
                 fixed: dict | None = None, level: float = 0.95,
                 factor: tuple[str, dict] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ of very different scales give condition numbers ~1e12).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,16 +66,18 @@ def jvm_moments(d: DataFrame, cols: Sequence[str]) -> tuple[float, np.ndarray, n
     return n, mean, m2
 
 
-def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = None
+def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = None,
+                      design: Callable[[np.ndarray], np.ndarray] | None = None, width: int | None = None
                       ) -> tuple[float, np.ndarray, np.ndarray]:
     """One pass: per-partition weight total, mean and centred cross-product
     matrix (numpy over Arrow batches), combined with the parallel-variance
     formula first by ``MERGE_TASKS`` Spark tasks, then on the driver (which
-    gets that many p^2 partials however many partitions there are)."""
+    gets that many p^2 partials however many partitions there are).
+    ``design`` turns rows x ``cols`` into rows x ``width`` columns first."""
     import pandas as pd
 
     cols = list(cols)
-    k = len(cols)
+    k = width if design else len(cols)
 
     def part(it):
         n = 0.0
@@ -85,6 +87,8 @@ def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = No
             x = pdf[cols].to_numpy(dtype=float)
             if x.shape[0] == 0:
                 continue
+            if design:
+                x = design(x)
             w = pdf[weight].to_numpy(dtype=float) if weight else np.ones(x.shape[0])
             nb = float(w.sum())
             if nb == 0:
@@ -122,19 +126,24 @@ def partition_moments(d: DataFrame, cols: Sequence[str], weight: str | None = No
 
 
 def compute_gram(df: DataFrame, x: Sequence[str], y: str, weight: str | None = None,
-                 assume_complete: bool = False) -> Gram:
+                 assume_complete: bool = False, design: tuple[list[str], Callable[[np.ndarray], np.ndarray]] | None = None) -> Gram:
     """Rows with a NULL in any used column are dropped (complete cases).
 
     ``assume_complete``: the caller already dropped incomplete rows of the
     inputs the columns derive from (e.g. spline bases of a non-NULL x), so
     the derived expressions are not evaluated a second time in a filter.
+    ``design``: names of the predictors and the function that makes them, batch
+    by batch, from the columns ``x``.
     """
     x = list(x)
     used = x + [y] + ([weight] if weight else [])
     d = df.select(*[F.col(c).cast("double").alias(c) for c in used])
     if not assume_complete:
         d = d.dropna()
-    if weight is None and len(x) + 1 <= JVM_MAX_COLUMNS:
+    if design:
+        inputs, (x, make) = x, design
+        n, means, c = partition_moments(d, inputs + [y], weight, lambda b: np.column_stack([make(b[:, :-1]), b[:, -1]]), len(x) + 1)
+    elif weight is None and len(x) + 1 <= JVM_MAX_COLUMNS:
         n, means, c = jvm_moments(d, x + [y])
     else:
         n, means, c = partition_moments(d, x + [y], weight)

@@ -72,12 +72,11 @@ def gam_score(spark, d):
     li, par = gam_frame(spark, d)
     fit = gam.fit_gam(li, "y", GAM_SMOOTHS, par, k=10)
     pull = {"(Intercept)": 0.0, **fit.penalty_slope()}
-    scored = fit.design(li).withColumn("_fit", fit.predict())
-    one = scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_fit"), 8).alias("mean_fitted"), *[
-        F.abs(F.round(F.avg((F.col("y") - F.col("_fit")) * (F.lit(1.0) if i == 0 else F.col(t))) - v / F.lit(fit.n), 6)).alias(f"s{i}")
-        for i, (t, v) in enumerate(pull.items())])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"s{i}").alias("mean_score"), F.col("n"), F.col("mean_fitted"))
-                                         for i, t in enumerate(pull)])))
+    n_fitted, fitted, n_left, sums = gam.score_sums(li, fit, "y")
+    rows = [(t, float(s / n_left - v / fit.n), float(fitted / n_fitted)) for (t, v), s in zip(pull.items(), sums)]
+    scores = spark.createDataFrame(rows, "term string, score double, fitted double")
+    return scores.crossJoin(F.broadcast(li.agg(F.count(F.lit(1)).alias("n")))).select(
+        "term", F.abs(F.round("score", 6)).alias("mean_score"), "n", F.round("fitted", 8).alias("mean_fitted"))
 
 
 @register("gam_grid")
@@ -98,7 +97,7 @@ def gam_grid(spark, d):
 @register("gam_eval")
 def gam_eval(spark, d):
     li, fit = _fit_gam(spark, d)
-    test = fit.design(li.where(F.col("is_train") == 0)).withColumn("yhat", fit.predict())
+    test = li.where(F.col("is_train") == 0).withColumn("yhat", fit.fitted())
     return EV.reg_metrics(test, "y", "yhat", back_transform=True)
 
 
@@ -280,7 +279,7 @@ def fold_lm_one_factor(spark, d):
 def obs_vs_fitted(spark, d):
     """Observed, fitted and residual of the additive model for every training row."""
     li, fit = _fit_gam(spark, d)
-    train = fit.design(li.where(F.col("is_train") == 1)).withColumn("fitted", fit.predict())
+    train = li.where(F.col("is_train") == 1).withColumn("fitted", fit.fitted())
     return train.select("l_orderkey", "l_linenumber", F.col("y").alias("observed"), "fitted",
                         (F.col("y") - F.col("fitted")).alias("residual"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelkit.models import gam
+from panelkit.models import gam, gram
 from panelkit.models.gram import compute_gram
 
 
@@ -97,3 +97,39 @@ def test_not_above_the_grid_for_straight_lines(spark, seed):
     g = compute_gram(gam.add_basis(df, smooths), list(smooths["x"][4]), "y", assume_complete=True)
     fit, grid = gam.gam_from_gram(g, smooths, []), gam.gam_from_gram(g, smooths, [], lambda_grid=np.logspace(-4, 6, 41))
     assert fit.gcv <= grid.gcv * (1 + 1e-12) and 0.9 < fit.edf["x"] < 8
+
+
+def test_batches_make_the_design_columns_of_the_expressions(spark):
+    """Basis, fitted values and score sums of numpy batches and cell cubics against the column expressions."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": rng.uniform(0, 6, 500), "w": rng.integers(0, 9, 500) / 9.0, "z": rng.normal(size=500)})
+    pdf["y"] = np.sin(pdf.x) + pdf.w ** 2 + 0.3 * pdf.z
+    fit = gam.fit_gam(spark.createDataFrame(pdf).repartition(3), "y", ["x", "w"], ["z"], k=9)
+    odd = pd.DataFrame([(-3.0, 0.5, 0.0, 1.0), (9.0, 2.0, 1.0, 1.0), (None, 0.5, 0.0, 1.0), (1.0, 0.5, None, 1.0), (1.0, 0.5, 1.0, None)], columns=["x", "w", "z", "y"])
+    df = spark.createDataFrame(pd.concat([pdf, odd]).astype(object).where(lambda d: d.notna(), None), "x double, w double, z double, y double")
+    both = fit.design(df).select("x", "w", "z", "y", *fit.names[1:], fit.predict().alias("old"), fit.fitted().alias("new")).toPandas().astype(float)
+    np.testing.assert_allclose(both["new"], both["old"], rtol=1e-9, atol=1e-9)
+    assert both["new"].isna().sum() == 2
+    inside = both.iloc[:500]
+    made = gam.design_matrix(fit.smooths)(inside[["x", "w"]].to_numpy())
+    np.testing.assert_allclose(made, inside[fit.names[1:]].to_numpy(), atol=1e-10)
+    n, total, known, sums = gam.score_sums(spark.createDataFrame(pdf).union(df.where("y is null or z is null")), fit, "y")
+    assert (n, known) == (501.0, 500.0) and total == pytest.approx(inside.new.sum() + both.new.iloc[-1])
+    left = inside.y - inside.new
+    np.testing.assert_allclose(sums[1:], left.to_numpy() @ inside[fit.names].to_numpy(), atol=1e-7)
+    np.testing.assert_allclose(sums, [0.0, *fit.penalty_slope().values()], atol=1e-6)
+
+
+def test_additive_models_send_no_basis_columns(spark, monkeypatch):
+    """The basis columns used to be made in the plan, all of them for every row of every pass."""
+    seen = []
+    real = gram.partition_moments
+
+    def spy(d, cols, *rest):
+        seen.append(list(d.columns))
+        return real(d, cols, *rest)
+    monkeypatch.setattr(gram, "partition_moments", spy)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.uniform(size=80), "z": rng.normal(size=80), "y": rng.normal(size=80)}))
+    fit = gam.fit_gam(df, "y", ["x"], ["z"], k=10)
+    assert seen == [["z", "x", "y"]] and len(fit.names) == 10
