@@ -10,6 +10,7 @@ leaderboard (ML18-ML21, ML25).
   (Rahimi & Recht 2007) computed as row expressions, then a linear SVM.
   Cost C maps to ``regParam = 1 / (C n)`` with standardisation off, so the
   penalty is on the weights of the kernel features themselves.
+* ``fit_svm`` deals the rows so that no partition holds over ``FEATURE_BYTES`` of kernel features.
 * Scoring keeps every row: one with a missing predictor has a NULL score.
 """
 
@@ -85,11 +86,20 @@ def rff_frame(df: DataFrame, cols: Sequence[str], gamma: float, n_features: int,
     return assemble(df.withColumns(feats), list(feats))
 
 
+#: kernel features that one partition of a fit holds, in bytes
+FEATURE_BYTES = 100_000_000
+
+
 def fit_svm(train: DataFrame, cols: Sequence[str], label: str, gamma: float, cost: float,
             n_features: int = 128, seed: int = 42, max_iter: int = 100, n_rows: int | None = None,
             tol: float = 1e-6):
     d = rff_frame(train, cols, gamma, n_features, seed)
     n = n_rows if n_rows is not None else d.count()
+    # the features are kept for all steps and are several times as large as the rows: the
+    # partitions are cut by their size, before they are made
+    parts = -(-n * n_features * 8 // FEATURE_BYTES)
+    if d.rdd.getNumPartitions() < parts:
+        d = rff_frame(train.select(*cols, label).repartition(parts), cols, gamma, n_features, seed)
     svc = LinearSVC(featuresCol="features", labelCol=label, regParam=1.0 / (cost * n), maxIter=max_iter,
                     tol=tol, standardization=False)
     return svc.fit(d)
