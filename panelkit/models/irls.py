@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.models.batched import sum_over_rows
+from panelkit.models.batched import Blocks, sum_over_rows
 
 #: a linear predictor beyond this gives a fitted probability of 0 or 1
 EXTREME = 25.0
@@ -63,7 +63,7 @@ def _response(family: str, y: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray,
     return mu, 2 * (_xlog(y, mu) + _xlog(1 - y, 1 - mu)), whole * np.log(mu) + (1 - whole) * np.log1p(-mu)
 
 
-def newton(data: DataFrame, y: str, x: Sequence[str], family: str, mean: np.ndarray, scale: np.ndarray, offset: str | None = None,
+def newton(data: DataFrame | Blocks, y: str, x: Sequence[str], family: str, mean: np.ndarray, scale: np.ndarray, offset: str | None = None,
            fold: str | None = None, leave_out: Sequence[int | None] = (None,), max_iter: int = 50, tol: float = 1e-11) -> list[NewtonFit]:
     """One fit per entry of ``leave_out`` (a fold, or None for all rows) on the
     complete rows of ``data``, which should be cached."""
@@ -71,8 +71,16 @@ def newton(data: DataFrame, y: str, x: Sequence[str], family: str, mean: np.ndar
     columns = [*x, y, *([offset] if offset else []), *([fold] if fold else [])]
     out = np.array([-1 if k is None else k for k in leave_out])
     exposure = F.exp(F.col(offset)) if offset else F.lit(1.0)
-    parts = data.groupBy(F.col(fold) if fold else F.lit(0).alias("fold")).agg(
-        F.count(F.lit(1)), F.sum(y), F.sum(exposure)).collect()
+    if isinstance(data, Blocks):
+        if offset or not fold:
+            raise ValueError("blocks are for fits over folds, without an offset")
+        size = data.counts(fold)
+        kinds = list(size)
+        total = sum_over_rows(data, [y, fold], lambda b: np.array([b[b[:, 1] == k, 0].sum() for k in kinds]), len(kinds))
+        parts = [(k, size[k], t, size[k]) for k, t in zip(kinds, total)]
+    else:
+        parts = data.groupBy(F.col(fold) if fold else F.lit(0).alias("fold")).agg(
+            F.count(F.lit(1)), F.sum(y), F.sum(exposure)).collect()
     sums = {int(r[0]): np.array([float(r[1]), float(r[2]), float(r[3])]) for r in parts}
     if not sums:
         raise ValueError("no complete rows")

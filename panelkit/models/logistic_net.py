@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.models.batched import Descent, descend, spread, sum_over_rows
+from panelkit.models.batched import Blocks, Descent, descend_ahead, spread, sum_over_rows
 
 #: step lengths (1, 0.3, 0.09, ...) tried in one job
 TRIAL_STEPS = 5
@@ -61,26 +61,45 @@ def unpack(theta: np.ndarray, p: int, h: int):
     return w1, b1, w2, b2
 
 
-def _evaluate(data: DataFrame, features: list[str], label: str, hidden: int, thetas: np.ndarray, fold: str | None = None,
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)); ``z`` is overwritten."""
+    np.clip(z, -500, 500, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.divide(1.0, z, out=z)
+
+
+def _evaluate(data: DataFrame | Blocks, features: list[str], label: str, hidden: int, thetas: np.ndarray, fold: str | None = None,
               leave_out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Loss and gradient at every row of ``thetas`` in one job; with ``fold``
     each over the rows outside its entry of ``leave_out``."""
     p, k = len(features), n_weights(len(features), hidden)
     at = np.array(thetas, dtype=float)
 
+    w1 = at[:, :p * hidden].reshape(-1, p, hidden).transpose(0, 2, 1)                 # points x hidden x p
+    b1, w2, b2 = at[:, p * hidden:p * hidden + hidden], at[:, -1 - hidden:-1], at[:, -1]
+
     def block(b: np.ndarray) -> np.ndarray:
-        x, y = b[:, :p], b[:, p]
+        x, y, fold_of = b[:, :p], b[:, p], None if fold is None else b[:, p + 1]
         out = np.zeros((len(at), 1 + k))
-        for i, theta in enumerate(at):
-            w1, b1, w2, b2 = unpack(theta, p, hidden)
-            a = 1 / (1 + np.exp(-np.clip(x @ w1 + b1, -500, 500)))
-            o = 1 / (1 + np.exp(-np.clip(a @ w2 + b2, -500, 500)))
-            inside = 1.0 if fold is None else (b[:, p + 1] != leave_out[i]).astype(float)
-            eps = 1e-12
-            d_out = (o - y) * inside                    # dL/d(logit)
-            d_hid = np.outer(d_out, w2) * a * (1 - a)
-            out[i, 0] = -((y * np.log(o + eps) + (1 - y) * np.log(1 - o + eps)) * inside).sum()
-            out[i, 1:] = np.concatenate([(x.T @ d_hid).ravel(), d_hid.sum(axis=0), a.T @ d_out, [d_out.sum()]])
+        # a block of one fold serves the points that do not leave it out
+        alike = fold is not None and (fold_of == fold_of[0]).all()
+        use = np.flatnonzero(leave_out != fold_of[0]) if alike else np.arange(len(at))
+        if not len(use):
+            return out.ravel()
+        a = _sigmoid((w1[use].reshape(-1, p) @ x.T).reshape(len(use), hidden, -1) + b1[use][:, :, None])
+        o = _sigmoid(np.einsum("ch,chn->cn", w2[use], a) + b2[use][:, None])
+        inside = 1.0 if fold is None or alike else (fold_of != leave_out[use][:, None]).astype(float)
+        # labels are 0 and 1: one logarithm serves
+        likelihood = np.log(np.where(y > 0.5, o, 1 - o) + 1e-12)
+        d_out = (o - y) * inside                        # dL/d(logit)
+        d_hid = d_out[:, None, :] * w2[use][:, :, None] * a * (1 - a)
+        out[use, 0] = -(likelihood * inside).sum(1)
+        out[use, 1:1 + p * hidden] = (d_hid.reshape(-1, len(x)) @ x).reshape(len(use), hidden, p).transpose(0, 2, 1).reshape(len(use), -1)
+        out[use, 1 + p * hidden:1 + (p + 1) * hidden] = d_hid.sum(2)
+        out[use, 1 + (p + 1) * hidden:-1] = np.einsum("chn,cn->ch", a, d_out)
+        out[use, -1] = d_out.sum(1)
         return out.ravel()
 
     columns = [*features, label, *([fold] if fold else [])]
@@ -100,23 +119,24 @@ def start_weights(p: int, hidden: int, seed: int, init_range: float) -> np.ndarr
     return np.random.default_rng(seed).uniform(-init_range, init_range, n_weights(p, hidden))
 
 
-def fit_fold_nets(data: DataFrame, features: Sequence[str], label: str, fold: str, n_folds: int, hidden: int = 3, decay: float = 0.001,
+def fit_fold_nets(data: DataFrame | Blocks, features: Sequence[str], label: str, fold: str, n_folds: int, hidden: int = 3, decay: float = 0.001,
                   max_iter: int = 300, seed: int = 42, init_range: float = 0.7, reltol: float = 1e-8) -> list[Descent]:
     """One network per left-out fold, all trained in the same passes (L-BFGS
     from the same start); ``data`` is complete and cached."""
     features = list(features)
     runs = [Descent(start_weights(len(features), hidden, seed, init_range), max_iter, reltol, memory=60) for _ in range(n_folds)]
 
-    def evaluate(which: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([runs[i].trial for i in which])
-        loss, grad = _evaluate(data, features, label, hidden, at, fold, np.array(which))
-        return loss + decay * (at * at).sum(axis=1), grad + 2 * decay * at
+    def evaluate(which: list[int], steps: list[list[float]]) -> list[list[tuple[float, np.ndarray]]]:
+        at = np.array([runs[i].theta + s * runs[i].direction for i, tried in zip(which, steps) for s in tried])
+        loss, grad = _evaluate(data, features, label, hidden, at, fold, np.array([i for i, tried in zip(which, steps) for _ in tried]))
+        told = iter(zip(loss + decay * (at * at).sum(axis=1), grad + 2 * decay * at))
+        return [[next(told) for _ in tried] for tried in steps]
 
-    descend(runs, evaluate)
+    descend_ahead(runs, evaluate)
     return runs
 
 
-def held_out_net_errors(data: DataFrame, features: Sequence[str], label: str, fold: str, hidden: int, weights: Sequence[np.ndarray]) -> list[float]:
+def held_out_net_errors(data: DataFrame | Blocks, features: Sequence[str], label: str, fold: str, hidden: int, weights: Sequence[np.ndarray]) -> list[float]:
     """Share of wrong predictions of each network on the fold it did not see."""
     p, n = len(features), len(weights)
 

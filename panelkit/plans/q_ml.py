@@ -210,15 +210,16 @@ def leaderboard(spark, d):
     li = SP.kfold(li, ["l_orderkey", "l_linenumber"], FOLDS, seed=7)
     smooth_cols = [f"{c}_z" for c in NUMERIC]
     dummies = [c for c in feats if c not in smooth_cols]
-    data = li.select(*[F.col(c).cast("double") for c in feats], F.col("label").cast("double"), F.col("fold").cast("double")).dropna()
-    smooths = gam.smooth_terms(data, smooth_cols, k=10)
-    data = batched.spread(gam.add_basis(data, smooths)).persist()
+    rows = li.select(*[F.col(c).cast("double") for c in feats], F.col("label").cast("double"), F.col("fold").cast("double")).dropna()
+    smooths = gam.smooth_terms(rows, smooth_cols, k=10)
+    data = batched.in_blocks(rows, rows.columns, by="fold")
     try:
         basis = [n for s in smooths.values() for n in s[4]]
-        wide = [*feats, *basis]
-        grams = folds.training_grams(data, wide, "label", "fold", FOLDS)
-        moments = data.agg(*[F.avg(c) for c in feats], *[F.stddev_pop(c) for c in feats]).first()
-        mean, scale = np.array(moments[:len(feats)]), np.array([s or 1.0 for s in moments[len(feats):]])
+        at, make = [feats.index(c) for c in smooth_cols], gam.design_matrix(smooths)
+        design = folds.Design(feats, [*feats, *basis], lambda b: np.hstack([b, make(b[:, at])]))
+        wide = design.names
+        grams = folds.training_grams(data, design, "label", "fold", FOLDS)
+        mean, scale = folds.block_moments(data, feats)
         lm = np.zeros((FOLDS, 1 + len(wide)))
         additive, logit = lm.copy(), lm.copy()
         for k, g in enumerate(grams):
@@ -230,10 +231,10 @@ def leaderboard(spark, d):
         for k, fit in enumerate(irls.newton(data, "label", feats, "binomial", mean, scale, fold="fold", leave_out=range(FOLDS))):
             logit[k, 0] = fit.coef[0]
             logit[k, 1:1 + len(feats)] = fit.coef[1:]
-        errors = folds.held_out_errors(data, wide, "label", "fold", FOLDS, {"lm": (lm, 0.5), "gam": (additive, 0.5), "logit": (logit, 0.0)})
+        errors = folds.held_out_errors(data, design, "label", "fold", FOLDS, {"lm": (lm, 0.5), "gam": (additive, 0.5), "logit": (logit, 0.0)})
         nets = LN.fit_fold_nets(data, feats, "label", "fold", FOLDS, hidden=3, decay=0.001, max_iter=300)
         errors["net"] = LN.held_out_net_errors(data, feats, "label", "fold", 3, [r.theta for r in nets])
-        errors["svm"] = KS.fold_errors(data, feats, "label", "fold", FOLDS, gamma=SVM_GAMMAS[-1], cost=1.0)
+        errors["svm"] = KS.fold_errors(rows, feats, "label", "fold", FOLDS, gamma=SVM_GAMMAS[-1], cost=1.0)
     finally:
         data.unpersist()
     return spark.createDataFrame([(m, 1.0 - float(np.mean(e)), len(e)) for m, e in errors.items()],

@@ -208,3 +208,47 @@ def test_a_search_takes_as_few_passes_as_steps(spark):
         np.testing.assert_allclose(r.grad, z[inside].T @ slope / inside.sum() + pull, rtol=1e-6, atol=1e-9)
         assert (wrong, held) == ((((z @ r.theta >= 0) != (y > 0)) & ~inside).sum(), (~inside).sum())
     data.unpersist()
+
+
+def test_blocks_with_a_design_serve_the_folds_like_its_columns(spark):
+    """Cross-products, moments, Newton fits, networks and held-out errors of blocks against those of a table."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(size=(900, 2)) * [1, 30] + [0, 500], columns=["u", "v"])
+    pdf["y"] = (pdf.u + rng.normal(size=900) > 0).astype(float)
+    pdf["fold"] = rng.integers(0, 4, 900).astype(float)
+    table = spark.createDataFrame(pdf.assign(uu=pdf.u ** 2)).repartition(3).cache()
+    data = batched.in_blocks(spark.createDataFrame(pdf).repartition(5), ["u", "v", "y", "fold"], by="fold")
+    design = folds.Design(["u", "v"], ["u", "v", "uu"], lambda b: np.column_stack([b, b[:, 0] ** 2]))
+    mean, scale = folds.block_moments(data, design)
+    np.testing.assert_allclose(mean, [pdf.u.mean(), pdf.v.mean(), (pdf.u ** 2).mean()], rtol=1e-10)
+    np.testing.assert_allclose(scale, [pdf.u.std(ddof=0), pdf.v.std(ddof=0), (pdf.u ** 2).std(ddof=0)], rtol=1e-10)
+    for a, b in zip(folds.training_grams(data, design, "y", "fold", 4), folds.training_grams(table, ["u", "v", "uu"], "y", "fold", 4)):
+        assert a.names == b.names and a.n == b.n
+        np.testing.assert_allclose(a.zz, b.zz, rtol=1e-9, atol=1e-8)
+        np.testing.assert_allclose(a.zy, b.zy, rtol=1e-9, atol=1e-8)
+    coef = rng.normal(size=(4, 4))
+    models = {"m": (coef, 0.5)}
+    assert folds.held_out_errors(data, design, "y", "fold", 4, models) == folds.held_out_errors(table, ["u", "v", "uu"], "y", "fold", 4, models)
+    fits = [irls.newton(d, "y", ["u", "v"], "binomial", mean[:2], scale[:2], fold="fold", leave_out=range(4)) for d in (data, table)]
+    for a, b in zip(*fits):
+        np.testing.assert_allclose(a.coef, b.coef, rtol=1e-8)
+        assert a.n == b.n
+    points = rng.normal(size=(3, LN.n_weights(2, 3))) * 0.1
+    sides = [LN._evaluate(d, ["u", "v"], "y", 3, points, "fold", np.array([0, 2, 3])) for d in (data, table)]
+    np.testing.assert_allclose(sides[0][0], sides[1][0], rtol=1e-10)
+    np.testing.assert_allclose(sides[0][1], sides[1][1], rtol=1e-8, atol=1e-8)
+    data.unpersist()
+
+
+def test_kernel_features_are_dealt_by_their_size(spark, monkeypatch):
+    """A fit used to keep as many partitions as its input came in, however large their features."""
+    dealt = []
+    real = C.LinearSVC.fit
+    monkeypatch.setattr(C.LinearSVC, "fit", lambda self, d: (dealt.append(d.rdd.getNumPartitions()), real(self, d))[1])
+    pdf = ring(1000, 12)
+    df = spark.createDataFrame(pdf).coalesce(1)
+    plain = C.fit_svm(df, ["a", "b"], "label", gamma=1.0, cost=1.0, n_features=8, max_iter=20)
+    monkeypatch.setattr(C, "FEATURE_BYTES", 100 * 8 * 8)
+    small = C.fit_svm(df, ["a", "b"], "label", gamma=1.0, cost=1.0, n_features=8, max_iter=20)
+    assert dealt == [1, 10]
+    np.testing.assert_allclose(plain.coefficients.toArray(), small.coefficients.toArray(), rtol=1e-3, atol=1e-3)
