@@ -40,15 +40,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
+def written(df: DataFrame, label: str = "t", **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) into the shared checkpoint folder and read it back.
 
     This cuts the lineage at storage every executor sees, so a lost executor
     costs at most the tasks it was running.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

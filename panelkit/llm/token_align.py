@@ -14,9 +14,10 @@ difference.
 Links. Within a group every A occurrence is linked to every B occurrence. A
 pair's count is the number of documents that hold it linked, over the whole
 corpus. Documents are handled in bundles of bounded text; a bundle names each of
-its pairs once, so only (bundle, distinct pair) rows are shuffled to be counted
-and looked up, and documents fetch the figures of their bundle. No pair table is
-broadcast and no key collects more than the bundles it occurs in.
+its pairs once, in the row of the first document that holds it, so only (bundle,
+distinct pair) rows are shuffled to be counted and looked up, and the documents of
+a bundle meet its figures in one group. No pair table is broadcast, no key collects
+more than the bundles it occurs in, and no row holds more than one document.
 
 Defined results: null and empty texts, and texts whose joined token bytes differ
 from space + text (a text holding U+2581), have no tokens: zeros and ''. A text
@@ -35,8 +36,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -47,7 +50,9 @@ A_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: characters of text in one bundle (a longer text is a bundle of its own)
-BUNDLE_CHARS = 4_000_000
+BUNDLE_CHARS = 1_000_000
+#: rows hold the links of whole documents: a writer holds, and a reader takes, about this much at a time
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "10"}
 #: tokens of the first stretch compared along a diagonal
 FIRST_STRETCH = 8
 #: groups with more links than this are linked by distinct ids
@@ -282,15 +287,14 @@ class Bundle:
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     for batch in batches:
-        texts, start, held = batch.column(1).to_pylist(), 0, 0
-        for k, t in enumerate(texts):
-            size = len(t or "")
+        ids, texts, start, held = batch.column(0), batch.column(1), 0, 0
+        for k, size in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
             if k > start and held + size > BUNDLE_CHARS:
-                yield batch.column(0).slice(start, k - start), texts[start:k]
+                yield ids.slice(start, k - start), texts.slice(start, k - start).to_pylist()
                 start, held = k, 0
             held += size
         if start < len(texts):
-            yield batch.column(0).slice(start), texts[start:]
+            yield ids.slice(start), texts.slice(start).to_pylist()
 
 
 def _models(docs: DataFrame, a_path: str, b_path: str):
@@ -319,42 +323,49 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         run, f"doc_id {kind}, a_ids array<int>, b_ids array<int>, a_last array<boolean>, b_last array<boolean>")
 
 
-def _one(values: np.ndarray | pa.Array) -> pa.ListArray:
-    """A list column of one row."""
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """``values`` cut into one list per text."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def linked_bundles(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str) -> DataFrame:
-    """One row per bundle: figures per document, its distinct pairs (``pairs``,
-    ``pair_docs``) and the links of each document as places in ``pairs``."""
+def linked_documents(docs: DataFrame, id_col: str, text_col: str, a_path: str, b_path: str) -> DataFrame:
+    """One row per document: its bundle, its figures, and its links as places among the pairs
+    of the bundle. ``pairs`` are those that no earlier document of the bundle holds, from place
+    ``first_place`` on, ``pair_docs`` the documents of the bundle that hold them."""
     files = _models(docs, a_path, b_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Aligner.get(*files.value)
+        bundle = TaskContext.get().partitionId() << 33
         for ids, texts in _bundles(batches):
-            x = made.bundle(texts)
+            x, n = made.bundle(texts), len(texts)
             doc, pair, times = x.links()
-            pairs, at, held = np.unique(pair, return_inverse=True, return_counts=True)
-            counts = np.bincount(doc, minlength=len(texts))
-            n_links = np.bincount(doc, weights=times, minlength=len(texts)).astype(np.int64)
+            pairs, first, at, held = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(first)                                  # links ascend by document
+            place = np.empty(len(order), dtype=np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            new = np.bincount(doc[first], minlength=n)
+            linked = np.bincount(doc, minlength=n)
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in x.group_texts()]
-            columns = [ids, np.diff(x.at_a), np.diff(x.at_b), x.n_groups(), n_links, pa.array(digests, pa.string()), counts.astype(np.int32),
-                       at.astype(np.int32), times.astype(np.int64), pairs, held.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([_one(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in columns], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, bundle)), ids, *map(pa.array, (
+                    np.diff(x.at_a), np.diff(x.at_b), x.n_groups(), np.bincount(doc, weights=times, minlength=n).astype(np.int64))),
+                 pa.array(digests, pa.string()), _lists(place[at], linked), _lists(times.astype(np.int64), linked),
+                 pa.array(np.cumsum(new) - new), _lists(pairs[order], new), _lists(held[order], new)], names=names)
+            bundle += 1
 
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["ids", "n_a", "n_b", "n_groups", "n_links", "digests", "n_pairs", "link_at", "link_times", "pairs", "pair_docs"]
-    kinds = [kind, "long", "long", "long", "long", "string", "int", "int", "long", "long", "long"]
+    names = ["bundle", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "link_at", "link_times", "first_place", "pairs", "pair_docs"]
+    kinds = ["long", kind, "long", "long", "long", "long", "string", "array<int>", "array<long>", "long", "array<long>", "array<long>"]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body")).mapInArrow(
-        run, ", ".join(f"{n} array<{k}>" for n, k in zip(names, kinds)))
-    return written(rows.withColumn("bundle", F.monotonically_increasing_id()), "bundles")
+        run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return written(rows, "links", **ROW_GROUPS)
 
 
-def pair_counts(bundles: DataFrame, n_b: int) -> DataFrame:
+def pair_counts(linked: DataFrame, n_b: int) -> DataFrame:
     """(pair, n, best) over the corpus: documents holding the pair linked, and
     whether no other pair of the same A id is held by more."""
-    each = bundles.select(F.explode(F.arrays_zip("pairs", "pair_docs")).alias("p")).select("p.pairs", "p.pair_docs")
+    each = linked.select(F.explode(F.arrays_zip("pairs", "pair_docs")).alias("p")).select("p.pairs", "p.pair_docs")
     counts = each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("pair_docs").alias("n"))
     counts = written(counts, "pair_counts")
     first = F.floor(F.col("pair") / F.lit(n_b)).alias("a")
@@ -364,30 +375,25 @@ def pair_counts(bundles: DataFrame, n_b: int) -> DataFrame:
 
 def alignment_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str = A_PATH, b_path: str = B_PATH) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 per row."""
-    bundles = linked_bundles(docs, id_col, text_col, a_path, b_path)
+    linked = linked_documents(docs, id_col, text_col, a_path, b_path)
     n_b = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
-    asked = bundles.select("bundle", F.posexplode("pairs").alias("place", "pair"))
-    found = (asked.join(pair_counts(bundles, n_b), "pair").groupBy("bundle")
-             .agg(F.collect_list(F.struct("place", "n", "best")).alias("found")))      # at most the pairs of one bundle
-
-    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                def values(name):
-                    return batch.column(name).slice(row, 1).flatten()
-                ids, counts = values("ids"), values("n_pairs").to_numpy()
-                place, times = values("link_at").to_numpy(), values("link_times").to_numpy()
-                n, best = np.zeros(len(values("pairs")), dtype=np.int64), np.zeros(len(values("pairs")), dtype=np.int64)
-                got = values("found")
-                if len(got):
-                    where = got.field("place").to_numpy()
-                    n[where], best[where] = got.field("n").to_numpy(), got.field("best").to_numpy(zero_copy_only=False)
-                at = np.concatenate([[0], np.cumsum(counts)])
-                sums = [np.diff(np.concatenate([[0], np.cumsum(times * v[place])])[at]) for v in (best, n)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, *(values(c) for c in ("n_a", "n_b", "n_groups", "n_links")), *map(pa.array, sums), values("digests")],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    asked = linked.select("bundle", "first_place", F.posexplode("pairs").alias("k", "pair"))
+    asked = asked.select("bundle", (F.col("first_place") + F.col("k")).alias("place"), "pair")
+    found = asked.join(pair_counts(linked, n_b), "pair").select(F.col("bundle").alias("of"), "place", "n", "best")
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+    def figures(texts: pa.Table, found: pa.Table) -> pa.Table:
+        # each place of the bundle is found once
+        where = found["place"].to_numpy()
+        n, best = np.zeros(len(where), dtype=np.int64), np.zeros(len(where), dtype=np.int64)
+        n[where], best[where] = found["n"].to_numpy(), found["best"].to_numpy()
+        links = texts["link_at"].combine_chunks()
+        place, times = links.flatten().to_numpy(), texts["link_times"].combine_chunks().flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy())])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(times * v[place])])[at]) for v in (best, n)]
+        return pa.table([*(texts[c] for c in names[:5]), *map(pa.array, sums), texts["digest"]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    kept = bundles.drop("pair_docs").join(found, "bundle", "left")
-    return kept.mapInArrow(figures, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    kept = linked.drop("first_place", "pairs", "pair_docs")
+    return kept.groupBy("bundle").cogroup(found.groupBy("of")).applyInArrow(
+        figures, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

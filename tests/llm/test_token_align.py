@@ -90,6 +90,18 @@ def test_edge_cases(spark, edge_docs, no_docs, monkeypatch):
     assert all(len(r.a_ids) == len(r.a_last) and sum(r.a_last) == sum(r.b_last) for r in got)
 
 
+def test_no_row_between_steps_holds_more_than_a_document(spark, monkeypatch):
+    rows = [(k % 30, f"passage {k % 7} on rivers, weirs and 日本 locks no {k}") for k in range(60)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made, write = [], A.written
+    monkeypatch.setattr(A, "written", lambda *a, **k: made.append(write(*a, **k)) or made[-1])
+    assert rows_of(A.alignment_links(docs)) == brute(rows)
+    links = made[0].collect()
+    assert len(links) == len(rows)
+    pairs = [(r.bundle, p) for r in links for p in r.pairs]
+    assert len(set(pairs)) == len(pairs)               # a bundle names a pair once
+
+
 def test_wide_groups_are_linked_by_distinct_ids(monkeypatch):
     with open(A.A_PATH, "rb") as f, open(A.B_PATH, "rb") as g:
         made = A.Aligner(f.read(), g.read())
