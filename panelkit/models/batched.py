@@ -6,9 +6,10 @@ driver. A pass may serve any number of candidates at once (settings, folds,
 trial steps), so a grid search costs as many jobs as its slowest candidate needs
 steps, not as many as all of them together.
 
-``Blocks`` are rows packed once, column after column, into byte blocks of a few
-hundred rows that Spark keeps: a pass over them moves bytes to Python instead of
-turning rows into Arrow columns again, and numpy works on pieces that fit a cache.
+``Blocks`` are rows packed once, column after column, into compressed byte blocks of a few
+hundred rows that Spark keeps on disk: a pass over them moves bytes to Python instead of
+turning rows into Arrow columns again, numpy works on pieces that fit a cache, and neither
+the heap nor Arrow's buffers ever hold the rows of a partition at their full size.
 Blocks ``by`` a column hold rows of one value of it only, so that a pass leaves a
 fold out by leaving out blocks instead of masking rows.
 
@@ -21,11 +22,12 @@ first: a refused step then costs no further pass, and the path stays the same.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,37 +36,54 @@ from panelkit.models.gram import MERGE_TASKS
 #: steps in a row with less than the relative gain ``tol`` that end a descent
 SMALL_STEPS = 3
 #: rows of a block, and of a partition of blocks at most
-BLOCK_ROWS, PARTITION_ROWS = 512, 500_000
+BLOCK_ROWS, PARTITION_ROWS = 512, 1_000_000
+#: columns of few values (dummies, labels, folds) shrink to a fraction
+CODEC = "zstd"
 #: points of a line tried in one pass at most
 MAX_AHEAD = 8
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """Rows of doubles without NULL as byte blocks (column ``block``), kept by Spark."""
-    frame: DataFrame
+    """Rows of doubles without NULL as byte blocks, kept by Spark (``packed``: size of a block
+    and its compressed bytes)."""
+    packed: DataFrame
     columns: tuple[str, ...]
     partitions: int
 
+    @property
+    def frame(self) -> DataFrame:
+        """The blocks at their full size (column ``block``)."""
+        def part(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([raw.to_pybytes() for raw in unpacked(b)], pa.binary())], names=["block"])
+
+        return self.packed.mapInArrow(part, "block binary")
+
     def counts(self, column: str) -> dict[float, int]:
         """Rows by the value of a column of few values (a fold, a label)."""
         at, k = self.columns.index(column), len(self.columns)
 
         def part(batches):
             for b in batches:
-                for raw in b.column(0):
-                    values, n = np.unique(np.frombuffer(raw.as_buffer()).reshape(k, -1)[at], return_counts=True)
+                for raw in unpacked(b):
+                    values, n = np.unique(np.frombuffer(raw).reshape(k, -1)[at], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n, pa.int64())], names=["value", "n"])
 
-        found = self.frame.mapInArrow(part, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+        found = self.packed.mapInArrow(part, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
         return {float(r["value"]): int(r["n"]) for r in found}
 
     def unpersist(self) -> None:
-        self.frame.unpersist()
+        self.packed.unpersist()
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[pa.Buffer]:
+    for size, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+        yield pa.decompress(raw.as_buffer(), size, CODEC)
 
 
 def in_blocks(data: DataFrame, columns: Sequence[str], by: str | None = None) -> Blocks:
-    """``columns`` of ``data`` (numbers without NULL) as cached blocks, over all cores and
+    """``columns`` of ``data`` (numbers without NULL) as kept blocks, over all cores and
     at most about ``PARTITION_ROWS`` rows a partition."""
     key = list(columns).index(by) if by else None
 
@@ -74,14 +93,15 @@ def in_blocks(data: DataFrame, columns: Sequence[str], by: str | None = None) ->
                 m = np.vstack([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in b.columns])
                 parts = [m] if key is None else [m[:, m[key] == v] for v in np.unique(m[key])]
                 made = [part[:, i:i + BLOCK_ROWS].tobytes() for part in parts for i in range(0, part.shape[1], BLOCK_ROWS)]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["block"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(raw) for raw in made], pa.int32()),
+                                                  pa.array([pa.compress(raw, CODEC, asbytes=True) for raw in made], pa.binary())], names=["size", "packed"])
 
     rows = data.select(*columns)
     want = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PARTITION_ROWS))
     have = rows.rdd.getNumPartitions()
     if have < want:
         rows, have = rows.repartition(want), want
-    return Blocks(rows.mapInArrow(pack, "block binary").persist(), tuple(columns), have)
+    return Blocks(rows.mapInArrow(pack, "size int, packed binary").persist(StorageLevel.DISK_ONLY), tuple(columns), have)
 
 
 def sum_over_rows(data: DataFrame | Blocks, columns: Sequence[str], fn: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
@@ -97,8 +117,8 @@ def sum_over_rows(data: DataFrame | Blocks, columns: Sequence[str], fn: Callable
         total = np.zeros(width)
         for b in batches:
             if packed:
-                for raw in b.column(0):
-                    total += fn(np.frombuffer(raw.as_buffer()).reshape(k, -1)[at].T)
+                for raw in unpacked(b):
+                    total += fn(np.frombuffer(raw).reshape(k, -1)[at].T)
             elif b.num_rows:
                 total += fn(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float, copy=False))
         yield one(total)
@@ -109,7 +129,7 @@ def sum_over_rows(data: DataFrame | Blocks, columns: Sequence[str], fn: Callable
             total += b.column(0).flatten().to_numpy().reshape(-1, width).sum(axis=0)
         yield one(total)
 
-    sums = (data.frame if packed else data.select(*columns)).mapInArrow(part, "s array<double>")
+    sums = (data.packed if packed else data.select(*columns)).mapInArrow(part, "s array<double>")
     if (data.partitions if packed else data.rdd.getNumPartitions()) > MERGE_TASKS:
         sums = sums.repartition(MERGE_TASKS).mapInArrow(add_up, "s array<double>")
     rows = sums.collect()

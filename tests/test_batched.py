@@ -252,3 +252,17 @@ def test_kernel_features_are_dealt_by_their_size(spark, monkeypatch):
     small = C.fit_svm(df, ["a", "b"], "label", gamma=1.0, cost=1.0, n_features=8, max_iter=20)
     assert dealt == [1, 10]
     np.testing.assert_allclose(plain.coefficients.toArray(), small.coefficients.toArray(), rtol=1e-3, atol=1e-3)
+
+
+def test_blocks_are_kept_small_and_on_disk(spark):
+    """They used to be kept at their full size, in memory first."""
+    flags = [(F.col("id") % k == 0).cast("double").alias(f"d{k}") for k in (2, 3, 5, 7)]
+    data = batched.in_blocks(spark.range(0, 20_000, 1, 2).select(*flags, (F.col("id") % 5).cast("double").alias("fold")), ["d2", "d3", "d5", "d7", "fold"], by="fold")
+    try:
+        kept, full = data.packed.select(F.sum(F.length("packed")), F.sum("size")).first()
+        assert full == 20_000 * 5 * 8 and kept < full / 4
+        level = data.packed.storageLevel
+        assert level.useDisk and not level.useMemory
+        assert batched.sum_over_rows(data, ["d3", "fold"], lambda b: b.sum(0), 2).tolist() == [6667.0, 40_000.0]
+    finally:
+        data.unpersist()
