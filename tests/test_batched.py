@@ -266,3 +266,23 @@ def test_blocks_are_kept_small_and_on_disk(spark):
         assert batched.sum_over_rows(data, ["d3", "fold"], lambda b: b.sum(0), 2).tolist() == [6667.0, 40_000.0]
     finally:
         data.unpersist()
+
+
+@pytest.mark.parametrize("gamma, cost, tol", [(1.0, 1.0, 1e-4), (0.1, 10.0, 1e-6)])
+def test_svm_without_kept_features_is_the_same_machine(spark, monkeypatch, gamma, cost, tol):
+    """A fit used to keep all kernel features, however many."""
+    pdf = ring(1500, 13)
+    pdf.loc[7:9, "a"] = [np.nan, np.inf, -np.inf]
+    df = spark.createDataFrame(pdf).repartition(3).persist()
+    kept = C.fit_svm(df, ["a", "b"], "label", gamma=gamma, cost=cost, n_features=16, max_iter=40, tol=tol)
+    monkeypatch.setattr(C, "KEPT_BYTES", 0)
+    monkeypatch.setattr(C.LinearSVC, "fit", lambda *_: pytest.fail("the features are kept"))
+    passes = C.fit_svm(df, ["a", "b"], "label", gamma=gamma, cost=cost, n_features=16, max_iter=40, tol=tol)
+    np.testing.assert_allclose(passes.coefficients.toArray(), kept.coefficients.toArray(), rtol=1e-6, atol=1e-8)
+    assert passes.intercept == pytest.approx(kept.intercept, rel=1e-6)
+    scored = df.where(F.abs("a") < 3)
+    said = [C.score_svm(m, scored, ["a", "b"], gamma=gamma, n_features=16).groupBy("pred").count().collect() for m in (kept, passes)]
+    assert sorted(map(str, said[0])) == sorted(map(str, said[1]))
+    df.unpersist()
+    with pytest.raises(Exception, match="labels must be 0 or 1"):
+        C.fit_svm(df.withColumn("label", F.lit(None).cast("int")), ["a", "b"], "label", gamma=1.0, cost=1.0, n_features=4, max_iter=2)
